@@ -33,6 +33,18 @@ TABLES: dict[str, str] = {
     "book1": _last("lob", "role", 1),
     "quotes1": _last("lob_clean", "role", 1),
     "grid5": _last("lob_clean", "role", 300),
+    "book5": _last("lob_clean", "role", 300),
+    "coupons": """
+        SELECT isin, 100e0 * coupon_rate / coupon_freq AS amount, unnest(generate_series(first_coupon::TIMESTAMP, maturity::TIMESTAMP,
+               to_months((12 // coupon_freq)::INT)))::DATE AS c FROM ctd_metadata""",
+    "terms": """
+        SELECT d, isin, cf, delivery, (delivery - d) / 360e0 AS years,
+               COALESCE((SELECT SUM(amount) FROM coupons s WHERE s.isin = k.isin AND s.c > k.d AND s.c <= k.delivery), 0) AS coupons,
+               COALESCE((SELECT SUM(amount * (k.delivery - s.c) / 360e0) FROM coupons s WHERE s.isin = k.isin AND s.c > k.d AND s.c <= k.delivery), 0) AS weighted_coupons,
+               (SELECT MAX(amount) * (k.d - MAX(c) FILTER (c <= k.d)) / (MIN(c) FILTER (c > k.d) - MAX(c) FILTER (c <= k.d)) FROM coupons s WHERE s.isin = k.isin) AS ai_now,
+               (SELECT MAX(amount) * (k.delivery - MAX(c) FILTER (c <= k.delivery)) / (MIN(c) FILTER (c > k.delivery) - MAX(c) FILTER (c <= k.delivery))
+                FROM coupons s WHERE s.isin = k.isin) AS ai_delivery
+        FROM (SELECT k.d, k.isin, k.cf, MIN(m.delivery) AS delivery FROM daily_cf k JOIN fut_metadata m ON m.delivery > k.d GROUP BY ALL) k""",
     "daily_cf": DAILY_CF.format(events="events"),
     "ctd_metadata": _values(CTD_BONDS, "isin, coupon_rate, coupon_freq, first_coupon, maturity"),
     "fut_metadata": _values(FUTURES, "last_trading, delivery"),
@@ -68,6 +80,30 @@ TABLES: dict[str, str] = {
 }
 
 
+# Base features on the five-minute grid.
+_FLOW = {
+    "bid": "CASE WHEN {p} > {q} THEN {s} WHEN {p} = {q} THEN {s} - {z} WHEN {p} < {q} THEN -{z} END",
+    "ask": "CASE WHEN {p} > {q} THEN -{z} WHEN {p} = {q} THEN {s} - {z} WHEN {p} < {q} THEN {s} END",
+}
+
+
+def flow_sql(side: str, level: int) -> str:
+    """Order flow of one side; needs the windows ``w`` of the previous row."""
+    p, s = f"l{level}_{side}_price", f"l{level}_{side}_size"
+    return _FLOW[side].format(p=p, s=s, q=f"LAG({p}) OVER w", z=f"LAG({s}) OVER w")
+
+
+TABLES["role5"] = f"""
+    SELECT role, d, ep, (l1_bid_price + l1_ask_price) / 2 AS mid, l1_ask_price - l1_bid_price AS spread, l1_bid_size - l1_ask_size AS obi_1,
+           {flow_sql('bid', 1)} AS bof_1, {flow_sql('ask', 1)} AS aof_1 FROM book5 WINDOW w AS (PARTITION BY role, d ORDER BY ep)"""
+TABLES["wide5"] = """
+    SELECT c.d, c.ep, c.mid - t.cf * f.mid AS basis,
+           (f.mid * t.cf + t.ai_delivery - (c.mid + t.ai_now - t.coupons)) / ((c.mid + t.ai_now) * t.years - t.weighted_coupons) AS irr,
+           c.mid AS ctd_mid_price, f.mid AS fut_mid_price, c.spread AS ctd_spread, f.spread AS fut_spread, c.obi_1 AS ctd_obi_1, f.obi_1 AS fut_obi_1,
+           c.bof_1 AS ctd_bof_1, f.bof_1 AS fut_bof_1, c.aof_1 AS ctd_aof_1, f.aof_1 AS fut_aof_1, c.bof_1 + c.aof_1 AS ctd_ofi_1, t.cf
+    FROM role5 c JOIN role5 f ON f.ep = c.ep AND f.role = 'fut' JOIN terms t ON t.d = c.d WHERE c.role = 'ctd'"""
+
+
 def with_tables(sql: str) -> str:
     """Prefix ``sql`` with the derived tables it uses, dependencies first."""
     used: list[str] = []

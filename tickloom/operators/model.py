@@ -79,7 +79,11 @@ def quantile_bin(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
     q = exact_quantiles(long, ["what"], "v", {f"e{i}": i / bins for i in range(1, bins)})
     row = q.agg(*[F.max(F.when(F.col("what") == c, F.array(*[f"e{i}" for i in range(1, bins)]))).alias(f"_q_{c}") for c in columns])
     out = df.join(F.broadcast(row))
-    cut = {c: F.when(F.col(c).isNotNull(), F.size(F.filter(f"_q_{c}", lambda e, c=c: e < F.col(c)))) for c in columns}
+
+    def bin_of(c):
+        return F.when(F.col(c).isNotNull(), F.size(F.filter(f"_q_{c}", lambda e: e < F.col(c))))
+
+    cut = {c: bin_of(c) for c in columns}
     return out.withColumns(cut).drop(*[f"_q_{c}" for c in columns])
 
 

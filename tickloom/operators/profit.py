@@ -16,6 +16,7 @@ from tickloom.functions.expr import col, day_of, div
 from tickloom.operators.dates import event_between
 from tickloom.operators.ordered import exact_quantiles
 from tickloom.schema import BOND, LONG_FUTURE
+from tickloom.sources.sinks import stage
 
 # Study grids.
 HORIZONS = (10, 30, 60, 300, 600, 900, 1800, 2700, 3600, 7200, 10800, 86_400, 3 * 86_400, 5 * 86_400)
@@ -139,6 +140,7 @@ def profitable_episodes(pnl: DataFrame, keys: list[str], step_s: int, tolerance_
 
 def summarize_horizon(pnl: DataFrame, keys: list[str], step_s: int, tolerance_s: int = 0) -> DataFrame:
     """31 metrics per key: days, PnL, profitable observations, profitable episodes."""
+    pnl = stage(pnl.select(*keys, "d", "ep", "pnl"))
     p = F.col("pnl")
     good = F.when(p > 0, p)
     base = pnl.groupBy(*keys).agg(
@@ -148,7 +150,7 @@ def summarize_horizon(pnl: DataFrame, keys: list[str], step_s: int, tolerance_s:
         F.count(good).alias("profitable_observations"), F.coalesce(F.sum(good), F.lit(0.0)).alias("profitable_total_pnl"),
         F.avg(good).alias("profitable_mean_pnl"), F.stddev_samp(good).alias("profitable_std_pnl"),
         F.max(good).alias("profitable_max_pnl"), F.min(good).alias("profitable_min_pnl"))
-    runs = profitable_episodes(pnl, keys, step_s, tolerance_s)
+    runs = stage(profitable_episodes(pnl, keys, step_s, tolerance_s))
     per_run = runs.groupBy(*keys).agg(
         F.count("*").alias("profitable_episodes"), F.sum("mean_pnl").alias("episode_total_pnl"), F.avg("mean_pnl").alias("episode_mean_pnl"),
         F.stddev_samp("mean_pnl").alias("episode_std_pnl"), F.max("mean_pnl").alias("episode_max_pnl"), F.min("mean_pnl").alias("episode_min_pnl"),
@@ -261,6 +263,7 @@ def fixed_profit(market: DataFrame, profits, step_s: int, configs=CONFIGS, n_bon
 
 def summarize_profit(found: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates, hits and time / adverse-excursion statistics per key."""
+    found = stage(found.select(*keys, "d", "allowed", "hit", "seconds", "mae"))
     base = found.groupBy(*keys).agg(
         F.count_if("allowed").alias("candidate_entries"), F.count_if("hit").alias("profit_hits"), F.countDistinct("d").alias("_days"),
         F.avg("seconds").alias("mean_time_to_profit"), F.max("seconds").alias("max_time_to_profit"),

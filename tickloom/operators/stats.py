@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.expr import col, div, normal_cdf
 from tickloom.operators.ordered import day_window, exact_quantiles
+from tickloom.sources.sinks import stage
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -327,7 +328,7 @@ def crossover_integrity(times: DataFrame) -> DataFrame:
 
 def crossover_by_quantile(times: DataFrame, bins: int) -> DataFrame:
     """Time statistics by quantile bin of the distance, over first crossovers."""
-    df = times.where("first_crossover AND delta IS NOT NULL")
+    df = stage(times.where("first_crossover AND delta IS NOT NULL").select("delta", "seconds"))
     edges = exact_quantiles(df, [], "delta", {f"e{i}": i / bins for i in range(1, bins)})
     b = F.lit(0)
     for i in range(1, bins):

@@ -70,3 +70,21 @@ def join_series(series: dict[str, DataFrame]) -> DataFrame:
     """
     long = reduce(DataFrame.unionByName, [s.select("ep", F.col("v").alias("v"), F.lit(n).alias("n")) for n, s in series.items()])
     return long.groupBy("ep").agg(*[F.max(F.when(F.col("n") == n, F.col("v"))).alias(n) for n in series])
+
+
+def market_features(book: DataFrame, terms: DataFrame, ids: list[str], levels: int = 3) -> DataFrame:
+    """Wide table (d, ep, ids) over the common times of both roles, with basis and implied repo rate.
+
+    ``terms`` holds the day's cf and repo-rate terms.  Each role is one projection over
+    one window sort; the two meet in one join.
+    """
+    from tickloom.functions.cross import irr_column
+    from tickloom.functions.expr import day_of
+
+    wanted = [i for i in ids if i not in ("basis", "irr")]
+    need = list(dict.fromkeys([*wanted, "ctd_mid_price", "fut_mid_price"]))
+    sides = [role_table(book, r, [i for i in need if i.startswith(r + "_")], levels) for r in ROLES]
+    df = sides[0].join(sides[1], "ep").withColumn("d", day_of("ep")).join(F.broadcast(terms), "d")
+    bond, future = F.col("ctd_mid_price"), F.col("fut_mid_price")
+    df = df.withColumns({"basis": bond - F.col("cf") * future, "irr": irr_column(bond, future)})
+    return df.select("d", "ep", *ids)

@@ -122,6 +122,18 @@ class Tables:
         quotes = self.lob_clean.select("role", "us", "event_id", "l1_bid_price", "l1_ask_price", "l1_bid_size", "l1_ask_size")
         return snap(quotes, ["role"], MARKET_STEP).drop("us", "event_id").withColumn("d", day_of("ep"))
 
+    @cached_property
+    def book5(self) -> DataFrame:
+        """Last clean snapshot, all levels, per role and five-minute bin."""
+        return snap(self.lob_clean, ["role"], MARKET_STEP).withColumn("d", day_of("ep"))
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        """Repo-rate terms per day."""
+        from tickloom.plans.repo_rate import daily_terms
+
+        return daily_terms(self.daily_cf, self.ctd_metadata, self.fut_metadata)
+
     @cached_property
     def market5(self) -> DataFrame:
         """Both roles side by side on the five-minute grid, with the day's factor and bond."""

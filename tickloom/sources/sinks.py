@@ -46,3 +46,14 @@ def write_features(df: DataFrame, path: str) -> str:
 
 def write_results(df: DataFrame, path: str, config: list[str]) -> str:
     return write_partitioned(df, path, config)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Cuts the lineage of a table that several branches use, and survives lost executors.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
