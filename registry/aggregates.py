@@ -97,7 +97,7 @@ def _(t):
 def _(t):
     r = Q.valid_range(t.lob).where("scope = 'level_1'")
     edges = F.array(F.struct(F.lit("open").alias("edge"), F.col("first_us").alias("us")), F.struct(F.lit("close").alias("edge"), F.col("last_us").alias("us")))
-    df = r.select("role", F.explode(edges).alias("x")).select("role", "x.edge", sod(F.floor(F.col("x.us") / 1_000_000)).alias("s"))
+    df = r.select("role", F.inline(edges)).select("role", "edge", sod(F.floor(F.col("us") / 1_000_000)).alias("s"))
     return T.histogram(df, ["edge", "role"], "s", 0, 600)
 
 

@@ -11,6 +11,7 @@ from tickloom.operators.ordered import sample_exact
 from tickloom.plans import catalog as K
 from tickloom.plans import dataset as DS
 from tickloom.plans import features as X
+from tickloom.sources.sinks import stage
 
 FEATS = ["basis", "basis_lag_2s", "basis_delta_2s", "irr", "ctd_obi_1", "fut_obi_1", "ctd_spread"]
 TASKS = FEATS[1:]
@@ -74,7 +75,7 @@ def info_sql(plus, minus, name):
 
 
 def information(t):
-    binned = M.quantile_bin(features(t), FEATS, BINS)
+    binned = M.quantile_bin(stage(features(t)), FEATS, BINS)
     return M.information(tasks(binned), ["horizon", "feature"])
 
 
@@ -93,7 +94,7 @@ def _(t):
 
 @query("mi_run", "horizon:i feature:s n_samples:i pc:f error:s mi:f te:f")
 def _(t):
-    df = features(t)
+    df = stage(features(t))
     picked = sample_exact(df.select("ep"), "ep", ratio=0.5)
     keys = ["horizon", "feature"]
     long = tasks(df).join(picked, "ep", "left_semi")
@@ -129,8 +130,6 @@ def _(t):
      q AS (SELECT quantile_cont(target, 1 / 3e0) AS a, quantile_cont(target, 2 / 3e0) AS b FROM s WHERE split = 'train')
      SELECT ep, split, target, (target > a)::INT + (target > b)::INT AS target_class FROM s, q""")
 def _(t):
-    from tickloom.sources.sinks import stage
-
     df = D.split_by_date_share(features(t, ["basis_delta_2s"]).dropna(), 0.6, 0.2)
     df = stage(df.withColumnRenamed("basis_delta_2s", "target"))
     edges = M.class_edges(df.where("split = 'train'"), "target", 3)
@@ -138,8 +137,6 @@ def _(t):
 
 
 def model_table(t):
-    from tickloom.sources.sinks import stage
-
     return stage(dataset(t))
 
 

@@ -51,17 +51,15 @@ def _(t):
     return times.join(t.market5.select("ep", cross.mid("ctd").alias("ctd_mid")), "ep")
 
 
-@query("interval_join", "event_id:i order_id:i", """
-       SELECT l.event_id, p.order_id FROM lob l JOIN proposals p ON l.us BETWEEN p.start_us AND p.end_us
-       WHERE l.role = 'fut' AND p.status = 0 AND p.check_logon = 0 AND p.bond_code = 'IT0002'""")
+@query("interval_join", "ep:i order_id:i", """
+       SELECT g.ep, p.order_id FROM (SELECT ep FROM grid5 WHERE role = 'fut') g JOIN proposals p ON g.ep * 1000000 BETWEEN p.start_us AND p.end_us
+       WHERE p.status = 0 AND p.check_logon = 0 AND p.bond_code = 'IT0002'""")
 def _(t):
     from tickloom.sources.readers import valid_proposals
 
     orders = valid_proposals(t.proposals, "IT0002").select("order_id", "start_us", "end_us")
-    return B.interval_join(t.lob.where("role = 'fut'").select("event_id", "us"), orders, 1800)
-
-
-EVENTS = "d:d next_event:d prev_event:d days_to_next:i days_to_prev:i"
+    grid = t.grid5.where("role = 'fut'").select("ep", (F.col("ep") * US).alias("us"))
+    return B.interval_join(grid, orders, 1800)
 
 
 def _rolls(t):

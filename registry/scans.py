@@ -373,9 +373,9 @@ LONG = " UNION ALL ".join(f"SELECT role, us, '{s}' AS side, l{n}_{s}_price AS pr
        SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY role, us, side ORDER BY CASE side WHEN 'bid' THEN -price ELSE price END NULLS LAST) AS rank
         FROM ({LONG}) x) y WHERE rank <= 2""")
 def _(t):
-    from tickloom.operators.book import best_levels, long_levels
+    from tickloom.operators.book import row_levels
 
-    return best_levels(long_levels(t.lob, 3), ["role", "us"], 2)
+    return row_levels(t.lob, 3, 2)
 
 
 @query("cf_segments", "isin:s first_day:d last_day:d n:i", """

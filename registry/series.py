@@ -44,9 +44,8 @@ MID = "(SELECT role, d, ep, (l1_bid_price + l1_ask_price) / 2 AS x FROM quotes1)
 def _(t):
     names = ["basis", "basis_delta_3s", "basis_roll_mean_12s"]
     f = X.compile_features(t.basis5, names)
-    day = T.describe(f, ["d"], "basis", bounded=True)
-    extra = f.groupBy("d").agg(F.avg("basis_delta_3s").alias("mean_change"), F.avg("basis_roll_mean_12s").alias("mean_roll"))
-    return day.join(extra, "d")
+    extra = [F.avg("basis_delta_3s").alias("mean_change"), F.avg("basis_roll_mean_12s").alias("mean_roll")]
+    return T.describe(f, ["d"], "basis", bounded=True, extra=extra)
 
 
 @query("lag", "role:s ep:i lag_1:f lag_5:f", f"SELECT role, ep, LAG(x, 1) OVER w AS lag_1, LAG(x, 5) OVER w AS lag_5 FROM {MID} {W}")

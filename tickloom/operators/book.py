@@ -6,15 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import US
+from tickloom.operators.grid import full_grid
 from tickloom.schema import SIDES, book_column
 
 
-def long_levels(book: DataFrame, levels: int) -> DataFrame:
-    """One row per time, side and level from the wide book."""
-    cells = [F.struct(F.lit(s).alias("side"), F.col(book_column(n, s, "price")).alias("price"), F.col(book_column(n, s, "size")).alias("qty"))
-             for s in SIDES for n in range(1, levels + 1)]
+def row_levels(book: DataFrame, levels: int, n: int) -> DataFrame:
+    """Best ``n`` levels of each snapshot, re-ranked by price inside the row: no shuffle."""
     keep = [c for c in ("role", "us", "ep") if c in book.columns]
-    return book.select(*keep, F.explode(F.array(*cells)).alias("x")).select(*keep, "x.*")
+    parts = []
+    for s in SIDES:
+        cells = [F.struct((-F.col(book_column(i, s, "price")) if s == "bid" else F.col(book_column(i, s, "price"))).alias("key"),
+                          F.col(book_column(i, s, "price")).alias("price"), F.col(book_column(i, s, "size")).alias("qty")) for i in range(1, levels + 1)]
+        have = F.filter(F.array(*cells), lambda c: c["key"].isNotNull())
+        none = F.filter(F.array(*cells), lambda c: c["key"].isNull())
+        parts.append(F.struct(F.lit(s).alias("side"), F.slice(F.concat(F.array_sort(have), none), 1, n).alias("best")))
+    sides = book.select(*keep, F.inline(F.array(*parts)))
+    return sides.select(*keep, "side", F.posexplode("best").alias("i", "cell")).select(
+        *keep, "side", (F.col("i") + 1).alias("rank"), F.col("cell.price").alias("price"), F.col("cell.qty").alias("qty"))
 
 
 def price_rank(keys: list[str]) -> Column:
@@ -43,7 +51,7 @@ def active_on_grid(orders: DataFrame, step_s: int) -> DataFrame:
 def price_levels(orders: DataFrame, step_s: int) -> DataFrame:
     """Quantity per grid time, side and price; zero prices mean no quote on that side."""
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_price").alias("price"), F.col(f"{s}_qty").alias("qty")) for s in SIDES])
-    quotes = active_on_grid(orders, step_s).select("ep", F.explode(sides).alias("q")).select("ep", "q.*").where("price <> 0")
+    quotes = active_on_grid(orders, step_s).select("ep", F.inline(sides)).where("price <> 0")
     return quotes.groupBy("ep", "side", "price").agg(F.sum("qty").alias("qty"))
 
 
@@ -59,8 +67,7 @@ def rebuild_book(orders: DataFrame, step_s: int, levels: int) -> DataFrame:
     wide = ranked.groupBy("ep").agg(*aggs)
     step = step_s * US
     span = orders.agg((F.floor(F.min("start_us") / step) * step_s).alias("_a"), (F.floor(F.max("end_us") / step) * step_s).alias("_b"))
-    full = span.select(F.explode(F.sequence("_a", "_b", F.lit(step_s).cast("long"))).alias("ep"))
-    return full.join(wide, "ep", "left").withColumn("mid", (F.col("l1_bid_price") + F.col("l1_ask_price")) / 2)
+    return full_grid(span, [], step_s).join(wide, "ep", "left").withColumn("mid", (F.col("l1_bid_price") + F.col("l1_ask_price")) / 2)
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, bucket_s: int) -> DataFrame:

@@ -8,17 +8,45 @@ from pyspark.sql import functions as F
 from tickloom.functions.expr import US, col, day_of
 
 
-def snap(df: DataFrame, keys: list[str], step_s: int, tie: str = "event_id") -> DataFrame:
-    """Last whole row per key and time bin of ``step_s`` seconds.
+def _bin(step_s: int):
+    return F.expr(f"us div {step_s * US} * {step_s}")
 
-    Input carries ``us`` (wall-clock microseconds); output carries ``ep``, the bin start.
-    The aggregate combines on the map side, so a hot bin shrinks to one row per task
-    before anything is shuffled.
+
+def snap(df: DataFrame, keys: list[str], step_s: int) -> DataFrame:
+    """Last row per key and time bin of ``step_s`` seconds.
+
+    Input carries ``us`` (wall-clock microseconds, unique per key); output carries ``ep``,
+    the bin start.  One maximum-by per column keeps every aggregation buffer primitive, so
+    Spark hash-aggregates on the map side and a hot bin shrinks to one row per task before
+    anything is shuffled.
+    """
+    rest = [c for c in df.columns if c not in keys and c not in ("ts", "d", "ep", "us")]
+    last = [F.max_by(c, "us").alias(c) for c in rest]
+    return df.groupBy(*keys, _bin(step_s).alias("ep")).agg(*last, F.max("us").alias("us"))
+
+
+def snap_roles(df: DataFrame, step_s: int) -> DataFrame:
+    """Last level-1 quotes of bond and future per bin in which both are quoted, side by side.
+
+    Same result as snapping each role and joining them, from one scan and one shuffle.
     """
-    rest = [c for c in df.columns if c not in keys and c not in ("ts", "d", "ep")]
-    ep = F.floor(F.col("us") / (step_s * US)).cast("long") * step_s
-    last = F.max_by(F.struct(*rest), F.struct("us", tie)).alias("row")
-    return df.groupBy(*keys, ep.alias("ep")).agg(last).select(*keys, "ep", "row.*")
+    aggs = []
+    for role in ("ctd", "fut"):
+        when = F.when(F.col("role") == role, F.col("us"))
+        aggs += [F.max_by(f"l1_{s}_{k}", when).alias(f"{role}_{s}_{k}") for k in ("price", "size") for s in ("bid", "ask")]
+        aggs.append(F.max(when).alias(f"_{role}"))
+    both = df.groupBy(_bin(step_s).alias("ep")).agg(*aggs).where("_ctd IS NOT NULL AND _fut IS NOT NULL")
+    return both.drop("_ctd", "_fut").withColumn("d", day_of("ep"))
+
+
+def full_grid(span: DataFrame, keys: list[str], step_s: int) -> DataFrame:
+    """All bins from ``_a`` to ``_b`` of one row per key, spread over tasks by day."""
+    per_day = F.explode(F.sequence(F.expr("_a div 86400"), F.expr("_b div 86400"))).alias("_day")
+    days = span.select(*keys, "_a", "_b", per_day).repartition(*keys, "_day")
+    first = F.greatest(F.col("_a"), F.ceil(F.col("_day") * 86_400 / step_s) * step_s)
+    last = F.least(F.col("_b"), F.col("_day") * 86_400 + 86_399)
+    days = days.withColumns({"_from": first.cast("long"), "_to": last.cast("long")}).where("_from <= _to")
+    return days.select(*keys, F.explode(F.sequence("_from", "_to", F.lit(step_s).cast("long"))).alias("ep"))
 
 
 def resample_last(df: DataFrame, keys: list[str], step_s: int, values: list[str]) -> DataFrame:
@@ -30,9 +58,8 @@ def resample_last(df: DataFrame, keys: list[str], step_s: int, values: list[str]
     ep = F.col("ep") - F.pmod(F.col("ep"), F.lit(step_s))
     aggs = [F.max_by(v, F.when(F.col(v).isNotNull(), F.col("ep"))).alias(v) for v in values]
     bins = df.groupBy(*keys, ep.alias("ep")).agg(*aggs)
-    span = bins.groupBy(*keys).agg(F.min("ep").alias("_a"), F.max("ep").alias("_b"))
-    full = span.select(*keys, F.explode(F.sequence("_a", "_b", F.lit(step_s))).alias("ep"))
-    return full.join(bins, [*keys, "ep"], "left")
+    span = df.groupBy(*keys).agg(F.min(ep).alias("_a"), F.max(ep).alias("_b"))
+    return full_grid(span, keys, step_s).join(bins, [*keys, "ep"], "left")
 
 
 def join_roles(grid: DataFrame) -> DataFrame:

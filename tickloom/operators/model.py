@@ -75,7 +75,7 @@ def information(binned: DataFrame, keys: list[str], least: int = 10) -> DataFram
 def quantile_bin(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
     """Replace each column by its equal-count bin; all columns share one quantile job."""
     cells = F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("v")) for c in columns])
-    long = df.select(F.explode(cells).alias("x")).select("x.*")
+    long = df.select(F.inline(cells))
     q = exact_quantiles(long, ["what"], "v", {f"e{i}": i / bins for i in range(1, bins)})
     row = q.agg(*[F.max(F.when(F.col("what") == c, F.array(*[f"e{i}" for i in range(1, bins)]))).alias(f"_q_{c}") for c in columns])
     out = df.join(F.broadcast(row))
@@ -122,7 +122,7 @@ def pairwise_auc(pred: DataFrame, keys: list[str], classes: int) -> DataFrame:
             if a != b:
                 here = F.col("c_true").isin(a, b)
                 cells.append(F.when(here, F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{a}").alias("score"), (F.col("c_true") == a).cast("int").alias("pos"))))
-    long = pred.select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("x")).select(*keys, "x.*")
+    long = pred.select(*keys, F.inline(F.array_compact(F.array(*cells))))
     pair = [*keys, "a", "b"]
     per = long.groupBy(*pair, "score").agg(F.sum("pos").alias("_p"), F.sum(1 - F.col("pos")).alias("_q"))
     per = per.withColumn("_slot", F.floor(F.col("score") * 1024))

@@ -96,8 +96,8 @@ def fixed_horizon(market: DataFrame, horizons, configs=CONFIGS, n_bonds: float =
         xa, xb = sides[direction] if exit_side == "entry" else (b, a)
         ok = _sizes_allow("", a, b, n, now) & _sizes_allow("x_", xa, xb, n, then) & F.col("x_cf").isNotNull()
         cells.append(F.struct(F.lit(direction).alias("direction"), F.when(ok, pnl).alias("pnl")))
-    out = paired.select(*CONFIG_COLUMNS, "horizon", "d", "ep", "exit_ep", F.explode(F.array(*cells)).alias("r"))
-    return out.select(*CONFIG_COLUMNS, "horizon", "d", "ep", "exit_ep", "r.direction", "r.pnl")
+    out = paired.select(*CONFIG_COLUMNS, "horizon", "d", "ep", "exit_ep", F.inline(F.array(*cells)))
+    return out
 
 
 def invalidate_overnight(trades: DataFrame, last_trading: DataFrame, switches: DataFrame) -> DataFrame:
@@ -156,10 +156,10 @@ def summarize_horizon(pnl: DataFrame, keys: list[str], step_s: int, tolerance_s:
         F.stddev_samp("mean_pnl").alias("episode_std_pnl"), F.max("mean_pnl").alias("episode_max_pnl"), F.min("mean_pnl").alias("episode_min_pnl"),
         F.avg("length").alias("mean_episode_length"), F.max("length").alias("max_episode_length"), F.min("length").alias("min_episode_length"))
     cells = F.array(F.struct(F.lit("all").alias("what"), p.alias("v")), F.struct(F.lit("good").alias("what"), good.alias("v")))
-    values = pnl.where(p.isNotNull()).select(*keys, F.explode(cells).alias("x")).select(*keys, "x.*")
+    values = pnl.where(p.isNotNull()).select(*keys, F.inline(cells))
     cells = F.array(F.struct(F.lit("run").alias("what"), F.col("mean_pnl").alias("v")),
                     F.struct(F.lit("length").alias("what"), F.col("length").cast("double").alias("v")))
-    values = values.unionByName(runs.select(*keys, F.explode(cells).alias("x")).select(*keys, "x.*"))
+    values = values.unionByName(runs.select(*keys, F.inline(cells)))
     mid = exact_quantiles(values, [*keys, "what"], "v", {"median": 0.5})
     mid = mid.groupBy(*keys).agg(*[F.max(F.when(F.col("what") == w, F.col("median"))).alias(n) for w, n in (
         ("all", "median_pnl"), ("good", "profitable_median_pnl"), ("run", "episode_median_pnl"), ("length", "median_episode_length"))])
@@ -269,7 +269,7 @@ def summarize_profit(found: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("seconds").alias("mean_time_to_profit"), F.max("seconds").alias("max_time_to_profit"),
         F.avg("mae").alias("mean_mae"), F.max("mae").alias("max_mae"))
     cells = F.array(F.struct(F.lit("s").alias("what"), F.col("seconds").alias("v")), F.struct(F.lit("m").alias("what"), F.col("mae").alias("v")))
-    values = found.where("hit").select(*keys, F.explode(cells).alias("x")).select(*keys, "x.*")
+    values = found.where("hit").select(*keys, F.inline(cells))
     mid = exact_quantiles(values, [*keys, "what"], "v", {"median": 0.5}).groupBy(*keys).agg(
         F.max(F.when(F.col("what") == "s", F.col("median"))).alias("median_time_to_profit"),
         F.max(F.when(F.col("what") == "m", F.col("median"))).alias("median_mae"))
@@ -377,15 +377,30 @@ def original_trade_pnl(trades: DataFrame) -> DataFrame:
 def first_hit(orders: DataFrame, quotes: DataFrame, keys: list[str], start: str, end: str, limit: str, side: str, out: str) -> DataFrame:
     """First quote time in [start, end] that crosses the limit: ask <= limit to buy (1), bid >= limit to sell (-1).
 
-    ``orders`` and ``quotes`` (d, ep, bid, ask) meet on (day, hour): an order is copied to
-    each hour it spans and only the earliest hit survives the map-side combined minimum.
+    Quotes (ep, bid, ask; one per second) are packed into one array per minute and one
+    array of minute extremes per hour, 60 entries each at most.  An order meets one row
+    per hour it spans to find its first promising inner minute, then the arrays of that
+    minute and of its two end minutes; no (order, quote) pairs are formed.
     """
-    hours = F.explode(F.sequence(F.floor(F.col(start) / 3600), F.floor(F.col(end) / 3600)))
-    spans = orders.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(limit).alias("_l"), F.col(side).alias("_side"), hours.alias("_h"))
-    q = quotes.select(F.floor(F.col("ep") / 3600).alias("_h"), F.col("ep").alias("_q"), "bid", "ask")
-    crosses = F.when(F.col("_side") == 1, F.col("ask") <= F.col("_l")).otherwise(F.col("bid") >= F.col("_l"))
-    hits = spans.join(q, "_h").where((F.col("_q") >= F.col("_s")) & (F.col("_q") <= F.col("_e")) & crosses)
-    best = hits.groupBy(*keys).agg(F.min("_q").alias(out))
+    minute = lambda c: F.expr(f"{c} div 60")
+    per_minute = quotes.groupBy(minute("ep").alias("_m")).agg(
+        F.collect_list(F.struct("ep", "bid", "ask")).alias("_q"), F.min("ask").alias("low"), F.max("bid").alias("high"))
+    per_hour = per_minute.groupBy(F.expr("_m div 60").alias("_h")).agg(F.collect_list(F.struct(F.col("_m").alias("m"), "low", "high")).alias("_ms"))
+    base = orders.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(limit).alias("_l"), F.col(side).alias("_side"))
+    base = base.withColumns({"_ma": minute("_s"), "_mb": minute("_e")})
+
+    def reaches(low, high):
+        return F.when(F.col("_side") == 1, low <= F.col("_l")).otherwise(high >= F.col("_l"))
+
+    spans = base.withColumn("_h", F.explode(F.sequence(F.expr("_ma div 60"), F.expr("_mb div 60"))))
+    good = F.filter("_ms", lambda x: (x["m"] > F.col("_ma")) & (x["m"] < F.col("_mb")) & reaches(x["low"], x["high"]))
+    inner = spans.join(per_hour, "_h").withColumn("_m", F.array_min(F.transform(good, lambda x: x["m"]))).where("_m IS NOT NULL")
+    names = [*keys, "_s", "_e", "_l", "_side"]
+    inner = inner.groupBy(*names).agg(F.min("_m").alias("_m"))
+    ends = base.select(*names, F.explode(F.array_distinct(F.array("_ma", "_mb"))).alias("_m"))
+    looks = ends.unionByName(inner).join(per_minute.select("_m", "_q"), "_m")
+    hits = F.filter("_q", lambda q: (q["ep"] >= F.col("_s")) & (q["ep"] <= F.col("_e")) & reaches(q["ask"], q["bid"]))
+    best = looks.select(*keys, F.array_min(F.transform(hits, lambda q: q["ep"])).alias("_hit")).groupBy(*keys).agg(F.min("_hit").alias(out))
     return orders.join(best, keys, "left")
 
 

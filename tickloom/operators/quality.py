@@ -90,7 +90,7 @@ def issues(df: DataFrame, checks: list[Check], inside: Column | None = None) ->
             F.min(F.when(flag, F.col("us"))).alias("first_us"), F.max(F.when(flag, F.col("us"))).alias("last_us")))
     per_day = df.groupBy("role", "d").agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
     rows = F.array(*[f"c{i}" for i in range(len(cells))])
-    return per_day.select("role", "d", F.explode(rows).alias("x")).select("role", "d", "x.*").where("n > 0")
+    return per_day.select("role", "d", F.inline(rows)).where("n > 0")
 
 
 def issue_counts(found: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def _per_scope(df: DataFrame, cell) -> DataFrame:
     named = scopes()
     per_day = df.groupBy("role", "d").agg(*[cell(name, cols).alias(f"s{i}") for i, (name, cols) in enumerate(named.items())])
     rows = F.array(*[f"s{i}" for i in range(len(named))])
-    return per_day.select("role", "d", F.explode(rows).alias("x")).select("role", "d", "x.*")
+    return per_day.select("role", "d", F.inline(rows))
 
 
 def shape(df: DataFrame, n_columns: int) -> DataFrame:
@@ -153,7 +153,7 @@ def gaps(book: DataFrame, wanted: tuple[str, ...] = ("level_1",)) -> DataFrame:
         change = F.lag(f"_e_{k}").over(w) != F.col(f"_e_{k}")
         ids = islands(ids, ["role", "d"], "ep", change, f"_i_{k}")
     cells = F.array(*[F.struct(F.lit(k).alias("scope"), F.col(f"_e_{k}").alias("empty"), F.col(f"_i_{k}").alias("island")) for k in named])
-    long = ids.select("role", "d", "ep", F.explode(cells).alias("x")).select("role", "d", "ep", "x.*").where("empty")
+    long = ids.select("role", "d", "ep", F.inline(cells)).where("empty")
     return long.groupBy("role", "d", "scope", "island").agg(
         F.min("ep").alias("first_ep"), F.max("ep").alias("last_ep"), F.count("*").alias("rows")).drop("island")
 

@@ -123,7 +123,7 @@ def aggregate_seeds(metrics: DataFrame, names: list[str], by: list[str] | None =
     """Mean and sample deviation of each metric over seeds, in long form."""
     by = by or []
     cells = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
-    long = metrics.select(*by, F.explode(cells).alias("x")).select(*by, "x.*")
+    long = metrics.select(*by, F.inline(cells))
     return long.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
 
 
@@ -176,7 +176,7 @@ def exec_metrics(terminal: DataFrame, tick: float, keys=("seed", "side")) -> Dat
         F.count("*").alias("episodes"), *[F.count_if(c("status") == s).alias(s) for s in ("market", "limit", "forced")],
         *[F.avg(v).alias(f"{n}_mean") for n, v in stats.items()])
     cells = F.array(*[F.struct(F.lit(n).alias("what"), c(v).alias("v")) for n, v in stats.items()])
-    long = df.select(*keys, F.explode(cells).alias("x")).select(*keys, "x.*")
+    long = df.select(*keys, F.inline(cells))
     mid = exact_quantiles(long, [*keys, "what"], "v", {"median": 0.5}).groupBy(*keys).agg(
         *[F.max(F.when(c("what") == n, c("median"))).alias(f"{n}_median") for n in stats])
     return base.join(mid, keys, "left").withColumns({

@@ -24,9 +24,9 @@ def moments(value: str) -> dict[str, Column]:
     return {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "low": F.min(v), "high": F.max(v), "skew": skew, "kurt": kurt}
 
 
-def describe(df: DataFrame, keys: list[str], value: str, bounded: bool = False) -> DataFrame:
-    """Moments and quartiles per key.  ``bounded`` groups (one day of a grid) use the plain percentile."""
-    aggs = [c.alias(n) for n, c in moments(value).items()]
+def describe(df: DataFrame, keys: list[str], value: str, bounded: bool = False, extra=()) -> DataFrame:
+    """Moments and quartiles per key, plus extra aggregates.  ``bounded`` groups (one day of a grid) use the plain percentile."""
+    aggs = [*[c.alias(n) for n, c in moments(value).items()], *extra]
     if bounded:
         return df.groupBy(*keys).agg(*aggs, *[F.percentile(value, p).alias(n) for n, p in QUARTILES.items()])
     base = df.groupBy(*keys).agg(*aggs)
@@ -67,13 +67,17 @@ def intraday_profile(df: DataFrame, value: str, step_s: int) -> DataFrame:
 
 
 def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Quartiles, whiskers within 1.5 interquartile ranges and outlier count per bucket."""
+    """Quartiles, whiskers within 1.5 interquartile ranges and outlier count per bucket.
+
+    Buckets are calendar classes (hours, weekdays, weeks, months, years), so their
+    quartiles are few rows and are broadcast; a bucket may hold any share of the rows.
+    """
     q = exact_quantiles(df, keys, value, QUARTILES)
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     q = q.withColumns({"_a": F.col("q25") - reach, "_b": F.col("q75") + reach})
     v = F.col(value)
     inside = v.between(F.col("_a"), F.col("_b"))
-    return df.join(F.broadcast(q) if not keys else q, keys or None).where(v.isNotNull()).groupBy(*keys, *QUARTILES).agg(
+    return df.join(F.broadcast(q), keys or None).where(v.isNotNull()).groupBy(*keys, *QUARTILES).agg(
         F.count("*").alias("n"), F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"))
 
@@ -119,7 +123,7 @@ def acf(df: DataFrame, keys: list[str], value: str, lags: int, z: float = 1.9599
         r = F.col(f"_p{k}") / F.col("_s")
         cells.append(F.struct(F.lit(k).alias("lag"), r.alias("acf"), (F.lit(z) * F.sqrt((1 + 2 * before) / F.col("n"))).alias("band")))
         before = before + r * r
-    return g.select(*keys, "n", F.explode(F.array(*cells)).alias("x")).select(*keys, "n", "x.*")
+    return g.select(*keys, "n", F.inline(F.array(*cells)))
 
 
 def pacf(df: DataFrame, keys: list[str], value: str, lags: int) -> DataFrame:

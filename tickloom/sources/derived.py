@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import day_of, epoch_us
-from tickloom.operators.grid import join_roles, snap
+from tickloom.operators.grid import snap, snap_roles
 from tickloom.sources.static import CTD_BONDS, EXCLUDED, FUTURES
 
 # Text that runs unchanged on Spark and on DuckDB.
@@ -48,7 +48,7 @@ DAILY_CF = """
 SELECT d, CAST(90 + DAY(d) % 7 AS DOUBLE) / 100.0 AS cf,
        CASE WHEN DAY(d) <= 10 THEN 'IT0001' WHEN DAY(d) <= 20 THEN 'IT0002' ELSE 'IT0003' END AS isin,
        CASE WHEN DAY(d) <= 10 THEN 'CU0001' WHEN DAY(d) <= 20 THEN 'CU0002' ELSE 'CU0003' END AS cusip
-FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM {events}) x
+FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM {events}) days
 """
 
 PROPOSALS = """
@@ -138,7 +138,7 @@ class Tables:
     def market5(self) -> DataFrame:
         """Both roles side by side on the five-minute grid, with the day's factor and bond."""
         daily = self.daily_cf.select("d", "cf", "isin")
-        return join_roles(self.grid5).join(F.broadcast(daily), "d", "left")
+        return snap_roles(self.lob_clean, MARKET_STEP).join(F.broadcast(daily), "d", "left")
 
     @cached_property
     def basis5(self) -> DataFrame:
