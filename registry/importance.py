@@ -92,7 +92,15 @@ def _(t):
     return DS.feature_table(book, t.terms, ["basis", "basis_lag_2s", "basis_delta_2s", "ctd_spread"], S.WINDOW_OPEN, S.WINDOW_CLOSE, 300)
 
 
-@query("mi_run", "horizon:i feature:s n_samples:i pc:f error:s mi:f te:f")
+MI_RUN_SQL = INFO.replace("), ok AS (SELECT * FROM tk WHERE", "), ok AS (SELECT * FROM tk WHERE ep IN (SELECT ep FROM pk) AND").replace("ctd_obi_1 AS z FROM bn", "ctd_obi_1 AS z, ep FROM bn").replace(
+    ", qs AS (", """, pk AS (SELECT ep FROM (SELECT ep, ROW_NUMBER() OVER (ORDER BY md5('42:' || ep), ep) AS k, COUNT(*) OVER () AS n FROM ft) x WHERE k <= GREATEST(1, floor(n * 0.5))), qs AS (""", 1)
+MI_RUN_SQL += ", " + ", ".join(entropy(n, c) for n, c in (("x", "x"), ("y", "y"), ("xy", "x, y"))) + ", rk AS (" + " UNION ALL ".join(
+    f"SELECT {h} AS horizon, '{f}' AS feature, ep, {f} AS x, LEAD(basis, {h}) OVER w AS y FROM ft WINDOW w AS (PARTITION BY d ORDER BY ep)" for h in HORIZONS for f in TASKS) + """)
+     SELECT horizon, feature, n_samples, pc, NULL AS error, h_x.h + h_y.h - h_xy.h AS mi FROM (SELECT horizon, feature, COUNT(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n_samples, CORR(x, y) AS pc FROM rk
+       WHERE ep IN (SELECT ep FROM pk) GROUP BY 1, 2) c JOIN h_x USING (horizon, feature) JOIN h_y USING (horizon, feature) JOIN h_xy USING (horizon, feature)"""
+
+
+@query("mi_run", "horizon:i feature:s n_samples:i pc:f error:s mi:f", MI_RUN_SQL)
 def _(t):
     df = stage(features(t))
     picked = sample_exact(df.select("ep"), "ep", ratio=0.5)
@@ -103,7 +111,7 @@ def _(t):
 
 
 def dataset(t):
-    df = features(t)
+    df = stage(features(t))
     target = X.target_shift(df.select("d", "ep", "basis"), "basis", 2, change=1).select("ep", "target")
     sampled = df.where(F.col("ep") % 600 == 0).select("d", "ep")
     return DS.sampled_dataset(df, target, sampled, 0.6, 0.2)
@@ -124,14 +132,24 @@ def _(t):
     return D.time_folds(t.lob.select("role", "us", "d"), 3)
 
 
-@query("quantile_bins", "ep:i split:s target:f target_class:i", f"""
-     WITH {FEAT_SQL}, r AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT d FROM ft) x),
+SPLIT_SQL = f"""WITH {FEAT_SQL}, r AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT d FROM ft) x),
      s AS (SELECT ft.ep, basis_delta_2s AS target, CASE WHEN i < floor(n * 0.6) THEN 'train' WHEN i < floor(n * (0.6e0 + 0.2e0)) THEN 'val' ELSE 'test' END AS split FROM ft JOIN r ON r.d = ft.d WHERE basis_delta_2s IS NOT NULL),
-     q AS (SELECT quantile_cont(target, 1 / 3e0) AS a, quantile_cont(target, 2 / 3e0) AS b FROM s WHERE split = 'train')
-     SELECT ep, split, target, (target > a)::INT + (target > b)::INT AS target_class FROM s, q""")
+     q AS (SELECT quantile_cont(target, 1 / 3e0) AS a, quantile_cont(target, 2 / 3e0) AS b FROM s WHERE split = 'train')"""
+
+
+def split_target(t):
+    df = features(t, ["basis", "basis_delta_2s"]).withColumnRenamed("basis_delta_2s", "target")
+    return stage(D.split_by_date_share(df.dropna(subset=["target"]), 0.6, 0.2))
+
+
+@query("quantile_bins", "edge:i value:f", SPLIT_SQL + " SELECT 1 AS edge, a AS value FROM q UNION ALL SELECT 2, b FROM q")
+def _(t):
+    return M.bin_edges(split_target(t).where("split = 'train'"), "target", 3)
+
+
+@query("classify", "ep:i split:s target:f target_class:i", SPLIT_SQL + " SELECT ep, split, target, (target > a)::INT + (target > b)::INT AS target_class FROM s, q")
 def _(t):
-    df = D.split_by_date_share(features(t, ["basis_delta_2s"]).dropna(), 0.6, 0.2)
-    df = stage(df.withColumnRenamed("basis_delta_2s", "target"))
+    df = split_target(t)
     edges = M.class_edges(df.where("split = 'train'"), "target", 3)
     return df.withColumn("target_class", M.classify("target", edges))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from registry.base import query
 from tickloom import schema as S
 from tickloom.functions import cross
-from tickloom.functions.expr import US, day_of, epoch_us, sod
+from tickloom.functions.expr import US, day_start, epoch_us
 from tickloom.operators import dates as D
 from tickloom.operators import grid as G
 from tickloom.operators import ordered as O
@@ -255,9 +255,14 @@ def _(t):
     return R.conform(t.lob, S.book_columns(1) + ["l4_bid_price"], ["role", "us"])
 
 
-@query("naive_dates", "event_id:i session_date:d", "SELECT event_id, CAST(ts AS DATE) AS session_date FROM lob")
+@query("naive_dates", "role:s midnight:i n:i", "SELECT role, us - us % 86400000000 AS midnight, COUNT(*) AS n FROM lob GROUP BY 1, 2")
 def _(t):
-    return t.lob.select("event_id", F.to_date("ts").alias("session_date"))
+    midnight = day_start(F.to_date("ts")) * US
+    return t.lob.groupBy("role", midnight.alias("midnight")).agg(F.count("*").alias("n"))
+
+
+query("session_date", "event_id:i session_date:d", "SELECT event_id, CAST(ts AS DATE) AS session_date FROM lob")(
+    lambda t: t.lob.select("event_id", F.to_date("ts").alias("session_date")))
 
 
 @query("drop_reset_obs", "seed:i episode:i ep:i reward:f", """
@@ -410,6 +415,8 @@ def _(t):
     return out
 
 
-@query("sample_uniform", "event_id:i value:f")
+@query("sample_uniform", "event_id:i value:f", """
+       SELECT event_id, value FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY md5('42:' || event_id), event_id) AS k, COUNT(*) OVER () AS n FROM events) x
+       WHERE k <= GREATEST(1, floor(n * 0.05))""")
 def _(t):
     return O.sample_exact(t.events.select("event_id", "value"), "event_id", ratio=0.05, seed=42)

@@ -223,6 +223,14 @@ def _(t):
     return T.crossover_by_quantile(T.first_crossover(crossings(t), 300), 5)
 
 
+@query("crossover_by_threshold", "threshold:f sign:i n:i mean:f std:f low:f q25:f q50:f q75:f high:f", CROSS + """
+       SELECT threshold, SIGN(delta) AS sign, COUNT(*) AS n, AVG(seconds) AS mean, STDDEV_SAMP(seconds) AS std, MIN(seconds) AS low, quantile_cont(seconds::DOUBLE, 0.25) AS q25,
+              quantile_cont(seconds::DOUBLE, 0.5) AS q50, quantile_cont(seconds::DOUBLE, 0.75) AS q75, MAX(seconds) AS high FROM fc JOIN (VALUES (0e0), (0.05e0), (0.1e0), (0.2e0)) v(threshold) ON ABS(delta) >= threshold
+       WHERE first_crossover AND delta IS NOT NULL GROUP BY 1, 2""")
+def _(t):
+    return T.crossover_by_threshold(T.first_crossover(crossings(t), 300), [0.0, 0.05, 0.1, 0.2])
+
+
 @query("sessions", "first_ep:i last_ep:i n:i", """
        SELECT MIN(ep) AS first_ep, MAX(ep) AS last_ep, COUNT(*) AS n FROM (SELECT ep, SUM(nw) OVER (ORDER BY ep) AS g FROM (
         SELECT ep, CASE WHEN ep - LAG(ep) OVER (ORDER BY ep) > 1800 THEN 1 ELSE 0 END AS nw FROM market5) x) y GROUP BY g""")
@@ -242,9 +250,19 @@ def _(t):
     return T.acf(t.quotes1.where("role = 'ctd'"), ["d"], "l1_ask_size", 6)
 
 
-@query("pacf", "d:d lag:i pacf:f")
+PACF_SQL = """
+    WITH x AS (SELECT d, ep, l1_ask_size - AVG(l1_ask_size) OVER (PARTITION BY d) AS e FROM quotes1 WHERE role = 'ctd'),
+         s1 AS (SELECT d, ep, e AS f, LAG(e) OVER (PARTITION BY d ORDER BY ep) AS b FROM x), k1 AS (SELECT d, 2 * SUM(f * b) / SUM(f * f + b * b) AS k FROM s1 WHERE b IS NOT NULL GROUP BY d),
+         u1 AS (SELECT s.d, ep, f - k * b AS f, b - k * f AS b FROM s1 s JOIN k1 ON k1.d = s.d WHERE b IS NOT NULL),
+         s2 AS (SELECT d, ep, f, LAG(b) OVER (PARTITION BY d ORDER BY ep) AS b FROM u1), k2 AS (SELECT d, 2 * SUM(f * b) / SUM(f * f + b * b) AS k FROM s2 WHERE b IS NOT NULL GROUP BY d),
+         u2 AS (SELECT s.d, ep, f - k * b AS f, b - k * f AS b FROM s2 s JOIN k2 ON k2.d = s.d WHERE b IS NOT NULL),
+         s3 AS (SELECT d, ep, f, LAG(b) OVER (PARTITION BY d ORDER BY ep) AS b FROM u2), k3 AS (SELECT d, 2 * SUM(f * b) / SUM(f * f + b * b) AS k FROM s3 WHERE b IS NOT NULL GROUP BY d)
+    SELECT d, 1 AS lag, k AS pacf FROM k1 UNION ALL SELECT d, 2, k FROM k2 UNION ALL SELECT d, 3, k FROM k3"""
+
+
+@query("pacf", "d:d lag:i pacf:f", PACF_SQL)
 def _(t):
-    return T.pacf(t.quotes1.where("role = 'ctd'").withColumn("v", F.col("l1_ask_size")), ["d"], "v", 10)
+    return T.pacf(t.quotes1.where("role = 'ctd'").withColumn("v", F.col("l1_ask_size")), ["d"], "v", 3)
 
 
 def phi(z):
@@ -263,14 +281,23 @@ ADF_SQL = f"""
     SELECT d, nobs, stat, CASE WHEN stat > 2.74 THEN 1 WHEN stat < -18.83 THEN 0 ELSE {phi('z')} END AS pvalue FROM z"""
 
 
-@query("adf", "d:d nobs:i stat:f pvalue:f", ADF_SQL)
+CRITICAL = ", ".join(f"{c[0]}e0 + {c[1]}e0 / nobs + {c[2]}e0 / (nobs * nobs) + {c[3]}e0 / (nobs * nobs * nobs) AS critical_{p}" for p, c in zip((1, 5, 10), T.ADF_CRITICAL["c"]))
+
+
+@query("adf", "d:d nobs:i stat:f pvalue:f critical_1:f critical_5:f critical_10:f", f"SELECT *, {CRITICAL} FROM ({ADF_SQL}) r")
 def _(t):
-    return T.adf(t.basis5, ["d"], "basis", lags=0, trend="c")
+    out = T.adf(t.basis5, ["d"], "basis", lags=0, trend="c")
+    return out.withColumns({f"critical_{p}": c for p, c in zip((1, 5, 10), T.adf_critical("nobs"))})
 
 
-@query("adf_lagged", "d:d nobs:i stat:f pvalue:f")
+@query("adf_lagged", "d:d nobs:i stat:f", f"""
+    WITH l AS (SELECT d, ep, basis - LAG(basis) OVER w AS dy, LAG(basis) OVER w AS yl FROM basis5 {DW}), m AS (SELECT d, dy AS y, yl AS a, LAG(dy) OVER w AS b FROM l {DW}),
+         g AS (SELECT d, COUNT(*) AS n, regr_sxx(y, a) AS saa, regr_sxx(y, b) AS sbb, regr_syy(y, a) AS syy, regr_sxy(y, a) AS say, regr_sxy(y, b) AS sby, regr_sxy(a, b) AS sab
+               FROM m WHERE b IS NOT NULL GROUP BY d HAVING COUNT(*) > 4),
+         c AS (SELECT *, saa * sbb - sab * sab AS det, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS ba, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS bb FROM g)
+    SELECT d, n AS nobs, ba / SQRT((syy - ba * say - bb * sby) / (n - 3) * sbb / det) AS stat FROM c""")
 def _(t):
-    return T.adf(t.basis5, ["d"], "basis", lags=3, trend="ct")
+    return T.adf(t.basis5, ["d"], "basis", lags=1, trend="c")
 
 
 def kpss_sql(resid, crit):

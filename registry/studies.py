@@ -9,7 +9,7 @@ from tickloom.functions.expr import sod
 from tickloom.operators import dates as D
 from tickloom.operators import profit as P
 from tickloom.plans import dataset as DS
-from tickloom.plans import features as X
+from tickloom.sources.sinks import stage
 
 STEP = 300
 GAP = 3600
@@ -302,7 +302,12 @@ def _(t):
     return out
 
 
-@query("random_policy", "d:d ep:i position:i reward:f2")
+@query("random_policy", "d:d ep:i position:i reward:f2", f"""
+     WITH {EURO}, {DEC}, en AS (SELECT d, MAX(ep) AS z FROM mb GROUP BY d),
+     ps AS (SELECT dc.*, LEAD(dc.ep) OVER w AS nx, z, CASE WHEN LEAD(dc.ep) OVER w IS NULL THEN 0 ELSE ('0x' || substr(md5('42:' || dc.ep), 1, 8))::BIGINT % 3 - 1 END AS position
+            FROM dc JOIN en ON en.d = dc.d WINDOW w AS (PARTITION BY dc.d ORDER BY dc.ep)),
+     al AS (SELECT *, COALESCE(LAG(position) OVER (PARTITION BY d ORDER BY ep), 0) AS allocation, COALESCE(nx, z) AS next_ep FROM ps)
+     SELECT a.d, a.ep, position, position * (m.basis_mid - a.basis_mid) - 0.5e0 * a.basis_spread * ABS(position - allocation) AS reward FROM al a JOIN mb m ON m.ep = next_ep""")
 def _(t):
     money = P.euro_market(t.market5)
     grid = P.decision_grid(money, 900, 300).select("d", "ep", P.policy("random").alias("position"))
@@ -318,6 +323,12 @@ def _(t):
     return P.execution_windows(t.grid5.where("role = 'ctd'"), 3600)
 
 
+@query("random_openings", "d:d opening_time:i closing_time:i", f"""WITH {QT} SELECT q.d, ep AS opening_time, ep + 3600 AS closing_time FROM qt q
+     JOIN (SELECT d, MAX(ep) AS z FROM qt GROUP BY d) x ON x.d = q.d WHERE ep <= z - 3600""")
+def _(t):
+    return P.random_openings(t.grid5.where("role = 'ctd'"), 3600)
+
+
 def outcome_sql(side, k):
     px, sg, op = ("ask", 1, "<=") if side == "bid" else ("bid", -1, ">=")
     lim = f"(p.{px} - {sg} * {k} * 0.01e0)"
@@ -334,6 +345,7 @@ def outcome_sql(side, k):
        SELECT 'bid', 0, opening_time, ask, 'market', opening_time, ask, NULL, 0 FROM wn JOIN qt ON qt.ep = wn.opening_time""")
 def _(t):
     q = t.grid5.where("role = 'ctd'").select("d", "ep", F.col("l1_bid_price").alias("bid"), F.col("l1_ask_price").alias("ask"))
+    q = stage(q)
     windows = P.execution_windows(q, 3600)
     out = None
     for side, ticks in (("bid", 1), ("bid", 4), ("ask", 1), ("ask", 4), ("bid", 0)):

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import div
-from tickloom.operators.ordered import exact_quantiles, running, sample_exact
+from tickloom.operators.ordered import exact_quantiles, hash_text, running, sample_exact
 
 
 def match_xy(x: DataFrame, y: DataFrame, on, target: str, drop_null_features: bool = False) -> DataFrame:
@@ -16,10 +16,15 @@ def match_xy(x: DataFrame, y: DataFrame, on, target: str, drop_null_features: bo
     return out.dropna() if drop_null_features else out.dropna(subset=[target])
 
 
+def bin_edges(train: DataFrame, target: str, classes: int) -> DataFrame:
+    """Inner bin edges of the target as rows (edge, value)."""
+    row = exact_quantiles(train, [], target, {f"e{i}": i / classes for i in range(1, classes)})
+    return row.select(F.inline(F.array(*[F.struct(F.lit(i).alias("edge"), F.col(f"e{i}").alias("value")) for i in range(1, classes)])))
+
+
 def class_edges(train: DataFrame, target: str, classes: int) -> list[float]:
     """Inner bin edges of the target by exact quantiles; a handful of numbers."""
-    row = exact_quantiles(train, [], target, {f"e{i}": i / classes for i in range(1, classes)}).first()
-    edges = [row[f"e{i}"] for i in range(1, classes)]
+    edges = [r["value"] for r in bin_edges(train, target, classes).orderBy("edge").collect()]
     if len(set(edges)) != len(edges):
         raise ValueError("duplicate bin edges")
     return edges
@@ -288,7 +293,7 @@ def permutation_importance(df: DataFrame, features: list[str], label: str, key:
 
     model = GBTRegressor(maxIter=3, maxDepth=3, seed=1).fit(assemble(df, features, label))
     sample = sample_exact(df.dropna(subset=[*features, label]).select(key, *features, label), key, size=rows, seed=seed)
-    by_hash = lambda s: Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.lit(s), F.col(key)), key)  # at most ``rows`` rows
+    by_hash = lambda s: Window.partitionBy(F.lit(0)).orderBy(hash_text(key, s), key)  # at most ``rows`` rows
     base = sample.withColumn("_i", F.row_number().over(by_hash(seed)))
     mixed = sample.withColumn("_i", F.row_number().over(by_hash(seed + 1)))
     vec = VectorAssembler(inputCols=features, outputCol="features")

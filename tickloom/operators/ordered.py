@@ -70,17 +70,22 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         for n, p in probs.items()])
 
 
+def hash_text(key: str, seed: int) -> Column:
+    """Seeded 32-digit hexadecimal hash of a key, the same on every engine that has md5."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def sample_exact(df: DataFrame, key: str, ratio: float | None = None, size: int | None = None, seed: int = 42) -> DataFrame:
     """Seeded uniform sample without replacement of exactly max(1, int(N * ratio)) or ``size`` rows.
 
-    Rows are ordered by a hash of their key.  Counts per hash prefix locate the cut, so
-    no task ever holds the sample.
+    Rows are ordered by a hash of their key.  Counts per hash prefix (65,536 of them)
+    locate the cut, and only the rows of the cut's prefix are ranked, so no task ever
+    holds the sample.
     """
     if (ratio is None) == (size is None):
         raise ValueError("give exactly one of ratio and size")
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    rows = df.withColumn("_h", h).withColumn("_p", F.shiftrightunsigned("_h", 46))
-    per = rows.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_g", F.shiftright("_p", 9))
+    rows = df.withColumn("_h", hash_text(key, seed)).withColumn("_p", F.substring("_h", 1, 4))
+    per = rows.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_g", F.substring("_p", 1, 2))
     per = running(per, [], "_g", ["_p"], {"_to": "_n"})
     total = rows.agg(F.count("*").alias("_total"))
     want = F.lit(size) if size is not None else F.greatest(F.lit(1), F.floor(F.col("_total") * F.lit(float(ratio))))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.cross import fractional_contracts, rounded_contracts
 from tickloom.functions.expr import col, day_of, div
 from tickloom.operators.dates import event_between
-from tickloom.operators.ordered import exact_quantiles
+from tickloom.operators.ordered import exact_quantiles, hash_text
 from tickloom.schema import BOND, LONG_FUTURE
 from tickloom.sources.sinks import stage
 
@@ -36,16 +36,16 @@ def execution_prices(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def _sizes_allow(prefix: str, ctd_side: str, fut_side: str, n_bonds, n_futures) -> Column:
-    enough = (F.col(f"{prefix}ctd_{ctd_side}_size") >= n_bonds) & (F.col(f"{prefix}fut_{fut_side}_size") >= n_futures)
+def _sizes_allow(ctd_side: str, fut_side: str, n_bonds, n_futures) -> Column:
+    enough = (F.col(f"ctd_{ctd_side}_size") >= n_bonds) & (F.col(f"fut_{fut_side}_size") >= n_futures)
     return (F.col("volume_mode") == "ignore") | F.coalesce(enough, F.lit(False))
 
 
 def execution_masks(df: DataFrame, n_bonds: float, n_futures: Column) -> DataFrame:
     """Entry and exit permission per direction; ``level`` asks for enough size on the side that trades."""
     n = F.lit(float(n_bonds))
-    buy_bond = _sizes_allow("", "ask", "bid", n, n_futures)
-    sell_bond = _sizes_allow("", "bid", "ask", n, n_futures)
+    buy_bond = _sizes_allow("ask", "bid", n, n_futures)
+    sell_bond = _sizes_allow("bid", "ask", n, n_futures)
     return df.withColumns({"long_entry": buy_bond, "short_entry": sell_bond, "long_exit": sell_bond, "short_exit": buy_bond})
 
 
@@ -75,29 +75,43 @@ def fixed_horizon(market: DataFrame, horizons, configs=CONFIGS, n_bonds: float =
     it.  ``exit_side`` says which mask the exit row has to satisfy.
     """
     names = [*LEGS, "ctd_bid_size", "ctd_ask_size", "fut_bid_size", "fut_ask_size", "cf"]
-    paired = with_configs(shift_forward(market.select("d", "ep", *names), horizons, names), configs)
-
-    def price(name, prefix=""):
-        role = name[:3]
-        middle = (F.col(f"{prefix}{role}_bid_price") + F.col(f"{prefix}{role}_ask_price")) / 2
-        return F.when(F.col("price_mode") == "mid", middle).otherwise(F.col(prefix + name))
-
-    n = F.lit(float(n_bonds))
-    now, then = contracts("cf", n_bonds), contracts("x_cf", n_bonds)
-    bond, fut = n * F.lit(BOND.face / 100), now * F.lit(LONG_FUTURE.face / 100)
-    long = (bond * (price("ctd_bid_price", "x_") - price("ctd_ask_price"))
-            + fut * (price("fut_bid_price") - price("fut_ask_price", "x_")))
-    short = (bond * (price("ctd_bid_price") - price("ctd_ask_price", "x_"))
-             + fut * (price("fut_bid_price", "x_") - price("fut_ask_price")))
-    sides = {"long": ("ask", "bid"), "short": ("bid", "ask")}
+    paired = shift_forward(market.select("d", "ep", *names), horizons, names)
+
+    def price(mode, name, prefix=""):
+        if mode == "quoted":
+            return F.col(prefix + name)
+        return (F.col(f"{prefix}{name[:3]}_bid_price") + F.col(f"{prefix}{name[:3]}_ask_price")) / 2
+
+    def futures(mode, cf):
+        return fractional_contracts(cf, n_bonds) if mode == "frac" else rounded_contracts(cf, n_bonds).cast("double")
+
+    def allowed(direction, n_fut, prefix=""):
+        a, b = ("ask", "bid") if direction == "long" else ("bid", "ask")
+        return (F.col(f"{prefix}ctd_{a}_size") >= float(n_bonds)) & (F.col(f"{prefix}fut_{b}_size") >= n_fut)
+
+    # Legs per price mode, contracts per contract mode and masks are columns of the pair;
+    # the configurations then only combine them.
+    bond, fut = F.lit(n_bonds * BOND.face / 100), F.lit(LONG_FUTURE.face / 100)
+    parts = {}
+    for mode in {c[0] for c in configs}:
+        parts[f"{mode}_long_bond"] = bond * (price(mode, "ctd_bid_price", "x_") - price(mode, "ctd_ask_price"))
+        parts[f"{mode}_long_fut"] = fut * (price(mode, "fut_bid_price") - price(mode, "fut_ask_price", "x_"))
+        parts[f"{mode}_short_bond"] = bond * (price(mode, "ctd_bid_price") - price(mode, "ctd_ask_price", "x_"))
+        parts[f"{mode}_short_fut"] = fut * (price(mode, "fut_bid_price", "x_") - price(mode, "fut_ask_price"))
+    for mode in {c[1] for c in configs}:
+        now, then = futures(mode, "cf"), futures(mode, "x_cf")
+        parts[f"n_{mode}"] = now
+        for direction, other in (("long", "short"), ("short", "long")):
+            leave = allowed(direction if exit_side == "entry" else other, then, "x_")
+            parts[f"ok_{mode}_{direction}"] = allowed(direction, now) & leave
+    paired = paired.select("horizon", "d", "ep", "exit_ep", F.col("x_cf").isNotNull().alias("_there"), *[c.alias(n) for n, c in parts.items()])
     cells = []
-    for direction, pnl in (("long", long), ("short", short)):
-        a, b = sides[direction]
-        xa, xb = sides[direction] if exit_side == "entry" else (b, a)
-        ok = _sizes_allow("", a, b, n, now) & _sizes_allow("x_", xa, xb, n, then) & F.col("x_cf").isNotNull()
-        cells.append(F.struct(F.lit(direction).alias("direction"), F.when(ok, pnl).alias("pnl")))
-    out = paired.select(*CONFIG_COLUMNS, "horizon", "d", "ep", "exit_ep", F.inline(F.array(*cells)))
-    return out
+    for (mode, contract, volume), direction in product(configs, ("long", "short")):
+        pnl = F.col(f"{mode}_{direction}_bond") + F.col(f"n_{contract}") * F.col(f"{mode}_{direction}_fut")
+        ok = F.col("_there") if volume == "ignore" else F.col("_there") & F.col(f"ok_{contract}_{direction}")
+        labels = [F.lit(v).alias(n) for n, v in zip(CONFIG_COLUMNS, (mode, contract, volume))]
+        cells.append(F.struct(*labels, F.lit(direction).alias("direction"), F.when(ok, pnl).alias("pnl")))
+    return paired.select("horizon", "d", "ep", "exit_ep", F.inline(F.array(*cells)))
 
 
 def invalidate_overnight(trades: DataFrame, last_trading: DataFrame, switches: DataFrame) -> DataFrame:
@@ -385,7 +399,8 @@ def first_hit(orders: DataFrame, quotes: DataFrame, keys: list[str], start: str,
     minute = lambda c: F.expr(f"{c} div 60")
     per_minute = quotes.groupBy(minute("ep").alias("_m")).agg(
         F.collect_list(F.struct("ep", "bid", "ask")).alias("_q"), F.min("ask").alias("low"), F.max("bid").alias("high"))
-    per_hour = per_minute.groupBy(F.expr("_m div 60").alias("_h")).agg(F.collect_list(F.struct(F.col("_m").alias("m"), "low", "high")).alias("_ms"))
+    per_hour = per_minute.groupBy(F.expr("_m div 60").alias("_h")).agg(
+        F.collect_list(F.struct(F.col("_m").alias("m"), "low", "high")).alias("_ms"), F.min("low").alias("_low"), F.max("high").alias("_high"))
     base = orders.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(limit).alias("_l"), F.col(side).alias("_side"))
     base = base.withColumns({"_ma": minute("_s"), "_mb": minute("_e")})
 
@@ -394,7 +409,7 @@ def first_hit(orders: DataFrame, quotes: DataFrame, keys: list[str], start: str,
 
     spans = base.withColumn("_h", F.explode(F.sequence(F.expr("_ma div 60"), F.expr("_mb div 60"))))
     good = F.filter("_ms", lambda x: (x["m"] > F.col("_ma")) & (x["m"] < F.col("_mb")) & reaches(x["low"], x["high"]))
-    inner = spans.join(per_hour, "_h").withColumn("_m", F.array_min(F.transform(good, lambda x: x["m"]))).where("_m IS NOT NULL")
+    inner = spans.join(per_hour, "_h").where(reaches(F.col("_low"), F.col("_high"))).withColumn("_m", F.array_min(F.transform(good, lambda x: x["m"]))).where("_m IS NOT NULL")
     names = [*keys, "_s", "_e", "_l", "_side"]
     inner = inner.groupBy(*names).agg(F.min("_m").alias("_m"))
     ends = base.select(*names, F.explode(F.array_distinct(F.array("_ma", "_mb"))).alias("_m"))
@@ -404,26 +419,35 @@ def first_hit(orders: DataFrame, quotes: DataFrame, keys: list[str], start: str,
     return orders.join(best, keys, "left")
 
 
-def limit_order_analysis(trades: DataFrame, market: DataFrame) -> DataFrame:
+def limit_order_analysis(trades: DataFrame, market: DataFrame, opening_limit: bool = True, closing_limit: bool = True) -> DataFrame:
     """Would limit orders at the recorded bond mids have filled, and with which PnL.
 
-    ``market`` has ep, bid, ask (bond quotes) and fut_mid, fut_spread.
+    ``market`` has ep, bid, ask (bond quotes) and fut_mid, fut_spread.  An end without a
+    limit order trades at its own time at the bond's market mid and spread.
     """
     keys = ["seed", "episode", "opening_time"]
-    df = original_trade_pnl(trades).withColumns({
-        "opening_limit_price": F.col("ctd_mid_opening"), "closing_limit_price": F.col("ctd_mid_closing"), "_other": -F.col("direction")})
-    df = first_hit(df, market, keys, "opening_time", "closing_time", "opening_limit_price", "direction", "opening_hit_time")
-    df = first_hit(df, market, keys, "closing_time", "stopping_time", "closing_limit_price", "_other", "closing_hit_time").drop("_other")
-    for end in ("opening", "closing"):
-        leg = market.select(F.col("ep").alias(f"{end}_hit_time"), F.col("fut_mid").alias(f"_fm_{end}"), F.col("fut_spread").alias(f"_fs_{end}"))
+    trades, market = stage(trades), stage(market.select("ep", "bid", "ask", "fut_mid", "fut_spread"))
+    df = original_trade_pnl(trades).withColumn("_other", -F.col("direction"))
+    uses = {"opening": opening_limit, "closing": closing_limit}
+    after = {"opening": "closing_time", "closing": "stopping_time"}
+    for end, side in (("opening", "direction"), ("closing", "_other")):
+        if uses[end]:
+            df = df.withColumn(f"{end}_limit_price", F.col(f"ctd_mid_{end}"))
+            df = first_hit(df, market, keys, f"{end}_time", after[end], f"{end}_limit_price", side, f"{end}_hit_time")
+        else:
+            df = df.withColumns({f"{end}_limit_price": F.lit(None).cast("double"), f"{end}_hit_time": F.col(f"{end}_time")})
+        leg = market.select(F.col("ep").alias(f"{end}_hit_time"), F.col("fut_mid").alias(f"_fm_{end}"), F.col("fut_spread").alias(f"_fs_{end}"),
+                            ((F.col("bid") + F.col("ask")) / 2).alias(f"_cm_{end}"), (F.col("ask") - F.col("bid")).alias(f"_cs_{end}"))
         df = df.join(leg, f"{end}_hit_time", "left")
     feasible = F.col("opening_hit_time").isNotNull() & F.col("closing_hit_time").isNotNull()
     cols = {"limit_trade_feasible": feasible}
     for end in ("opening", "closing"):
+        mid, spread = (F.col(f"ctd_mid_{end}"), F.lit(0.0)) if uses[end] else (F.col(f"_cm_{end}"), F.col(f"_cs_{end}"))
         cols |= {f"{end}_limit_hit": F.col(f"{end}_hit_time").isNotNull(), f"{end}_time_to_hit": F.col(f"{end}_hit_time") - F.col(f"{end}_time"),
-                 f"ctd_mid_{end}_limit": F.when(feasible, F.col(f"{end}_limit_price")), f"ctd_spread_{end}_limit": F.when(feasible, F.lit(0.0)),
+                 f"ctd_mid_{end}_limit": F.when(feasible, mid), f"ctd_spread_{end}_limit": F.when(feasible, spread),
                  f"fut_mid_{end}_limit": F.when(feasible, F.col(f"_fm_{end}")), f"fut_spread_{end}_limit": F.when(feasible, F.col(f"_fs_{end}"))}
-    return _pnl(df.withColumns(cols), "_limit").drop("_fm_opening", "_fs_opening", "_fm_closing", "_fs_closing")
+    out = _pnl(df.withColumns(cols), "_limit")
+    return out.drop("_other", *[f"_{n}_{e}" for n in ("fm", "fs", "cm", "cs") for e in uses])
 
 
 # ---- positions and execution
@@ -466,13 +490,14 @@ def encode_position(position, encoding: str = "int") -> dict[str, Column]:
     raise ValueError(f"unknown encoding {encoding!r}")
 
 
-def policy(name: str, key="ep", seed: int = 42) -> Column:
+def policy(name: str, key: str = "ep", seed: int = 42) -> Column:
     """Position chosen by a baseline policy."""
     fixed = {"long": 1, "flat": 0, "short": -1}
     if name in fixed:
         return F.lit(fixed[name])
     if name == "random":
-        return (F.pmod(F.xxhash64(F.lit(seed), col(key)), F.lit(3)) - 1).cast("int")
+        digits = F.conv(F.substring(hash_text(key, seed), 1, 8), 16, 10).cast("long")
+        return (digits % 3 - 1).cast("int")
     raise ValueError(f"unknown policy {name!r}")
 
 
@@ -483,6 +508,13 @@ def execution_windows(quotes: DataFrame, horizon_s: int) -> DataFrame:
     return bounds.select("d", opens.alias("opening_time")).withColumn("closing_time", F.col("opening_time") + horizon_s)
 
 
+def random_openings(quotes: DataFrame, horizon_s: int) -> DataFrame:
+    """Every row that leaves a full horizon before the day's last row."""
+    last = quotes.groupBy("d").agg((F.max("ep") - horizon_s).alias("_latest"))
+    opens = quotes.join(F.broadcast(last), "d").where(F.col("ep") <= F.col("_latest"))
+    return opens.select("d", F.col("ep").alias("opening_time"), (F.col("ep") + horizon_s).alias("closing_time"))
+
+
 def execution_outcome(windows: DataFrame, quotes: DataFrame, side: str, ticks: int, step_s: int, tick: float) -> DataFrame:
     """Outcome of quoting ``ticks`` away, re-posted every step, until filled or forced at the window end.
 

@@ -1,8 +1,8 @@
 """Book quality checks.
 
-All consistency checks are flags on one row, so one scan and one map-side combined
-aggregate per (role, day) counts every check at once; only the non-zero counts are
-unfolded into rows.  Ordered checks run on the one-row-per-second book.
+All consistency checks are flags on one row: one scan unfolds the checks that
+fired and counts them in one map-side combined aggregate.  Ordered checks run
+on the one-row-per-second book.
 """
 
 from __future__ import annotations
@@ -81,16 +81,12 @@ def issues(df: DataFrame, checks: list[Check], inside: Column | None = None) ->
 
     ``inside`` marks rows of the analysis window; its count decides criticality later.
     """
-    inside = F.lit(True) if inside is None else inside
-    cells = []
-    for check_id, columns, flag in checks:
-        cells.append(F.struct(
-            F.lit(check_id).alias("check_id"), F.array(*[F.lit(c) for c in columns]).alias("columns"),
-            F.count_if(flag).alias("n"), F.count_if(flag & inside).alias("n_inside"),
-            F.min(F.when(flag, F.col("us"))).alias("first_us"), F.max(F.when(flag, F.col("us"))).alias("last_us")))
-    per_day = df.groupBy("role", "d").agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
-    rows = F.array(*[f"c{i}" for i in range(len(cells))])
-    return per_day.select("role", "d", F.inline(rows)).where("n > 0")
+    cells = [F.when(flag, F.struct(F.lit(name).alias("check_id"), F.array(*[F.lit(c) for c in columns]).alias("columns")))
+             for name, columns, flag in checks]
+    fired = F.explode(F.array_compact(F.array(*cells))).alias("hit")
+    hits = df.select("role", "d", "us", (F.lit(True) if inside is None else inside).alias("_in"), fired)
+    return hits.groupBy("role", "d", F.col("hit.check_id").alias("check_id"), F.col("hit.columns").alias("columns")).agg(
+        F.count("*").alias("n"), F.count_if("_in").alias("n_inside"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
 def issue_counts(found: DataFrame) -> DataFrame:

@@ -341,3 +341,11 @@ def crossover_by_quantile(times: DataFrame, bins: int) -> DataFrame:
     q = exact_quantiles(df, ["bin"], "seconds", QUARTILES)
     g = df.groupBy("bin").agg(F.count("*").alias("n"), F.avg("seconds").alias("mean_seconds"), F.min("delta").alias("low"), F.max("delta").alias("high"))
     return g.join(q, "bin")
+
+
+def crossover_by_threshold(times: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Time statistics of first crossovers at least a threshold away from the mean, by sign of the distance."""
+    df = times.where("first_crossover AND delta IS NOT NULL").select("delta", "seconds")
+    hit = F.filter(F.array(*[F.lit(float(x)) for x in thresholds]), lambda x: F.abs(F.col("delta")) >= x)
+    long = stage(df.select(F.explode(hit).alias("threshold"), F.signum("delta").cast("int").alias("sign"), "seconds"))
+    return describe(long, ["threshold", "sign"], "seconds")

@@ -10,6 +10,7 @@ from tickloom.functions.expr import sod
 from tickloom.operators import dates as D
 from tickloom.plans import features as X
 from tickloom.plans.catalog import base_ids, market_features
+from tickloom.sources.sinks import stage
 
 
 def bases_of(names: list[str]) -> list[str]:
@@ -40,7 +41,7 @@ def build_dataset(book: DataFrame, terms: DataFrame, names: list[str], opens: in
     """
     base = ["ctd_mid_price", "ctd_spread", "fut_mid_price", "fut_spread"]
     extra = [b for b in base if b not in names]
-    df = feature_table(book, terms, [*names, *extra], opens, closes, step_s)
+    df = stage(feature_table(book, terms, [*names, *extra], opens, closes, step_s))
     df = X.ffill(df, [c for c in df.columns if c not in ("d", "ep")], [])
     df = df.join(F.broadcast(terms.select("d", "cf")), "d")
     out = {"ctd_contracts": F.lit(n_bonds), "fut_contracts": rounded_contracts("cf", n_bonds)}

@@ -102,6 +102,13 @@ class Tables:
         """Raw three-level book snapshots, defects included."""
         return self._sql(LOB).withColumn("us", epoch_us("ts"))
 
+    def stream_lob(self) -> DataFrame:
+        """The book as a stream over the same files."""
+        from tickloom.streaming.book import read_stream
+
+        source = read_stream(self.spark, self.folder, "events.parquet", self.events.schema)
+        return self.spark.sql(LOB, events=source).withColumn("us", epoch_us("ts"))
+
     @cached_property
     def lob_clean(self) -> DataFrame:
         return self.lob.where(CLEAN)
