@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.sources.sinks import stage
+
 
 def _attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """Join a per-key summary back; without keys the summary is a single row."""
@@ -33,12 +35,15 @@ def running(df: DataFrame, keys: list[str], slot: str, order: list[str], sums: d
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], slots: int = 64) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probs``.
 
-    Equal values collapse to a count before the shuffle, approximate quantiles only
-    balance the slots, and ranks are resolved inside the few slots that hold a target.
+    Equal values collapse to a count before the shuffle.  Approximate quantiles only cut
+    the values into slots of similar size; ranks are resolved inside the few slots that
+    hold a target.  The counts, the slot edges and the target slots are written tables, so
+    a hot key is never shuffled to one task: small tables are broadcast to it.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    counts = stage(counts)
     grid = [i / slots for i in range(1, slots)]
-    edges = counts.groupBy(*keys).agg(F.percentile_approx("_v", grid, 1000).alias("_edges"))
+    edges = stage(counts.groupBy(*keys).agg(F.percentile_approx("_v", grid, 1000).alias("_edges")))
     slotted = _attach(counts, edges, keys).withColumn("_slot", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
 
     by_slot = Window.partitionBy(*keys).orderBy("_slot")
@@ -53,10 +58,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     for p in probs.values():
         for t in (F.floor(target(p)), F.ceil(target(p))):
             hit = hit | ((F.col("_before") <= t) & (t < F.col("_before") + F.col("_n")))
-    wanted = totals.where(hit).drop("_n")
+    wanted = stage(totals.where(hit).drop("_n"))
 
     inside = Window.partitionBy(*keys, "_slot").orderBy("_v")
-    ranked = slotted.join(F.broadcast(wanted), [*keys, "_slot"]) if not keys else slotted.join(wanted, [*keys, "_slot"])
+    ranked = slotted.join(wanted, [*keys, "_slot"])
     ranked = ranked.withColumn("_to", F.col("_before") + F.sum("_c").over(inside)).withColumn("_from", F.col("_to") - F.col("_c"))
 
     aggs = []

@@ -397,12 +397,12 @@ def first_hit(orders: DataFrame, quotes: DataFrame, keys: list[str], start: str,
     minute and of its two end minutes; no (order, quote) pairs are formed.
     """
     minute = lambda c: F.expr(f"{c} div 60")
-    per_minute = quotes.groupBy(minute("ep").alias("_m")).agg(
-        F.collect_list(F.struct("ep", "bid", "ask")).alias("_q"), F.min("ask").alias("low"), F.max("bid").alias("high"))
+    per_minute = stage(quotes.groupBy(minute("ep").alias("_m")).agg(
+        F.collect_list(F.struct("ep", "bid", "ask")).alias("_q"), F.min("ask").alias("low"), F.max("bid").alias("high")))
     per_hour = per_minute.groupBy(F.expr("_m div 60").alias("_h")).agg(
         F.collect_list(F.struct(F.col("_m").alias("m"), "low", "high")).alias("_ms"), F.min("low").alias("_low"), F.max("high").alias("_high"))
     base = orders.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(limit).alias("_l"), F.col(side).alias("_side"))
-    base = base.withColumns({"_ma": minute("_s"), "_mb": minute("_e")})
+    base = stage(base.withColumns({"_ma": minute("_s"), "_mb": minute("_e")}))
 
     def reaches(low, high):
         return F.when(F.col("_side") == 1, low <= F.col("_l")).otherwise(high >= F.col("_l"))

@@ -19,8 +19,8 @@ TRADING_DAYS = 252
 
 def drop_reset(records: DataFrame, keys=("seed", "episode")) -> DataFrame:
     """Drop the first row of every episode."""
-    first = records.groupBy(*keys).agg(F.min("ep").alias("ep"))
-    return records.join(first, [*keys, "ep"], "left_anti")
+    first = F.min("ep").over(Window.partitionBy(*keys))
+    return records.withColumn("_first", first).where(F.col("ep") > F.col("_first")).drop("_first")
 
 
 def append_episodes(train: DataFrame, test: DataFrame) -> DataFrame:

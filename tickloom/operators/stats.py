@@ -3,8 +3,6 @@
 Day windows run on series with at most one row per second.
 """
 
-from __future__ import annotations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -217,9 +215,12 @@ def adf(df: DataFrame, keys: list[str], value: str, lags: int = 0, trend: str =
     pairs = [F.sum(F.col(names[i]) * F.col(names[j])) for i in range(k) for j in range(i, k)]
     gram = rows.groupBy(*keys).agg(F.count("*").alias("nobs"), F.array(*pairs).alias("_g")).where(F.col("nobs") > k)
 
-    def tstat(g, nobs):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def solve(g: pd.Series, nobs: pd.Series) -> pd.Series:
         import numpy as np
-        import pandas as pd
 
         out = []
         for flat, n in zip(g, nobs):
@@ -238,10 +239,6 @@ def adf(df: DataFrame, keys: list[str], value: str, lags: int = 0, trend: str =
             out.append(float(beta[1] / np.sqrt(var)) if var > 0 else None)
         return pd.Series(out, dtype="float64")
 
-    from pyspark.sql.functions import pandas_udf
-
-    tstat.__annotations__ = {}
-    solve = pandas_udf(tstat, "double", F.PandasUDFType.SCALAR)
     out = gram.withColumn("stat", solve("_g", "nobs")).drop("_g")
     return out.withColumn("pvalue", adf_pvalue("stat", trend))
 

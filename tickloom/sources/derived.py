@@ -1,9 +1,10 @@
 """Book, market and record tables derived from an ``events`` table.
 
 ``Tables`` turns one event stream into the inputs the analytics need.  Every table is
-a lazy DataFrame over the whole stream.  Tables used by day windows are first reduced
-to one row per second (or coarser) with a map-side combinable aggregate, so a
-(series, day) group never exceeds 86,400 rows however dense the stream is.
+a DataFrame over the whole stream.  Tables used by day windows are first reduced to one
+row per second (or coarser) with a map-side combinable aggregate, so a (series, day) group
+never exceeds 86,400 rows however dense the stream is.  Reduced tables that a study reads
+several times are written once, so the stream is scanned once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.expr import day_of, epoch_us
 from tickloom.operators.grid import snap, snap_roles
+from tickloom.sources.sinks import stage
 from tickloom.sources.static import CTD_BONDS, EXCLUDED, FUTURES
 
 # Text that runs unchanged on Spark and on DuckDB.
@@ -132,7 +134,7 @@ class Tables:
     @cached_property
     def book5(self) -> DataFrame:
         """Last clean snapshot, all levels, per role and five-minute bin."""
-        return snap(self.lob_clean, ["role"], MARKET_STEP).withColumn("d", day_of("ep"))
+        return stage(snap(self.lob_clean, ["role"], MARKET_STEP).withColumn("d", day_of("ep")))
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -145,7 +147,7 @@ class Tables:
     def market5(self) -> DataFrame:
         """Both roles side by side on the five-minute grid, with the day's factor and bond."""
         daily = self.daily_cf.select("d", "cf", "isin")
-        return snap_roles(self.lob_clean, MARKET_STEP).join(F.broadcast(daily), "d", "left")
+        return stage(snap_roles(self.lob_clean, MARKET_STEP).join(F.broadcast(daily), "d", "left"))
 
     @cached_property
     def basis5(self) -> DataFrame:
@@ -199,10 +201,10 @@ class Tables:
         steps = steps.withColumn("allocation", F.coalesce(F.lag("position").over(w), F.lit(0)).cast("long"))
         gross = F.when(F.col("is_first"), 0.0).otherwise((F.col("h") % 201 - 100).cast("double"))
         cost = F.abs(F.col("position") - F.col("allocation")).cast("double") * 12.5
-        return steps.select(
+        return stage(steps.select(
             "seed", "episode", "ep", "d", "terminal", "allocation", "position", cost.alias("cost"),
             gross.alias("gross_reward"), (gross - cost).alias("reward"),
             ((1 + F.col("h") % 3).cast("double") * 200.0).alias("ctd_spread"), F.lit(1.0).alias("ctd_contracts"),
             ((1 + F.col("h") % 2).cast("double") * 10.0).alias("fut_spread"), F.lit(18.0).alias("fut_contracts"),
             (F.lit(100.0) + (F.col("h") % 17).cast("double") / 100.0).alias("ctd_mid"),
-            (F.lit(110.0) + (F.col("h") % 13).cast("double") / 100.0).alias("fut_mid"))
+            (F.lit(110.0) + (F.col("h") % 13).cast("double") / 100.0).alias("fut_mid")))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tickloom.functions.expr import US, epoch_us, null_nan
 from tickloom.schema import book_columns
+from tickloom.sources.sinks import stage
 
 # File name patterns.
 FILE_DATE = r"(\d{4})_(\d{2})_(\d{2})\.parquet$"
@@ -66,8 +67,12 @@ def raw_layout(name) -> list[Column]:
 
 
 def merge_deliveries(df: DataFrame, keys: list[str], number: str = "delivery_no") -> DataFrame:
-    """Keep, per key, only the rows of its latest delivery; the maximum is a small map-side aggregate."""
-    latest = df.groupBy(*keys).agg(F.max(number).alias(number))
+    """Keep, per key, only the rows of its latest delivery.
+
+    The maxima are one row per key, written so that Spark broadcasts them when they are
+    small instead of shuffling the whole table by a possibly hot key.
+    """
+    latest = stage(df.groupBy(*keys).agg(F.max(number).alias(number)))
     return df.join(latest, [*keys, number], "left_semi")
 
 

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession) -> str:
-    """Fresh folder under the cluster's shared checkpoint folder; a local one only where none is set."""
+    """Fresh folder under the shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local session may go without that setting; it then gets a temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -51,7 +56,9 @@ def write_results(df: DataFrame, path: str, config: list[str]) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
-    Cuts the lineage of a table that several branches use, and survives lost executors.
+    For a reduced table that several branches use: its input is scanned once, lost
+    executors cost nothing, and Spark knows the written size when it plans the joins, so
+    a small table is broadcast and a large one is not.
     """
     spark = df.sparkSession
     path = work_folder(spark)
