@@ -116,7 +116,7 @@ def _hits(t):
     orders = t.quotes1.where("role = 'fut' AND ep % 86400 < 79200").select(
         "event_id", "ep", (F.col("ep") + 7200).alias("end_ep"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("side"), mid.alias("lim"))
     quotes = t.quotes1.where("role = 'ctd'").select("ep", F.col("l1_bid_price").alias("bid"), F.col("l1_ask_price").alias("ask"))
-    return P.first_hit(orders, quotes, ["event_id"], "ep", "end_ep", "lim", "side", "hit_ep"), quotes
+    return P.first_hit(orders, P.pack_quotes(quotes), ["event_id"], "ep", "end_ep", "lim", "side", "hit_ep"), quotes
 
 
 @query("first_hit", "event_id:i side:i ep:i lim:f hit_ep:i", HIT)

@@ -5,21 +5,7 @@ from __future__ import annotations
 import re
 
 from tickloom.sources.derived import CLEAN, DAILY_CF, EXEC_RECORDS, LOB, PREDICTIONS, PROPOSALS
-from tickloom.sources.static import CTD_BONDS, EXCLUDED, FUTURES
-
-
-def _date(v) -> str:
-    return f"DATE '{v}'"
-
-
-def _values(rows, names: str) -> str:
-    def lit(v):
-        if hasattr(v, "isoformat"):
-            return _date(v)
-        return f"'{v}'" if isinstance(v, str) else (f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v))
-
-    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {body}) AS t({names})"
+from tickloom.sources.static import BOND_COLUMNS, CTD_BONDS, EXCLUDED, EXCLUDED_COLUMNS, FUTURE_COLUMNS, FUTURES, values_sql
 
 
 def _last(source: str, key: str, step: int) -> str:
@@ -46,9 +32,9 @@ TABLES: dict[str, str] = {
                 FROM coupons s WHERE s.isin = k.isin) AS ai_delivery
         FROM (SELECT k.d, k.isin, k.cf, MIN(m.delivery) AS delivery FROM daily_cf k JOIN fut_metadata m ON m.delivery > k.d GROUP BY ALL) k""",
     "daily_cf": DAILY_CF.format(events="events"),
-    "ctd_metadata": _values(CTD_BONDS, "isin, coupon_rate, coupon_freq, first_coupon, maturity"),
-    "fut_metadata": _values(FUTURES, "last_trading, delivery"),
-    "excluded_raw": _values(EXCLUDED, "kind, d, days_before, days_after"),
+    "ctd_metadata": values_sql(CTD_BONDS, BOND_COLUMNS),
+    "fut_metadata": values_sql(FUTURES, FUTURE_COLUMNS),
+    "excluded_raw": values_sql(EXCLUDED, EXCLUDED_COLUMNS),
     "market5": """
         SELECT c.d, c.ep, c.l1_bid_price AS ctd_bid_price, c.l1_ask_price AS ctd_ask_price, c.l1_bid_size AS ctd_bid_size,
                c.l1_ask_size AS ctd_ask_size, f.l1_bid_price AS fut_bid_price, f.l1_ask_price AS fut_ask_price,

@@ -346,10 +346,10 @@ def outcome_sql(side, k):
 def _(t):
     q = t.grid5.where("role = 'ctd'").select("d", "ep", F.col("l1_bid_price").alias("bid"), F.col("l1_ask_price").alias("ask"))
     q = stage(q)
-    windows = P.execution_windows(q, 3600)
+    windows, packed = P.execution_windows(q, 3600), P.pack_quotes(q)
     out = None
     for side, ticks in (("bid", 1), ("bid", 4), ("ask", 1), ("ask", 4), ("bid", 0)):
-        one = P.execution_outcome(windows, q.drop("d"), side, ticks, 900, 0.01).select(
+        one = P.execution_outcome(windows, q.drop("d"), packed, side, ticks, 900, 0.01).select(
             F.lit(side).alias("side"), F.lit(ticks).alias("ticks"), "opening_time", "benchmark_price", "status", "execution_time", "execution_price", "limit_price", "improvement")
         out = one if out is None else out.unionByName(one)
     return out

@@ -105,7 +105,7 @@ def test_first_hit_edges(spark):
         (1, 0, 100, 10.0, 1, 0), (2, 1, 59, 10.0, 1, 5), (3, 6, 7199, 8.5, 1, 60), (4, 61, 7199, 7.5, 1, 7199), (5, 61, 7198, 7.5, 1, None),
         (6, 0, 7200, 10.5, -1, 3600), (7, 61, 7200, 6.0, 1, 7200), (8, 10, 20, 10.0, 1, None)],
         "id int, s long, e long, lim double, side int, want long")
-    got = P.first_hit(orders, quotes, ["id"], "s", "e", "lim", "side", "hit").collect()
+    got = P.first_hit(orders, P.pack_quotes(quotes), ["id"], "s", "e", "lim", "side", "hit").collect()
     assert len(got) == 8 and all(r.hit == r.want for r in got)
 
 
@@ -116,7 +116,7 @@ def test_first_hit_random(spark):
     quotes = pd.DataFrame({"ep": ep, "bid": mid - 0.02, "ask": mid + 0.02})
     start = rng.integers(0, 8000, 120)
     orders = pd.DataFrame({"id": np.arange(120), "s": start, "e": start + rng.integers(0, 4000, 120), "lim": 100 + rng.normal(0, 0.5, 120), "side": rng.choice([-1, 1], 120)})
-    got = P.first_hit(spark.createDataFrame(orders), spark.createDataFrame(quotes), ["id"], "s", "e", "lim", "side", "hit").toPandas().sort_values("id")
+    got = P.first_hit(spark.createDataFrame(orders), P.pack_quotes(spark.createDataFrame(quotes)), ["id"], "s", "e", "lim", "side", "hit").toPandas().sort_values("id")
     for o, h in zip(orders.itertuples(), got["hit"]):
         q = quotes[(quotes.ep >= o.s) & (quotes.ep <= o.e)]
         q = q[q.ask <= o.lim] if o.side == 1 else q[q.bid >= o.lim]

@@ -388,21 +388,28 @@ def original_trade_pnl(trades: DataFrame) -> DataFrame:
     return _pnl(trades)
 
 
-def first_hit(orders: DataFrame, quotes: DataFrame, keys: list[str], start: str, end: str, limit: str, side: str, out: str) -> DataFrame:
+def _minute(c: str) -> Column:
+    return F.expr(f"{c} div 60")
+
+
+def pack_quotes(quotes: DataFrame) -> DataFrame:
+    """Quotes (ep, bid, ask; one per second) as one array per minute with its extremes, written once for repeated searches."""
+    return stage(quotes.groupBy(_minute("ep").alias("_m")).agg(
+        F.collect_list(F.struct("ep", "bid", "ask")).alias("_q"), F.min("ask").alias("low"), F.max("bid").alias("high")))
+
+
+def first_hit(orders: DataFrame, packed: DataFrame, keys: list[str], start: str, end: str, limit: str, side: str, out: str) -> DataFrame:
     """First quote time in [start, end] that crosses the limit: ask <= limit to buy (1), bid >= limit to sell (-1).
 
-    Quotes (ep, bid, ask; one per second) are packed into one array per minute and one
-    array of minute extremes per hour, 60 entries each at most.  An order meets one row
-    per hour it spans to find its first promising inner minute, then the arrays of that
-    minute and of its two end minutes; no (order, quote) pairs are formed.
+    ``packed`` comes from ``pack_quotes``; minutes are folded again into one array of
+    extremes per hour, so no array exceeds 60 entries.  An order meets one row per hour it
+    spans to find its first promising inner minute, then the arrays of that minute and of
+    its two end minutes; no (order, quote) pairs are formed.
     """
-    minute = lambda c: F.expr(f"{c} div 60")
-    per_minute = stage(quotes.groupBy(minute("ep").alias("_m")).agg(
-        F.collect_list(F.struct("ep", "bid", "ask")).alias("_q"), F.min("ask").alias("low"), F.max("bid").alias("high")))
-    per_hour = per_minute.groupBy(F.expr("_m div 60").alias("_h")).agg(
+    per_hour = packed.groupBy(F.expr("_m div 60").alias("_h")).agg(
         F.collect_list(F.struct(F.col("_m").alias("m"), "low", "high")).alias("_ms"), F.min("low").alias("_low"), F.max("high").alias("_high"))
     base = orders.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(limit).alias("_l"), F.col(side).alias("_side"))
-    base = stage(base.withColumns({"_ma": minute("_s"), "_mb": minute("_e")}))
+    base = stage(base.withColumns({"_ma": _minute("_s"), "_mb": _minute("_e")}))
 
     def reaches(low, high):
         return F.when(F.col("_side") == 1, low <= F.col("_l")).otherwise(high >= F.col("_l"))
@@ -413,7 +420,7 @@ def first_hit(orders: DataFrame, quotes: DataFrame, keys: list[str], start: str,
     names = [*keys, "_s", "_e", "_l", "_side"]
     inner = inner.groupBy(*names).agg(F.min("_m").alias("_m"))
     ends = base.select(*names, F.explode(F.array_distinct(F.array("_ma", "_mb"))).alias("_m"))
-    looks = ends.unionByName(inner).join(per_minute.select("_m", "_q"), "_m")
+    looks = ends.unionByName(inner).join(packed.select("_m", "_q"), "_m")
     hits = F.filter("_q", lambda q: (q["ep"] >= F.col("_s")) & (q["ep"] <= F.col("_e")) & reaches(q["ask"], q["bid"]))
     best = looks.select(*keys, F.array_min(F.transform(hits, lambda q: q["ep"])).alias("_hit")).groupBy(*keys).agg(F.min("_hit").alias(out))
     return orders.join(best, keys, "left")
@@ -422,18 +429,19 @@ def first_hit(orders: DataFrame, quotes: DataFrame, keys: list[str], start: str,
 def limit_order_analysis(trades: DataFrame, market: DataFrame, opening_limit: bool = True, closing_limit: bool = True) -> DataFrame:
     """Would limit orders at the recorded bond mids have filled, and with which PnL.
 
-    ``market`` has ep, bid, ask (bond quotes) and fut_mid, fut_spread.  An end without a
-    limit order trades at its own time at the bond's market mid and spread.
+    ``market`` has ep, bid, ask (bond quotes) and fut_mid, fut_spread; it is read several
+    times, so pass a written table.  An end without a limit order trades at its own time
+    at the bond's market mid and spread.
     """
     keys = ["seed", "episode", "opening_time"]
-    trades, market = stage(trades), stage(market.select("ep", "bid", "ask", "fut_mid", "fut_spread"))
+    trades, packed = stage(trades), pack_quotes(market)
     df = original_trade_pnl(trades).withColumn("_other", -F.col("direction"))
     uses = {"opening": opening_limit, "closing": closing_limit}
     after = {"opening": "closing_time", "closing": "stopping_time"}
     for end, side in (("opening", "direction"), ("closing", "_other")):
         if uses[end]:
             df = df.withColumn(f"{end}_limit_price", F.col(f"ctd_mid_{end}"))
-            df = first_hit(df, market, keys, f"{end}_time", after[end], f"{end}_limit_price", side, f"{end}_hit_time")
+            df = first_hit(df, packed, keys, f"{end}_time", after[end], f"{end}_limit_price", side, f"{end}_hit_time")
         else:
             df = df.withColumns({f"{end}_limit_price": F.lit(None).cast("double"), f"{end}_hit_time": F.col(f"{end}_time")})
         leg = market.select(F.col("ep").alias(f"{end}_hit_time"), F.col("fut_mid").alias(f"_fm_{end}"), F.col("fut_spread").alias(f"_fs_{end}"),
@@ -515,10 +523,10 @@ def random_openings(quotes: DataFrame, horizon_s: int) -> DataFrame:
     return opens.select("d", F.col("ep").alias("opening_time"), (F.col("ep") + horizon_s).alias("closing_time"))
 
 
-def execution_outcome(windows: DataFrame, quotes: DataFrame, side: str, ticks: int, step_s: int, tick: float) -> DataFrame:
+def execution_outcome(windows: DataFrame, quotes: DataFrame, packed: DataFrame, side: str, ticks: int, step_s: int, tick: float) -> DataFrame:
     """Outcome of quoting ``ticks`` away, re-posted every step, until filled or forced at the window end.
 
-    ``quotes`` has ep, bid, ask.  Windows whose opening has no quote are left out.
+    ``quotes`` has ep, bid, ask and ``packed`` the same packed.  Windows whose opening has no quote are left out.
     """
     buy = side == "bid"
     price = F.col("ask") if buy else F.col("bid")
@@ -531,7 +539,7 @@ def execution_outcome(windows: DataFrame, quotes: DataFrame, side: str, ticks: i
     span = F.col("closing_time") - F.lit(step_s)
     steps = df.withColumn("_t", F.explode(F.sequence("opening_time", span, F.lit(step_s).cast("long")))).join(at, "_t")
     steps = steps.select("opening_time", "_t", (F.col("_t") + step_s - 1).alias("_end"), (F.col("_p") - sign * ticks * tick).alias("_limit"), F.lit(sign).alias("_side"))
-    hit = first_hit(steps, quotes, ["opening_time", "_t"], "_t", "_end", "_limit", "_side", "_hit").where("_hit IS NOT NULL")
+    hit = first_hit(steps, packed, ["opening_time", "_t"], "_t", "_end", "_limit", "_side", "_hit").where("_hit IS NOT NULL")
     first = hit.groupBy("opening_time").agg(F.min(F.struct("_t", "_hit", "_limit")).alias("f"))
     df = df.join(first, "opening_time", "left").withColumn("execution_time", F.coalesce("f._hit", "closing_time"))
     df = df.join(at.select(F.col("_t").alias("execution_time"), F.col("_p").alias("execution_price")), "execution_time", "left")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
+from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,25 +15,25 @@ from tickloom.schema import ROLES, SIDES
 FLOW_LEVELS = (1, 2, 3)
 
 
-def role_features(role: str, levels: int = 10) -> dict[str, Column]:
-    """Every base feature of one role; flows look at the previous row of the day."""
-    w = day_window(("role", "d"))
-    out: dict[str, Column] = {}
+def role_features(role: str, levels: int = 10) -> dict[str, Callable[[], Column]]:
+    """Builders of every base feature of one role; flows look at the previous row of the day."""
+    w = lambda: day_window(("role", "d"))
+    out: dict[str, Callable[[], Column]] = {}
     for kind, get in (("price", micro.price), ("size", micro.size)):
         for side in SIDES:
             for lv in range(1, levels + 1):
-                out[f"{role}_{side}_{kind}_{lv}"] = get(lv, side)
-    out[f"{role}_mid_price"] = micro.mid_price()
-    out[f"{role}_micro_price"] = micro.micro_price()
-    out[f"{role}_spread"] = micro.spread()
+                out[f"{role}_{side}_{kind}_{lv}"] = partial(get, lv, side)
+    out[f"{role}_mid_price"] = micro.mid_price
+    out[f"{role}_micro_price"] = micro.micro_price
+    out[f"{role}_spread"] = micro.spread
     for k in FLOW_LEVELS:
-        out[f"{role}_obi_{k}"] = micro.imbalance(k)
-        out[f"{role}_bof_{k}"] = micro.flow("bid", k, w)
-        out[f"{role}_aof_{k}"] = micro.flow("ask", k, w)
-        out[f"{role}_ofi_{k}"] = micro.flow_imbalance(k, w)
+        out[f"{role}_obi_{k}"] = partial(micro.imbalance, k)
+        out[f"{role}_bof_{k}"] = lambda k=k: micro.flow("bid", k, w())
+        out[f"{role}_aof_{k}"] = lambda k=k: micro.flow("ask", k, w())
+        out[f"{role}_ofi_{k}"] = lambda k=k: micro.flow_imbalance(k, w())
         for side in SIDES:
-            out[f"{role}_{side}_slope_{k}_v1"] = micro.slope_relative(k, side)
-            out[f"{role}_{side}_slope_{k}_v2"] = micro.slope_depth(k, side)
+            out[f"{role}_{side}_slope_{k}_v1"] = partial(micro.slope_relative, k, side)
+            out[f"{role}_{side}_slope_{k}_v2"] = partial(micro.slope_depth, k, side)
     return out
 
 
@@ -54,13 +55,13 @@ def load_feature(book: DataFrame, base_id: str, levels: int = 3) -> DataFrame:
     columns = role_features(role, levels)
     if base_id not in columns:
         raise ValueError(f"unknown base feature {base_id!r}")
-    return book.where(F.col("role") == role).select("role", "d", "ep", columns[base_id].alias(base_id))
+    return book.where(F.col("role") == role).select("role", "d", "ep", columns[base_id]().alias(base_id))
 
 
 def role_table(book: DataFrame, role: str, ids: list[str], levels: int = 3) -> DataFrame:
     """All wanted features of a role in one projection, hence one scan and one window sort."""
     columns = role_features(role, levels)
-    return book.where(F.col("role") == role).select("ep", *[columns[i].alias(i) for i in ids])
+    return book.where(F.col("role") == role).select("ep", *[columns[i]().alias(i) for i in ids])
 
 
 def join_series(series: dict[str, DataFrame]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.expr import day_of, epoch_us
 from tickloom.operators.grid import snap, snap_roles
 from tickloom.sources.sinks import stage
-from tickloom.sources.static import CTD_BONDS, EXCLUDED, FUTURES
+from tickloom.sources.static import BOND_COLUMNS, CTD_BONDS, EXCLUDED, EXCLUDED_COLUMNS, FUTURE_COLUMNS, FUTURES, values_sql
 
 # Text that runs unchanged on Spark and on DuckDB.
 LOB = """
@@ -162,15 +162,15 @@ class Tables:
 
     @cached_property
     def ctd_metadata(self) -> DataFrame:
-        return self.spark.createDataFrame(CTD_BONDS, "isin string, coupon_rate double, coupon_freq int, first_coupon date, maturity date")
+        return self.spark.sql(values_sql(CTD_BONDS, BOND_COLUMNS))
 
     @cached_property
     def fut_metadata(self) -> DataFrame:
-        return self.spark.createDataFrame(FUTURES, "last_trading date, delivery date")
+        return self.spark.sql(values_sql(FUTURES, FUTURE_COLUMNS))
 
     @cached_property
     def excluded_raw(self) -> DataFrame:
-        return self.spark.createDataFrame(EXCLUDED, "kind string, d date, days_before int, days_after int")
+        return self.spark.sql(values_sql(EXCLUDED, EXCLUDED_COLUMNS))
 
     @cached_property
     def proposals(self) -> DataFrame:

@@ -20,3 +20,19 @@ EXCLUDED = [
     ("Rollover", dt.date(2024, 1, 19), 2, 0),
     ("Extra", dt.date(2024, 1, 24), 0, 0),
 ]
+
+
+def values_sql(rows, names: str) -> str:
+    """Literal rows as a SQL query."""
+    def lit(v):
+        if hasattr(v, "isoformat"):
+            return f"DATE '{v}'"
+        return f"'{v}'" if isinstance(v, str) else (f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v))
+
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {body}) AS t({names})"
+
+
+BOND_COLUMNS = "isin, coupon_rate, coupon_freq, first_coupon, maturity"
+FUTURE_COLUMNS = "last_trading, delivery"
+EXCLUDED_COLUMNS = "kind, d, days_before, days_after"
