@@ -81,12 +81,12 @@ def issues(df: DataFrame, checks: list[Check], inside: Column | None = None) ->
 
     ``inside`` marks rows of the analysis window; its count decides criticality later.
     """
-    cells = [F.when(flag, F.struct(F.lit(name).alias("check_id"), F.array(*[F.lit(c) for c in columns]).alias("columns")))
-             for name, columns, flag in checks]
-    fired = F.explode(F.array_compact(F.array(*cells))).alias("hit")
-    hits = df.select("role", "d", "us", (F.lit(True) if inside is None else inside).alias("_in"), fired)
-    return hits.groupBy("role", "d", F.col("hit.check_id").alias("check_id"), F.col("hit.columns").alias("columns")).agg(
+    fired = F.array_compact(F.array(*[F.when(flag, F.lit(i)) for i, (_, _, flag) in enumerate(checks, 1)]))
+    hits = df.select("role", "d", "us", (F.lit(True) if inside is None else inside).alias("_in"), F.explode(fired).alias("_i"))
+    counts = hits.groupBy("role", "d", "_i").agg(
         F.count("*").alias("n"), F.count_if("_in").alias("n_inside"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    names = F.array(*[F.struct(F.lit(name).alias("check_id"), F.array(*[F.lit(c) for c in columns]).alias("columns")) for name, columns, _ in checks])
+    return counts.withColumn("_c", F.element_at(names, F.col("_i"))).select("role", "d", "_c.check_id", "_c.columns", "n", "n_inside", "first_us", "last_us")
 
 
 def issue_counts(found: DataFrame) -> DataFrame:
