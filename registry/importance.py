@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from registry.base import query
 from tickloom import schema as S
-from tickloom.functions.expr import sod
 from tickloom.operators import dates as D
 from tickloom.operators import model as M
 from tickloom.operators.ordered import sample_exact

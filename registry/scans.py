@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from registry.base import query
 from tickloom import schema as S
-from tickloom.functions import cross
 from tickloom.functions.expr import US, day_start, epoch_us
 from tickloom.operators import dates as D
 from tickloom.operators import grid as G

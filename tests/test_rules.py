@@ -251,3 +251,17 @@ def test_one_second_day_runs(spark):
     day = spark.range(28_801).select(F.lit(D1).alias("d"), (F.col("id") + base).alias("ep"), F.sin(F.col("id") / 500).alias("x"))
     out = X.compile_features(day, ["x_roll_mean_1800s", "x_delta_60s_lag_300s", "x_hour_ratio"], bases=["x"])
     assert out.where("x_delta_60s_lag_300s IS NULL").count() == 360 and out.where("x_roll_mean_1800s IS NULL").count() == 899
+
+
+def test_hot_second_and_hot_role_collapse(spark):
+    """A third of all rows in one second of one role leaves one row, the last one."""
+    hot = spark.range(20_000).select(F.lit("ctd").alias("role"), (F.lit(5_000_000) + F.col("id")).alias("us"), F.col("id").cast("double").alias("l1_bid_price"))
+    rest = spark.range(40_000).select(F.lit("fut").alias("role"), (F.col("id") * 250_000).alias("us"), F.lit(None).cast("double").alias("l1_bid_price"))
+    got = G.snap(hot.unionByName(rest).repartition(9), ["role"], 1)
+    assert got.where("role = 'ctd'").collect()[0].l1_bid_price == 19_999 and got.where("role = 'ctd'").count() == 1
+    assert got.where("role = 'fut'").count() == 10_000 and got.where("role = 'fut' AND l1_bid_price IS NOT NULL").isEmpty()
+
+
+def test_latest_delivery_wins_per_key(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("a", 2, 3.0), ("b", 1, 4.0)], "k string, delivery_no int, x double")
+    assert sorted(r.x for r in readers.merge_deliveries(df, ["k"]).collect()) == [2.0, 3.0, 4.0]

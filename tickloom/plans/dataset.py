@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.cross import rounded_contracts
-from tickloom.functions.expr import sod
 from tickloom.operators import dates as D
 from tickloom.plans import features as X
 from tickloom.plans.catalog import base_ids, market_features
