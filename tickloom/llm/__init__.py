@@ -1,0 +1 @@
+"""Operators for training-text corpora; nothing else in the library imports this package."""
