@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ascii_lower, stage, table, text_of
+from tickloom.llm.common import ascii_lower, let, stage, table, text_of
 
 WINDOW = 10
 TOKEN = 3
@@ -50,14 +50,15 @@ def document_tokens(docs: DataFrame, lengths: list[int], *keep: str) -> DataFram
     """One row per token of a document, with the document's word list ``w`` beside it.
 
     The list stays a reference while rows go straight into a broadcast join, so it is not
-    copied per token.
+    copied per token.  The outer form keeps Spark from testing the token array in a filter
+    below, which would split the text once more for every token.
     """
-    def of_length(n: int) -> Column:
-        return F.transform(shingles(F.col("w"), n), lambda h, i: F.struct(F.lit(n).alias("n"), h.alias("token"), i.alias("at")))
+    def of_length(w: Column, n: int) -> Column:
+        return F.transform(shingles(w, n), lambda h, i: F.struct(F.lit(n).alias("n"), h.alias("token"), i.alias("at")))
 
-    tokens = [of_length(n) for n in lengths]
-    rows = docs.withColumn("tokens", F.concat(*tokens) if len(tokens) > 1 else tokens[0])
-    return rows.select(*keep, "w", F.explode("tokens").alias("x")).select(*keep, "w", "x.n", "x.token", "x.at")
+    tokens = let(F.col("w"), lambda w: F.concat(*[of_length(w, n) for n in lengths]))
+    rows = docs.select(*keep, "w", F.explode_outer(tokens).alias("x"))
+    return rows.select(*keep, "w", "x.n", "x.token", "x.at")
 
 
 def prefix_tokens(windows: DataFrame, docs: DataFrame, lengths: list[int], blocks: int) -> DataFrame:
@@ -148,14 +149,14 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
 DECONTAMINATION_SQL = """
 WITH i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, list_filter(regexp_split_to_array(
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
-i1 AS (SELECT item, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS at FROM i WHERE len(w) > 0),
-win AS (SELECT DISTINCT item, size, array_to_string(w[CAST(at AS BIGINT):CAST(at + size - 1 AS BIGINT)], ' ') AS g FROM i1),
+i1 AS (SELECT item, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, size, array_to_string(w[k:k + size - 1], ' ') AS g FROM i1),
 sizes AS (SELECT DISTINCT size FROM win),
 d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM documents),
-d1 AS (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS at FROM d, sizes WHERE len(w) >= size),
-hit AS (SELECT d1.rid, d1.at, d1.size, win.item FROM d1 JOIN win ON win.size = d1.size AND win.g = array_to_string(d1.w[CAST(d1.at AS BIGINT):CAST(d1.at + d1.size - 1 AS BIGINT)], ' ')),
-pos AS (SELECT DISTINCT rid, unnest(range(at, at + size)) AS p FROM hit),
+d1 AS (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, sizes WHERE len(w) >= size),
+hit AS (SELECT d1.rid, d1.k, d1.size, win.item FROM d1 JOIN win ON win.size = d1.size AND win.g = array_to_string(d1.w[d1.k:d1.k + d1.size - 1], ' ')),
+pos AS (SELECT DISTINCT rid, unnest(range(k, k + size)) AS p FROM hit),
 n AS (SELECT rid, count(*) AS n_hit FROM pos GROUP BY rid),
 its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,

@@ -21,7 +21,7 @@ from tickloom.llm.common import numbered, stage, table, text_of, words
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
-PIECE = 100_000
+PIECE = 4096
 SLOTS = 4096
 SORTED = 10_000
 
@@ -59,7 +59,7 @@ def source_targets(rows: DataFrame, weights=WEIGHTS, passes: int = PASSES) -> Da
 def queue(rows: DataFrame, sources: DataFrame, weights=WEIGHTS) -> DataFrame:
     """Add ``upto``: words of the source's shuffled queue up to and with the row.
 
-    A source is cut into pieces of about 100,000 rows by its shuffle key, so a source with a
+    A source is cut into pieces of about 4,096 rows by its shuffle key, so a source with a
     third of all rows is summed by many tasks; one total per piece says where it starts.
     """
     scale = math.lcm(*weights)

@@ -1,14 +1,19 @@
 """The corpus operators as named queries, and the SQL of those that SQL can express."""
 
 from tickloom.llm.decontamination import DECONTAMINATION_SQL, op9_prefix_join
+from tickloom.llm.html_text import op5_line_blocks
 from tickloom.llm.license_scan import license_sql, op6_sentence_rules
 from tickloom.llm.mixing import MIXING_SQL, op4_weighted_fair_queueing
+from tickloom.llm.quality_model import op3_histogram_trees
 from tickloom.llm.quality_rules import RULES_SQL, op2_host_rules
 from tickloom.llm.sharding import op1_virtual_slots
 from tickloom.llm.simhash_dedup import op8_anchor_points
+from tickloom.llm.token_store import op10_wavelet_matrix
+from tickloom.llm.toxicity import op7_positive_unlabelled
 
 QUERIES = {f.__name__: f for f in (
-    op1_virtual_slots, op2_host_rules, op4_weighted_fair_queueing, op6_sentence_rules, op8_anchor_points, op9_prefix_join)}
+    op1_virtual_slots, op2_host_rules, op3_histogram_trees, op4_weighted_fair_queueing, op5_line_blocks, op6_sentence_rules,
+    op7_positive_unlabelled, op8_anchor_points, op9_prefix_join, op10_wavelet_matrix)}
 
 SQL = {
     "op2_host_rules": RULES_SQL,
