@@ -121,7 +121,9 @@ def links(nodes: DataFrame, hot: int = HOT_ANCHOR) -> DataFrame:
         F.struct(F.lit(k).alias("k"), home(half(F.col("fp"), k)).alias("anchor"), half(F.col("fp"), 1 - k).alias("other")) for k in (0, 1)])).alias("x")).select("fp", "x.*")
     homes = stage(homes)
     crowded = stage(homes.groupBy("k", "anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k", "anchor", F.lit(True).alias("crowded")))
-    spread = nodes.select("fp", F.explode(F.array(*[
+    # A few small files hold all nodes; the replication is the work, so it gets a task per shuffle partition.
+    dealt = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    spread = dealt.select("fp", F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), near_anchors(half(F.col("fp"), k)).alias("anchors"), half(F.col("fp"), 1 - k).alias("other")) for k in (0, 1)])).alias("x"))
     spread = spread.select("fp", "x.k", F.explode("x.anchors").alias("anchor"), "x.other")
 
