@@ -79,11 +79,14 @@ RULES = [
 ]
 
 
+#: Blanks and a comment mark at the start of a line.
+MARK = "^[ \t]*(?:(?:#+|//+|/?[*]+)[ \t]*)?"
+
+
 def sentences(text: Column) -> Column:
     """Normalised sentences in text order; they end at a line end, or at . ! ? : ; before white space or the end.
 
-    A line that is only the end of a wrapped sentence is joined by the second reading of
-    ``sentence_ids``, where single line ends count as spaces.
+    Wrapped sentences are joined by the second reading of ``sentence_ids``.
     """
     cut = F.split(F.regexp_replace(text, "[.!?:;]+(\\s|$)", "\n"), "\n")
     return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}+]+", " ")))
@@ -92,16 +95,20 @@ def sentences(text: Column) -> Column:
 def sentence_ids(text: Column, catalogue: dict[str, str]) -> Column:
     """Identifiers of the known sentences, in text order.
 
-    The reading that finds more wins: lines as sentence ends, or lines joined (wrapped
-    licence headers); equal counts keep the first.
+    The reading that finds more wins: line ends as sentence ends, or lines joined without
+    their comment marks and ended by blank lines only (licence headers); equal counts keep
+    the first.
     """
     known = F.create_map(*[F.lit(x) for pair in ((s, i) for i, s in catalogue.items()) for x in pair])
 
     def read(t: Column) -> Column:
         return F.filter(F.transform(sentences(t), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
 
+    def line(x: Column) -> Column:
+        return let(F.regexp_replace(x, MARK, ""), lambda y: F.when(y == "", F.lit(".")).otherwise(y))
+
     def both(a: Column) -> Column:
-        wrapped = read(F.regexp_replace(F.regexp_replace(text, "\n[ \t]*(#|//|\\*)?[ \t]*", " "), "^[ \t]*(#|//|/?\\*+)[ \t]*", ""))
+        wrapped = read(F.array_join(F.transform(F.split(text, "\n"), line), " "))
         return let(wrapped, lambda b: F.when(F.size(b) > F.size(a), b).otherwise(a))
 
     return let(read(text), both)
@@ -148,7 +155,7 @@ def license_sql(catalogue=SENTENCES, rules=RULES) -> str:
     return f"""
 WITH d AS (
  SELECT doc_id, coalesce(text, '') AS t,
-        regexp_replace(regexp_replace(coalesce(text, ''), '\\n[ \\t]*(#|//|\\*)?[ \\t]*', ' ', 'g'), '^[ \\t]*(#|//|/?\\*+)[ \\t]*', '', 'g') AS u
+        array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: coalesce(nullif(regexp_replace(l, '{MARK}', ''), ''), '.')), ' ') AS u
  FROM documents),
 r AS (SELECT doc_id, {read("t")} AS a, {read("u")} AS b FROM d),
 i AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids FROM r),
