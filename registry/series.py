@@ -8,6 +8,7 @@ from registry.sources_sql import flow_sql
 from tickloom import schema as S
 from tickloom.functions import calendar as C
 from tickloom.functions import cross, micro
+from tickloom.sources.sinks import stage
 from tickloom.functions.expr import sod
 from tickloom.operators import dates as D
 from tickloom.operators import profit as P
@@ -237,15 +238,15 @@ def _(t):
 
 
 ACF_SQL = """
-    WITH x AS (SELECT d, ep, l1_ask_size AS v FROM quotes1 WHERE role = 'ctd'), c AS (SELECT d, ep, v - AVG(v) OVER (PARTITION BY d) AS e FROM x),
-         l AS (SELECT d, e, """ + ", ".join(f"LAG(e, {k}) OVER w AS l{k}" for k in range(1, 7)) + """ FROM c WINDOW w AS (PARTITION BY d ORDER BY ep)),
-         g AS (SELECT d, COUNT(*) AS n, """ + ", ".join(f"SUM(e * l{k}) / SUM(e * e) AS r{k}" for k in range(1, 7)) + " FROM l GROUP BY d HAVING COUNT(*) > 6)"
+    WITH x AS (SELECT role, d, ep, l1_ask_size AS v FROM quotes1), c AS (SELECT role, d, ep, v - AVG(v) OVER (PARTITION BY role, d) AS e FROM x),
+         l AS (SELECT role, d, e, """ + ", ".join(f"LAG(e, {k}) OVER w AS l{k}" for k in range(1, 13)) + """ FROM c WINDOW w AS (PARTITION BY role, d ORDER BY ep)),
+         g AS (SELECT role, d, COUNT(*) AS n, """ + ", ".join(f"SUM(e * l{k}) / SUM(e * e) AS r{k}" for k in range(1, 13)) + " FROM l GROUP BY role, d HAVING COUNT(*) > 12)"
 
 
-@query("acf", "d:d n:i lag:i acf:f band:f", ACF_SQL + " " + " UNION ALL ".join(
-    f"SELECT d, n, {k} AS lag, r{k} AS acf, 1.959963984540054 * SQRT((1 + 2 * (0{''.join(f' + r{i} * r{i}' for i in range(1, k))})) / n) AS band FROM g" for k in range(1, 7)))
+@query("acf", "role:s d:d n:i lag:i acf:f band:f", ACF_SQL + " " + " UNION ALL ".join(
+    f"SELECT role, d, n, {k} AS lag, r{k} AS acf, 1.959963984540054 * SQRT((1 + 2 * (0{''.join(f' + r{i} * r{i}' for i in range(1, k))})) / n) AS band FROM g" for k in range(1, 13)))
 def _(t):
-    return T.acf(t.quotes1.where("role = 'ctd'"), ["d"], "l1_ask_size", 6)
+    return T.acf(t.quotes1, ["role", "d"], "l1_ask_size", 12)
 
 
 PACF_SQL = """
@@ -325,6 +326,17 @@ def _(t):
     return T.kpss(t.basis5, ["d"], "basis", 2, "ct")
 
 
+RUN = [("adf", "c", 0, ADF_SQL), ("kpss", "c", 2, kpss_sql(LEVEL, T.KPSS_CRITICAL["c"])), ("kpss", "ct", 2, kpss_sql(TREND, T.KPSS_CRITICAL["ct"]))]
+
+
+@query("stationarity_run", "test:s regression:s frequency:s lag:i window:s nobs:i stat:f pvalue:f", " UNION ALL ".join(
+    f"SELECT '{test}' AS test, '{trend}' AS regression, 'daily' AS frequency, {lag} AS lag, CAST(d AS VARCHAR) AS \"window\", nobs, stat, pvalue FROM ({sql}) x" for test, trend, lag, sql in RUN))
+def _(t):
+    run = T.stationarity_run(stage(t.basis5), "basis", {"daily": ["d"]}, {"daily": [0, 2]})
+    kept = [(F.col("test") == test) & (F.col("regression") == trend) & (F.col("lag") == lag) for test, trend, lag, _ in RUN]
+    return run.where(kept[0] | kept[1] | kept[2])
+
+
 @query("stationarity_share", "what:s test:s share:f windows:i",
        f"SELECT 'basis' AS what, 'adf' AS test, AVG((pvalue <= 0.05)::INT) AS share, COUNT(*) AS windows FROM ({ADF_SQL}) a UNION ALL "
        f"SELECT 'basis', 'kpss', AVG((pvalue > 0.05)::INT), COUNT(*) FROM ({kpss_sql(LEVEL, T.KPSS_CRITICAL['c'])}) b")

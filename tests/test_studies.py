@@ -180,3 +180,35 @@ def test_adf_pvalue_and_kpss_ends(spark):
     assert p[0] == pytest.approx(0.05, abs=2e-3) and p[1] == pytest.approx(0.01, abs=1e-3) and p[2:] == [1.0, 0.0]
     k = [r[0] for r in spark.createDataFrame([(0.1,), (0.463,), (9.0,)], "s double").select(T.kpss_pvalue("s")).collect()]
     assert k == pytest.approx([0.1, 0.05, 0.01])
+
+
+@pytest.mark.parametrize("lags, trend", [(0, "c"), (3, "ct"), (300, "c"), (300, "ct")])
+def test_adf_statistic_equals_least_squares(lags, trend):
+    y = np.random.default_rng(lags).normal(size=2000).cumsum()
+    d, m = np.diff(y), len(y) - 1
+    x = [np.ones(m - lags), y[lags:-1], *([np.arange(m - lags) + 1.0] if trend == "ct" else []), *[d[lags - i:m - i] for i in range(1, lags + 1)]]
+    x = np.column_stack(x)
+    beta = np.linalg.lstsq(x, d[lags:], rcond=None)[0]
+    rest = d[lags:] - x @ beta
+    var = rest @ rest / (len(rest) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1]
+    n, stat = T.adf_statistic(y, lags, trend)
+    assert n == m - lags and abs(stat - beta[1] / np.sqrt(var)) < 1e-8
+
+
+@pytest.mark.parametrize("lags, trend", [(2, "c"), (300, "ct"), (1800, "c")])
+def test_kpss_statistic_equals_loop(lags, trend):
+    y = np.random.default_rng(lags).normal(size=4000)
+    t = np.arange(len(y))
+    e = y - np.polyval(np.polyfit(t, y, 1 if trend == "ct" else 0), t)
+    var = e @ e + 2 * sum((1 - k / (lags + 1)) * (e[k:] @ e[:-k]) for k in range(1, lags + 1))
+    assert abs(T.kpss_statistic(y, lags, trend)[1] - (e.cumsum() ** 2).sum() / len(y) / var) < 1e-8
+
+
+def test_tests_of_a_full_day_at_1800_lags(spark):
+    r = np.random.default_rng(9)
+    n = 28_801
+    df = spark.createDataFrame(pd.DataFrame({"d": DAY, "ep": BASE + np.arange(n), "x": r.normal(size=n).cumsum()}))
+    rows = T.stationarity_run(df, "x", {"daily": ["d"]}, {"daily": [1800]}).collect()
+    assert {(r.test, r.regression) for r in rows} == {(a, b) for a in ("adf", "kpss") for b in ("c", "ct")}
+    assert all(r.stat is not None and 0 <= r.pvalue <= 1 for r in rows)
+    assert T.acf(df, ["d"], "x", 300).count() == 300

@@ -1 +1,10 @@
-"""Order-book and bond/futures-basis analytics on PySpark DataFrames."""
+"""Order-book and bond/futures-basis analytics on PySpark DataFrames.
+
+Functions that run inside tasks travel by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -107,21 +107,52 @@ def interpolate_time(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.withColumn(value, filled).where("_v0 IS NOT NULL").drop("_v0", "_t0", "_v1", "_t1")
 
 
+def per_window(df: DataFrame, keys: list[str], value: str, solve, fields: str) -> DataFrame:
+    """``solve(y)`` of every window's non-null values in time order, as Arrow groups.
+
+    A window is an hour or a day of a series, at most 86,400 rows.  ``solve`` gives a list of
+    rows with ``fields``; an empty list leaves the window out.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, "ep", F.col(value).cast("double").alias("_y"))
+    types = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], fields])
+    names = [f.split()[0] for f in fields.split(", ")]
+    keys = list(keys)
+
+    def run(group):
+        import pandas as pd
+
+        group = group.sort_values("ep", kind="stable")
+        out = pd.DataFrame(solve(group["_y"].to_numpy(dtype=float)), columns=names)
+        for i, k in enumerate(keys):
+            out.insert(i, k, group[k].iloc[0])
+        return out
+
+    return rows.groupBy(*keys).applyInPandas(run, schema)
+
+
+def lag_products(e, lags: int):
+    """Sums of e[t] * e[t - k] for k = 0 to ``lags``, by one transform."""
+    import numpy as np
+
+    size = 1 << int(np.ceil(np.log2(len(e) + lags + 1)))
+    f = np.fft.rfft(e, size)
+    return np.fft.irfft(f * np.conj(f), size)[:lags + 1]
+
+
 def acf(df: DataFrame, keys: list[str], value: str, lags: int, z: float = 1.959963984540054) -> DataFrame:
     """Autocorrelation up to ``lags`` per window with its Bartlett band, one row per lag."""
-    whole = Window.partitionBy(*keys)
-    w = whole.orderBy("ep")
-    x = df.where(F.col(value).isNotNull()).withColumn("_x", F.col(value) - F.avg(value).over(whole))
-    x = x.select(*keys, "_x", *[F.lag("_x", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
-    g = x.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("_x") * F.col("_x")).alias("_s"),
-                             *[F.sum(F.col("_x") * F.col(f"_l{k}")).alias(f"_p{k}") for k in range(1, lags + 1)])
-    g = g.where((F.col("n") > lags) & (F.col("_s") > 0))
-    cells, before = [], F.lit(0.0)
-    for k in range(1, lags + 1):
-        r = F.col(f"_p{k}") / F.col("_s")
-        cells.append(F.struct(F.lit(k).alias("lag"), r.alias("acf"), (F.lit(z) * F.sqrt((1 + 2 * before) / F.col("n"))).alias("band")))
-        before = before + r * r
-    return g.select(*keys, "n", F.inline(F.array(*cells)))
+    def solve(y):
+        import numpy as np
+
+        n, e = len(y), y - y.mean()
+        if n <= lags or e @ e <= 0:
+            return []
+        r = lag_products(e, lags)[1:] / (e @ e)
+        band = z * np.sqrt((1 + 2 * np.append(0.0, np.cumsum(r * r)[:-1])) / n)
+        return [(n, k, float(a), float(b)) for k, (a, b) in enumerate(zip(r, band), 1)]
+
+    return per_window(df, keys, value, solve, "n long, lag int, acf double, band double")
 
 
 def pacf(df: DataFrame, keys: list[str], value: str, lags: int) -> DataFrame:
@@ -195,77 +226,101 @@ def kpss_pvalue(stat, trend: str = "c") -> Column:
     return out.otherwise(KPSS_LEVELS[-1])
 
 
-def adf(df: DataFrame, keys: list[str], value: str, lags: int = 0, trend: str = "c") -> DataFrame:
-    """Augmented Dickey-Fuller test per window with a fixed number of lagged differences.
+def adf_statistic(y, lags: int, trend: str):
+    """(nobs, statistic) of the regression of the difference on the level, ``lags`` lagged differences and the trend terms.
 
-    Spark sums the cross products of the regression; only a (k x k) matrix per window is
-    solved outside the JVM.
+    The cross products of lagged differences follow from one row of them: the next row adds
+    one product at the front and drops one at the end, so no regressor matrix is built.
     """
-    whole = Window.partitionBy(*keys)
-    w = whole.orderBy("ep")
-    x = df.where(F.col(value).isNotNull()).withColumn("_y", F.col(value) - F.avg(value).over(whole))
-    x = x.withColumn("_l", F.lag("_y").over(w)).withColumn("_dy", F.col("_y") - F.col("_l"))
-    terms = {"_l": F.col("_l"), **{f"_d{i}": F.lag("_dy", i).over(w) for i in range(1, lags + 1)}}
-    if trend == "ct":
-        terms["_t"] = F.row_number().over(w).cast("double")
-    rows = x.select(*keys, "_dy", *[c.alias(n) for n, c in terms.items()]).dropna(subset=["_dy", *terms])
-    names = ["_one", *terms, "_dy"]
-    rows = rows.withColumn("_one", F.lit(1.0))
-    k = len(names)
-    pairs = [F.sum(F.col(names[i]) * F.col(names[j])) for i in range(k) for j in range(i, k)]
-    gram = rows.groupBy(*keys).agg(F.count("*").alias("nobs"), F.array(*pairs).alias("_g")).where(F.col("nobs") > k)
-
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def solve(g: pd.Series, nobs: pd.Series) -> pd.Series:
-        import numpy as np
+    import numpy as np
+
+    y = y - y.mean()
+    d = np.diff(y)
+    m = len(d)
+    n = m - lags
+    k = 1 + (trend == "ct") + 1 + lags
+    if n <= k + 1:
+        return None
+    g = np.empty((lags + 1, lags + 1))
+    first = np.correlate(d, d[lags:], "valid")[::-1]
+    g[0], g[:, 0] = first, first
+    for i in range(lags):
+        g[i + 1, 1:] = g[i, :-1] + d[lags - 1 - i] * d[lags - 1::-1][:lags] - d[m - 1 - i] * d[m - 1:m - 1 - lags:-1]
+    level = y[lags:-1]
+    extra = [np.ones(n), level] + ([np.arange(lags + 2, m + 2, dtype=float)] if trend == "ct" else [])
+    cross = np.array([np.correlate(d, x, "valid")[::-1] for x in extra])
+    inner = np.array([[a @ b for b in extra] for a in extra])
+    a = np.block([[inner, cross[:, 1:]], [cross[:, 1:].T, g[1:, 1:]]])
+    b = np.append(cross[:, 0], g[0, 1:])
+    scale = np.sqrt(np.diag(a))
+    if not (scale > 0).all():
+        return n, None
+    a, b = a / np.outer(scale, scale), b / scale
+    pick = np.zeros(len(b))
+    pick[1] = 1
+    try:
+        beta, unit = np.linalg.solve(a, np.column_stack([b, pick])).T
+    except np.linalg.LinAlgError:
+        return n, None
+    var = (g[0, 0] - beta @ b) / (n - k) * unit[1]
+    return n, float(beta[1] / np.sqrt(var)) if var > 0 else None
 
-        out = []
-        for flat, n in zip(g, nobs):
-            m = np.zeros((k, k))
-            m[np.triu_indices(k)] = flat
-            m = m + np.triu(m, 1).T
-            a, b, yy = m[:-1, :-1], m[:-1, -1], m[-1, -1]
-            try:
-                inv = np.linalg.inv(a)
-            except np.linalg.LinAlgError:
-                out.append(None)
-                continue
-            beta = inv @ b
-            rss = yy - beta @ b
-            var = rss / (n - (k - 1)) * inv[1, 1]
-            out.append(float(beta[1] / np.sqrt(var)) if var > 0 else None)
-        return pd.Series(out, dtype="float64")
-
-    out = gram.withColumn("stat", solve("_g", "nobs")).drop("_g")
-    return out.withColumn("pvalue", adf_pvalue("stat", trend))
+
+def adf(df: DataFrame, keys: list[str], value: str, lags: int = 0, trend: str = "c") -> DataFrame:
+    """Augmented Dickey-Fuller test per window with a fixed number of lagged differences."""
+    def solve(y):
+        found = adf_statistic(y, lags, trend) if len(y) else None
+        return [found] if found else []
+
+    return per_window(df, keys, value, solve, "nobs long, stat double").withColumn("pvalue", adf_pvalue("stat", trend))
+
+
+def kpss_statistic(y, lags: int, trend: str):
+    """(nobs, statistic): cumulated residuals over a Bartlett-weighted long-run variance."""
+    import numpy as np
+
+    n = len(y)
+    if n <= lags + 1:
+        return None
+    e = y - y.mean()
+    if trend == "ct":
+        t = np.arange(n) - (n - 1) / 2
+        e = e - (t @ e) / (t @ t) * t
+    products = lag_products(e, lags)
+    weights = 1 - np.arange(1, lags + 1) / (lags + 1.0)
+    variance = (e @ e + 2 * weights @ products[1:]) / n
+    return n, float((np.cumsum(e) ** 2).sum() / (n * n) / variance) if variance else None
 
 
 def kpss(df: DataFrame, keys: list[str], value: str, lags: int, trend: str = "c") -> DataFrame:
-    """Stationarity test per window: cumulated residuals over a Bartlett-weighted variance, all in windows and sums."""
-    whole = Window.partitionBy(*keys)
-    w = whole.orderBy("ep")
-    x = df.where(F.col(value).isNotNull())
-    if trend == "c":
-        x = x.withColumn("_e", F.col(value) - F.avg(value).over(whole))
-    elif trend == "ct":
-        x = x.withColumn("_t", F.row_number().over(w).cast("double"))
-        x = x.withColumns({"_u": F.col("_t") - F.avg("_t").over(whole), "_v": F.col(value) - F.avg(value).over(whole)})
-        slope = F.sum(F.col("_u") * F.col("_v")).over(whole) / F.nullif(F.sum(F.col("_u") * F.col("_u")).over(whole), F.lit(0.0))
-        x = x.withColumn("_e", F.col("_v") - slope * F.col("_u"))
-    else:
+    """Stationarity test per window; p-values are held at the ends of the published table (0.01 and 0.10)."""
+    if trend not in KPSS_CRITICAL:
         raise ValueError(f"unknown trend {trend!r}")
-    x = x.select(*keys, "_e", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"),
-                 *[F.lag("_e", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
-    n = F.count("*").cast("double")
-    lr = F.sum(F.col("_e") * F.col("_e"))
-    for k in range(1, lags + 1):
-        lr = lr + 2.0 * (1.0 - k / (lags + 1.0)) * F.coalesce(F.sum(F.col("_e") * F.col(f"_l{k}")), F.lit(0.0))
-    g = x.groupBy(*keys).agg(F.count("*").alias("nobs"), div(F.sum(F.col("_s") * F.col("_s")) / (n * n), lr / n).alias("stat"))
-    g = g.where(F.col("nobs") > lags + 1)
-    return g.withColumn("pvalue", kpss_pvalue("stat", trend))
+
+    def solve(y):
+        found = kpss_statistic(y, lags, trend)
+        return [found] if found else []
+
+    return per_window(df, keys, value, solve, "nobs long, stat double").withColumn("pvalue", kpss_pvalue("stat", trend))
+
+
+def stationarity_run(df: DataFrame, value: str, windows: dict[str, list[str]], lags: dict[str, list[int]], trends=("c", "ct")) -> DataFrame:
+    """One row per test, trend, window kind, window and lag: test, regression, frequency, lag, window, nobs, stat, pvalue.
+
+    ``windows`` names the key columns of each kind of window ({"daily": ["d"], "hourly": ["d", "hour"]}).
+    """
+    parts = []
+    for kind, keys in windows.items():
+        for lag in lags[kind]:
+            for trend in trends:
+                for name, test in (("adf", adf), ("kpss", kpss)):
+                    out = test(df, keys, value, lag, trend).withColumn("window", F.concat_ws(" ", *[F.col(k).cast("string") for k in keys]))
+                    parts.append(out.select(F.lit(name).alias("test"), F.lit(trend).alias("regression"), F.lit(kind).alias("frequency"),
+                                            F.lit(lag).alias("lag"), "window", "nobs", "stat", "pvalue"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def stationarity_share(results: DataFrame, keys: list[str], level: float = 0.05) -> DataFrame:
