@@ -1,5 +1,6 @@
 """Feature importance, information measures, model metrics and selection."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registry.base import query
@@ -24,22 +25,18 @@ def features(t, names=FEATS):
 FEAT_SQL = """ft AS (SELECT d, ep, basis, LAG(basis, 2) OVER w AS basis_lag_2s, basis - LAG(basis, 2) OVER w AS basis_delta_2s, irr, ctd_obi_1, fut_obi_1, ctd_spread FROM wide5
      WINDOW w AS (PARTITION BY d ORDER BY ep))"""
 TASK_SQL = FEAT_SQL + ", tk AS (" + " UNION ALL ".join(
-    f"SELECT {h} AS horizon, '{f}' AS feature, d, ep, {f} AS x, LEAD(basis, {h}) OVER w AS y, basis AS yp, ctd_obi_1 AS z FROM ft WINDOW w AS (PARTITION BY d ORDER BY ep)"
+    f"SELECT {h} AS horizon, '{f}' AS feature, d, ep, {f} AS x, LEAD(basis, {h}) OVER w AS y, LAG(basis) OVER w AS yp, basis AS z FROM ft WINDOW w AS (PARTITION BY d ORDER BY ep)"
     for h in HORIZONS for f in TASKS) + ")"
 
 
 def tasks(df):
-    """One row per (horizon, feature, time): x now, target later, target now, condition."""
-    from pyspark.sql import Window
-
+    """The condition is the target now; the past target of the transfer measures is the target one step before."""
     w = Window.partitionBy("d").orderBy("ep")
-    wide = df.select("*", *[F.lead("basis", h).over(w).alias(f"_y{h}") for h in HORIZONS])
-    cells = [F.struct(F.lit(h).alias("horizon"), F.lit(f).alias("feature"), F.col(f).alias("x"), F.col(f"_y{h}").alias("y")) for h in HORIZONS for f in TASKS]
-    return wide.select("d", "ep", F.col("basis").alias("yp"), F.col("ctd_obi_1").alias("z"), F.explode(F.array(*cells)).alias("c")).select("d", "ep", "yp", "z", "c.*")
+    return M.information_tasks(df, HORIZONS, ["basis"], TASKS).join(df.select("ep", F.lag("basis").over(w).alias("yp")), "ep")
 
 
 @query("pearson", "horizon:i feature:s n_samples:i pc:f error:s", f"""WITH {TASK_SQL}
-     SELECT horizon, feature, COUNT(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n_samples, CORR(x, y) AS pc, NULL AS error FROM tk GROUP BY 1, 2""")
+     SELECT horizon, feature, COUNT(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL) AS n_samples, CORR(x, y) FILTER (z IS NOT NULL) AS pc, NULL AS error FROM tk GROUP BY 1, 2""")
 def _(t):
     return M.pearson(tasks(features(t)), ["horizon", "feature"], "x", "y")
 
@@ -53,8 +50,8 @@ def bin_sql(c, out):
 
 INFO = f"""WITH {FEAT_SQL}, qs AS (SELECT """ + ", ".join(f"quantile_cont({f}, [0.25, 0.5, 0.75]) AS q_{f}" for f in FEATS) + """ FROM ft),
      bn AS (SELECT d, ep, """ + ", ".join(f"{bin_sql(f, f)} AS {f}" for f in FEATS) + " FROM ft, qs), tk AS (" + " UNION ALL ".join(
-    f"SELECT {h} AS horizon, '{f}' AS feature, {f} AS x, LEAD(basis, {h}) OVER w AS y, basis AS yp, ctd_obi_1 AS z FROM bn WINDOW w AS (PARTITION BY d ORDER BY ep)"
-    for h in HORIZONS for f in TASKS) + "), ok AS (SELECT * FROM tk WHERE x IS NOT NULL AND y IS NOT NULL)"
+    f"SELECT {h} AS horizon, '{f}' AS feature, {f} AS x, LEAD(basis, {h}) OVER w AS y, LAG(basis) OVER w AS yp, basis AS z FROM bn WINDOW w AS (PARTITION BY d ORDER BY ep)"
+    for h in HORIZONS for f in TASKS) + "), ok AS (SELECT * FROM tk WHERE x IS NOT NULL AND y IS NOT NULL AND yp IS NOT NULL AND z IS NOT NULL)"
 
 
 def entropy(name, columns):
@@ -91,11 +88,11 @@ def _(t):
     return DS.feature_table(book, t.terms, ["basis", "basis_lag_2s", "basis_delta_2s", "ctd_spread"], S.WINDOW_OPEN, S.WINDOW_CLOSE, 300)
 
 
-MI_RUN_SQL = INFO.replace("), ok AS (SELECT * FROM tk WHERE", "), ok AS (SELECT * FROM tk WHERE ep IN (SELECT ep FROM pk) AND").replace("ctd_obi_1 AS z FROM bn", "ctd_obi_1 AS z, ep FROM bn").replace(
+MI_RUN_SQL = INFO.replace("), ok AS (SELECT * FROM tk WHERE", "), ok AS (SELECT * FROM tk WHERE ep IN (SELECT ep FROM pk) AND").replace("basis AS z FROM bn", "basis AS z, ep FROM bn").replace(
     ", qs AS (", """, pk AS (SELECT ep FROM (SELECT ep, ROW_NUMBER() OVER (ORDER BY md5('42:' || ep), ep) AS k, COUNT(*) OVER () AS n FROM ft) x WHERE k <= GREATEST(1, floor(n * 0.5))), qs AS (""", 1)
 MI_RUN_SQL += ", " + ", ".join(entropy(n, c) for n, c in (("x", "x"), ("y", "y"), ("xy", "x, y"))) + ", rk AS (" + " UNION ALL ".join(
-    f"SELECT {h} AS horizon, '{f}' AS feature, ep, {f} AS x, LEAD(basis, {h}) OVER w AS y FROM ft WINDOW w AS (PARTITION BY d ORDER BY ep)" for h in HORIZONS for f in TASKS) + """)
-     SELECT horizon, feature, n_samples, pc, NULL AS error, h_x.h + h_y.h - h_xy.h AS mi FROM (SELECT horizon, feature, COUNT(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n_samples, CORR(x, y) AS pc FROM rk
+    f"SELECT {h} AS horizon, '{f}' AS feature, ep, {f} AS x, LEAD(basis, {h}) OVER w AS y, basis AS z FROM ft WINDOW w AS (PARTITION BY d ORDER BY ep)" for h in HORIZONS for f in TASKS) + """)
+     SELECT horizon, feature, n_samples, pc, NULL AS error, h_x.h + h_y.h - h_xy.h AS mi FROM (SELECT horizon, feature, COUNT(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL) AS n_samples, CORR(x, y) FILTER (z IS NOT NULL) AS pc FROM rk
        WHERE ep IN (SELECT ep FROM pk) GROUP BY 1, 2) c JOIN h_x USING (horizon, feature) JOIN h_y USING (horizon, feature) JOIN h_xy USING (horizon, feature)"""
 
 
@@ -112,13 +109,14 @@ def _(t):
 def dataset(t):
     df = stage(features(t))
     target = X.target_shift(df.select("d", "ep", "basis"), "basis", 2, change=1).select("ep", "target")
-    sampled = df.where(F.col("ep") % 600 == 0).select("d", "ep")
+    sampled = sample_exact(df.select("d", "ep"), "ep", ratio=0.5)
     return DS.sampled_dataset(df, target, sampled, 0.6, 0.2)
 
 
 @query("xgb_dataset", "d:d ep:i basis:f basis_lag_2s:f irr:f ctd_obi_1:f target:f split:s", f"""
      WITH {FEAT_SQL}, tg AS (SELECT ep, LEAD(z, 2) OVER w AS target FROM (SELECT *, basis - LAG(basis) OVER w AS z FROM ft WINDOW w AS (PARTITION BY d ORDER BY ep)) y WINDOW w AS (PARTITION BY d ORDER BY ep)),
-     sm AS (SELECT ft.*, target FROM ft JOIN tg ON tg.ep = ft.ep WHERE target IS NOT NULL AND ft.ep % 600 = 0), r AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT d FROM sm) x)
+     pk AS (SELECT ep FROM (SELECT ep, ROW_NUMBER() OVER (ORDER BY md5('42:' || ep), ep) AS k, COUNT(*) OVER () AS n FROM ft) x WHERE k <= GREATEST(1, floor(n * 0.5))),
+     sm AS (SELECT ft.*, target FROM ft JOIN tg ON tg.ep = ft.ep JOIN pk ON pk.ep = ft.ep WHERE target IS NOT NULL), r AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT d FROM sm) x)
      SELECT sm.*, CASE WHEN i < floor(n * 0.6) THEN 'train' WHEN i < floor(n * (0.6e0 + 0.2e0)) THEN 'val' ELSE 'test' END AS split FROM sm JOIN r ON r.d = sm.d""")
 def _(t):
     return dataset(t)
@@ -178,7 +176,7 @@ def _(t):
 @query("greedy_selection", "iteration:i selected_feature:s gain:f train_rmse:f val_rmse:f train_r2:f val_r2:f")
 def _(t):
     df = model_table(t)
-    return M.greedy_selection(df.where("split = 'train'"), df.where("split = 'val'"), FEATS, "target", 2, trees=2, depth=2)
+    return M.greedy_selection(df.where("split = 'train'"), df.where("split = 'val'"), FEATS, "target", trees=2, depth=2)
 
 
 @query("permutation_importance", "feature:s loss_increase:f")

@@ -7,8 +7,9 @@ from tickloom import schema as S
 from tickloom.functions.expr import US
 from tickloom.operators import quality as Q
 
-P = S.book_columns(3, kinds=["price"])
-Z = S.book_columns(3, kinds=["size"])
+LEVELS = 10
+P = S.book_columns(LEVELS, kinds=["price"])
+Z = S.book_columns(LEVELS, kinds=["size"])
 OUT = "role:s d:d check_id:s columns:s n:i first_us:i last_us:i"
 INSIDE_SQL = "us % 86400000000 BETWEEN 32400000000 AND 61200000000"
 
@@ -29,17 +30,17 @@ SQL = {
     "dq_size_non_positive": [one("SIZE_NON_POSITIVE", [c], f"{c} <= 0") for c in Z],
     "dq_price_non_multiple": [one("PRICE_NON_MULTIPLE", [c], off(c, "price")) for c in P],
     "dq_size_non_multiple": [one("SIZE_NON_MULTIPLE", [c], off(c, "size")) for c in Z],
-    "dq_bid_order": [one("BID_ORDER", [f"l{i}_bid_price", f"l{i + 1}_bid_price"], f"l{i}_bid_price <= l{i + 1}_bid_price") for i in (1, 2)],
-    "dq_ask_order": [one("ASK_ORDER", [f"l{i}_ask_price", f"l{i + 1}_ask_price"], f"l{i}_ask_price >= l{i + 1}_ask_price") for i in (1, 2)],
+    "dq_bid_order": [one("BID_ORDER", [f"l{i}_bid_price", f"l{i + 1}_bid_price"], f"l{i}_bid_price <= l{i + 1}_bid_price") for i in range(1, LEVELS)],
+    "dq_ask_order": [one("ASK_ORDER", [f"l{i}_ask_price", f"l{i + 1}_ask_price"], f"l{i}_ask_price >= l{i + 1}_ask_price") for i in range(1, LEVELS)],
     "dq_crossed": [one("CROSSED", ["l1_bid_price", "l1_ask_price"], "l1_bid_price >= l1_ask_price")],
     "dq_price_size_partial": [one("PRICE_SIZE_PARTIAL", [f"l{i}_{s}_price", f"l{i}_{s}_size"], f"(l{i}_{s}_price IS NULL) <> (l{i}_{s}_size IS NULL)")
-                              for i in (1, 2, 3) for s in S.SIDES],
+                              for i in range(1, LEVELS + 1) for s in S.SIDES],
 }
 CHECKS = {
-    "dq_price_non_positive": lambda: Q.sign_checks("price"), "dq_size_non_positive": lambda: Q.sign_checks("size"),
-    "dq_price_non_multiple": lambda: Q.multiple_checks("price"), "dq_size_non_multiple": lambda: Q.multiple_checks("size"),
-    "dq_bid_order": lambda: Q.order_checks("bid"), "dq_ask_order": lambda: Q.order_checks("ask"),
-    "dq_crossed": Q.crossed_checks, "dq_price_size_partial": Q.partial_checks}
+    "dq_price_non_positive": lambda: Q.sign_checks("price", LEVELS), "dq_size_non_positive": lambda: Q.sign_checks("size", LEVELS),
+    "dq_price_non_multiple": lambda: Q.multiple_checks("price", LEVELS), "dq_size_non_multiple": lambda: Q.multiple_checks("size", LEVELS),
+    "dq_bid_order": lambda: Q.order_checks("bid", LEVELS), "dq_ask_order": lambda: Q.order_checks("ask", LEVELS),
+    "dq_crossed": Q.crossed_checks, "dq_price_size_partial": lambda: Q.partial_checks(LEVELS)}
 ALL = " UNION ALL ".join(s for part in SQL.values() for s in part)
 
 
@@ -55,7 +56,7 @@ for _name in SQL:
 
 @query("dq_issue_counts", "check_id:s issues:i days:i", f"SELECT check_id, SUM(n) AS issues, COUNT(DISTINCT d) AS days FROM ({ALL}) x GROUP BY check_id")
 def _(t):
-    return Q.issue_counts(Q.issues(t.lob, Q.consistency_checks()))
+    return Q.issue_counts(Q.issues(t.lob, Q.consistency_checks(t.lob)))
 
 
 @query("dq_normalization", "role:s d:d window_cut:i dropped_duplicates:i grid_missing:i unsorted:b", """
@@ -67,12 +68,12 @@ def _(t):
     return Q.normalization(t.lob)
 
 
-@query("dq_shape", "role:s d:d rows:i columns:i size:i", "SELECT role, d, COUNT(*) AS rows, 12 AS columns, COUNT(*) * 12 AS size FROM lob GROUP BY role, d")
+@query("dq_shape", "role:s d:d rows:i columns:i size:i", "SELECT role, d, COUNT(*) AS rows, 40 AS columns, COUNT(*) * 40 AS size FROM lob GROUP BY role, d")
 def _(t):
-    return Q.shape(t.lob, len(S.book_columns(3)))
+    return Q.shape(t.lob, len(S.book_columns(LEVELS)))
 
 
-SCOPES = {"book": S.book_columns(3), "level_1": S.book_columns(1), "level_1_bid": S.book_columns(1, ["bid"]), "level_1_ask": S.book_columns(1, ["ask"]),
+SCOPES = {"book": S.book_columns(LEVELS), "level_1": S.book_columns(1), "level_1_bid": S.book_columns(1, ["bid"]), "level_1_ask": S.book_columns(1, ["ask"]),
           **{c: [c] for c in S.book_columns(1)}}
 
 
@@ -120,7 +121,7 @@ def _(t):
     return Q.gaps(t.book1, GAP_SCOPES)
 
 
-CONS = f"SELECT DISTINCT d, role, check_id FROM ({ALL}) x WHERE n_inside > 0 AND NOT contains(columns, 'l3_')"
+CONS = f"SELECT DISTINCT d, role, check_id FROM ({ALL}) x WHERE n_inside > 0 AND NOT regexp_matches(columns, 'l([3-9]|10)_')"
 RELEVANT = S.book_columns(2)
 NANS = "SELECT d, role, 'NANS_LEVEL_1' AS check_id FROM lob GROUP BY d, role HAVING COUNT(*) FILTER (" + " AND ".join(
     f"{c} IS NULL" for c in S.book_columns(1)) + ") * 100e0 / COUNT(*) >= {0}"
@@ -138,7 +139,7 @@ def _inside():
 
 @query("crit_consistency", CRIT, CONS)
 def _(t):
-    return Q.critical_consistency(Q.issues(t.lob, Q.consistency_checks(), _inside()), RELEVANT)
+    return Q.critical_consistency(Q.issues(t.lob, Q.consistency_checks(t.lob), _inside()), RELEVANT)
 
 
 @query("crit_nans", CRIT, "SELECT d, role, 'NANS_LEVEL_1' AS check_id FROM lob GROUP BY d, role HAVING COUNT(*) FILTER (l1_bid_price IS NULL AND "

@@ -12,7 +12,7 @@ from tickloom.operators import profit as P
 from tickloom.sources import readers as R
 from tickloom.sources import sinks as K
 
-COLS = S.book_columns(3)
+COLS = S.book_columns(10)
 BOOK = "role:s us:i " + " ".join(f"{c}:f" for c in COLS)
 
 
@@ -61,12 +61,12 @@ def _(t):
 @query("scan_event_dates", "kind:s d:d", """
        SELECT 'rollover' AS kind, last_trading AS d FROM fut_metadata UNION SELECT 'delivery', delivery FROM fut_metadata
        UNION SELECT 'critical', d FROM excluded_raw WHERE kind = 'Critical' UNION SELECT 'extra', d FROM excluded_raw WHERE kind = 'Extra'
-       UNION SELECT 'switch', MIN(d) FROM daily_cf GROUP BY isin""")
+       UNION SELECT 'switch', d FROM (SELECT d, isin, LAG(isin) OVER (ORDER BY d) AS p FROM daily_cf) v WHERE isin IS DISTINCT FROM p""")
 def _(t):
     parts = [("rollover", t.fut_metadata, F.col("last_trading")), ("delivery", t.fut_metadata, F.col("delivery")),
              ("critical", t.excluded_raw.where("kind = 'Critical'"), F.col("d")),
              ("extra", t.excluded_raw.where("kind = 'Extra'"), F.col("d")),
-             ("switch", t.daily_cf.groupBy("isin").agg(F.min("d").alias("d")), F.col("d"))]
+             ("switch", D.switch_dates(t.daily_cf), F.col("d"))]
     out = None
     for kind, df, c in parts:
         one = R.event_dates(df, c).withColumn("kind", F.lit(kind))
@@ -248,10 +248,10 @@ def _(t):
     return keep_first(coarse, ["role", "m"], ["us", "event_id"])
 
 
-@query("conform_columns", "role:s us:i l1_bid_price:f l1_bid_size:f l1_ask_price:f l1_ask_size:f l4_bid_price:f",
-       "SELECT role, us, l1_bid_price, l1_bid_size, l1_ask_price, l1_ask_size, CAST(NULL AS DOUBLE) AS l4_bid_price FROM lob")
+@query("conform_columns", "role:s us:i l1_bid_price:f l1_bid_size:f l1_ask_price:f l1_ask_size:f l11_bid_price:f",
+       "SELECT role, us, l1_bid_price, l1_bid_size, l1_ask_price, l1_ask_size, CAST(NULL AS DOUBLE) AS l11_bid_price FROM lob")
 def _(t):
-    return R.conform(t.lob, S.book_columns(1) + ["l4_bid_price"], ["role", "us"])
+    return R.conform(t.lob, S.book_columns(1) + ["l11_bid_price"], ["role", "us"])
 
 
 @query("naive_dates", "role:s midnight:i n:i", "SELECT role, us - us % 86400000000 AS midnight, COUNT(*) AS n FROM lob GROUP BY 1, 2")
@@ -389,13 +389,13 @@ def _(t):
 
 
 @query("union_days", "part:s seed:i episode:i ep:i", """
-       SELECT 'train' AS part, seed, episode, ep FROM records WHERE episode <= 20 UNION ALL
-       SELECT 'test', seed, episode + m, ep FROM records JOIN (SELECT seed, MAX(episode) AS m FROM records WHERE episode <= 20 GROUP BY seed) USING (seed)
-       WHERE episode > 20""")
+       SELECT 'train' AS part, seed, episode, ep FROM records WHERE episode <= 19742 UNION ALL
+       SELECT 'test', seed, episode + m, ep FROM records JOIN (SELECT seed, MAX(episode) AS m FROM records WHERE episode <= 19742 GROUP BY seed) USING (seed)
+       WHERE episode > 19742""")
 def _(t):
     from tickloom.operators.report import append_episodes
 
-    return append_episodes(t.records.where("episode <= 20"), t.records.where("episode > 20"))
+    return append_episodes(t.records.where("episode <= 19742"), t.records.where("episode > 19742"))
 
 
 @query("date_set_ops", "op:s d:d", """

@@ -1,6 +1,5 @@
 """Window transforms, the feature language, formulas and statistical tests."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registry.base import query
@@ -169,9 +168,7 @@ def switch_sql(c):
 
 @query("switch_dates", "d:d isin:s cusip:s", f"{switch_sql('isin')} INTERSECT {switch_sql('cusip')}")
 def _(t):
-    w = Window.orderBy("d")  # one row per calendar day
-    changed = [~F.col(c).eqNullSafe(F.lag(c).over(w)) for c in ("isin", "cusip")]
-    return t.daily_cf.select("d", "isin", "cusip", (changed[0] & changed[1]).alias("hit")).where("hit")
+    return D.switch_dates(t.daily_cf)
 
 
 CROSS = """

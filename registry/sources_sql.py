@@ -58,7 +58,7 @@ TABLES: dict[str, str] = {
               FROM (SELECT *, CASE WHEN rn = 1 OR rr = 1 THEN 0 ELSE h % 3 - 1 END AS position, rr = 1 AS terminal
                     FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY seed, episode ORDER BY ep) AS rn,
                                  ROW_NUMBER() OVER (PARTITION BY seed, episode ORDER BY ep DESC) AS rr
-                          FROM (SELECT user_id % 3 AS seed, DAY(ts) AS episode, CAST(ts AS DATE) AS d,
+                          FROM (SELECT user_id % 3 AS seed, epoch_us(ts) // 86400000000 AS episode, CAST(ts AS DATE) AS d,
                                        epoch_us(ts) // 1000000 AS ep, (event_id * 7919 + user_id * 104729) % 1000003 AS h,
                                        ROW_NUMBER() OVER (PARTITION BY user_id % 3, epoch_us(ts) // 1000000
                                                           ORDER BY ts DESC, event_id DESC) AS k FROM events) a

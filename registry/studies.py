@@ -31,7 +31,7 @@ def horizon_sql(horizons, overnight=False):
     ok = ""
     if overnight:
         ok = """AND NOT EXISTS (SELECT 1 FROM fut_metadata f WHERE f.last_trading >= a.d AND f.last_trading < a.xd)
-                AND NOT EXISTS (SELECT 1 FROM (SELECT MIN(d) AS s FROM daily_cf GROUP BY isin) w WHERE w.s > a.d AND w.s <= a.xd)"""
+                AND NOT EXISTS (SELECT 1 FROM (SELECT d AS s FROM (SELECT d, isin, LAG(isin) OVER (ORDER BY d) AS p FROM daily_cf) v WHERE isin IS DISTINCT FROM p) w WHERE w.s > a.d AND w.s <= a.xd)"""
     return f"""{legs_sql()}, jn AS (SELECT a.*, h.horizon, (a.ep + h.horizon) AS xep, make_date(1970, 1, 1) + ((a.ep + h.horizon) // 86400)::INT AS xd,
           b.cb AS xcb, b.ca AS xca, b.fb AS xfb, b.fa AS xfa, b.le AS xle, b.se AS xse FROM lg a CROSS JOIN (VALUES {hz}) h(horizon)
           LEFT JOIN lg b ON b.ep = a.ep + h.horizon AND b.price_mode = a.price_mode AND b.contract_mode = a.contract_mode AND b.volume_mode = a.volume_mode),
@@ -53,7 +53,7 @@ def _(t):
 
 def _valid(t, horizons, configs=P.CONFIGS):
     rolls = t.fut_metadata.select(F.col("last_trading").alias("d"))
-    switches = t.daily_cf.groupBy("isin").agg(F.min("d").alias("d")).select("d")
+    switches = D.switch_dates(t.daily_cf).select("d")
     return P.invalidate_overnight(P.fixed_horizon(t.market5, horizons, configs, BONDS), rolls, switches)
 
 

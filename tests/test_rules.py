@@ -1,6 +1,7 @@
 """Edge rules of sources, dates, joins, coupons and quality checks on tiny tables."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -265,3 +266,53 @@ def test_hot_second_and_hot_role_collapse(spark):
 def test_latest_delivery_wins_per_key(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("a", 2, 3.0), ("b", 1, 4.0)], "k string, delivery_no int, x double")
     assert sorted(r.x for r in readers.merge_deliveries(df, ["k"]).collect()) == [2.0, 3.0, 4.0]
+
+
+def test_native_names_are_read(spark, tmp_path):
+    rows = [(dt.datetime(2024, 1, 2, 9), 100.0, 2.0, 99.5, float("nan"))]
+    raw = spark.createDataFrame(rows, "timestamp timestamp_ntz, `L1-BidPrice` double, `L1-AskSize` double, `L10-BidPrice` double, `L10-AskPrice` double")
+    raw.write.parquet(str(tmp_path / "a.parquet"))
+    book = readers.read_book(spark, str(tmp_path / "a.parquet"))
+    row = book.first()
+    assert book.columns == ["ts", *S.book_columns(10)]
+    assert (row.l1_bid_price, row.l1_ask_size, row.l10_bid_price, row.l10_ask_price, row.l5_bid_size) == (100.0, 2.0, 99.5, None, None)
+    raw.select("timestamp").withColumn("mid", F.lit(1.0)).write.parquet(str(tmp_path / "b.parquet"))
+    with pytest.raises(ValueError, match="no book column"):
+        readers.read_book(spark, str(tmp_path / "b.parquet"))
+
+
+def test_checks_keep_tickers_and_deep_levels_apart(spark):
+    base = {c: (100.005 if "price" in c else 1.0) for c in S.book_columns(10)}
+    for lv in range(1, 11):
+        base[f"l{lv}_bid_price"], base[f"l{lv}_ask_price"] = 100.005 - lv, 100.005 + lv
+    deep = {**base, "l9_bid_size": -1.0, "l10_ask_price": None}
+    rows = [(ticker, "fut", D1, 36_000_000_000, *values.values()) for ticker, values in (("fbtp", base), ("fbts", base), ("fbts", deep))]
+    book = spark.createDataFrame(rows, "ticker string, role string, d date, us long, " + ", ".join(f"{c} double" for c in base))
+    found = {(r.ticker, r.check_id): r.n for r in Q.issues(book, Q.consistency_checks(book)).groupBy("ticker", "check_id").agg(F.sum("n").alias("n")).collect()}
+    # The half tick is a defect of the long future only; the deep defects belong to the short one.
+    assert found == {("fbtp", "PRICE_NON_MULTIPLE"): 20, ("fbts", "SIZE_NON_POSITIVE"): 1, ("fbts", "PRICE_SIZE_PARTIAL"): 1}
+    nulls = {(r.ticker, r.scope): r.n_null for r in Q.null_stats(book).collect()}
+    assert nulls["fbts", "book"] == 1 and nulls["fbtp", "book"] == 0
+    quotes = book.withColumn("ep", F.lit(36_000)).unionByName(book.withColumns({"ep": F.lit(36_000), "role": F.lit("ctd")}))
+    assert G.snap_roles(quotes, 1).count() == 2 and G.join_roles(quotes.dropDuplicates(["ticker", "role"])).count() == 2
+
+
+def test_switch_dates_count_a_bond_that_comes_back(spark):
+    days = [dt.date(2024, 1, i) for i in range(1, 6)]
+    daily = spark.createDataFrame([(d, i, c) for d, i, c in zip(days, "AABBA", "XXYYX")], "d date, isin string, cusip string")
+    assert [r.d.day for r in D.switch_dates(daily).orderBy("d").collect()] == [1, 3, 5]
+    with pytest.raises(ValueError, match="do not change together"):
+        D.switch_dates(daily.withColumn("cusip", F.lit("X")))
+
+
+def test_late_rows_are_not_lost_in_silence(spark, tmp_path):
+    schema = "us long, role string, l1_bid_price double"
+    day = 86_400_000_000
+    for n, shift in enumerate((0, 2 * day, -2 * day)):
+        spark.createDataFrame([(3 * day + shift + i * 1_000_000, "ctd", float(n)) for i in range(5)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    whole = ST.latest(ST.run_to_table(ST.stream_snap(read(), ["role"], 60, "30 days"), "update"), ["role", "ep"])
+    assert whole.count() == 3
+    with pytest.raises(ValueError, match="later than the delay"):
+        ST.run_to_table(ST.stream_snap(read(), ["role"], 60, "1 minute"), "update")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import US, col, div
@@ -20,6 +20,21 @@ def excluded_dates(raw: DataFrame, kinds=tuple(DATE_MARGINS)) -> DataFrame:
     return expand_dates(raw.where(F.col("kind").isin(*kinds)), F.col("days_before"), F.col("days_after"))
 
 
+def switch_dates(daily: DataFrame) -> DataFrame:
+    """Days on which the bond changes, the first day included: columns d, isin, cusip.
+
+    A bond that comes back counts again.  Raises when ISIN and CUSIP do not change on the
+    same days; that check runs at once, over one row per calendar day.
+    """
+    w = Window.orderBy("d")
+    isin, cusip = (~F.col(c).eqNullSafe(F.lag(c).over(w)) for c in ("isin", "cusip"))
+    changed = daily.select("d", "isin", "cusip", isin.alias("_i"), cusip.alias("_c"))
+    wrong = changed.where("_i <> _c").orderBy("d").first()
+    if wrong:
+        raise ValueError(f"{wrong['d']}: ISIN and CUSIP do not change together")
+    return changed.where("_i").drop("_i", "_c")
+
+
 def drop_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
     """Anti-join; a date list holds at most one row per calendar day, so it is broadcast."""
     return df.join(F.broadcast(dates.select("d").distinct()), "d", "left_anti")

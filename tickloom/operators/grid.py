@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import US, day_of
+from tickloom.schema import market_keys
 
 
 def _bin(step_s: int):
@@ -29,13 +30,15 @@ def snap_roles(df: DataFrame, step_s: int) -> DataFrame:
     """Last level-1 quotes of bond and future per bin in which both are quoted, side by side.
 
     Same result as snapping each role and joining them, from one scan and one shuffle.
+    Markets of a table with a ticker stay apart.
     """
+    keys = market_keys(df)
     aggs = []
     for role in ("ctd", "fut"):
         when = F.when(F.col("role") == role, F.col("us"))
         aggs += [F.max_by(f"l1_{s}_{k}", when).alias(f"{role}_{s}_{k}") for k in ("price", "size") for s in ("bid", "ask")]
         aggs.append(F.max(when).alias(f"_{role}"))
-    both = df.groupBy(_bin(step_s).alias("ep")).agg(*aggs).where("_ctd IS NOT NULL AND _fut IS NOT NULL")
+    both = df.groupBy(*keys, _bin(step_s).alias("ep")).agg(*aggs).where("_ctd IS NOT NULL AND _fut IS NOT NULL")
     return both.drop("_ctd", "_fut").withColumn("d", day_of("ep"))
 
 
@@ -64,11 +67,13 @@ def resample_last(df: DataFrame, keys: list[str], step_s: int, values: list[str]
 
 def join_roles(grid: DataFrame) -> DataFrame:
     """Level-1 quotes of bond and future on their common timestamps, one wide row each."""
+    keys = [*market_keys(grid), "ep"]
+
     def side(role):
         names = [F.col(f"l1_{s}_{k}").alias(f"{role}_{s}_{k}") for k in ("price", "size") for s in ("bid", "ask")]
-        return grid.where(F.col("role") == role).select("ep", *names)
+        return grid.where(F.col("role") == role).select(*keys, *names)
 
-    return side("ctd").join(side("fut"), "ep").withColumn("d", day_of("ep"))
+    return side("ctd").join(side("fut"), keys).withColumn("d", day_of("ep"))
 
 
 def align_daily(df: DataFrame, daily: DataFrame, on: str = "d") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import div
-from tickloom.operators.ordered import exact_quantiles, hash_text, running, sample_exact
+from tickloom.operators.ordered import exact_quantiles, hash_text, running
+from tickloom.sources.sinks import stage
 
 
 def match_xy(x: DataFrame, y: DataFrame, on, target: str, drop_null_features: bool = False) -> DataFrame:
@@ -41,9 +42,23 @@ def classify(target: str, edges: list[float]) -> Column:
 # ---- information measures
 
 
+def information_tasks(df: DataFrame, horizons, targets: list[str], features: list[str]) -> DataFrame:
+    """One row per (horizon, target, feature, time): x the feature now, y the target ``horizon`` rows later, z the target now.
+
+    ``df`` has d, ep and the columns; a later target is one of the same day.
+    """
+    w = Window.partitionBy("d").orderBy("ep")
+    wide = df.select("*", *[F.lead(c, h).over(w).alias(f"_y{h}_{c}") for h in horizons for c in targets])
+    cells = [F.struct(F.lit(h).alias("horizon"), F.lit(c).alias("target"), F.lit(f).alias("feature"), F.col(f).alias("x"), F.col(f"_y{h}_{c}").alias("y"), F.col(c).alias("z"))
+             for h in horizons for c in targets for f in features if f != c]
+    return wide.select("d", "ep", F.explode(F.array(*cells)).alias("c")).select("d", "ep", "c.*")
+
+
 def pearson(long: DataFrame, keys: list[str], x: str, y: str, least: int = 10) -> DataFrame:
-    """Correlation per task; tasks with fewer valid rows carry an error text."""
+    """Correlation per task over rows with x, y and, if there is one, z; tasks with fewer rows carry an error text."""
     ok = F.col(x).isNotNull() & F.col(y).isNotNull()
+    if "z" in long.columns:
+        ok = ok & F.col("z").isNotNull()
     g = long.groupBy(*keys).agg(F.count_if(ok).alias("n_samples"), F.corr(F.when(ok, F.col(x)), F.when(ok, F.col(y))).alias("_r"))
     few = F.col("n_samples") < least
     return g.withColumns({"pc": F.when(~few, F.col("_r")), "error": F.when(few, F.lit("too few samples"))}).drop("_r")
@@ -59,10 +74,11 @@ def _entropy_sum(counts: DataFrame, keys: list[str], variables: list[str]) -> Da
 def information(binned: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
     """Plug-in information measures of binned x, future y, past y (yp) and condition z.
 
-    Rows shrink at once to counts per cell (bins ** 4 per task at most); every entropy is
-    an aggregate of those counts.  MI(x;y), CMI(x;y|z), TE = I(x; y | yp), CTE = I(x; y | yp, z).
+    Rows with any of the four missing are left out.  Rows shrink at once to counts per cell
+    (bins ** 4 per task at most); every entropy is an aggregate of those counts.
+    MI(x;y), CMI(x;y|z), TE = I(x; y | yp), CTE = I(x; y | yp, z).
     """
-    counts = binned.dropna(subset=["x", "y"]).groupBy(*keys, "x", "y", "yp", "z").agg(F.count("*").alias("_n"))
+    counts = binned.dropna(subset=["x", "y", "yp", "z"]).groupBy(*keys, "x", "y", "yp", "z").agg(F.count("*").alias("_n"))
     wanted = {"x": "x", "y": "y", "xy": "x y", "z": "z", "xz": "x z", "yz": "y z", "xyz": "x y z", "p": "yp", "xp": "x yp", "yp": "y yp",
               "xyp": "x y yp", "pz": "yp z", "xpz": "x yp z", "ypz": "y yp z", "xypz": "x y yp z"}
     cells = F.array(*[F.struct(F.lit(n).alias("w"), *[(F.col(v) if v in vs.split() else F.lit(None).cast("int")).alias(v) for v in ("x", "y", "yp", "z")])
@@ -264,13 +280,13 @@ def tune_grid(folded: DataFrame, features: list[str], label: str, grid: list[dic
     return scores.groupBy("params").agg(F.avg("rmse").alias("rmse"), F.count("*").alias("fits"))
 
 
-def greedy_selection(train: DataFrame, val: DataFrame, features: list[str], label: str, most: int, trees: int = 3, depth: int = 3) -> DataFrame:
-    """Rank features on the residual, add the best, refit and score, until ``most`` are chosen."""
+def greedy_selection(train: DataFrame, val: DataFrame, features: list[str], label: str, trees: int = 3, depth: int = 3) -> DataFrame:
+    """Rank features on the residual, add the best, refit and score, until no feature is left."""
     from pyspark.ml.regression import GBTRegressor
 
     left, chosen, rows = list(features), [], []
     residual = train.withColumn("_res", F.col(label).cast("double"))
-    while left and len(chosen) < most:
+    while left:
         ranker = GBTRegressor(maxIter=trees, maxDepth=depth, seed=1).fit(assemble(residual, left, "_res"))
         best, gain = max(zip(left, ranker.featureImportances.toArray()), key=lambda p: p[1])
         chosen.append(best)
@@ -286,16 +302,24 @@ def greedy_selection(train: DataFrame, val: DataFrame, features: list[str], labe
     return train.sparkSession.createDataFrame(rows, schema)
 
 
-def permutation_importance(df: DataFrame, features: list[str], label: str, key: str, rows: int = 2500, seed: int = 42) -> DataFrame:
-    """Loss increase when one column is permuted over a fixed-size sample, for a boosted-tree model."""
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """``df`` with ``_i``, the row's place in the order of a seeded hash of its key, counted by hash prefix."""
+    rows = df.withColumn("_h", hash_text(key, seed)).withColumn("_p", F.substring("_h", 1, 3)).withColumn("_one", F.lit(1))
+    return running(rows, [], "_p", ["_h", key], {"_i": "_one"}).drop("_h", "_p", "_one")
+
+
+def permutation_importance(df: DataFrame, features: list[str], label: str, key: str, seed: int = 42) -> DataFrame:
+    """Loss increase when one column is permuted over all rows, for a boosted-tree model.
+
+    The permutation pairs two seeded hash orders of the whole table; 4,096 hash prefixes are
+    ordered in parallel.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     model = GBTRegressor(maxIter=3, maxDepth=3, seed=1).fit(assemble(df, features, label))
-    sample = sample_exact(df.dropna(subset=[*features, label]).select(key, *features, label), key, size=rows, seed=seed)
-    by_hash = lambda s: Window.partitionBy(F.lit(0)).orderBy(hash_text(key, s), key)  # at most ``rows`` rows
-    base = sample.withColumn("_i", F.row_number().over(by_hash(seed)))
-    mixed = sample.withColumn("_i", F.row_number().over(by_hash(seed + 1)))
+    rows = df.dropna(subset=[*features, label]).select(key, *features, label)
+    base, mixed = stage(shuffled(rows, key, seed)), stage(shuffled(rows, key, seed + 1))
     vec = VectorAssembler(inputCols=features, outputCol="features")
     out = None
     for f in [None, *features]:

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.expr import US, all_of, any_of, close_to, sod
 from tickloom.operators.ordered import day_window, islands
-from tickloom.schema import CONTRACTS, SIDES, WINDOW_CLOSE, WINDOW_OPEN, book_column, book_columns
+from tickloom.schema import CONTRACTS, SIDES, TICKER_CONTRACTS, WINDOW_CLOSE, WINDOW_OPEN, book_column, book_columns, book_levels, market_keys
 
-LEVELS = 3
 GAP_SECONDS = 60
 NULL_PERCENT = 25.0
 
@@ -27,30 +26,36 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row")).select(*keys, "row.*")
 
 
-def tick_of(kind: str) -> Column:
-    """Price or size tick of the row's role."""
+def series_keys(df: DataFrame) -> list[str]:
+    return [*market_keys(df), "role"]
+
+
+def tick_of(kind: str, by_ticker: bool = False) -> Column:
+    """Price or size tick of the row's contract."""
     out = F.lit(None).cast("double")
-    for role, c in CONTRACTS.items():
-        out = F.when(F.col("role") == role, c.price_tick if kind == "price" else c.size_tick).otherwise(out)
+    terms = {(None, role): c for role, c in CONTRACTS.items()} if not by_ticker else TICKER_CONTRACTS
+    for (ticker, role), c in terms.items():
+        mine = F.col("role") == role if ticker is None else (F.col("role") == role) & (F.col("ticker") == ticker)
+        out = F.when(mine, c.price_tick if kind == "price" else c.size_tick).otherwise(out)
     return out
 
 
-def off_multiple(column: str, kind: str) -> Column:
-    q = F.col(column) / tick_of(kind)
+def off_multiple(column: str, kind: str, by_ticker: bool = False) -> Column:
+    q = F.col(column) / tick_of(kind, by_ticker)
     return ~close_to(q, F.rint(q))
 
 
-def sign_checks(kind: str) -> list[Check]:
-    return [(f"{kind.upper()}_NON_POSITIVE", [c], F.col(c) <= 0) for c in book_columns(LEVELS, kinds=[kind])]
+def sign_checks(kind: str, levels: int) -> list[Check]:
+    return [(f"{kind.upper()}_NON_POSITIVE", [c], F.col(c) <= 0) for c in book_columns(levels, kinds=[kind])]
 
 
-def multiple_checks(kind: str) -> list[Check]:
-    return [(f"{kind.upper()}_NON_MULTIPLE", [c], off_multiple(c, kind)) for c in book_columns(LEVELS, kinds=[kind])]
+def multiple_checks(kind: str, levels: int, by_ticker: bool = False) -> list[Check]:
+    return [(f"{kind.upper()}_NON_MULTIPLE", [c], off_multiple(c, kind, by_ticker)) for c in book_columns(levels, kinds=[kind])]
 
 
-def order_checks(side: str) -> list[Check]:
+def order_checks(side: str, levels: int) -> list[Check]:
     out = []
-    for lv in range(1, LEVELS):
+    for lv in range(1, levels):
         a, b = book_column(lv, side, "price"), book_column(lv + 1, side, "price")
         wrong = F.col(a) <= F.col(b) if side == "bid" else F.col(a) >= F.col(b)
         out.append((f"{side.upper()}_ORDER", [a, b], wrong))
@@ -62,38 +67,41 @@ def crossed_checks() -> list[Check]:
     return [("CROSSED", [a, b], F.col(a) >= F.col(b))]
 
 
-def partial_checks() -> list[Check]:
+def partial_checks(levels: int) -> list[Check]:
     out = []
-    for lv in range(1, LEVELS + 1):
+    for lv in range(1, levels + 1):
         for side in SIDES:
             p, s = book_column(lv, side, "price"), book_column(lv, side, "size")
             out.append(("PRICE_SIZE_PARTIAL", [p, s], F.col(p).isNull() != F.col(s).isNull()))
     return out
 
 
-def consistency_checks() -> list[Check]:
-    return [*sign_checks("price"), *sign_checks("size"), *multiple_checks("price"), *multiple_checks("size"),
-            *order_checks("bid"), *order_checks("ask"), *crossed_checks(), *partial_checks()]
+def consistency_checks(book: DataFrame) -> list[Check]:
+    """All checks for the levels that the book has."""
+    n, by_ticker = book_levels(book), bool(market_keys(book))
+    return [*sign_checks("price", n), *sign_checks("size", n), *multiple_checks("price", n, by_ticker), *multiple_checks("size", n, by_ticker),
+            *order_checks("bid", n), *order_checks("ask", n), *crossed_checks(), *partial_checks(n)]
 
 
 def issues(df: DataFrame, checks: list[Check], inside: Column | None = None) -> DataFrame:
-    """(role, d, check_id, columns, n, n_inside, first_us, last_us) for every check that fired.
+    """(role, d, check_id, columns, n, n_inside, first_us, last_us) for every check that fired, per ticker if there is one.
 
     ``inside`` marks rows of the analysis window; its count decides criticality later.
     """
+    keys = [*series_keys(df), "d"]
     fired = F.array_compact(F.array(*[F.when(flag, F.lit(i)) for i, (_, _, flag) in enumerate(checks, 1)]))
-    hits = df.select("role", "d", "us", (F.lit(True) if inside is None else inside).alias("_in"), F.explode(fired).alias("_i"))
-    counts = hits.groupBy("role", "d", "_i").agg(
+    hits = df.select(*keys, "us", (F.lit(True) if inside is None else inside).alias("_in"), F.explode(fired).alias("_i"))
+    counts = hits.groupBy(*keys, "_i").agg(
         F.count("*").alias("n"), F.count_if("_in").alias("n_inside"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
     names = F.array(*[F.struct(F.lit(name).alias("check_id"), F.array(*[F.lit(c) for c in columns]).alias("columns")) for name, columns, _ in checks])
-    return counts.withColumn("_c", F.element_at(names, F.col("_i"))).select("role", "d", "_c.check_id", "_c.columns", "n", "n_inside", "first_us", "last_us")
+    return counts.withColumn("_c", F.element_at(names, F.col("_i"))).select(*keys, "_c.check_id", "_c.columns", "n", "n_inside", "first_us", "last_us")
 
 
 def issue_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("check_id").agg(F.sum("n").alias("issues"), F.countDistinct("d").alias("days"))
 
 
-def scopes(levels: int = LEVELS) -> dict[str, list[str]]:
+def scopes(levels: int) -> dict[str, list[str]]:
     """Column sets the integrity statistics are reported for."""
     out = {"book": book_columns(levels), "level_1": book_columns(1)}
     for side in SIDES:
@@ -104,15 +112,15 @@ def scopes(levels: int = LEVELS) -> dict[str, list[str]]:
 
 
 def _per_scope(df: DataFrame, cell) -> DataFrame:
-    named = scopes()
-    per_day = df.groupBy("role", "d").agg(*[cell(name, cols).alias(f"s{i}") for i, (name, cols) in enumerate(named.items())])
+    named, keys = scopes(book_levels(df)), [*series_keys(df), "d"]
+    per_day = df.groupBy(*keys).agg(*[cell(name, cols).alias(f"s{i}") for i, (name, cols) in enumerate(named.items())])
     rows = F.array(*[f"s{i}" for i in range(len(named))])
-    return per_day.select("role", "d", F.inline(rows))
+    return per_day.select(*keys, F.inline(rows))
 
 
 def shape(df: DataFrame, n_columns: int) -> DataFrame:
     n = F.count("*")
-    return df.groupBy("role", "d").agg(n.alias("rows"), F.lit(n_columns).alias("columns"), (n * n_columns).alias("size"))
+    return df.groupBy(*series_keys(df), "d").agg(n.alias("rows"), F.lit(n_columns).alias("columns"), (n * n_columns).alias("size"))
 
 
 def null_stats(df: DataFrame) -> DataFrame:
@@ -141,16 +149,17 @@ def gaps(book: DataFrame, wanted: tuple[str, ...] = ("level_1",)) -> DataFrame:
 
     ``book`` has one row per second, so a (role, day) window holds at most 86,400 rows.
     """
-    named = {k: v for k, v in scopes().items() if k in wanted}
-    w = day_window()
-    parts = book.select("role", "d", "ep", *[all_of(F.col(c).isNull() for c in cols).alias(f"_e_{k}") for k, cols in named.items()])
+    named = {k: v for k, v in scopes(book_levels(book)).items() if k in wanted}
+    keys = [*series_keys(book), "d"]
+    w = day_window(keys)
+    parts = book.select(*keys, "ep", *[all_of(F.col(c).isNull() for c in cols).alias(f"_e_{k}") for k, cols in named.items()])
     ids = parts
     for k in named:
         change = F.lag(f"_e_{k}").over(w) != F.col(f"_e_{k}")
-        ids = islands(ids, ["role", "d"], "ep", change, f"_i_{k}")
+        ids = islands(ids, keys, "ep", change, f"_i_{k}")
     cells = F.array(*[F.struct(F.lit(k).alias("scope"), F.col(f"_e_{k}").alias("empty"), F.col(f"_i_{k}").alias("island")) for k in named])
-    long = ids.select("role", "d", "ep", F.inline(cells)).where("empty")
-    return long.groupBy("role", "d", "scope", "island").agg(
+    long = ids.select(*keys, "ep", F.inline(cells)).where("empty")
+    return long.groupBy(*keys, "scope", "island").agg(
         F.min("ep").alias("first_ep"), F.max("ep").alias("last_ep"), F.count("*").alias("rows")).drop("island")
 
 
@@ -160,6 +169,7 @@ def normalization(df: DataFrame) -> DataFrame:
     File order is the event id.  Seconds are compared with their predecessor by lowest and
     highest id, so the day window sees one row per second; order inside a second is not checked.
     """
+    keys = [*series_keys(df), "d"]
     us = F.pmod(F.col("us"), F.lit(86_400 * US))
     opens, closes = F.lit(0).cast("long"), F.lit(0).cast("long")
     for role, c in CONTRACTS.items():
@@ -167,14 +177,14 @@ def normalization(df: DataFrame) -> DataFrame:
         closes = F.when(F.col("role") == role, c.closes).otherwise(closes)
     inside = us.between(opens * US, closes * US)
     second = F.floor(F.col("us") / US)
-    per_second = df.groupBy("role", "d", second.alias("s")).agg(
+    per_second = df.groupBy(*keys, second.alias("s")).agg(
         F.count_if(~inside).alias("_out"), F.count_if(inside).alias("_in"),
         F.min("event_id").alias("_lo"), F.max("event_id").alias("_hi"), F.count("*").alias("_n"))
-    w = Window.partitionBy("role", "d").orderBy("s")
+    w = Window.partitionBy(*keys).orderBy("s")
     late = F.coalesce(F.lag("_hi").over(w) > F.col("_lo"), F.lit(False))
     per_second = per_second.withColumn("_late", late)
     grid = closes - opens + 1
-    out = per_second.groupBy("role", "d").agg(
+    out = per_second.groupBy(*keys).agg(
         F.sum("_out").alias("window_cut"), F.sum(F.greatest(F.col("_in") - 1, F.lit(0))).alias("dropped_duplicates"),
         F.count_if(F.col("_in") > 0).alias("_have"), F.bool_or("_late").alias("unsorted"))
     return out.withColumn("grid_missing", grid - F.col("_have")).drop("_have")
@@ -184,7 +194,7 @@ def normalization(df: DataFrame) -> DataFrame:
 
 
 def _found(df: DataFrame, check: Column | str) -> DataFrame:
-    return df.select("d", "role", (F.lit(check) if isinstance(check, str) else check).alias("check_id")).distinct()
+    return df.select(*market_keys(df), "d", "role", (F.lit(check) if isinstance(check, str) else check).alias("check_id")).distinct()
 
 
 def critical_consistency(found: DataFrame, relevant: list[str]) -> DataFrame:
@@ -213,7 +223,7 @@ def critical_gaps(gap_rows: DataFrame, opens: int = WINDOW_OPEN, closes: int = W
 
 def find_criticalities(lob: DataFrame, book: DataFrame, relevant: list[str]) -> DataFrame:
     inside = F.pmod(F.col("us"), F.lit(86_400 * US)).between(WINDOW_OPEN * US, WINDOW_CLOSE * US)
-    parts = [critical_consistency(issues(lob, consistency_checks(), inside), relevant), critical_nulls(null_stats(lob)),
+    parts = [critical_consistency(issues(lob, consistency_checks(lob), inside), relevant), critical_nulls(null_stats(lob)),
              critical_window(valid_range(lob)), critical_gaps(gaps(book))]
     out = parts[0]
     for p in parts[1:]:

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import micro
 from tickloom.operators.ordered import day_window
-from tickloom.schema import ROLES, SIDES
+from tickloom.schema import ROLES, SIDES, book_levels, market_keys
 
 FLOW_LEVELS = (1, 2, 3)
 
 
-def role_features(role: str, levels: int = 10) -> dict[str, Callable[[], Column]]:
+def role_features(role: str, levels: int = 10, keys=()) -> dict[str, Callable[[], Column]]:
     """Builders of every base feature of one role; flows look at the previous row of the day."""
-    w = lambda: day_window(("role", "d"))
+    w = lambda: day_window((*keys, "role", "d"))
     out: dict[str, Callable[[], Column]] = {}
     for kind, get in (("price", micro.price), ("size", micro.size)):
         for side in SIDES:
@@ -49,19 +49,19 @@ def base_ids(levels: int = 10) -> list[str]:
     return out
 
 
-def load_feature(book: DataFrame, base_id: str, levels: int = 3) -> DataFrame:
-    """One base feature of the role named in its id."""
+def load_feature(book: DataFrame, base_id: str) -> DataFrame:
+    """One base feature of the role named in its id, for any level that the book has."""
     role = base_id.split("_", 1)[0]
-    columns = role_features(role, levels)
+    columns = role_features(role, book_levels(book), market_keys(book))
     if base_id not in columns:
         raise ValueError(f"unknown base feature {base_id!r}")
-    return book.where(F.col("role") == role).select("role", "d", "ep", columns[base_id]().alias(base_id))
+    return book.where(F.col("role") == role).select(*market_keys(book), "role", "d", "ep", columns[base_id]().alias(base_id))
 
 
-def role_table(book: DataFrame, role: str, ids: list[str], levels: int = 3) -> DataFrame:
+def role_table(book: DataFrame, role: str, ids: list[str]) -> DataFrame:
     """All wanted features of a role in one projection, hence one scan and one window sort."""
-    columns = role_features(role, levels)
-    return book.where(F.col("role") == role).select("ep", *[columns[i]().alias(i) for i in ids])
+    columns = role_features(role, book_levels(book), market_keys(book))
+    return book.where(F.col("role") == role).select(*market_keys(book), "ep", *[columns[i]().alias(i) for i in ids])
 
 
 def join_series(series: dict[str, DataFrame]) -> DataFrame:
@@ -73,7 +73,7 @@ def join_series(series: dict[str, DataFrame]) -> DataFrame:
     return long.groupBy("ep").agg(*[F.max(F.when(F.col("n") == n, F.col("v"))).alias(n) for n in series])
 
 
-def market_features(book: DataFrame, terms: DataFrame, ids: list[str], levels: int = 3) -> DataFrame:
+def market_features(book: DataFrame, terms: DataFrame, ids: list[str]) -> DataFrame:
     """Wide table (d, ep, ids) over the common times of both roles, with basis and implied repo rate.
 
     ``terms`` holds the day's cf and repo-rate terms.  Each role is one projection over
@@ -84,8 +84,8 @@ def market_features(book: DataFrame, terms: DataFrame, ids: list[str], levels: i
 
     wanted = [i for i in ids if i not in ("basis", "irr")]
     need = list(dict.fromkeys([*wanted, "ctd_mid_price", "fut_mid_price"]))
-    sides = [role_table(book, r, [i for i in need if i.startswith(r + "_")], levels) for r in ROLES]
-    df = sides[0].join(sides[1], "ep").withColumn("d", day_of("ep")).join(F.broadcast(terms), "d")
+    sides = [role_table(book, r, [i for i in need if i.startswith(r + "_")]) for r in ROLES]
+    df = sides[0].join(sides[1], [*market_keys(book), "ep"]).withColumn("d", day_of("ep")).join(F.broadcast(terms), "d")
     bond, future = F.col("ctd_mid_price"), F.col("fut_mid_price")
     df = df.withColumns({"basis": bond - F.col("cf") * future, "irr": irr_column(bond, future)})
-    return df.select("d", "ep", *ids)
+    return df.select(*market_keys(book), "d", "ep", *ids)

@@ -7,6 +7,7 @@ no session time zone can shift them.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from itertools import product
 
@@ -39,6 +40,10 @@ LONG_FUTURE = Contract(100.0, 100_000.0, 0.01, 1.0, 8 * 3600, 19 * 3600)
 SHORT_FUTURE = Contract(100.0, 100_000.0, 0.005, 1.0, 8 * 3600, 19 * 3600)
 CONTRACTS = {"ctd": BOND, "fut": LONG_FUTURE}
 
+# The contract of each role by future; tables without a ticker are about the first.
+TICKERS = ("fbtp", "fbts")
+TICKER_CONTRACTS = {("fbtp", "ctd"): BOND, ("fbtp", "fut"): LONG_FUTURE, ("fbts", "ctd"): BOND, ("fbts", "fut"): SHORT_FUTURE}
+
 # Analysis window, both ends inclusive.
 WINDOW_OPEN = 9 * 3600
 WINDOW_CLOSE = 17 * 3600
@@ -58,6 +63,19 @@ def book_columns(levels=3, sides=SIDES, kinds=KINDS) -> list[str]:
     return [book_column(lv, sd, kd) for lv, sd, kd in product(levels, sides, kinds)]
 
 
+def book_levels(df) -> int:
+    """Number of levels of a book table, from its columns."""
+    found = [int(m[1]) for c in df.columns if (m := re.fullmatch(r"l(\d+)_(?:bid|ask)_(?:price|size)", c))]
+    if not found:
+        raise ValueError("the table has no book column")
+    return max(found)
+
+
+def market_keys(df) -> list[str]:
+    """The key of a market beside time: its ticker, where the table has one."""
+    return ["ticker"] if "ticker" in df.columns else []
+
+
 def require_columns(df, names) -> None:
     missing = sorted(set(names) - set(df.columns))
     if missing:

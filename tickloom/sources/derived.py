@@ -19,6 +19,18 @@ from tickloom.operators.grid import snap, snap_roles
 from tickloom.sources.sinks import stage
 from tickloom.sources.static import BOND_COLUMNS, CTD_BONDS, EXCLUDED, EXCLUDED_COLUMNS, FUTURE_COLUMNS, FUTURES, values_sql
 
+def deep_levels() -> str:
+    """Levels 4 to 10 of the derived book, with one planted defect each: wrong price order, non-positive size, off-tick price, missing size."""
+    out = []
+    for lv in range(4, 11):
+        bid, ask = f"mid_c - half - {lv - 1} * (1 + h % 2)", f"mid_c + half + {lv - 1} * (1 + h % 2)"
+        out.append(f" CAST({bid} + CASE WHEN h % {60 + lv} = 0 THEN 40 ELSE 0 END AS DOUBLE) / 100.0 AS l{lv}_bid_price")
+        out.append(f" CASE WHEN h % {80 + lv} = 0 THEN NULL WHEN h % {70 + lv} = 0 THEN 0.0E0 ELSE CAST(1 + (h + {lv}) % 9 AS DOUBLE) * 0.5 END AS l{lv}_bid_size")
+        out.append(f" CAST({ask} AS DOUBLE) / 100.0 + CASE WHEN h % {90 + lv} = 0 THEN 0.005 ELSE 0.0 END AS l{lv}_ask_price")
+        out.append(f" CAST(1 + (h * {lv + 1}) % 7 AS DOUBLE) * 0.5 AS l{lv}_ask_size")
+    return ",\n".join(out)
+
+
 # Text that runs unchanged on Spark and on DuckDB.
 LOB = """
 SELECT event_id, ts, d, role,
@@ -35,7 +47,8 @@ SELECT event_id, ts, d, role,
  CAST(mid_c - half - 2 * (1 + h % 2) AS DOUBLE) / 100.0 AS l3_bid_price,
  CAST(1 + (h + 3) % 9 AS DOUBLE) * 0.5 AS l3_bid_size,
  CAST(mid_c + half + 2 * (1 + h % 2) AS DOUBLE) / 100.0 AS l3_ask_price,
- CAST(1 + (h * 4) % 7 AS DOUBLE) * 0.5 AS l3_ask_size
+ CAST(1 + (h * 4) % 7 AS DOUBLE) * 0.5 AS l3_ask_size,
+""" + deep_levels() + """
 FROM (SELECT *, 1 + h % 3 AS half FROM (
  SELECT event_id, ts, CAST(ts AS DATE) AS d, CASE WHEN user_id % 2 = 0 THEN 'ctd' ELSE 'fut' END AS role,
         (event_id * 7919 + user_id * 104729) % 1000003 AS h,
@@ -101,7 +114,7 @@ class Tables:
 
     @cached_property
     def lob(self) -> DataFrame:
-        """Raw three-level book snapshots, defects included."""
+        """Raw ten-level book snapshots, defects included."""
         return self._sql(LOB).withColumn("us", epoch_us("ts"))
 
     def stream_lob(self) -> DataFrame:
@@ -187,12 +200,12 @@ class Tables:
 
     @cached_property
     def records(self) -> DataFrame:
-        """Trading records: at most one decision per seed and second, one episode per day."""
+        """Trading records: at most one decision per seed and second, one episode per calendar day."""
         e = F.col("event_id")
         steps = self.events.select(
             (F.col("user_id") % 3).alias("seed"), "event_id", epoch_us("ts").alias("us"),
             ((e * 7919 + F.col("user_id") * 104729) % 1000003).alias("h"))
-        steps = snap(steps, ["seed"], 1).withColumn("d", day_of("ep")).withColumn("episode", F.dayofmonth("d"))
+        steps = snap(steps, ["seed"], 1).withColumn("d", day_of("ep")).withColumn("episode", F.unix_date("d").cast("long"))
         w = Window.partitionBy("seed", "episode").orderBy("ep")
         first = F.lag("ep").over(w).isNull()
         last = F.lead("ep").over(w).isNull()

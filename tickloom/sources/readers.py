@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.expr import US, epoch_us, null_nan
-from tickloom.schema import book_columns
+from tickloom.schema import KINDS, SIDES, book_column, book_columns
 from tickloom.sources.sinks import stage
 
 # File name patterns.
@@ -23,12 +23,22 @@ def time_column(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed(found[0], "ts")
 
 
+def native_names(levels: int = 10) -> dict[str, str]:
+    """File column -> canonical column, as in ``L3-BidPrice`` -> ``l3_bid_price``."""
+    return {f"L{lv}-{side.title()}{kind.title()}": book_column(lv, side, kind) for lv in range(1, levels + 1) for side in SIDES for kind in KINDS}
+
+
 def read_book(spark: SparkSession, path: str, levels: int = 10) -> DataFrame:
-    """Read book files, keep canonical columns, turn NaN into NULL; an empty input is an error."""
-    df = time_column(spark.read.parquet(path))
+    """Read book files under file or canonical names, keep canonical columns, turn NaN into NULL.
+
+    An input without rows or without any book column is an error.
+    """
+    df = time_column(spark.read.parquet(path)).withColumnsRenamed(native_names(levels))
+    if not set(df.columns) & set(book_columns(levels)):
+        raise ValueError(f"{path}: no book column among {', '.join(df.columns)}")
     if df.isEmpty():
         raise ValueError(f"{path}: no rows")
-    return conform(df, book_columns(levels), keep=[c for c in df.columns if c in ("ts", "role", "session_date")])
+    return conform(df, book_columns(levels), keep=[c for c in df.columns if c in ("ts", "ticker", "role", "session_date", "yyyy", "mm")])
 
 
 def conform(df: DataFrame, expected: list[str], keep: list[str]) -> DataFrame:
@@ -120,7 +130,7 @@ def read_futures(spark: SparkSession, path: str) -> DataFrame:
 def read_ticks(spark: SparkSession, path: str, instrument: str, schema: str) -> DataFrame:
     """Ticks of one instrument with their mid price."""
     df = time_column(spark.read.schema(schema).csv(path, header=True).where(F.col("`#RIC`") == instrument).drop("#RIC"))
-    df = df.withColumnsRenamed({"L1-BidPrice": "l1_bid_price", "L1-AskPrice": "l1_ask_price"})
+    df = df.withColumnsRenamed(native_names(1))
     return df.withColumn("mid", (F.col("l1_bid_price") + F.col("l1_ask_price")) / 2)
 
 

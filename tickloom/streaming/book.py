@@ -13,10 +13,12 @@ def read_stream(spark: SparkSession, folder: str, pattern: str, schema) -> DataF
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def stream_snap(df: DataFrame, keys: list[str], step_s: int, delay: str = "10 minutes") -> DataFrame:
-    """Last row per key and time bin over a stream with ``us``; rows later than ``delay`` are dropped.
+def stream_snap(df: DataFrame, keys: list[str], step_s: int, delay: str) -> DataFrame:
+    """Last row per key and time bin over a stream with ``us``.
 
-    State is one row of primitives per key and open bin, whatever the arrival rate.
+    ``delay`` is how far rows may be out of order; later ones cannot be used, as their bin's
+    state is gone, and ``late_rows`` of the running query counts them.  State is one row of
+    primitives per key and open bin, whatever the arrival rate.
     """
     rest = [c for c in df.columns if c not in (*keys, "ts", "d", "ep", "us")]
     timed = df.withColumn("event_time", F.timestamp_micros("us")).withWatermark("event_time", delay)
@@ -57,7 +59,12 @@ def stream_flow(snapped: DataFrame, key: str) -> DataFrame:
     return snapped.groupBy(key).applyInPandasWithState(step, FLOW_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
+def late_rows(query) -> int:
+    """Rows that a query's stateful operators found behind the watermark so far."""
+    return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
+
+
+def run_to_table(stream: DataFrame, mode: str, allow_late: bool = False) -> DataFrame:
     """Run a stream over the data present and return all emitted rows with their ``epoch``.
 
     Each micro-batch overwrites its own folder, so a repeated batch changes nothing.
@@ -71,6 +78,8 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state")
          .trigger(availableNow=True).foreachBatch(write).start())
     q.awaitTermination()
+    if (late := late_rows(q)) and not allow_late:
+        raise ValueError(f"{late} rows were later than the delay; give stream_snap a longer one")
     return spark.read.schema(stream.schema.add("epoch", "long")).parquet(f"{root}/out")
 
 
