@@ -28,10 +28,13 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), NOT_WORD), "")
 
 
-def shingles(w: Column, n: Column | int) -> Column:
-    """Hashes of all runs of n words, by position; none if the list is shorter."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<bigint>"))
+def shingles(w: Column, n: int) -> Column:
+    """Hashes of all runs of n words, by position, made of the words' hashes; none if the list is shorter."""
+    def run(h: Column) -> Column:
+        first = F.slice(h, F.lit(1), F.greatest(F.size(h) - (n - 1), F.lit(0)))
+        return F.transform(first, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, n)]))
+
+    return let(F.transform(w, lambda x: F.xxhash64(x)), run)
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, token: int = TOKEN) -> DataFrame:
@@ -43,22 +46,31 @@ def item_windows(items: DataFrame, window: int = WINDOW, token: int = TOKEN) ->
     size = F.least(F.size("w"), F.lit(window))
     w = w.select("item", "w", F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("at"), size.alias("size"))
     w = w.select("item", F.slice("w", F.col("at"), F.col("size")).alias("words"), "size", F.least("size", F.lit(token)).alias("n")).distinct()
-    return w.withColumn("tokens", shingles(F.col("words"), F.col("n")))
+    return w.withColumn("tokens", F.coalesce(*[F.when(F.col("n") == n, shingles(F.col("words"), n)) for n in range(1, token + 1)]))
 
 
-def document_tokens(docs: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
-    """One row per token of a document, with the document's word list ``w`` beside it.
+def meet(docs: DataFrame, lengths: list[int], side: DataFrame, *keep: str) -> list[DataFrame]:
+    """Tokens of the documents joined to ``side`` on (n, token), one table per token length, with the word list ``w``.
 
-    The list stays a reference while rows go straight into a broadcast join, so it is not
-    copied per token.  The outer form keeps Spark from testing the token array in a filter
-    below, which would split the text once more for every token.
+    The tokens are a column before they are exploded, so that the explosion and the broadcast
+    join behind it are one generated loop: the word list stays a reference, and nothing may
+    stand between the two that would copy it for every token.  The outer form keeps Spark
+    from testing the token array in a filter below, which would split the text once more for
+    every token.
     """
-    def of_length(w: Column, n: int) -> Column:
-        return F.transform(shingles(w, n), lambda h, i: F.struct(F.lit(n).alias("n"), h.alias("token"), i.alias("at")))
+    out = []
+    for n in lengths:
+        tokens = docs.select(*keep, "w", shingles(F.col("w"), n).alias("tokens"))
+        rows = tokens.select(*keep, "w", F.posexplode_outer("tokens").alias("at", "token"))
+        out.append(rows.join(F.broadcast(side.where(F.col("n") == n)), "token"))
+    return out
+
 
-    tokens = let(F.col("w"), lambda w: F.concat(*[of_length(w, n) for n in lengths]))
-    rows = docs.select(*keep, "w", F.explode_outer(tokens).alias("x"))
-    return rows.select(*keep, "w", "x.n", "x.token", "x.at")
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def prefix_tokens(windows: DataFrame, docs: DataFrame, lengths: list[int], blocks: int) -> DataFrame:
@@ -67,12 +79,11 @@ def prefix_tokens(windows: DataFrame, docs: DataFrame, lengths: list[int], block
     Rarity counts the token in all documents; ties go to the smaller hash, then the first place.
     """
     pool = stage(windows.select("n", F.explode("tokens").alias("token")).distinct())
-    counts = None
+    hits = []
     for b in range(blocks):
         part = pool.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == b) if blocks > 1 else pool
-        hits = document_tokens(docs, lengths).join(F.broadcast(part), ["n", "token"]).groupBy("n", "token").agg(F.count("*").alias("seen"))
-        counts = hits if counts is None else counts.unionByName(hits)
-    counts = stage(counts)
+        hits += [x.groupBy("n", "token").agg(F.count("*").alias("seen")) for x in meet(docs, lengths, part)]
+    counts = stage(stacked(hits))
     places = windows.select("wid", "n", F.posexplode("tokens").alias("offset", "token"))
     best = places.join(counts, ["n", "token"], "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token", "offset")).alias("best"))
     # A window whose rarest token no document has cannot occur.
@@ -88,17 +99,15 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
         return none
     blocks = 1 + windows.count() // BLOCK
     windows = prefix_tokens(windows, docs, lengths, blocks)
-    found = None
+    start = F.col("at") - F.col("offset")
+    fits = (start >= 0) & (start + F.col("size") <= F.size("w"))
+    same = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("words")
+    found = []
     for b in range(blocks):
         part = windows.where(F.pmod(F.xxhash64("wid"), F.lit(blocks)) == b) if blocks > 1 else windows
         part = part.select("n", "token", "offset", "words", "size", "item")
-        near = document_tokens(docs, lengths, "key").join(F.broadcast(part), ["n", "token"])
-        start = F.col("at") - F.col("offset")
-        fits = (start >= 0) & (start + F.col("size") <= F.size("w"))
-        same = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("words")
-        hits = near.where(fits & same).select("key", start.cast("int").alias("start"), "size", "item")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+        found += [x.where(fits & same).select("key", start.cast("int").alias("start"), "size", "item") for x in meet(docs, lengths, part, "key")]
+    return stacked(found)
 
 
 def hit_summary(found: DataFrame) -> DataFrame:
