@@ -316,3 +316,11 @@ def test_late_rows_are_not_lost_in_silence(spark, tmp_path):
     assert whole.count() == 3
     with pytest.raises(ValueError, match="later than the delay"):
         ST.run_to_table(ST.stream_snap(read(), ["role"], 60, "1 minute"), "update")
+
+
+def test_release_deletes_staged_folders(spark):
+    path = sinks.work_folder(spark)
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and sinks.release(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

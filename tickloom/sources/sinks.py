@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_FOLDERS: list[str] = []
+
+
 def work_folder(spark: SparkSession) -> str:
     """Fresh folder under the shared folder named by ``spark.checkpoint.dir``.
 
@@ -20,7 +23,24 @@ def work_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all work folders that this process has made; gives their number.
+
+    Call it when the results that read them are written: a staged table must not be used
+    afterwards.
+    """
+    files = spark._jvm.org.apache.hadoop.fs
+    for path in _FOLDERS:
+        folder = files.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    n = len(_FOLDERS)
+    _FOLDERS.clear()
+    return n
 
 
 def as_float32(df: DataFrame) -> DataFrame:
