@@ -34,16 +34,31 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows as (rid, row): a written table, so that row numbers hold over lost executors.
+def row_key(columns: list[str]) -> list[Column]:
+    """Two 64-bit hashes of a row's values and nulls, k1 and k2: equal for equal rows, on every reading of the table."""
+    values = [F.col(f"`{c}`") for c in columns]
+    nulls = F.concat(*[F.when(v.isNull(), "1").otherwise("0") for v in values])
+    return [F.xxhash64(nulls, *values).alias("k1"), F.xxhash64(*values, F.lit(1), nulls).alias("k2")]
 
-    ``row`` is a struct of all columns; no name that an operator adds can clash with them.
-    """
-    return stage(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row")))
 
+def take_rows(docs: DataFrame, chosen: DataFrame, many: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``chosen`` (k1, k2, copies) names, each as often as it says, all columns.
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]):
-    on = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(right[k])
-    return on
+    ``many`` (k1, k2) lists the keys of repeated rows; such rows are alike in every column, so
+    one stands for all.  The texts are dealt out once, against a hash table of narrow rows;
+    they are neither written beside the input nor sorted, at any size.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_key(docs.columns))
+    many = stage(many)
+    if many.isEmpty():
+        found = rows.join(chosen.hint("shuffle_hash"), ["k1", "k2"])
+    else:
+        once = rows.join(chosen.join(many, ["k1", "k2"], "left_anti").hint("shuffle_hash"), ["k1", "k2"])
+        often = rows.join(chosen.join(many, ["k1", "k2"], "left_semi").hint("shuffle_hash"), ["k1", "k2"])
+        found = once.unionByName(often.dropDuplicates(["k1", "k2"]))
+    return found.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+
+
+def repeated(keyed: DataFrame) -> DataFrame:
+    """(k1, k2) of the rows that stand more than once."""
+    return keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")

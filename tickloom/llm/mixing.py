@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import numbered, stage, table, text_of, words
+from tickloom.llm.common import repeated, row_key, stage, table, take_rows, text_of, words
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
@@ -26,7 +26,7 @@ SLOTS = 4096
 SORTED = 10_000
 
 
-def queue_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
+def queue_rows(docs: DataFrame, keep: list) -> DataFrame:
     """``keep`` plus source, size in words and a 60-bit shuffle key made of doc_id and text."""
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_of()))
     return docs.select(*keep, F.col("source").alias("src"), F.col("doc_id").alias("id"), F.size(words(text_of())).cast("long").alias("size"),
@@ -130,10 +130,9 @@ def op4_weighted_fair_queueing(spark: SparkSession, folder: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, passes: int = PASSES) -> DataFrame:
     """The documents in their mix: one row per copy taken, all columns."""
-    rows = numbered(docs)
-    narrow = stage(queue_rows(rows.select("rid", "row.doc_id", "row.source", "row.text"), ["rid"]))
-    copies = mix(narrow, weights, passes).where(F.size("finish") > 0).select("rid", "finish")
-    return rows.join(copies, "rid").withColumn("finish", F.explode("finish")).select("row.*")
+    narrow = stage(queue_rows(docs, row_key(docs.columns)))
+    mixed = mix(narrow, weights, passes).groupBy("k1", "k2").agg(F.sum(F.size("finish")).cast("int").alias("copies")).where("copies > 0")
+    return take_rows(docs, stage(mixed), repeated(narrow))
 
 
 MIXING_SQL = """

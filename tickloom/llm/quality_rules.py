@@ -28,13 +28,15 @@ def covered(starts: Column, width: int) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def repeated_words(w: Column, width: int = WINDOW) -> Column:
+def repeated_words(words_of: Column, width: int = WINDOW) -> Column:
     """Words inside windows of ``width`` words that occur twice or more in the same text.
 
     Windows compare by a 64-bit hash of their words.  A text without an equal pair stops
-    after one hash set; others sort their windows once.
+    after one hash set; others sort their windows once.  The list is bound before use, so a
+    filter that Spark moves below computes it once, not once per window.
     """
-    hashes = F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width))))
+    def windows(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
 
     def count(h: Column) -> Column:
         ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -46,7 +48,7 @@ def repeated_words(w: Column, width: int = WINDOW) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
             let(ordered, lambda s: let(starts(s), lambda p: covered(p, width))))
 
-    return F.coalesce(let(hashes, lambda h: F.when(h.isNotNull(), count(h))), F.lit(0).cast("long"))
+    return let(words_of, lambda w: F.when(F.size(w) < width, F.lit(0).cast("long")).otherwise(let(windows(w), count)))
 
 
 def rule_counts(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
@@ -81,7 +83,7 @@ def host_verdicts(flagged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
 
 def with_verdicts(flagged: DataFrame) -> DataFrame:
-    """``flagged`` (a written table with host and base_failed) plus ``kept``.
+    """``flagged`` (a table with host and base_failed) plus ``kept``.
 
     The rejected hosts are a written table too: Spark knows its size and broadcasts it while
     it is small; beyond that a hot host is split at run time by the skew join.
@@ -105,12 +107,12 @@ def op2_host_rules(spark: SparkSession, folder: str) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents whose own rules and host pass, all columns.
 
-    The rows are written once with their flags; counting hosts reads two narrow columns of
-    that table, and the rejected hosts are removed while it is read back.
+    The rules run twice, once to count the hosts and once to pass the rows on, so that no
+    text is written or dealt out; only the rejected hosts are joined.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     flagged = rule_counts(rows, F.coalesce(F.col("row.text"), F.lit("")), F.col("row"), F.col("row.source").alias("host"))
-    return with_verdicts(stage(flagged)).where("kept").select("row.*")
+    return with_verdicts(flagged).where("kept").select("row.*")
 
 
 RULES_SQL = """

@@ -25,9 +25,10 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(key, F.lit(slots)).cast("int")
 
 
-def slot_bytes(rows: DataFrame) -> list[tuple[int, int]]:
-    """Bytes per slot, at most one entry per slot on the driver."""
-    return [(r[0], r[1]) for r in rows.groupBy("vslot").agg(F.sum("size")).collect()]
+def slot_sizes(rows: DataFrame) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Bytes and rows per slot, at most one entry per slot on the driver."""
+    found = rows.groupBy("vslot").agg(F.sum("size"), F.count("*")).collect()
+    return [(r[0], r[1]) for r in found], {r[0]: r[2] for r in found}
 
 
 def first_map(sizes: list[tuple[int, int]], shards: int, slots: int = SLOTS) -> dict[int, int]:
@@ -81,41 +82,49 @@ def map_table(spark: SparkSession, versions: list[dict[int, int]], sizes: list[t
     return stage(spark.createDataFrame(rows, MAP_SCHEMA))
 
 
-def place(rows: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFrame:
+def place(rows: DataFrame, slot_map: DataFrame, counts: dict[int, int], order: list[str]) -> DataFrame:
     """Add ``shard`` and the gapless position ``slot`` inside the shard.
 
-    ``rows`` has ``vslot`` and a long ``key`` that spreads the rows of a slot.  A shard is
-    numbered in pieces of about a million rows; one count per piece says where it starts.
+    ``rows`` has ``vslot`` and a long ``key`` that spreads the rows of a slot; ``counts`` has
+    its rows per slot.  A shard is numbered in pieces of about a million rows; one count per
+    piece says where it starts.
     """
     newest = slot_map.agg(F.max("version")).first()[0]
     slot_map = slot_map.where(F.col("version") == newest).select(F.col("slot").alias("vslot"), "shard")
-    total = rows.count()
-    pieces = 1 + total // (SLOTS * ROWS_PER_TASK)
-    rows = rows.join(F.broadcast(slot_map), "vslot").withColumn("piece", F.pmod(F.shiftright("key", 24), F.lit(pieces)))
-    counts = rows.groupBy("shard", "vslot", "piece").agg(F.count("*").alias("n"))
+    pieces = 1 + sum(counts.values()) // (SLOTS * ROWS_PER_TASK)
+    rows = rows.join(F.broadcast(slot_map), "vslot").withColumn("piece", F.pmod(F.shiftright("key", 24), F.lit(pieces)).cast("long"))
+    if pieces == 1:
+        per = rows.sparkSession.createDataFrame(sorted(counts.items()), "vslot int, n long").withColumn("piece", F.lit(0).cast("long")).join(F.broadcast(slot_map), "vslot")
+    else:
+        per = rows.groupBy("shard", "vslot", "piece").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("vslot", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("vslot", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = stage(per.select("vslot", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
     inside = Window.partitionBy("vslot", "piece").orderBy(*order)
     out = rows.withColumn("at", F.row_number().over(inside)).join(starts, ["vslot", "piece"])
     return out.withColumn("slot", F.col("start") + F.col("at") - 1).drop("start", "at", "piece")
 
 
 def shard(docs: DataFrame, shards: int = 16, keep: list[str] | None = None) -> DataFrame:
-    """Place every row of ``docs``: ``keep`` columns as struct ``row`` plus size, text_crc32, vslot, shard, slot.
+    """Place every row of ``docs``: ``keep`` columns (all by default) as struct ``row`` plus size, text_crc32, vslot, shard, slot.
 
     A row's slot is a hash of its doc_id and text, so equal ids or missing ids spread too.
     Null text: no bytes, size 1, crc32 0.  Repeated rows share a virtual slot and get
     positions of their own.  An empty table gives an empty result.
+
+    Narrow rows are written once and read for the map and for the positions; whole rows are
+    read twice instead and dealt out once, to the slots that they are written in.
     """
     spark = docs.sparkSession
     key = F.xxhash64("doc_id", "text")
-    rows = stage(docs.select(
+    rows = docs.select(
         F.struct(*(docs.columns if keep is None else keep)).alias("row"), F.col("doc_id").alias("id"),
         (F.octet_length(text_of()) + 1).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"),
-        key.alias("key"), slot_of(key).alias("vslot")))
-    sizes = slot_bytes(rows)
+        key.alias("key"), slot_of(key).alias("vslot"))
+    if keep is not None:
+        rows = stage(rows)
+    sizes, counts = slot_sizes(rows)
     slot_map = map_table(spark, [first_map(sizes, shards)], sizes)
-    return place(rows, slot_map, ["key", "id", "size", "text_crc32"])
+    return place(rows, slot_map, counts, ["key", "id", "size", "text_crc32"])
 
 
 def op1_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:

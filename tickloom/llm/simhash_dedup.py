@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import numbered, stage, table
+from tickloom.llm.common import repeated, row_key, stage, table, take_rows
 
 SHINGLE = 3
 SEED = 42
@@ -189,12 +189,10 @@ def op8_anchor_points(spark: SparkSession, folder: str) -> DataFrame:
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One document of each component, all columns: the one with the smallest doc_id (null last), the first row of equal ids."""
-    rows = numbered(docs)
-    marked = stage(rows.select("rid", F.col("row.doc_id").alias("doc_id"), fingerprints("row.text").alias("fp")))
+    marked = stage(docs.select("doc_id", *row_key(docs.columns), fingerprints("text").alias("fp")))
     grouped = stage(with_components(marked))
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"))
-    out = rows.join(stage(first.select("first.rid")), "rid", "left_semi")
-    return out.select("row.*")
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("first"))
+    return take_rows(docs, stage(first.select("first.k1", "first.k2", F.lit(1).alias("copies"))), repeated(marked))
 
 
 assert math.prod((CODE_BITS + 1, 1 << 26)) == 1 << CODE_BITS  # the code is perfect
