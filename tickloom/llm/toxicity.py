@@ -100,8 +100,10 @@ def fit_linear(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, feature
             yield batch.map(lambda t: sorted(text_features(t)), na_action=None)
 
     chosen = labelled(labels, "toxic", FOLDS, HELD_OUT, rows)
-    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).orderBy(F.xxhash64("id"), "id", "label", F.xxhash64("text")).limit(rows)
-    sample = stage(sample.select("label", F.pandas_udf(held, "array<string>")("text").alias("features")).withColumn("row", F.monotonically_increasing_id()))
+    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    sample = stage(sample.select("label", F.xxhash64("id", "text", "label").alias("place"), F.pandas_udf(held, "array<string>")("text").alias("features")))
+    # Ids that stand more than once can give more rows than the bound; an even share of their hashes stays.
+    sample = sample.where(F.pmod("place", F.lit(1 + (sample.count() - 1) // rows)) == 0)
     n_u, n_p = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n_p or n_p == n_u:
         share = (n_p + 0.5) / (n_u + 1)
