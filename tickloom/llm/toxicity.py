@@ -119,7 +119,8 @@ def fit_linear(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, feature
         for batch in batches:
             yield batch.map(lambda fs: [index[f] for f in fs if f in index])
 
-    data = sample.select("label", F.pandas_udf(indices, "array<int>")("features").alias("f")).toPandas()
+    data = sample.select("place", "label", F.pandas_udf(indices, "array<int>")("features").alias("f")).toPandas()
+    data = data.sort_values("place", kind="stable")  # the same sums whatever order the tasks end in
     w, b = fit([list(f) for f in data["f"]], data["label"].to_numpy() == 1, len(names), n_p / n_u)
     return Linear({f: float(x) for f, x in zip(names, w)}, float(b))
 
