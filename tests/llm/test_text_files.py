@@ -1,6 +1,7 @@
 """Page text, licence rules and token files."""
 
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -77,6 +78,23 @@ def test_licences(spark, tmp_path):
     assert license_scan.op6_sentence_rules(spark, tables.write(spark, tmp_path / "e", docs=[])).count() == 0
 
 
+def found(spark, path, *texts):
+    folder = tables.write(spark, path, docs=[(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    return [(r.sentence_ids, r.licences) for r in license_scan.op6_sentence_rules(spark, folder).orderBy("doc_id").collect()]
+
+
+def wrap(text):
+    return "".join(f" * {x}\n" for x in textwrap.wrap(text, 60))
+
+
+def test_both_readings_count(spark, tmp_path):
+    s = license_scan.SENTENCES
+    cc = "Licensed under CC BY-NC 4.0\nordinary text goes on\n\n"
+    mit = wrap(f"{s['MitGrant']}: {s['MitCondition']}. {s['MitAsIs']}.")
+    assert found(spark, tmp_path, cc + mit, cc + wrap(s["GplFree"] + "."), mit + "\n" + cc) == [
+        ("CcByNc4,MitGrant,MitCondition,MitAsIs", "MIT,CC-BY-NC-4.0"), ("CcByNc4,GplFree", "GPL-3.0-or-later,CC-BY-NC-4.0"), ("MitGrant,MitCondition,MitAsIs,CcByNc4", "MIT,CC-BY-NC-4.0")]
+
+
 # --- token files
 
 @pytest.mark.parametrize("n, symbols", [(0, 1), (1, 1), (511, 2), (512, 3), (5000, 1), (4097, 300), (20_000, 70_000)])

@@ -86,7 +86,7 @@ MARK = "^[ \t]*(?:(?:#+|//+|/?[*]+)[ \t]*)?"
 def sentences(text: Column) -> Column:
     """Normalised sentences in text order; they end at a line end, or at . ! ? : ; before white space or the end.
 
-    Wrapped sentences are joined by the second reading of ``sentence_ids``.
+    Wrapped sentences are joined in the second reading of ``sentence_ids``.
     """
     cut = F.split(F.regexp_replace(text, "[.!?:;]+(\\s|$)", "\n"), "\n")
     return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}+]+", " ")))
@@ -95,23 +95,27 @@ def sentences(text: Column) -> Column:
 def sentence_ids(text: Column, catalogue: dict[str, str]) -> Column:
     """Identifiers of the known sentences, in text order.
 
-    The reading that finds more wins: line ends as sentence ends, or lines joined without
-    their comment marks and ended by blank lines only (licence headers); equal counts keep
-    the first.
+    Two readings are merged: line ends as sentence ends, and lines joined without their
+    comment marks and ended by blank lines only (licence headers).  A sentence's place is the
+    number of letters, digits and '+' before it, which both readings share, so what both find
+    stands once.
     """
     known = F.create_map(*[F.lit(x) for pair in ((s, i) for i, s in catalogue.items()) for x in pair])
+    none = F.array().cast("array<struct<start:long,end:long,id:string>>")
 
     def read(t: Column) -> Column:
-        return F.filter(F.transform(sentences(t), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+        def step(acc: Column, s: Column) -> Column:
+            end = acc["at"] + F.length(F.replace(s, F.lit(" "), F.lit(""))).cast("long")
+            hit = F.struct(acc["at"].alias("start"), end.alias("end"), F.try_element_at(known, s).alias("id"))
+            return F.struct(end.alias("at"), F.when(F.map_contains_key(known, s), F.array_append(acc["hits"], hit)).otherwise(acc["hits"]).alias("hits"))
+
+        return F.aggregate(sentences(t), F.struct(F.lit(0).cast("long").alias("at"), none.alias("hits")), step, lambda acc: acc["hits"])
 
     def line(x: Column) -> Column:
         return let(F.regexp_replace(x, MARK, ""), lambda y: F.when(y == "", F.lit(".")).otherwise(y))
 
-    def both(a: Column) -> Column:
-        wrapped = read(F.array_join(F.transform(F.split(text, "\n"), line), " "))
-        return let(wrapped, lambda b: F.when(F.size(b) > F.size(a), b).otherwise(a))
-
-    return let(read(text), both)
+    wrapped = F.array_join(F.transform(F.split(text, "\n"), line), " ")
+    return F.transform(F.array_sort(F.array_union(read(text), read(wrapped))), lambda x: x["id"])
 
 
 def rule_pattern(sequence: list[str]) -> str:
