@@ -95,6 +95,21 @@ def test_both_readings_count(spark, tmp_path):
         ("CcByNc4,MitGrant,MitCondition,MitAsIs", "MIT,CC-BY-NC-4.0"), ("CcByNc4,GplFree", "GPL-3.0-or-later,CC-BY-NC-4.0"), ("MitGrant,MitCondition,MitAsIs,CcByNc4", "MIT,CC-BY-NC-4.0")]
 
 
+def test_rules_use_identifiers_up(spark, tmp_path):
+    s = license_scan.SENTENCES
+
+    def text(*ids):
+        return "\n".join(s[i] + "." for i in ids)
+
+    two = ["BsdRedistribution", "BsdSource", "BsdBinary"]
+    three = [*two, "BsdEndorse"]
+    doubled = [i for i in three for _ in range(2)]
+    got = found(spark, tmp_path, text(*three), text(*two), text(*three, *two), text(*two, *three), text(*three, *three), text(*doubled), text("GplFree", *three, "MitReleased"),
+                text("MitGrant", "BsdSource", "MitCondition"), text(*["MitReleased"] * 3, "AllRights"))
+    assert [x[1] for x in got] == ["BSD-3-Clause", "BSD-2-Clause", "BSD-3-Clause,BSD-2-Clause", "BSD-3-Clause,BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause", "BSD-3-Clause,GPL-3.0-or-later,MIT",
+                                  "MIT", "MIT,All-Rights-Reserved"]
+
+
 # --- token files
 
 @pytest.mark.parametrize("n, symbols", [(0, 1), (1, 1), (511, 2), (512, 3), (5000, 1), (4097, 300), (20_000, 70_000)])

@@ -48,7 +48,7 @@ SENTENCES = {
     "PublicDomain": "this is free and unencumbered software released into the public domain",
 }
 
-# Fixed values, tried in this order: licence, identifiers that must appear in this order with any text between them.
+# Fixed values, tried in this order: licence, identifiers that must appear in this order with any text between them; a match uses its identifiers up.
 RULES = [
     ("MIT", ["MitGrant", "MitCondition", "MitAsIs"]),
     ("MIT", ["MitGrant", "MitCondition"]),
@@ -122,12 +122,28 @@ def rule_pattern(sequence: list[str]) -> str:
     return "\\|" + "\\|(.*\\|)?".join(sequence) + "\\|"
 
 
-def licences(ids: str, rules) -> Column:
-    """Licences that the rules find in a '|A|B|' string of identifiers, in the order of their rules."""
-    left, found = F.col(ids), []
-    for licence, sequence in rules:
-        found.append(F.when(left.rlike(rule_pattern(sequence)), F.lit(licence)))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+def notice_pattern(sequence: list[str]) -> str:
+    """One notice in a '|A|B|' string, each identifier at its nearest place; the groups hold what lies between."""
+    return f"(?<=\\|){sequence[0]}\\|" + "".join(f"(?>((?:.*?\\|)??){i}\\|)" for i in sequence[1:])
+
+
+def licences(ids: Column, rules) -> Column:
+    """Licences that the rules find in an array of identifiers, in the order of their rules.
+
+    A rule takes the identifiers of all its notices away before the next rule is tried.
+    """
+    table_of = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(notice_pattern(q)).alias("pattern"), F.lit("".join(f"${k}" for k in range(1, len(q)))).alias("between"),
+                                  F.lit(len(q)).alias("n")) for name, q in rules])
+    start = F.struct(F.concat(F.lit("|"), F.array_join(ids, "|"), F.lit("|")).alias("left"), F.array().cast("array<string>").alias("found"))
+
+    def take(acc: Column, rule: Column) -> Column:
+        # Interleaved notices need a pass each; a pass takes all others.
+        passes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size(ids) / rule["n"]).cast("int")))
+        rest = F.aggregate(passes, acc["left"], lambda left, _: F.regexp_replace(left, rule["pattern"], rule["between"]))
+        rest = F.when(rule["n"] == 1, F.regexp_replace(acc["left"], rule["pattern"], rule["between"])).otherwise(rest)
+        return F.when(F.rlike(acc["left"], rule["pattern"]), F.struct(rest.alias("left"), F.array_append(acc["found"], rule["name"]).alias("found"))).otherwise(acc)
+
+    return F.array_distinct(F.aggregate(table_of, start, take, lambda acc: acc["found"]))
 
 
 def scan(docs: DataFrame, *keep: Column, catalogue=SENTENCES, rules=RULES) -> DataFrame:
@@ -136,9 +152,8 @@ def scan(docs: DataFrame, *keep: Column, catalogue=SENTENCES, rules=RULES) -> Da
     No known sentence: both empty.  A null text counts as empty.
     """
     rows = docs.select(*keep, sentence_ids(text_of(), catalogue).alias("ids"))
-    rows = rows.select("*", F.when(F.size("ids") > 0, F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|"))).otherwise(F.lit("")).alias("joined"))
-    return rows.select(*[c for c in rows.columns if c not in ("ids", "joined")], F.size("ids").cast("long").alias("n_sentences"),
-                       F.array_join("ids", ",").alias("sentence_ids"), F.when(F.size("ids") > 0, F.array_join(licences("joined", rules), ",")).otherwise(F.lit("")).alias("licences"))
+    return rows.select(*[c for c in rows.columns if c != "ids"], F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"),
+                       F.when(F.size("ids") > 0, F.array_join(licences(F.col("ids"), rules), ",")).otherwise(F.lit("")).alias("licences"))
 
 
 def op6_sentence_rules(spark: SparkSession, folder: str) -> DataFrame:
