@@ -146,6 +146,14 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_as_the_library():
+    encoder, library = token_store.Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["end of text <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n漢", "<|endoftext|", "plain"]
+    for t in texts:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    assert np.frombuffer(encoder.encode(texts[0]), "<u4").tolist() == [437, 286, 2420, 220, 50256, 1306]
+
+
 @pytest.mark.parametrize("file_tokens", [1, 50, 1 << 22])
 def test_round_trip(spark, tmp_path, monkeypatch, file_tokens):
     monkeypatch.setattr(token_store.write_tokens, "__defaults__", (file_tokens,))

@@ -54,7 +54,8 @@ class Encoder(dict):
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     Ids of a piece do not depend on its neighbours, so pieces are kept, up to a bound.  A
-    text with other characters than PLAIN's goes through the library as a whole.
+    text with other characters than PLAIN's, or with the content of an added token, goes
+    through the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -62,9 +63,9 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
 
     def __missing__(self, piece: str) -> bytes:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
@@ -74,7 +75,7 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if PLAIN.fullmatch(text):
+        if PLAIN.fullmatch(text) and not self.added.search(text):
             return b"".join(map(self.__getitem__, PIECE.findall(text)))
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
