@@ -1,5 +1,6 @@
 """The corpus operators as named queries, and the SQL of those that SQL can express."""
 
+from tickloom.llm.conversation_repair import op13_checkpointed_repair
 from tickloom.llm.decontamination import DECONTAMINATION_SQL, op9_prefix_join
 from tickloom.llm.html_text import op5_line_blocks
 from tickloom.llm.license_scan import license_sql, op6_sentence_rules
@@ -13,7 +14,8 @@ from tickloom.llm.toxicity import op7_positive_unlabelled
 
 QUERIES = {f.__name__: f for f in (
     op1_virtual_slots, op2_host_rules, op3_histogram_trees, op4_weighted_fair_queueing, op5_line_blocks, op6_sentence_rules,
-    op7_positive_unlabelled, op8_anchor_points, op9_prefix_join, op10_wavelet_matrix)}
+    op7_positive_unlabelled, op8_anchor_points, op9_prefix_join, op10_wavelet_matrix,
+    op13_checkpointed_repair)}
 
 SQL = {
     "op2_host_rules": RULES_SQL,
