@@ -11,11 +11,12 @@ from tickloom.llm.sharding import op1_virtual_slots
 from tickloom.llm.simhash_dedup import op8_anchor_points
 from tickloom.llm.token_store import op10_wavelet_matrix
 from tickloom.llm.toxicity import op7_positive_unlabelled
+from tickloom.llm.whitening import op11_jacobi_davidson
 
 QUERIES = {f.__name__: f for f in (
     op1_virtual_slots, op2_host_rules, op3_histogram_trees, op4_weighted_fair_queueing, op5_line_blocks, op6_sentence_rules,
     op7_positive_unlabelled, op8_anchor_points, op9_prefix_join, op10_wavelet_matrix,
-    op13_checkpointed_repair)}
+    op11_jacobi_davidson, op13_checkpointed_repair)}
 
 SQL = {
     "op2_host_rules": RULES_SQL,
