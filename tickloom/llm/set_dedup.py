@@ -6,13 +6,16 @@ A first pass in order of the hashes, k a twentieth of the set, leaves the texts
 so many shingles stand in other texts too; for these k is one and the order rarest first,
 so a passage that many texts hold makes no candidates unless it is nearly all of them.
 
-Texts that meet at a shingle are compared with one of them, components are formed, and
-only where a shingle still joins several components all pairs across them are compared.
-Equal sets are one node.  Shingles and sets are compared by 64-bit hashes.
+Texts that meet at a shingle are compared with one of them, the one with the fewest
+shingles of its own, and components are formed, round by round.  Where a shingle still
+joins several components, those outside its largest one look for partners, among the sizes
+that are possible: at the first shingle that two linked sets share, both must have enough
+left.  Equal sets are one node.  Shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,8 @@ from tickloom.llm.common import repeated, row_key, stage, take_rows
 from tickloom.llm.simhash_dedup import SEED, components
 
 SHINGLE = 5
-#: Rounds that compare with one text per shingle before all pairs across components.
-STARS = 2
+#: Most rounds that compare with one text per shingle before pairs across components are.
+STARS = 4
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -79,35 +82,89 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def meeting_points(sets: DataFrame) -> DataFrame:
-    """(h, id, n): the shingles among the first n - ceil(0.8 n) + 1 of each set, rarest first, that another set holds too."""
+    """(h, id, n, own, pos): the shingles among the first n - ceil(0.8 n) + 1 of each set, rarest first, that another set holds too.
+
+    ``own`` counts the shingles that no other set holds; they come first in the order and
+    meet nobody.  ``pos`` is the shingle's place in the order, from 0.
+    """
     held = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
     several = stage(held.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
-    shared = held.join(several, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("x"))
-    # Shingles of one set only come first; they meet nobody.
-    left = F.expr("n - (4 * n + 4) div 5 + 1 - (n - size(x))").cast("int")
-    return shared.select("id", "n", F.explode(F.slice("x", 1, F.greatest(left, F.lit(0)))).alias("y")).select("y.h", "id", "n")
+    shared = held.join(several, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("x")).withColumn("own", F.expr("n - size(x)"))
+    left = F.expr("n - (4 * n + 4) div 5 + 1 - own").cast("int")
+    points = shared.select("id", "n", "own", F.posexplode(F.slice("x", 1, F.greatest(left, F.lit(0)))).alias("at", "y"))
+    return points.select("y.h", "id", "n", "own", (F.col("own") + F.col("at")).alias("pos"))
+
+
+#: At the first shingle that two linked sets share, what is left of either is enough for a similarity of 0.8.
+ENOUGH = "9 * least(na - pa, nb - pb) >= 4 * (na + nb)"
+
+
+def size_bin(n: Column) -> Column:
+    """Bins of sizes, each a twenty-fifth wider than the one before."""
+    return F.floor(F.log(F.greatest(n, F.lit(1))) / F.lit(math.log(1.04))).cast("int")
+
+
+def side(rows: DataFrame, x: str, *more: str) -> DataFrame:
+    return rows.select("h", *more, F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("root").alias(f"r{x}"))
+
 
+def centres(live: DataFrame) -> DataFrame:
+    """One set per shingle: the one with the fewest shingles of its own, which is the original of a group of edited copies."""
+    return live.groupBy("h").agg(F.min(F.struct("own", "id", "n", "pos", "root")).alias("x")).select("h", "x.*")
 
-def near_sets(sets: DataFrame) -> DataFrame:
-    """(node, root) of the sets (id, s) that are linked with another."""
-    live, edges = stage(meeting_points(sets).withColumn("root", F.col("id"))), None
+
+def across(live: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that meet at a shingle and may be linked.
+
+    Of such a pair at least one is outside the shingle's largest component, so only those
+    look for partners, among the sizes that their place in the order allows.
+    """
+    most = live.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "root")).alias("m")).select("h", F.col("m.root").alias("most"))
+    few = live.join(most, "h").where("root <> most")
+    low, high = F.expr("(4 * n + 4) div 5"), F.expr("9 * (n - pos) div 4 - n")
+    few = few.where(low <= high).withColumn("bin", F.explode(F.sequence(size_bin(low), size_bin(high))))
+    met = side(few, "a", "bin").join(side(live.withColumn("bin", size_bin(F.col("n"))), "b", "bin"), ["h", "bin"]).where(f"ra <> rb and {ENOUGH}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def near_sets(sets: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the sets (id, s) that are linked with another; ``edges`` are links (a, b) known before.
+
+    Rounds compare what meets at a shingle with one set, its centre, which then is done
+    there; when a round joins nothing any more, the rest is compared across components.
+    """
+    live, roots = stage(meeting_points(sets)), None
+    if edges is not None:
+        edges = stage(edges.distinct())
+        roots = components(edges)
     for turn in range(STARS + 1):
-        if turn < STARS:
-            centre = live.groupBy("h").agg((F.min if turn % 2 == 0 else F.max)("id").alias("c"))
-            met = live.join(centre, "h").where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
+        rooted = live.withColumn("root", F.col("id"))
+        if roots is not None:
+            rooted = live.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rooted = stage(rooted)
+        busy = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+        rooted = stage(rooted.join(busy, "h", "left_semi"))
+        if rooted.isEmpty():
+            break
+        last = turn == STARS
+        if last:
+            met = across(rooted)
         else:
-            one, two = (live.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-            met = one.join(two, "h").where("a < b and ra <> rb and 5 * na >= 4 * nb and 5 * nb >= 4 * na").select("a", "b")
+            centre = stage(centres(rooted))
+            met = side(rooted, "a").join(side(centre, "b"), "h").where(f"a <> b and ra <> rb and {ENOUGH}")
+            met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            live = rooted.join(centre.select("h", F.col("id").alias("c")), "h").where("id <> c").select(*live.columns)
         found = verified(met.distinct(), sets)
+        if found.isEmpty():
+            if last:
+                break
+            found = verified(across(rooted).distinct(), sets)
+            last = True
         edges = found if edges is None else edges.unionByName(found)
         roots = components(stage(edges.distinct()))
-        if turn == STARS:
-            return roots
-        rooted = live.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        busy = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-        live = stage(rooted.join(busy, "h", "left_semi"))
-        if live.isEmpty():
-            return roots
+        if last:
+            break
+    return roots if roots is not None else sets.sparkSession.createDataFrame([], "node long, root long")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
