@@ -1,12 +1,14 @@
 """Feature importance, information measures, model metrics and selection."""
 
-from pyspark.sql import Window
+import math
+
 from pyspark.sql import functions as F
 
 from registry.base import query
 from tickloom import schema as S
 from tickloom.operators import dates as D
 from tickloom.operators import model as M
+from tickloom.operators import neighbours as N
 from tickloom.operators.ordered import sample_exact
 from tickloom.plans import catalog as K
 from tickloom.plans import dataset as DS
@@ -15,7 +17,9 @@ from tickloom.sources.sinks import stage
 
 FEATS = ["basis", "basis_lag_2s", "basis_delta_2s", "irr", "ctd_obi_1", "fut_obi_1", "ctd_spread"]
 TASKS = FEATS[1:]
+TARGETS = ["basis", "irr"]
 HORIZONS = (2, 6)
+TASK = ["horizon", "target", "feature"]
 
 
 def features(t, names=FEATS):
@@ -24,59 +28,101 @@ def features(t, names=FEATS):
 
 FEAT_SQL = """ft AS (SELECT d, ep, basis, LAG(basis, 2) OVER w AS basis_lag_2s, basis - LAG(basis, 2) OVER w AS basis_delta_2s, irr, ctd_obi_1, fut_obi_1, ctd_spread FROM wide5
      WINDOW w AS (PARTITION BY d ORDER BY ep))"""
-TASK_SQL = FEAT_SQL + ", tk AS (" + " UNION ALL ".join(
-    f"SELECT {h} AS horizon, '{f}' AS feature, d, ep, {f} AS x, LEAD(basis, {h}) OVER w AS y, LAG(basis) OVER w AS yp, basis AS z FROM ft WINDOW w AS (PARTITION BY d ORDER BY ep)"
-    for h in HORIZONS for f in TASKS) + ")"
+
+
+def task_sql(source):
+    """x the feature, y the later target, z the target, p the target before."""
+    return " UNION ALL ".join(
+        f"SELECT {h} AS horizon, '{c}' AS target, '{f}' AS feature, d, ep, {f} AS x, LEAD({c}, {h}) OVER w AS y, LAG({c}) OVER w AS p, {c} AS z FROM {source} WINDOW w AS (PARTITION BY d ORDER BY ep)"
+        for h in HORIZONS for c in TARGETS for f in TASKS if f != c)
+
+
+TASK_SQL = f"{FEAT_SQL}, tk AS ({task_sql('ft')})"
 
 
 def tasks(df):
     """The condition is the target now; the past target of the transfer measures is the target one step before."""
-    w = Window.partitionBy("d").orderBy("ep")
-    return M.information_tasks(df, HORIZONS, ["basis"], TASKS).join(df.select("ep", F.lag("basis").over(w).alias("yp")), "ep")
+    return M.information_tasks(df, HORIZONS, TARGETS, TASKS)
+
 
+PEARSON = "COUNT(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL) AS n_samples, CORR(x, y) FILTER (z IS NOT NULL) AS pc, NULL AS error"
 
-@query("pearson", "horizon:i feature:s n_samples:i pc:f error:s", f"""WITH {TASK_SQL}
-     SELECT horizon, feature, COUNT(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL) AS n_samples, CORR(x, y) FILTER (z IS NOT NULL) AS pc, NULL AS error FROM tk GROUP BY 1, 2""")
+
+@query("pearson", "horizon:i target:s feature:s n_samples:i pc:f error:s", f"WITH {TASK_SQL} SELECT horizon, target, feature, {PEARSON} FROM tk GROUP BY ALL")
 def _(t):
-    return M.pearson(tasks(features(t)), ["horizon", "feature"], "x", "y")
+    return M.pearson(tasks(features(t)), TASK, "x", "y")
 
 
-BINS = 4
+# Nearest neighbours: the SQL compares all pairs of a task.
 
+PSI = "[" + ", ".join(f"{math.fsum(1.0 / i for i in range(1, m)) - N.EULER!r}e0" for m in range(1, 17)) + "]"
 
-def bin_sql(c, out):
-    return f"(CASE WHEN {c} IS NOT NULL THEN ({c} > q_{out}[1])::INT + ({c} > q_{out}[2])::INT + ({c} > q_{out}[3])::INT END)"
 
+def psi_sql(n):
+    return f"(CASE WHEN {n} <= 16 THEN list_extract({PSI}, ({n})::INT) ELSE LN({n}) - 1 / (2e0 * {n}) - 1 / (12 * POW({n}, 2)) + 1 / (120 * POW({n}, 4)) - 1 / (252 * POW({n}, 6)) END)"
+
+
+def jitter_sql(v):
+    return f"{v} + (('0x' || substr(md5('42:{v}:' || ep), 1, 12))::BIGINT::DOUBLE / 281474976710656e0 - 0.5e0) * {N.NOISE!r}::DOUBLE AS {v}"
+
+
+def near_sql(measure, rows):
+    """CTE v_<measure>: the estimate per task from all pairs of ``rows``."""
+    names, parts = N.SPACES[measure]
+    k = N.NEIGHBOURS[measure]
+    ok = f"o_{measure} AS (SELECT horizon, target, feature, ep, {', '.join(jitter_sql(v) for v in 'xyzp')} FROM {rows}" + (" WHERE p IS NOT NULL)" if "p" in names else ")")
+
+    def far(vs):
+        gaps = [f"abs(a.{v} - b.{v})" for v in vs]
+        return gaps[0] if len(gaps) == 1 else f"greatest({', '.join(gaps)})"
 
-INFO = f"""WITH {FEAT_SQL}, qs AS (SELECT """ + ", ".join(f"quantile_cont({f}, [0.25, 0.5, 0.75]) AS q_{f}" for f in FEATS) + """ FROM ft),
-     bn AS (SELECT d, ep, """ + ", ".join(f"{bin_sql(f, f)} AS {f}" for f in FEATS) + " FROM ft, qs), tk AS (" + " UNION ALL ".join(
-    f"SELECT {h} AS horizon, '{f}' AS feature, {f} AS x, LEAD(basis, {h}) OVER w AS y, LAG(basis) OVER w AS yp, basis AS z FROM bn WINDOW w AS (PARTITION BY d ORDER BY ep)"
-    for h in HORIZONS for f in TASKS) + "), ok AS (SELECT * FROM tk WHERE x IS NOT NULL AND y IS NOT NULL AND yp IS NOT NULL AND z IS NOT NULL)"
+    return f"""{ok}, r_{measure} AS (SELECT horizon, target, feature, a.ep, list_extract(min({far(names)}, {k}), {k}) AS r FROM o_{measure} a JOIN o_{measure} b USING (horizon, target, feature) WHERE a.ep <> b.ep GROUP BY ALL),
+     c_{measure} AS (SELECT horizon, target, feature, ep, {', '.join(f"COUNT(*) FILTER ({far(p)} < r) AS n_{p}" for p in parts)} FROM (SELECT * FROM o_{measure} JOIN r_{measure} USING (horizon, target, feature, ep)) a
+       JOIN (SELECT horizon, target, feature, x, y, z, p FROM o_{measure}) b USING (horizon, target, feature) GROUP BY ALL),
+     v_{measure} AS (SELECT horizon, target, feature, {psi_sql(str(k))} + {psi_sql("COUNT(*)") if measure == "mi" else "0e0"} + AVG({" ".join(f"{'+' if s > 0 else '-'} {psi_sql(f'greatest(n_{p}, 1)')}" for p, s in parts.items())}) AS {measure}
+       FROM c_{measure} GROUP BY ALL)"""
 
 
-def entropy(name, columns):
-    return (f"h_{name} AS (SELECT horizon, feature, LN(SUM(n)) - SUM(n * LN(n)) / SUM(n) AS h FROM (SELECT horizon, feature, {columns}, COUNT(*) AS n FROM ok "
-            f"GROUP BY horizon, feature, {columns}) c GROUP BY 1, 2)")
+OK_SQL = f"WITH {TASK_SQL}, ok AS (SELECT * FROM tk WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL), nk AS (SELECT horizon, target, feature, COUNT(*) AS n_samples FROM ok GROUP BY ALL)"
 
 
-def info_sql(plus, minus, name):
-    parts = {"x": "x", "y": "y", "xy": "x, y", "z": "z", "xz": "x, z", "yz": "y, z", "xyz": "x, y, z", "p": "yp", "xp": "x, yp", "yp": "y, yp", "xyp": "x, y, yp",
-             "pz": "yp, z", "xpz": "x, yp, z", "ypz": "y, yp, z", "xypz": "x, y, yp, z"}
-    used = [*plus, *minus]
-    ctes = ", ".join(entropy(u, parts[u]) for u in used)
-    first = used[0]
-    joins = " ".join(f"JOIN h_{u} USING (horizon, feature)" for u in used[1:])
-    value = " + ".join(f"h_{u}.h" for u in plus) + "".join(f" - h_{u}.h" for u in minus)
-    return f"{INFO}, {ctes} SELECT horizon, feature, n_samples, {value} AS {name} FROM h_{first} {joins} JOIN (SELECT horizon, feature, COUNT(*) AS n_samples FROM ok GROUP BY 1, 2) k USING (horizon, feature)"
+def nearest(measure):
+    def run(t):
+        return N.neighbour_information(tasks(features(t)), TASK, "ep", (measure,))
 
+    query(measure, f"horizon:i target:s feature:s n_samples:i {measure}:f", f"{OK_SQL}, {near_sql(measure, 'ok')} SELECT horizon, target, feature, n_samples, {measure} FROM v_{measure} JOIN nk USING (horizon, target, feature)")(run)
 
-def information(t):
-    binned = M.quantile_bin(stage(features(t)), FEATS, BINS)
-    return M.information(tasks(binned), ["horizon", "feature"])
 
+for _name in N.SPACES:
+    nearest(_name)
 
-for _name, _plus, _minus in (("mi", ("x", "y"), ("xy",)), ("cmi", ("xz", "yz"), ("z", "xyz")), ("te", ("xp", "yp"), ("p", "xyp")), ("cte", ("xpz", "ypz"), ("pz", "xypz"))):
-    query(_name, f"horizon:i feature:s n_samples:i {_name}:f", info_sql(_plus, _minus, _name))(information)
+
+# Plug-in estimates over quantile bins, the second estimator.
+
+BINS = 4
+
+
+def bin_sql(c, out):
+    return f"(CASE WHEN {c} IS NOT NULL THEN ({c} > q_{out}[1])::INT + ({c} > q_{out}[2])::INT + ({c} > q_{out}[3])::INT END)"
+
+
+INFO = f"""WITH {FEAT_SQL}, qs AS (SELECT """ + ", ".join(f"quantile_cont({f}, [0.25, 0.5, 0.75]) AS q_{f}" for f in FEATS) + f""" FROM ft),
+     bn AS (SELECT d, ep, """ + ", ".join(f"{bin_sql(f, f)} AS {f}" for f in FEATS) + f""" FROM ft, qs), tk AS ({task_sql('bn')}),
+     ok AS (SELECT * FROM tk WHERE x IS NOT NULL AND y IS NOT NULL AND p IS NOT NULL AND z IS NOT NULL)"""
+PARTS = ("x", "y", "xy", "z", "xz", "yz", "xyz", "p", "xp", "yp", "xyp", "pz", "xpz", "ypz", "xypz")
+PLUGIN = {"mi": "h_x.h + h_y.h - h_xy.h", "cmi": "h_xz.h + h_yz.h - h_z.h - h_xyz.h", "te": "h_xp.h + h_yp.h - h_p.h - h_xyp.h", "cte": "h_xpz.h + h_ypz.h - h_pz.h - h_xypz.h"}
+
+
+def entropy(vs):
+    return (f"h_{vs} AS (SELECT horizon, target, feature, LN(SUM(n)) - SUM(n * LN(n)) / SUM(n) AS h FROM (SELECT horizon, target, feature, {', '.join(vs)}, COUNT(*) AS n FROM ok "
+            f"GROUP BY ALL) c GROUP BY ALL)")
+
+
+@query("information_plugin", "horizon:i target:s feature:s n_samples:i mi:f cmi:f te:f cte:f", f"""{INFO}, {", ".join(map(entropy, PARTS))}
+     SELECT horizon, target, feature, n_samples, {", ".join(f"{v} AS {k}" for k, v in PLUGIN.items())} FROM (SELECT horizon, target, feature, COUNT(*) AS n_samples FROM ok GROUP BY ALL) c
+       {" ".join(f"JOIN h_{p} USING (horizon, target, feature)" for p in PARTS)}""")
+def _(t):
+    return M.information(tasks(M.quantile_bin(stage(features(t)), FEATS, BINS)), TASK)
 
 
 @query("mi_dataset", "d:d ep:i basis:f basis_lag_2s:f basis_delta_2s:f ctd_spread:f", """
@@ -88,22 +134,17 @@ def _(t):
     return DS.feature_table(book, t.terms, ["basis", "basis_lag_2s", "basis_delta_2s", "ctd_spread"], S.WINDOW_OPEN, S.WINDOW_CLOSE, 300)
 
 
-MI_RUN_SQL = INFO.replace("), ok AS (SELECT * FROM tk WHERE", "), ok AS (SELECT * FROM tk WHERE ep IN (SELECT ep FROM pk) AND").replace("basis AS z FROM bn", "basis AS z, ep FROM bn").replace(
-    ", qs AS (", """, pk AS (SELECT ep FROM (SELECT ep, ROW_NUMBER() OVER (ORDER BY md5('42:' || ep), ep) AS k, COUNT(*) OVER () AS n FROM ft) x WHERE k <= GREATEST(1, floor(n * 0.5))), qs AS (""", 1)
-MI_RUN_SQL += ", " + ", ".join(entropy(n, c) for n, c in (("x", "x"), ("y", "y"), ("xy", "x, y"))) + ", rk AS (" + " UNION ALL ".join(
-    f"SELECT {h} AS horizon, '{f}' AS feature, ep, {f} AS x, LEAD(basis, {h}) OVER w AS y, basis AS z FROM ft WINDOW w AS (PARTITION BY d ORDER BY ep)" for h in HORIZONS for f in TASKS) + """)
-     SELECT horizon, feature, n_samples, pc, NULL AS error, h_x.h + h_y.h - h_xy.h AS mi FROM (SELECT horizon, feature, COUNT(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL) AS n_samples, CORR(x, y) FILTER (z IS NOT NULL) AS pc FROM rk
-       WHERE ep IN (SELECT ep FROM pk) GROUP BY 1, 2) c JOIN h_x USING (horizon, feature) JOIN h_y USING (horizon, feature) JOIN h_xy USING (horizon, feature)"""
+RATIO = 0.5
 
 
-@query("mi_run", "horizon:i feature:s n_samples:i pc:f error:s mi:f", MI_RUN_SQL)
+@query("mi_run", "horizon:i target:s feature:s n_samples:i pc:f error:s mi:f cmi:f te:f cte:f", f"""{OK_SQL}, pk AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY horizon, target, feature ORDER BY md5('42:' || ep), ep) AS k FROM ok) x
+       JOIN nk USING (horizon, target, feature) WHERE k <= GREATEST(1, floor(n_samples * {RATIO}))), {", ".join(near_sql(m, "pk") for m in N.SPACES)}
+     SELECT horizon, target, feature, c.n_samples, pc, error, mi, cmi, te, cte FROM (SELECT horizon, target, feature, {PEARSON} FROM pk GROUP BY ALL) c {" ".join(f"LEFT JOIN v_{m} USING (horizon, target, feature)" for m in N.SPACES)}""")
 def _(t):
-    df = stage(features(t))
-    picked = sample_exact(df.select("ep"), "ep", ratio=0.5)
-    keys = ["horizon", "feature"]
-    long = tasks(df).join(picked, "ep", "left_semi")
-    binned = tasks(M.quantile_bin(df, FEATS, BINS)).join(picked, "ep", "left_semi")
-    return M.pearson(long, keys, "x", "y").join(M.information(binned, keys).drop("n_samples"), keys, "left")
+    """Every task draws its own sample of its complete rows."""
+    whole = tasks(features(t)).dropna(subset=["x", "y", "z"])
+    picked = stage(sample_exact(whole, "ep", ratio=RATIO, by=TASK))
+    return M.pearson(picked, TASK, "x", "y").join(N.neighbour_information(picked, TASK, "ep").drop("n_samples"), TASK, "left")
 
 
 def dataset(t):
@@ -187,10 +228,10 @@ def _(t):
 FAMILIES = ["lag", "delta", "roll", "ratio"]
 
 
-@query("importance_groups", "family:s total:f features:i", f"""WITH {TASK_SQL}, c AS (SELECT horizon, feature, ABS(CORR(x, y)) AS pc FROM tk GROUP BY 1, 2)
+@query("importance_groups", "family:s total:f features:i", f"""WITH {TASK_SQL}, c AS (SELECT horizon, target, feature, ABS(CORR(x, y) FILTER (z IS NOT NULL)) AS pc FROM tk GROUP BY ALL)
      SELECT CASE WHEN contains(feature, 'lag') THEN 'lag' WHEN contains(feature, 'delta') THEN 'delta' ELSE 'other' END AS family, SUM(pc) AS total, COUNT(*) AS features FROM c GROUP BY 1""")
 def _(t):
-    p = M.pearson(tasks(features(t)), ["horizon", "feature"], "x", "y").withColumn("pc", F.abs("pc"))
+    p = M.pearson(tasks(features(t)), TASK, "x", "y").withColumn("pc", F.abs("pc"))
     return M.importance_groups(p, FAMILIES, "feature", "pc")
 
 

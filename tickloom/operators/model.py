@@ -43,13 +43,13 @@ def classify(target: str, edges: list[float]) -> Column:
 
 
 def information_tasks(df: DataFrame, horizons, targets: list[str], features: list[str]) -> DataFrame:
-    """One row per (horizon, target, feature, time): x the feature now, y the target ``horizon`` rows later, z the target now.
+    """One row per (horizon, target, feature, time): x the feature now, y the target ``horizon`` rows later, z the target now, p the target one row before.
 
-    ``df`` has d, ep and the columns; a later target is one of the same day.
+    ``df`` has d, ep and the columns; earlier and later targets are those of the same day.
     """
     w = Window.partitionBy("d").orderBy("ep")
-    wide = df.select("*", *[F.lead(c, h).over(w).alias(f"_y{h}_{c}") for h in horizons for c in targets])
-    cells = [F.struct(F.lit(h).alias("horizon"), F.lit(c).alias("target"), F.lit(f).alias("feature"), F.col(f).alias("x"), F.col(f"_y{h}_{c}").alias("y"), F.col(c).alias("z"))
+    wide = df.select("*", *[F.lead(c, h).over(w).alias(f"_y{h}_{c}") for h in horizons for c in targets], *[F.lag(c).over(w).alias(f"_p_{c}") for c in targets])
+    cells = [F.struct(F.lit(h).alias("horizon"), F.lit(c).alias("target"), F.lit(f).alias("feature"), F.col(f).alias("x"), F.col(f"_y{h}_{c}").alias("y"), F.col(c).alias("z"), F.col(f"_p_{c}").alias("p"))
              for h in horizons for c in targets for f in features if f != c]
     return wide.select("d", "ep", F.explode(F.array(*cells)).alias("c")).select("d", "ep", "c.*")
 
@@ -72,19 +72,19 @@ def _entropy_sum(counts: DataFrame, keys: list[str], variables: list[str]) -> Da
 
 
 def information(binned: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
-    """Plug-in information measures of binned x, future y, past y (yp) and condition z.
+    """Plug-in information measures of binned x, future y, past target p and condition z.
 
     Rows with any of the four missing are left out.  Rows shrink at once to counts per cell
     (bins ** 4 per task at most); every entropy is an aggregate of those counts.
-    MI(x;y), CMI(x;y|z), TE = I(x; y | yp), CTE = I(x; y | yp, z).
+    MI(x;y), CMI(x;y|z), TE = I(x; y | p), CTE = I(x; y | p, z).
     """
-    counts = binned.dropna(subset=["x", "y", "yp", "z"]).groupBy(*keys, "x", "y", "yp", "z").agg(F.count("*").alias("_n"))
-    wanted = {"x": "x", "y": "y", "xy": "x y", "z": "z", "xz": "x z", "yz": "y z", "xyz": "x y z", "p": "yp", "xp": "x yp", "yp": "y yp",
-              "xyp": "x y yp", "pz": "yp z", "xpz": "x yp z", "ypz": "y yp z", "xypz": "x y yp z"}
-    cells = F.array(*[F.struct(F.lit(n).alias("w"), *[(F.col(v) if v in vs.split() else F.lit(None).cast("int")).alias(v) for v in ("x", "y", "yp", "z")])
+    counts = binned.dropna(subset=["x", "y", "p", "z"]).groupBy(*keys, "x", "y", "p", "z").agg(F.count("*").alias("_n"))
+    wanted = {"x": "x", "y": "y", "xy": "x y", "z": "z", "xz": "x z", "yz": "y z", "xyz": "x y z", "p": "p", "xp": "x p", "yp": "y p",
+              "xyp": "x y p", "pz": "p z", "xpz": "x p z", "ypz": "y p z", "xypz": "x y p z"}
+    cells = F.array(*[F.struct(F.lit(n).alias("w"), *[(F.col(v) if v in vs.split() else F.lit(None).cast("int")).alias(v) for v in ("x", "y", "p", "z")])
                       for n, vs in wanted.items()])
     long = counts.select(*keys, "_n", F.explode(cells).alias("c")).select(*keys, "_n", "c.*")
-    h = _entropy_sum(long, [*keys, "w"], ["x", "y", "yp", "z"])
+    h = _entropy_sum(long, [*keys, "w"], ["x", "y", "p", "z"])
     h = h.groupBy(*keys).agg(*[F.max(F.when(F.col("w") == n, F.col("h"))).alias(f"h_{n}") for n in wanted])
     n = counts.groupBy(*keys).agg(F.sum("_n").alias("n_samples")).where(F.col("n_samples") >= least)
     c = F.col

@@ -80,8 +80,8 @@ def hash_text(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def sample_exact(df: DataFrame, key: str, ratio: float | None = None, size: int | None = None, seed: int = 42) -> DataFrame:
-    """Seeded uniform sample without replacement of exactly max(1, int(N * ratio)) or ``size`` rows.
+def sample_exact(df: DataFrame, key: str, ratio: float | None = None, size: int | None = None, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """Seeded uniform sample without replacement of exactly max(1, int(N * ratio)) or ``size`` rows, of each group ``by`` if given.
 
     Rows are ordered by a hash of their key.  Counts per hash prefix (65,536 of them)
     locate the cut, and only the rows of the cut's prefix are ranked, so no task ever
@@ -89,19 +89,20 @@ def sample_exact(df: DataFrame, key: str, ratio: float | None = None, size: int
     """
     if (ratio is None) == (size is None):
         raise ValueError("give exactly one of ratio and size")
+    by = by or []
     rows = df.withColumn("_h", hash_text(key, seed)).withColumn("_p", F.substring("_h", 1, 4))
-    per = rows.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_g", F.substring("_p", 1, 2))
-    per = running(per, [], "_g", ["_p"], {"_to": "_n"})
-    total = rows.agg(F.count("*").alias("_total"))
+    per = rows.groupBy(*by, "_p").agg(F.count("*").alias("_n")).withColumn("_g", F.substring("_p", 1, 2))
+    per = running(per, by, "_g", ["_p"], {"_to": "_n"})
+    total = rows.groupBy(*by).agg(F.count("*").alias("_total"))
     want = F.lit(size) if size is not None else F.greatest(F.lit(1), F.floor(F.col("_total") * F.lit(float(ratio))))
-    cut = per.join(F.broadcast(total.select(want.cast("long").alias("_want"))))
+    cut = _attach(per, total.select(*by, want.cast("long").alias("_want")), by)
     cut = cut.where((F.col("_to") - F.col("_n") < F.col("_want")) & (F.col("_want") <= F.col("_to")))
-    cut = cut.select(F.col("_p").alias("_cut"), (F.col("_want") - F.col("_to") + F.col("_n")).alias("_need"))
-    tagged = rows.join(F.broadcast(cut), F.col("_p") <= F.col("_cut"))
+    cut = cut.select(*by, F.col("_p").alias("_cut"), (F.col("_want") - F.col("_to") + F.col("_n")).alias("_need"))
+    tagged = _attach(rows, cut, by).where(F.col("_p") <= F.col("_cut"))
     below = tagged.where("_p < _cut")
-    edge = tagged.where("_p = _cut").withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)))
+    edge = tagged.where("_p = _cut").withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_h", key)))
     edge = edge.where("_k <= _need").drop("_k")
-    return below.unionByName(edge).drop("_h", "_p", "_cut", "_need")
+    return below.unionByName(edge).drop("_h", "_p", "_cut", "_need").select(*df.columns)
 
 
 def islands(df: DataFrame, keys: list[str], order: str, new_island: Column, name: str = "island") -> DataFrame:
