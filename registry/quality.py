@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 from registry.base import query
 from tickloom import schema as S
 from tickloom.functions.expr import US
+from tickloom.operators import clean as C
 from tickloom.operators import quality as Q
 
 LEVELS = 10
+COLS = S.book_columns(LEVELS)
 P = S.book_columns(LEVELS, kinds=["price"])
 Z = S.book_columns(LEVELS, kinds=["size"])
 OUT = "role:s d:d check_id:s columns:s n:i first_us:i last_us:i"
@@ -59,13 +61,41 @@ def _(t):
     return Q.issue_counts(Q.issues(t.lob, Q.consistency_checks(t.lob)))
 
 
-@query("dq_normalization", "role:s d:d window_cut:i dropped_duplicates:i grid_missing:i unsorted:b", """
-       SELECT role, d, COUNT(*) FILTER (NOT ok) AS window_cut, COUNT(*) FILTER (ok) - COUNT(DISTINCT us // 1000000) FILTER (ok) AS dropped_duplicates,
-              CASE role WHEN 'ctd' THEN 34201 ELSE 39601 END - COUNT(DISTINCT us // 1000000) FILTER (ok) AS grid_missing, bool_or(late) AS unsorted
-       FROM (SELECT role, d, us, us % 86400000000 BETWEEN 28800000000 AND CASE role WHEN 'ctd' THEN 63000000000 ELSE 68400000000 END AS ok,
-              COALESCE(LAG(event_id) OVER (PARTITION BY role, d ORDER BY us) > event_id, FALSE) AS late FROM lob) x GROUP BY role, d""")
+def raw_files(t):
+    """Rows as raw files have them: every fiftieth without a time, bond times without zone, future times as instants, a column short and one too many."""
+    rows = t.lob.select("role", "d", F.when(F.col("event_id") % 50 != 0, F.col("ts")).alias("ts"), "us", "event_id", F.lit(1).alias("other"), *[c for c in COLS if c != "l10_ask_size"])
+    instant = F.when(F.col("event_id") % 50 != 0, F.timestamp_micros("us"))
+    return rows.where("role = 'ctd'").drop("us"), rows.where("role = 'fut'").withColumn("ts", instant).drop("us")
+
+
+def cleaned(t, step):
+    return [C.clean(raw, COLS, "event_id", step=step) for raw in raw_files(t)]
+
+
+RAW_SQL = """raw AS (SELECT *, us - epoch_us(d::TIMESTAMP) AS since, us - epoch_us(d::TIMESTAMP) BETWEEN 28800000000 AND closes::BIGINT * 1000000 AS inside FROM (
+       SELECT * REPLACE (CASE WHEN event_id % 50 <> 0 THEN CASE role WHEN 'ctd' THEN us ELSE epoch_us(timezone('Europe/Berlin', timezone('UTC', ts))) END END AS us, CAST(NULL AS DOUBLE) AS l10_ask_size),
+              CASE role WHEN 'ctd' THEN 63000 ELSE 68400 END AS closes FROM lob) z)"""
+
+
+@query("dq_normalization", "role:s d:d id:s n:i", f"""WITH {RAW_SQL}, o AS (SELECT *, us < MAX(us) OVER (PARTITION BY role, d ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM raw),
+       f AS (SELECT role, d, COUNT(*) AS rows, COUNT(*) FILTER (us IS NULL) AS nulls, COUNT(*) FILTER (NOT inside) AS outside, COUNT(DISTINCT since // 1000000) FILTER (inside) AS kept,
+                    COUNT(*) FILTER (inside) AS ins, COALESCE(bool_or(late), FALSE) AS unsorted, ANY_VALUE(closes) - 28800 + 1 AS grid FROM o GROUP BY role, d)
+       SELECT * FROM (SELECT role, d, unnest(['TIMEZONE_LOCALIZED', 'TIMEZONE_CONVERTED', 'INDEX_SORTED', 'INDEX_WINDOW_CUT', 'INDEX_DROP_NANS', 'INDEX_DROP_DUPS', 'INDEX_GRID_ADJUSTED', 'COLUMNS_MISSING_ADD', 'COLUMNS_EXTRA_DROP']) AS id,
+              unnest([CASE role WHEN 'ctd' THEN rows ELSE 0 END, CASE role WHEN 'fut' THEN rows ELSE 0 END, unsorted::INT, outside, nulls, ins - kept, grid - kept, 1, 1]) AS n FROM f) x WHERE n > 0""")
+def _(t):
+    """What cleaning changed, by the nine records; every row and slot has one fate."""
+    ctd, fut = cleaned(t, 1)
+    return ctd.records.unionByName(fut.records)
+
+
+@query("clean_book", f"role:s d:d ep:i fate:s {' '.join(f'{c}:f' for c in COLS)}", f"""WITH {RAW_SQL}, g AS (SELECT role, d, unnest(generate_series(28800, closes, 300)) AS slot FROM (SELECT DISTINCT role, d, closes FROM raw) z),
+       k AS (SELECT * FROM raw WHERE inside QUALIFY ROW_NUMBER() OVER (PARTITION BY role, d, (since // 1000000 - 28800) // 300 ORDER BY us, event_id) = 1)
+       SELECT g.role, g.d, epoch_us(g.d::TIMESTAMP) // 1000000 + g.slot AS ep, CASE WHEN k.us IS NULL THEN 'added' ELSE 'observed' END AS fate, {', '.join(f'k.{c}' for c in COLS)}
+       FROM g LEFT JOIN k ON k.role = g.role AND k.d = g.d AND (k.since // 1000000 - 28800) // 300 = (g.slot - 28800) // 300""")
 def _(t):
-    return Q.normalization(t.lob)
+    """Raw rows on the five-minute grid of the market's hours."""
+    ctd, fut = cleaned(t, 300)
+    return ctd.book.unionByName(fut.book)
 
 
 @query("dq_shape", "role:s d:d rows:i columns:i size:i", "SELECT role, d, COUNT(*) AS rows, 40 AS columns, COUNT(*) * 40 AS size FROM lob GROUP BY role, d")

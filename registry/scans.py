@@ -1,5 +1,7 @@
 """Scans, sinks, projections and filters."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from registry.base import query
@@ -11,46 +13,65 @@ from tickloom.operators import ordered as O
 from tickloom.operators import profit as P
 from tickloom.sources import readers as R
 from tickloom.sources import sinks as K
+from tickloom.sources import tree as X
 
 COLS = S.book_columns(10)
+TICKER = S.TICKERS[0]
 BOOK = "role:s us:i " + " ".join(f"{c}:f" for c in COLS)
 
 
-@query("scan_lob", BOOK, f"SELECT role, us, {', '.join(COLS)} FROM lob")
+def daily_files(t):
+    """A raw tree of the day files, native names, rows in the order they came."""
+    root = K.work_folder(t.spark)
+    X.write_daily_files(t.lob.select(F.lit(TICKER).alias("ticker"), "role", "d", "ts", F.col("event_id").alias("line"), *COLS), root)
+    return root
+
+
+@query("scan_lob", f"role:s d:d file:s line:i us:i {' '.join(f'{c}:f' for c in COLS)}", f"""
+       SELECT role, d, role || '_lob_freq_1s_' || strftime(d, '%Y_%m_%d') || '.parquet' AS file, ROW_NUMBER() OVER (PARTITION BY role, d ORDER BY event_id) - 1 AS line, us, {', '.join(COLS)} FROM lob""")
 def _(t):
-    named = t.lob.withColumnRenamed("ts", "timestamp")
-    return R.conform(R.time_column(named), COLS, ["role", "us"])
+    return X.read_daily_files(t.spark, daily_files(t)).withColumn("us", epoch_us("ts"))
+
+
+def store(t, *columns):
+    """The book as a partitioned store."""
+    rows = t.lob.select(F.lit(TICKER).alias("ticker"), "role", "d", "us", *columns)
+    return X.write_store(rows, K.work_folder(t.spark))
 
 
 @query("scan_lob_partition", "role:s d:d us:i l1_bid_price:f l1_ask_price:f",
        "SELECT role, d, us, l1_bid_price, l1_ask_price FROM lob WHERE role = 'ctd' AND d BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
 def _(t):
-    days = F.col("d").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date"))
-    return t.lob.where((F.col("role") == "ctd") & days)
+    root = store(t, "l1_bid_price", "l1_ask_price", "l1_bid_size", "l1_ask_size")
+    return X.read_store(t.spark, root, TICKER, "ctd", dt.date(2024, 1, 5), dt.date(2024, 1, 20))
 
 
 @query("scan_lob_day", "role:s us:i l1_bid_price:f l1_ask_price:f",
        "SELECT role, us, l1_bid_price, l1_ask_price FROM lob WHERE role = 'fut' AND d = DATE '2024-01-09'")
 def _(t):
-    return t.lob.where((F.col("role") == "fut") & (F.col("d") == F.lit("2024-01-09").cast("date")))
+    day = dt.date(2024, 1, 9)
+    return X.read_daily_files(t.spark, daily_files(t), TICKER, "fut", day, day).withColumn("us", epoch_us("ts"))
 
 
 @query("file_date", "name:s file_day:d n:i", """
-       SELECT name, CASE WHEN ok THEN d END AS file_day, n FROM (
-        SELECT role || '_lob_' || strftime(d, '%Y_%m_%d') || CASE WHEN DAY(d) % 5 = 0 THEN '.csv' ELSE '.parquet' END AS name, d,
-               DAY(d) % 5 <> 0 AS ok, COUNT(*) AS n FROM lob GROUP BY role, d)""")
+       SELECT role || '_lob_freq_1s_' || strftime(d, '%Y_%m_%d') || CASE WHEN DAY(d) % 5 = 0 THEN '.old.parquet' ELSE '.parquet' END AS name, CASE WHEN DAY(d) % 5 <> 0 THEN d END AS file_day, COUNT(*) AS n
+       FROM lob GROUP BY role, d""")
 def _(t):
-    ext = F.when(F.dayofmonth("d") % 5 == 0, ".csv").otherwise(".parquet")
-    name = F.concat("role", F.lit("_lob_"), F.date_format("d", "yyyy_MM_dd"), ext)
-    return t.lob.groupBy(name.alias("name")).agg(F.count("*").alias("n")).withColumn("file_day", R.file_date(F.col("name")))
+    """Days from the names of the files that rows come from; names of another form have none."""
+    ext = F.when(F.dayofmonth("d") % 5 == 0, ".old.parquet").otherwise(".parquet")
+    root = K.work_folder(t.spark)
+    rows = t.lob.select(F.lit(TICKER).alias("ticker"), "role", "d", "ts", F.col("event_id").alias("line"), "l1_bid_price")
+    X.write_daily_files(rows, root, F.concat("role", F.lit("_lob_freq_1s_"), F.date_format("d", "yyyy_MM_dd"), ext), F.lit(""))
+    found = R.with_file_date(t.spark.read.parquet(root).select("*", F.col("_metadata.file_name").alias("name")))
+    return found.groupBy("name", F.col("session_date").alias("file_day")).agg(F.count("*").alias("n"))
 
 
 @query("scan_series_filtered", "role:s us:i value:f", """
        SELECT role, us, l1_ask_price AS value FROM lob WHERE d IN (DATE '2024-01-03', DATE '2024-01-04', DATE '2024-01-15')
        AND us % 86400000000 BETWEEN 32400000000 AND 61200000000""")
 def _(t):
-    days = [F.lit(x).cast("date") for x in ("2024-01-03", "2024-01-04", "2024-01-15")]
-    return R.filter_series(t.lob, S.WINDOW_OPEN, S.WINDOW_CLOSE, include=days).withColumn("value", F.col("l1_ask_price"))
+    days = [dt.date(2024, 1, 3), dt.date(2024, 1, 4), dt.date(2024, 1, 15)]
+    return X.read_store(t.spark, store(t, F.col("l1_ask_price").alias("value")), TICKER, include=days, opens=S.WINDOW_OPEN, closes=S.WINDOW_CLOSE)
 
 
 @query("scan_daily_cf", "d:d cf:f isin:s cusip:s", "SELECT * FROM daily_cf")
@@ -81,23 +102,34 @@ def _(t):
     return t.ctd_metadata.join(F.broadcast(n), "isin", "left").fillna(0, ["n_days"])
 
 
-@query("scan_ticks", "ep:i l1_bid_price:f l1_ask_price:f mid:f", """
+BERLIN = "epoch_us(timezone('Europe/Berlin', timezone('UTC', {})))"
+
+
+@query("scan_ticks", "ep:i l1_bid_price:f l1_ask_price:f mid:f", f"""
+       WITH k AS (SELECT {BERLIN.format("ts")} AS us, l1_bid_price, l1_ask_price FROM lob WHERE role = 'fut')
        SELECT b.ep, l1_bid_price, l1_ask_price, mid FROM (SELECT unnest(generate_series(a, z, 60)) AS ep FROM
-        (SELECT MIN(us // 60000000 * 60) AS a, MAX(us // 60000000 * 60) AS z FROM lob WHERE role = 'fut')) b
+        (SELECT MIN(us // 60000000 * 60) AS a, MAX(us // 60000000 * 60) AS z FROM k)) b
        LEFT JOIN (SELECT us // 60000000 * 60 AS ep, arg_max(l1_bid_price, us) AS l1_bid_price, arg_max(l1_ask_price, us) AS l1_ask_price,
-        arg_max((l1_bid_price + l1_ask_price) / 2, us) AS mid FROM lob WHERE role = 'fut' GROUP BY 1) x ON x.ep = b.ep""")
+        arg_max((l1_bid_price + l1_ask_price) / 2, us) AS mid FROM k GROUP BY 1) x ON x.ep = b.ep""")
 def _(t):
-    ticks = t.lob.where("role = 'fut'").select("us", "role", "l1_bid_price", "l1_ask_price",
-                                               ((F.col("l1_bid_price") + F.col("l1_ask_price")) / 2).alias("mid"))
+    """Tick files of all instruments, read for one, on the market's clock."""
+    path = K.work_folder(t.spark)
+    t.lob.select(F.col("role").alias("#RIC"), F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("Date-Time"), F.col("l1_bid_price").alias("L1-BidPrice"), F.col("l1_ask_price").alias("L1-AskPrice")).write.csv(path, header=True)
+    ticks = R.read_ticks(t.spark, path, "fut", "`#RIC` string, `Date-Time` timestamp, `L1-BidPrice` double, `L1-AskPrice` double").withColumn("role", F.lit("fut"))
     bins = ticks.groupBy("role", (F.floor(F.col("us") / (60 * US)) * 60).alias("ep")).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("us"))).alias(c) for c in ("l1_bid_price", "l1_ask_price", "mid")])
     return G.resample_last(bins, ["role"], 60, ["l1_bid_price", "l1_ask_price", "mid"])
 
 
-@query("scan_proposals", "order_id:i start_us:i end_us:i bid_price:f bid_qty:f ask_price:f ask_qty:f",
-       "SELECT * FROM proposals WHERE bond_code = 'IT0001' AND status = 0 AND check_logon = 0")
+@query("scan_proposals", "order_id:i start_us:i end_us:i bid_price:f bid_qty:f ask_price:f ask_qty:f", f"""
+       SELECT order_id, {BERLIN.format("make_timestamp(start_us)")} AS start_us, {BERLIN.format("make_timestamp(end_us)")} AS end_us, bid_price, bid_qty, ask_price, ask_qty
+       FROM proposals WHERE bond_code = 'IT0001' AND status = 0 AND check_logon = 0""")
 def _(t):
-    return R.valid_proposals(t.proposals, "IT0001")
+    """Order files under their own names, on the market's clock."""
+    names = {"bond_code": "BONDCODE", "status": "STATUS", "check_logon": "CHECK_LOGON", "bid_price": "BIDPRICE", "bid_qty": "BIDQTY", "ask_price": "ASKPRICE", "ask_qty": "ASKQTY"}
+    path = K.work_folder(t.spark)
+    t.proposals.select("order_id", *[F.col(a).alias(b) for a, b in names.items()], F.timestamp_micros("start_us").alias("updateTS"), F.timestamp_micros("end_us").alias("endTS")).write.parquet(path)
+    return R.read_proposals(t.spark, path, "IT0001")
 
 
 @query("scan_feature_catalog", "role:s ep:i ctd_mid_price:f", """
@@ -154,17 +186,21 @@ def _(t):
     return t.spark.read.parquet(K.write_results(counts, K.work_folder(t.spark), ["price_mode"]))
 
 
-@query("organize_raw", "name:s role:s yyyy:s mm:s n:i", """
+@query("organize_raw", "name:s role:s yyyy:s mm:s n:i stored:i", """
        SELECT name, CASE WHEN ok THEN role END AS role, CASE WHEN ok THEN strftime(d, '%Y') ELSE '' END AS yyyy,
-              CASE WHEN ok THEN strftime(d, '%m') ELSE '' END AS mm, n FROM (
+              CASE WHEN ok THEN strftime(d, '%m') ELSE '' END AS mm, n, CASE WHEN ok THEN n ELSE 0 END AS stored FROM (
         SELECT CASE WHEN role = 'fut' THEN 'futures' ELSE role END || CASE WHEN DAY(d) = 7 THEN '-' ELSE '_lob_freq_1s_' END
                || strftime(d, '%Y_%m_%d') || '.parquet' AS name, role, d, DAY(d) <> 7 AS ok, COUNT(*) AS n FROM lob GROUP BY role, d)""")
 def _(t):
+    """Files of one flat folder, a few with names that do not fit, laid out as a store and counted there."""
     raw = F.when(F.col("role") == "fut", "futures").otherwise(F.col("role"))
     gap = F.when(F.dayofmonth("d") == 7, "-").otherwise("_lob_freq_1s_")
-    name = F.concat(raw, gap, F.date_format("d", "yyyy_MM_dd"), F.lit(".parquet"))
-    files = t.lob.groupBy(name.alias("name")).agg(F.count("*").alias("n"))
-    return files.select("name", "n", *R.raw_layout(F.col("name")))
+    flat, root = K.work_folder(t.spark), K.work_folder(t.spark)
+    rows = t.lob.select(F.lit(TICKER).alias("ticker"), "role", "d", "ts", F.col("event_id").alias("line"), *S.book_columns(1))
+    X.write_daily_files(rows, flat, F.concat(raw, gap, F.date_format("d", "yyyy_MM_dd"), F.lit(".parquet")), F.lit(""))
+    files = X.organize(t.spark, flat, root, TICKER).withColumn("d", R.file_date(F.col("file")))
+    stored = X.read_store(t.spark, root).groupBy("role", "d").agg(F.count("*").alias("stored"))
+    return files.join(stored, ["role", "d"], "left").select(F.col("file").alias("name"), "role", "yyyy", "mm", F.col("rows").alias("n"), F.coalesce("stored", F.lit(0)).alias("stored"))
 
 
 @query("merge_deliveries", "role:s us:i delivery_no:i l1_ask_price:f", """
@@ -222,11 +258,12 @@ def _(t):
     return D.excluded_dates(t.excluded_raw).join(n, "d", "left").fillna(0, ["n"])
 
 
-@query("tz_normalize", "us:i berlin_us:i", """
-       SELECT us, epoch_us(timezone('Europe/Berlin', timezone('UTC', ts))) AS berlin_us FROM lob""")
+@query("tz_normalize", "us:i localized_us:i converted_us:i", """
+       SELECT us, us AS localized_us, epoch_us(timezone('Europe/Berlin', timezone('UTC', ts))) AS converted_us FROM lob""")
 def _(t):
-    local = F.convert_timezone(F.lit("UTC"), F.lit("Europe/Berlin"), F.col("ts"))
-    return t.lob.select("us", epoch_us(local).alias("berlin_us"))
+    """A time without zone is the market's already, an instant is converted."""
+    both = t.lob.select("us", "ts", F.timestamp_micros("us").alias("instant"))
+    return both.select("us", epoch_us(R.market_time(both, "ts")[0]).alias("localized_us"), epoch_us(R.market_time(both, "instant")[0]).alias("converted_us"))
 
 
 DUPS = "SELECT role, us // 60000000 AS m, us, event_id, l1_ask_price FROM lob WHERE event_id % 50 <> 0"
@@ -319,7 +356,8 @@ def _(t):
 @query("restrict_sampled_dates", "role:s us:i", """
        SELECT role, us FROM lob WHERE d IN (SELECT d FROM lob WHERE event_id % 997 = 0)""")
 def _(t):
-    return D.keep_dates(t.lob, t.lob.where("event_id % 997 = 0"))
+    """The sampled days choose the folders when the query runs."""
+    return X.read_store(t.spark, store(t, "l1_bid_price"), TICKER, include=t.lob.where("event_id % 997 = 0").select("d"))
 
 
 @query("price_mode", "ep:i mode:s ctd_bid_price:f ctd_ask_price:f fut_bid_price:f fut_ask_price:f", """

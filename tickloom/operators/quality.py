@@ -163,33 +163,6 @@ def gaps(book: DataFrame, wanted: tuple[str, ...] = ("level_1",)) -> DataFrame:
         F.min("ep").alias("first_ep"), F.max("ep").alias("last_ep"), F.count("*").alias("rows")).drop("island")
 
 
-def normalization(df: DataFrame) -> DataFrame:
-    """Index defects per day: rows outside hours, repeated seconds, missing seconds, rows out of file order.
-
-    File order is the event id.  Seconds are compared with their predecessor by lowest and
-    highest id, so the day window sees one row per second; order inside a second is not checked.
-    """
-    keys = [*series_keys(df), "d"]
-    us = F.pmod(F.col("us"), F.lit(86_400 * US))
-    opens, closes = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for role, c in CONTRACTS.items():
-        opens = F.when(F.col("role") == role, c.opens).otherwise(opens)
-        closes = F.when(F.col("role") == role, c.closes).otherwise(closes)
-    inside = us.between(opens * US, closes * US)
-    second = F.floor(F.col("us") / US)
-    per_second = df.groupBy(*keys, second.alias("s")).agg(
-        F.count_if(~inside).alias("_out"), F.count_if(inside).alias("_in"),
-        F.min("event_id").alias("_lo"), F.max("event_id").alias("_hi"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("s")
-    late = F.coalesce(F.lag("_hi").over(w) > F.col("_lo"), F.lit(False))
-    per_second = per_second.withColumn("_late", late)
-    grid = closes - opens + 1
-    out = per_second.groupBy(*keys).agg(
-        F.sum("_out").alias("window_cut"), F.sum(F.greatest(F.col("_in") - 1, F.lit(0))).alias("dropped_duplicates"),
-        F.count_if(F.col("_in") > 0).alias("_have"), F.bool_or("_late").alias("unsorted"))
-    return out.withColumn("grid_missing", grid - F.col("_have")).drop("_have")
-
-
 # ---- critical days
 
 

@@ -44,6 +44,9 @@ CONTRACTS = {"ctd": BOND, "fut": LONG_FUTURE}
 TICKERS = ("fbtp", "fbts")
 TICKER_CONTRACTS = {("fbtp", "ctd"): BOND, ("fbtp", "fut"): LONG_FUTURE, ("fbts", "ctd"): BOND, ("fbts", "fut"): SHORT_FUTURE}
 
+# Time zone of both markets.
+MARKET_ZONE = "Europe/Berlin"
+
 # Analysis window, both ends inclusive.
 WINDOW_OPEN = 9 * 3600
 WINDOW_CLOSE = 17 * 3600

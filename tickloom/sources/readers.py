@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.expr import US, epoch_us, null_nan
-from tickloom.schema import KINDS, SIDES, book_column, book_columns
+from tickloom.schema import KINDS, MARKET_ZONE, SIDES, book_column, book_columns
 from tickloom.sources.sinks import stage
 
 # File name patterns.
@@ -23,6 +23,22 @@ def time_column(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed(found[0], "ts")
 
 
+def utc_wall(ts: Column) -> Column:
+    """Wall clock in UTC of an instant, whatever the session time zone."""
+    seconds = (F.unix_micros(ts).cast("decimal(24,6)") / 1_000_000).cast("decimal(18,6)")
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+
+
+def market_time(df: DataFrame, time: str = "ts", zone: str = MARKET_ZONE) -> tuple[Column, bool]:
+    """Wall clock of the market and whether it was converted: a time without zone is the market's already, an instant is converted."""
+    kind = dict(df.dtypes)[time]
+    if kind == "timestamp_ntz":
+        return F.col(time), False
+    if kind == "timestamp":
+        return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc_wall(F.col(time))), True
+    raise ValueError(f"column {time} is {kind}, not a time")
+
+
 def native_names(levels: int = 10) -> dict[str, str]:
     """File column -> canonical column, as in ``L3-BidPrice`` -> ``l3_bid_price``."""
     return {f"L{lv}-{side.title()}{kind.title()}": book_column(lv, side, kind) for lv in range(1, levels + 1) for side in SIDES for kind in KINDS}
@@ -128,9 +144,9 @@ def read_futures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ticks(spark: SparkSession, path: str, instrument: str, schema: str) -> DataFrame:
-    """Ticks of one instrument with their mid price."""
-    df = time_column(spark.read.schema(schema).csv(path, header=True).where(F.col("`#RIC`") == instrument).drop("#RIC"))
-    df = df.withColumnsRenamed(native_names(1))
+    """Ticks of one instrument with their mid price and ``us``, the market's clock; rows without a time are left out."""
+    df = time_column(spark.read.schema(schema).csv(path, header=True).where(F.col("`#RIC`") == instrument).drop("#RIC")).where("ts IS NOT NULL")
+    df = df.withColumnsRenamed(native_names(1)).withColumn("us", epoch_us(market_time(df)[0]))
     return df.withColumn("mid", (F.col("l1_bid_price") + F.col("l1_ask_price")) / 2)
 
 
@@ -140,9 +156,10 @@ def valid_proposals(df: DataFrame, bond: str) -> DataFrame:
 
 
 def read_proposals(spark: SparkSession, path: str, bond: str) -> DataFrame:
+    """Active orders of one bond; start_us and end_us are the market's clock."""
     raw = spark.read.parquet(path)
     names = {"BONDCODE": "bond_code", "STATUS": "status", "CHECK_LOGON": "check_logon", "updateTS": "update_ts", "endTS": "end_ts",
              "BIDPRICE": "bid_price", "BIDQTY": "bid_qty", "ASKPRICE": "ask_price", "ASKQTY": "ask_qty"}
     df = raw.withColumnsRenamed(names)
     df = valid_proposals(df, bond)
-    return df.withColumn("start_us", epoch_us("update_ts")).withColumn("end_us", epoch_us("end_ts"))
+    return df.withColumns({"start_us": epoch_us(market_time(df, "update_ts")[0]), "end_us": epoch_us(market_time(df, "end_ts")[0])})
