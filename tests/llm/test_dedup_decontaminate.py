@@ -10,7 +10,8 @@ import tables
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import decontamination, simhash_dedup
+from test_set_dedup import shingles
+from tickloom.llm import decontamination, set_dedup, simhash_dedup
 
 BENCHMARK = "item_id long, text string"
 
@@ -96,15 +97,25 @@ def test_fingerprints_and_components(spark, folder):
     assert sorted(key(r) for r in simhash_dedup.op8_anchor_points(spark, folder).collect()) == want
 
 
+def shingle_roots(rows):
+    """Smallest row of each row's component: five-word shingles, similarity 0.8 or more; texts without words are one component."""
+    sets = [shingles(d[1]) for d in rows]
+    return plain.groups(sets, lambda a, b: a == b or 10 * len(a & b) >= 8 * len(a | b))
+
+
+def one_each(rows):
+    best = {}
+    for i, (d, root) in enumerate(zip(rows, shingle_roots(rows))):
+        best[root] = min(best.get(root, (2, 0, 0)), (d[0] is None, d[0] or 0, i))
+    return [rows[i] for _, _, i in sorted(best.values(), key=lambda x: x[2])]
+
+
 def test_one_document_stays(spark, folder):
+    """Null ids and texts, repeated rows, a long text, clashing columns."""
     source = spark.read.parquet(f"{folder}/documents.parquet")
-    out = simhash_dedup.distinct_documents(source)
+    out = set_dedup.without_near_copies(source)
     assert out.columns == source.columns
-    docs = tables.documents()
-    best = {}
-    for d, (_, root) in zip(docs, components(docs)):
-        best[root] = min(best.get(root, (2, 0)), (d[0] is None, d[0] or 0))
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == sorted(best.values())
+    assert sorted(key(r) for r in out.select("doc_id", "text").collect()) == sorted(key(d[:2]) for d in one_each(tables.documents()))
 
 
 def check_hits(spark, folder):
@@ -140,7 +151,7 @@ def test_empty(spark, empty, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     none = spark.read.parquet(f"{empty}/benchmark.parquet")
     assert decontamination.clean_documents(docs, none).count() == docs.count()
-    assert simhash_dedup.distinct_documents(spark.read.parquet(f"{empty}/documents.parquet")).count() == 0
+    assert set_dedup.without_near_copies(spark.read.parquet(f"{empty}/documents.parquet")).count() == 0
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
@@ -151,10 +162,7 @@ def test_pipeline(spark, folder):
     rows = tables.documents()
     bad = plain.bad_hosts([(d[3], plain.rule_counts(d[1])["base_failed"]) for d in rows])
     rows = [d for d in rows if not plain.rule_counts(d[1])["base_failed"] and d[3] not in bad]
-    best = {}
-    for i, (d, (_, root)) in enumerate(zip(rows, components(rows))):
-        best[root] = min(best.get(root, (2, 0, 0)), (d[0] is None, d[0] or 0, i))
-    rows = [rows[i] for _, _, i in sorted(best.values(), key=lambda x: x[2])]
+    rows = one_each(rows)
     rows = [d for d in rows if not plain.hits(d[1], tables.items())[1]]
     _, _, copies = plain.mix([(d[0], d[3], d[1]) for d in rows])
     want = Counter()

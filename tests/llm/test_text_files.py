@@ -137,7 +137,6 @@ def test_wavelet(n, symbols):
 
 def test_encoder_equals_the_library():
     encoder, library = token_store.Encoder(PATH), Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     r = random.Random(4)
     alphabet = "aab  cZéßñ'stlvermd'  0129.,!?*#\n\t\r\x0b\x0c-_&<>|\"(){}" + "²漢🙂\x85\xa0\x1c "
     texts = ["".join(r.choice(alphabet if i % 3 == 0 else alphabet[:-8]) for _ in range(r.randrange(60))) for i in range(3000)]
@@ -160,7 +159,6 @@ def test_round_trip(spark, tmp_path, monkeypatch, file_tokens):
     docs = tables.documents()
     got = token_store.op10_wavelet_matrix(spark, tables.write(spark, tmp_path, docs=docs)).orderBy("start").collect()
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     ids = {(d[0], d[1]): [*library.encode(d[1] or "", add_special_tokens=False).ids, 0] for d in docs}
     want = Counter((d[0], len(ids[d[:2]]), zlib.crc32(np.array(ids[d[:2]], "<u4").tobytes())) for d in docs)
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
