@@ -13,7 +13,7 @@ from tickloom.operators import report as R
 from tickloom.operators import stats as T
 from tickloom.sources.readers import valid_proposals
 
-LEV = 3
+LEV, BOOK_STEP = 10, 60
 WIDE = " ".join(f"l{n}_{s}_{k}:f" for n in range(1, LEV + 1) for s in S.SIDES for k in S.KINDS)
 
 
@@ -24,14 +24,14 @@ def _pivot():
 
 @query("book_aggregate", f"ep:i {WIDE} mid:f", f"""
        WITH o AS (SELECT * FROM proposals WHERE bond_code = 'IT0001' AND status = 0 AND check_logon = 0),
-            g AS (SELECT unnest(generate_series(a, z, 600)) AS ep FROM (SELECT MIN(start_us) // 600000000 * 600 AS a, MAX(end_us) // 600000000 * 600 AS z FROM o)),
+            g AS (SELECT unnest(generate_series(a, z, {BOOK_STEP})) AS ep FROM (SELECT MIN(start_us) // {BOOK_STEP * 1000000} * {BOOK_STEP} AS a, MAX(end_us) // {BOOK_STEP * 1000000} * {BOOK_STEP} AS z FROM o)),
             q AS (SELECT ep, 'bid' AS side, bid_price AS price, SUM(bid_qty) AS qty FROM g JOIN o ON g.ep * 1000000 BETWEEN start_us AND end_us WHERE bid_price <> 0 GROUP BY ALL
                   UNION ALL SELECT ep, 'ask', ask_price, SUM(ask_qty) FROM g JOIN o ON g.ep * 1000000 BETWEEN start_us AND end_us WHERE ask_price <> 0 GROUP BY ALL),
             r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ep, side ORDER BY CASE side WHEN 'bid' THEN -price ELSE price END) AS rk FROM q),
             w AS (SELECT ep, {_pivot()} FROM r WHERE rk <= {LEV} GROUP BY ep)
        SELECT g.ep, w.* EXCLUDE (ep), (l1_bid_price + l1_ask_price) / 2 AS mid FROM g LEFT JOIN w ON w.ep = g.ep""")
 def _(t):
-    return B.rebuild_book(valid_proposals(t.proposals, "IT0001"), 600, LEV)
+    return B.rebuild_book(valid_proposals(t.proposals, "IT0001"), BOOK_STEP, LEV)
 
 
 @query("resample_last", "role:s ep:i l1_bid_price:f l1_bid_size:f", """

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import US
 from tickloom.operators.grid import full_grid
-from tickloom.schema import SIDES, book_column
+from tickloom.schema import DAY_S, SIDES, book_column
+
+#: Change points whose prices are ranked side by side.
+SWEEP = 2048
+QTY = "decimal(38,10)"
 
 
 def row_levels(book: DataFrame, levels: int, n: int) -> DataFrame:
@@ -35,39 +41,100 @@ def best_levels(long: DataFrame, keys: list[str], n: int) -> DataFrame:
     return long.withColumn("rank", price_rank(keys)).where(F.col("rank") <= n)
 
 
-def active_on_grid(orders: DataFrame, step_s: int) -> DataFrame:
-    """Grid times each order covers, both ends included; one row per (order, grid time).
+def depth_changes(orders: DataFrame, step_s: int) -> DataFrame:
+    """(side, price, day, ep, dq, dn): change of quantity and of the number of orders per price and grid time.
 
-    Only result pairs are produced: an order starts at the first grid time at or after its
-    start, so no bucket is searched in vain.
+    An order adds at the first grid time at or after its start and is taken out one step after
+    the last one at or before its end: two rows, however long it lives.  Zero prices mean no
+    quote on that side.  Quantities are added as decimals, so a price that empties is empty.
     """
     step = step_s * US
-    first = F.ceil(F.col("start_us") / step) * step_s
-    last = F.floor(F.col("end_us") / step) * step_s
-    covered = orders.withColumn("_a", first.cast("long")).withColumn("_b", last.cast("long")).where("_a <= _b")
-    return covered.withColumn("ep", F.explode(F.sequence("_a", "_b", F.lit(step_s).cast("long")))).drop("_a", "_b")
+    first, last = (F.ceil(F.col("start_us") / step) * step_s).cast("long"), (F.floor(F.col("end_us") / step) * step_s).cast("long")
+    cells = [F.struct(F.lit(s).alias("side"), F.col(f"{s}_price").cast("double").alias("price"), at.alias("ep"), (F.col(f"{s}_qty").cast(QTY) * sign).cast(QTY).alias("dq"), F.lit(sign).alias("dn"))
+             for s in SIDES for at, sign in ((F.col("_a"), 1), (F.col("_b") + step_s, -1))]
+    events = orders.withColumns({"_a": first, "_b": last}).where("_a <= _b").select(F.inline(F.array(*cells))).where("price <> 0")
+    return events.groupBy("side", "price", F.floor(F.col("ep") / DAY_S).alias("day"), "ep").agg(F.sum("dq").cast(QTY).alias("dq"), F.sum("dn").alias("dn"))
+
+
+def depths(changes: DataFrame) -> DataFrame:
+    """(day, ep, side, price, qty) where a price's quantity changes, and at the start of each day for the prices that stand over night; qty 0 is an empty price.
+
+    Prices are followed within a day; a day's net change carries over, one row per price and day.
+    """
+    price, order = ["side", "price"], Window.partitionBy("side", "price").orderBy("day")
+    daily = changes.groupBy(*price, "day").agg(F.sum("dq").cast(QTY).alias("dq"), F.sum("dn").alias("dn"))
+    held = daily.select(*price, "day", F.sum("dq").over(order).cast(QTY).alias("q"), F.sum("dn").over(order).alias("n"), F.lead("day").over(order).alias("next"), "dq", "dn")
+    carry = held.select(*price, "day", (F.col("q") - F.col("dq")).cast(QTY).alias("q0"), (F.col("n") - F.col("dn")).alias("n0"))
+    inside = Window.partitionBy(*price, "day").orderBy("ep")
+    moved = changes.join(carry, [*price, "day"]).select(
+        "day", "ep", *price, (F.col("q0") + F.sum("dq").over(inside)).alias("q"), (F.col("n0") + F.sum("dn").over(inside)).alias("n"))
+    over = held.where("n > 0 AND next IS NOT NULL").withColumn("day", F.explode(F.sequence(F.col("day") + 1, F.col("next"))))
+    over = over.select("day", (F.col("day") * DAY_S).cast("long").alias("ep"), *price, "q", "n").join(moved.select("ep", *price), ["ep", *price], "left_anti").select("day", "ep", *price, "q", "n")
+    both = moved.unionByName(over)
+    return both.select("day", "ep", *price, F.when(F.col("n") > 0, F.col("q").cast("double")).otherwise(0.0).alias("qty"))
+
+
+def swept(rows: pd.DataFrame, levels: int) -> pd.DataFrame:
+    """Best levels of one day at every time that a price changes, from the quantities there."""
+    times = np.unique(rows["ep"].to_numpy())
+    out = {"ep": times}
+    for s in SIDES:
+        mine = rows[rows["side"] == s]
+        prices = np.unique(mine["price"].to_numpy())
+        # Best first: high bids, low asks.
+        prices = prices[::-1] if s == "bid" else prices
+        at, qty = np.searchsorted(times, mine["ep"].to_numpy()), mine["qty"].to_numpy()
+        column = {p: i for i, p in enumerate(prices)}
+        which = np.array([column[p] for p in mine["price"]], np.int64)
+        order = np.argsort(at, kind="stable")
+        at, which, qty = at[order], which[order], qty[order]
+        now = np.zeros(len(prices))
+        price_out, size_out = np.full((len(times), levels), np.nan), np.full((len(times), levels), np.nan)
+        for start in range(0, len(times), SWEEP):
+            stop = min(start + SWEEP, len(times))
+            a, b = np.searchsorted(at, (start, stop))
+            # Every price keeps its quantity until its next change.
+            last = np.full((stop - start + 1, len(prices)), -1, np.int64)
+            last[at[a:b] - start + 1, which[a:b]] = np.arange(a, b)
+            np.maximum.accumulate(last, axis=0, out=last)
+            depth = np.where(last >= 0, qty[np.maximum(last, 0)] if len(qty) else 0.0, now)[1:]
+            now = depth[-1] if len(depth) else now
+            rank = np.cumsum(depth > 0, axis=1)
+            row, col = np.nonzero((depth > 0) & (rank <= levels))
+            price_out[row + start, rank[row, col] - 1] = prices[col]
+            size_out[row + start, rank[row, col] - 1] = depth[row, col]
+        for n in range(levels):
+            out[book_column(n + 1, s, "price")], out[book_column(n + 1, s, "size")] = price_out[:, n], size_out[:, n]
+    return pd.DataFrame(out)
+
+
+def book_changes(orders: DataFrame, step_s: int, levels: int) -> DataFrame:
+    """Wide book at every grid time at which a price changes or a day with standing quotes begins.
+
+    A day's changes are swept in one task: their number, not the orders' life times, is the cost.
+    """
+    columns = [book_column(n, s, k) for n in range(1, levels + 1) for s in SIDES for k in ("price", "size")]
 
+    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
+        found = swept(rows, levels)
+        return found.assign(day=rows["day"].iloc[0])[["day", "ep", *columns]]
 
-def price_levels(orders: DataFrame, step_s: int) -> DataFrame:
-    """Quantity per grid time, side and price; zero prices mean no quote on that side."""
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_price").alias("price"), F.col(f"{s}_qty").alias("qty")) for s in SIDES])
-    quotes = active_on_grid(orders, step_s).select("ep", F.inline(sides)).where("price <> 0")
-    return quotes.groupBy("ep", "side", "price").agg(F.sum("qty").alias("qty"))
+    found = depths(depth_changes(orders, step_s)).groupBy("day").applyInPandas(sweep, "day long, ep long, " + ", ".join(f"{c} double" for c in columns))
+    return found.select("day", "ep", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
 
 
 def rebuild_book(orders: DataFrame, step_s: int, levels: int) -> DataFrame:
     """Wide book per grid time between the first start and the last end, missing levels null, plus mid."""
-    ranked = best_levels(price_levels(orders, step_s), ["ep"], levels)
-    aggs = []
-    for n in range(1, levels + 1):
-        for s in SIDES:
-            here = (F.col("rank") == n) & (F.col("side") == s)
-            aggs.append(F.max(F.when(here, F.col("price"))).alias(book_column(n, s, "price")))
-            aggs.append(F.max(F.when(here, F.col("qty"))).alias(book_column(n, s, "size")))
-    wide = ranked.groupBy("ep").agg(*aggs)
     step = step_s * US
+    changes = book_changes(orders, step_s, levels)
+    columns = [c for c in changes.columns if c not in ("day", "ep")]
     span = orders.agg((F.floor(F.min("start_us") / step) * step_s).alias("_a"), (F.floor(F.max("end_us") / step) * step_s).alias("_b"))
-    return full_grid(span, [], step_s).join(wide, "ep", "left").withColumn("mid", (F.col("l1_bid_price") + F.col("l1_ask_price")) / 2)
+    grid = full_grid(span, [], step_s).select(F.floor(F.col("ep") / DAY_S).alias("day"), "ep", F.lit(True).alias("wanted"), F.lit(None).cast(changes.select(F.struct(*columns).alias("book")).schema["book"].dataType).alias("book"))
+    both = changes.select("day", "ep", F.lit(False).alias("wanted"), F.struct(*columns).alias("book")).unionByName(grid)
+    # A change at a grid time counts there.
+    known = F.last("book", ignorenulls=True).over(Window.partitionBy("day").orderBy("ep", "wanted").rowsBetween(Window.unboundedPreceding, 0))
+    filled = both.withColumn("book", known).where("wanted").select("ep", *[F.col("book")[c].alias(c) for c in columns])
+    return filled.withColumn("mid", (F.col("l1_bid_price") + F.col("l1_ask_price")) / 2)
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, bucket_s: int) -> DataFrame:
