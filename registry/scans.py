@@ -156,12 +156,6 @@ MARKET = "ctd_bid_price:f ctd_ask_price:f ctd_bid_size:f ctd_ask_size:f fut_bid_
 EXCL = "SELECT unnest(generate_series(d - days_before, d + days_after, INTERVAL 1 DAY))::DATE AS d FROM excluded_raw"
 
 
-@query("scan_market", "d:d ep:i " + MARKET, f"""
-       SELECT * FROM market5 WHERE ep % 86400 BETWEEN 32400 AND 61200 AND d NOT IN ({EXCL})""")
-def _(t):
-    return D.drop_dates(D.filter_time(t.market5, S.WINDOW_OPEN, S.WINDOW_CLOSE), D.excluded_dates(t.excluded_raw))
-
-
 @query("sink_lob", "role:s d:d n:i bid:f3", """
        SELECT role, d, COUNT(*) AS n, SUM(l1_bid_price) AS bid FROM quotes1 GROUP BY role, d""")
 def _(t):

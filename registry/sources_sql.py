@@ -41,6 +41,13 @@ TABLES: dict[str, str] = {
                f.l1_bid_size AS fut_bid_size, f.l1_ask_size AS fut_ask_size, k.cf, k.isin
         FROM grid5 c JOIN grid5 f ON c.ep = f.ep AND f.role = 'fut' LEFT JOIN daily_cf k ON k.d = c.d
         WHERE c.role = 'ctd'""",
+    # Second by second: each role's last quote of the day so far.
+    "market1": """
+        SELECT s.d, s.ep, c.ep AS cep, f.ep AS fep, c.l1_bid_price AS ctd_bid_price, c.l1_ask_price AS ctd_ask_price, c.l1_bid_size AS ctd_bid_size,
+               c.l1_ask_size AS ctd_ask_size, f.l1_bid_price AS fut_bid_price, f.l1_ask_price AS fut_ask_price, f.l1_bid_size AS fut_bid_size, f.l1_ask_size AS fut_ask_size, k.cf, k.isin
+        FROM (SELECT d, epoch_us(d::TIMESTAMP) // 1000000 + unnest(generate_series(32400, 61200)) AS ep FROM (SELECT DISTINCT d FROM lob_clean) z) s
+        ASOF JOIN (SELECT * FROM quotes1 WHERE role = 'ctd') c ON c.d = s.d AND c.ep <= s.ep ASOF JOIN (SELECT * FROM quotes1 WHERE role = 'fut') f ON f.d = s.d AND f.ep <= s.ep
+        LEFT JOIN daily_cf k ON k.d = s.d""",
     "basis5": """
         SELECT d, ep, (ctd_ask_price + ctd_bid_price) / 2 - cf * ((fut_ask_price + fut_bid_price) / 2) AS basis FROM market5""",
     "proposals": "SELECT *, epoch_us(update_ts) AS start_us, epoch_us(update_ts) + life_s * 1000000 AS end_us FROM ("

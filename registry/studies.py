@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from registry.base import query
+from registry.scans import EXCL
 from tickloom import schema as S
 from tickloom.functions import cross
 from tickloom.operators import dates as D
+from tickloom.operators import intervals as V
 from tickloom.operators import profit as P
 from tickloom.plans import dataset as DS
 from tickloom.sources.sinks import stage
@@ -26,88 +28,136 @@ def legs_sql(source="market5"):
       lg AS (SELECT *, volume_mode = 'ignore' OR (ctd_ask_size >= {BONDS}e0 AND fut_bid_size >= nf) AS le, volume_mode = 'ignore' OR (ctd_bid_size >= {BONDS}e0 AND fut_ask_size >= nf) AS se FROM pr)"""
 
 
+QUOTE = [f"{r}_{x}_{k}" for r in ("ctd", "fut") for k in ("price", "size") for x in ("bid", "ask")]
+
+
 def horizon_sql(horizons, overnight=False):
+    """Every second paired with the second ``horizon`` later; equal pairs of standing quotes are counted as seconds."""
     hz = ", ".join(f"({h})" for h in horizons)
     ok = ""
     if overnight:
         ok = """AND NOT EXISTS (SELECT 1 FROM fut_metadata f WHERE f.last_trading >= a.d AND f.last_trading < a.xd)
                 AND NOT EXISTS (SELECT 1 FROM (SELECT d AS s FROM (SELECT d, isin, LAG(isin) OVER (ORDER BY d) AS p FROM daily_cf) v WHERE isin IS DISTINCT FROM p) w WHERE w.s > a.d AND w.s <= a.xd)"""
-    return f"""{legs_sql()}, jn AS (SELECT a.*, h.horizon, (a.ep + h.horizon) AS xep, make_date(1970, 1, 1) + ((a.ep + h.horizon) // 86400)::INT AS xd,
-          b.cb AS xcb, b.ca AS xca, b.fb AS xfb, b.fa AS xfa, b.le AS xle, b.se AS xse FROM lg a CROSS JOIN (VALUES {hz}) h(horizon)
-          LEFT JOIN lg b ON b.ep = a.ep + h.horizon AND b.price_mode = a.price_mode AND b.contract_mode = a.contract_mode AND b.volume_mode = a.volume_mode),
-        fh AS (SELECT price_mode, contract_mode, volume_mode, horizon, d, ep, 'long' AS direction,
-               CASE WHEN le AND xle {ok} THEN {BONDS}e0 * 2000000 * (xcb - ca) / 100 + nf * 100000 * (fb - xfa) / 100 END AS pnl FROM jn a UNION ALL
-               SELECT price_mode, contract_mode, volume_mode, horizon, d, ep, 'short',
-               CASE WHEN se AND xse {ok} THEN {BONDS}e0 * 2000000 * (cb - xca) / 100 + nf * 100000 * (xfb - fa) / 100 END FROM jn a)"""
+    now = ", ".join(f"ANY_VALUE(a.{q}) AS {q}" for q in [*QUOTE, "cf"])
+    then = ", ".join(f"ANY_VALUE(b.{q}) AS x_{q}" for q in [*QUOTE, "cf"])
 
+    def price(q, prefix=""):
+        role = q[:3]
+        return f"CASE price_mode WHEN 'mid' THEN ({prefix}{role}_bid_price + {prefix}{role}_ask_price) / 2 ELSE {prefix}{q} END"
 
-HZ = (600, 3600, 86_400)
-QUOTED = (("quoted", "frac", "ignore"), ("quoted", "round", "level"))
+    def futures(prefix=""):
+        return f"CASE contract_mode WHEN 'frac' THEN {prefix}cf * {BONDS}e0 * 20 ELSE round_even({prefix}cf * {BONDS}e0 * 20, 0) END"
 
+    def allowed(x, y, prefix=""):
+        return f"(volume_mode = 'ignore' OR ({prefix}ctd_{x}_size >= {BONDS}e0 AND {prefix}fut_{y}_size >= {futures(prefix)}))"
+
+    long = f"{BONDS}e0 * 2000000 * ({price('ctd_bid_price', 'x_')} - {price('ctd_ask_price')}) / 100 + {futures()} * 100000 * ({price('fut_bid_price')} - {price('fut_ask_price', 'x_')}) / 100"
+    short = f"{BONDS}e0 * 2000000 * ({price('ctd_bid_price')} - {price('ctd_ask_price', 'x_')}) / 100 + {futures()} * 100000 * ({price('fut_bid_price', 'x_')} - {price('fut_ask_price')}) / 100"
+    return f"""{CFG}, jn AS (SELECT h.horizon, a.d, MIN(a.ep) AS ep, COUNT(*) AS seconds, ANY_VALUE(make_date(1970, 1, 1) + ((a.ep + h.horizon) // 86400)::INT) AS xd, b.cep IS NOT NULL AS there, {now}, {then}
+          FROM market1 a CROSS JOIN (VALUES {hz}) h(horizon) LEFT JOIN market1 b ON b.ep = a.ep + h.horizon GROUP BY h.horizon, a.d, a.cep, a.fep, b.cep, b.fep, (a.ep + h.horizon) // 86400),
+        fh AS (SELECT c.*, horizon, d, ep, seconds, there, 'long' AS direction, CASE WHEN there AND {allowed("ask", "bid")} AND {allowed("ask", "bid", "x_")} {ok} THEN {long} END AS pnl FROM jn a, cfg c UNION ALL
+               SELECT c.*, horizon, d, ep, seconds, there, 'short', CASE WHEN there AND {allowed("bid", "ask")} AND {allowed("bid", "ask", "x_")} {ok} THEN {short} END FROM jn a, cfg c)"""
+
+
+def _names(configs=P.CONFIGS):
+    return [(c, x, "_".join((*c, x))) for c in configs for x in ("long", "short")]
+
+
+def _wide(pnl):
+    """A row per piece with an exit, a column per configuration and direction."""
+    cells = [F.max(F.when((F.concat_ws("_", *P.CONFIG_COLUMNS, "direction") == n), F.col("pnl"))).alias(n) for _, _, n in _names()]
+    return pnl.where("there").groupBy("horizon", "d", "ep", "seconds").agg(*cells)
 
-@query("fixed_horizon", f"{KEY} horizon:i ep:i direction:s pnl:f4", f"""WITH {horizon_sql(HZ)} SELECT * FROM fh
-       WHERE (price_mode = 'quoted' AND contract_mode = 'frac' AND volume_mode = 'ignore') OR (price_mode = 'quoted' AND contract_mode = 'round' AND volume_mode = 'level')""")
-def _(t):
-    return P.fixed_horizon(t.market5, HZ, QUOTED, BONDS)
 
+WIDE_OUT = "horizon:i d:d ep:i seconds:i " + " ".join(f"{n}:f4" for _, _, n in _names())
+WIDE_SQL = "SELECT horizon, d, ep, seconds, " + ", ".join(
+    f"MAX(pnl) FILTER (price_mode = '{c[0]}' AND contract_mode = '{c[1]}' AND volume_mode = '{c[2]}' AND direction = '{x}') AS {n}" for c, x, n in _names()) + " FROM fh WHERE there GROUP BY ALL"
 
-def _valid(t, horizons, configs=P.CONFIGS):
+
+def _seconds(t, horizons=P.HORIZONS):
+    """PnL of all configurations second by second; ``there`` marks pieces with an exit."""
+    pieces = V.horizon_pieces(t.market1, horizons, [*V.QUOTES, "cf"]).withColumn("there", F.col("x_ctd_bid_price").isNotNull())
+    return P.pair_pnl(pieces, ["horizon", "d", "ep", "until", "seconds", "exit_ep", "there"], P.CONFIGS, BONDS)
+
+
+def _valid(t, horizons=P.HORIZONS):
     rolls = t.fut_metadata.select(F.col("last_trading").alias("d"))
     switches = D.switch_dates(t.daily_cf).select("d")
-    return P.invalidate_overnight(P.fixed_horizon(t.market5, horizons, configs, BONDS), rolls, switches)
+    return P.invalidate_overnight(_seconds(t, horizons), rolls, switches)
 
 
-@query("invalidate_overnight", f"{KEY} horizon:i ep:i direction:s pnl:f4", f"""WITH {horizon_sql((3600, 86_400, 259_200), True)} SELECT * FROM fh
-       WHERE price_mode = 'quoted' AND contract_mode = 'frac' AND volume_mode = 'ignore'""")
+@query("scan_market", f"d:d ep:i until:i {' '.join(f'{q}:f' for q in QUOTE)} cf:f isin:s", f"""SELECT d, MIN(ep) AS ep, MAX(ep) + 1 AS until, {", ".join(f"ANY_VALUE({q}) AS {q}" for q in [*QUOTE, "cf", "isin"])}
+       FROM market1 WHERE d NOT IN ({EXCL}) GROUP BY d, cep, fep""")
 def _(t):
-    return _valid(t, (3600, 86_400, 259_200), QUOTED[:1])
+    """The one-second market as intervals of standing quotes, without the excluded dates."""
+    return D.drop_dates(t.market1, D.excluded_dates(t.excluded_raw))
 
 
-@query("run_fixed_horizon", f"{KEY} horizon:i direction:s rows:i trades:i total:f3 best:f4 worst:f4", f"""WITH {horizon_sql(P.HORIZONS, True)}
-       SELECT price_mode, contract_mode, volume_mode, horizon, direction, COUNT(*) AS rows, COUNT(pnl) AS trades, SUM(pnl) AS total, MAX(pnl) AS best, MIN(pnl) AS worst
-       FROM fh GROUP BY 1, 2, 3, 4, 5""")
+@query("fixed_horizon", WIDE_OUT, f"WITH {horizon_sql(P.HORIZONS)} {WIDE_SQL}")
 def _(t):
-    df = _valid(t, P.HORIZONS)
-    return df.groupBy(*P.CONFIG_COLUMNS, "horizon", "direction").agg(
-        F.count("*").alias("rows"), F.count("pnl").alias("trades"), F.sum("pnl").alias("total"), F.max("pnl").alias("best"), F.min("pnl").alias("worst"))
-
+    return _wide(_seconds(t))
 
-RUNS_SQL = """rn AS (SELECT *, ep - LAG(ep) OVER w > {0} AS nw FROM fh WHERE pnl > 0 WINDOW w AS (PARTITION BY {1} ORDER BY ep)),
-      gr AS (SELECT *, SUM(CASE WHEN nw THEN 1 ELSE 0 END) OVER (PARTITION BY {1} ORDER BY ep) AS g FROM rn),
-      epi AS (SELECT {1}, g, MIN(ep) AS first_ep, MAX(ep) AS last_ep, COUNT(*) AS length, AVG(pnl) AS mean_pnl FROM gr GROUP BY {1}, g)"""
-HKEYS = ["price_mode", "contract_mode", "volume_mode", "horizon", "direction"]
-HK = ", ".join(HKEYS)
 
-
-@query("profitable_episodes", f"{KEY} horizon:i direction:s first_ep:i last_ep:i length:i mean_pnl:f4", f"""WITH {horizon_sql((600, 86_400))}, {RUNS_SQL.format(1200, HK)} SELECT * FROM epi
-       WHERE price_mode = 'quoted' AND ((contract_mode = 'frac' AND volume_mode = 'ignore') OR (contract_mode = 'round' AND volume_mode = 'level'))""")
+@query("invalidate_overnight", WIDE_OUT, f"WITH {horizon_sql(P.HORIZONS[-5:], True)} {WIDE_SQL}")
 def _(t):
-    return P.profitable_episodes(P.fixed_horizon(t.market5, (600, 86_400), QUOTED, BONDS), HKEYS, STEP, 900)
+    return _wide(_valid(t, P.HORIZONS[-5:]))
 
 
+HKEYS = ["price_mode", "contract_mode", "volume_mode", "horizon", "direction"]
+HK = ", ".join(HKEYS)
 SUMMARY = ("n_days trading_days total_pnl mean_pnl median_pnl std_pnl max_pnl min_pnl profitable_observations profitable_observations_pct profitable_observations_per_day "
            "profitable_total_pnl profitable_pnl_per_day profitable_mean_pnl profitable_median_pnl profitable_std_pnl profitable_max_pnl profitable_min_pnl profitable_episodes "
            "profitable_episodes_pct profitable_episodes_per_day episode_total_pnl episode_mean_pnl episode_median_pnl episode_std_pnl episode_max_pnl episode_min_pnl "
            "mean_episode_length median_episode_length max_episode_length min_episode_length").split()
 
 
-@query("summarize_horizon", f"{KEY} horizon:i direction:s " + " ".join(f"{m}:f3" for m in SUMMARY), f"""
-     WITH {horizon_sql((600, 86_400))}, {RUNS_SQL.format(STEP, HK)},
-     b AS (SELECT {HK}, COUNT(DISTINCT d) FILTER (pnl IS NOT NULL) AS n_days, COUNT(DISTINCT d) AS trading_days, COALESCE(SUM(pnl), 0) AS total_pnl, AVG(pnl) AS mean_pnl,
-       quantile_cont(pnl, 0.5) AS median_pnl, STDDEV_SAMP(pnl) AS std_pnl, MAX(pnl) AS max_pnl, MIN(pnl) AS min_pnl, COUNT(*) FILTER (pnl > 0) AS profitable_observations,
-       COUNT(*) FILTER (pnl > 0) * 100e0 / NULLIF(COUNT(pnl), 0) AS profitable_observations_pct, COALESCE(SUM(pnl) FILTER (pnl > 0), 0) AS profitable_total_pnl, AVG(pnl) FILTER (pnl > 0) AS profitable_mean_pnl,
-       quantile_cont(pnl, 0.5) FILTER (pnl > 0) AS profitable_median_pnl, STDDEV_SAMP(pnl) FILTER (pnl > 0) AS profitable_std_pnl, MAX(pnl) FILTER (pnl > 0) AS profitable_max_pnl,
-       MIN(pnl) FILTER (pnl > 0) AS profitable_min_pnl FROM fh GROUP BY {HK}),
+def runs_sql(gap):
+    return f"""rn AS (SELECT *, ep - LAG(ep + seconds - 1) OVER w > {gap} AS nw FROM fh WHERE pnl > 0 WINDOW w AS (PARTITION BY {HK} ORDER BY ep)),
+      gr AS (SELECT *, SUM(CASE WHEN nw THEN 1 ELSE 0 END) OVER (PARTITION BY {HK} ORDER BY ep) AS g FROM rn),
+      epi AS (SELECT {HK}, g, MIN(ep) AS first_ep, MAX(ep + seconds - 1) AS last_ep, SUM(seconds) AS length, SUM(pnl * seconds) / SUM(seconds) AS mean_pnl FROM gr GROUP BY {HK}, g)"""
+
+
+def median_sql(name, cond):
+    """Median of pnl over seconds: values in order with the seconds up to each."""
+    return f"""{name} AS (SELECT {HK}, (MIN(pnl) FILTER (upto > (n - 1) // 2) + MIN(pnl) FILTER (upto > n // 2)) / 2 AS median FROM (SELECT {HK}, pnl, SUM(seconds) OVER (PARTITION BY {HK} ORDER BY pnl) AS upto, SUM(seconds) OVER (PARTITION BY {HK}) AS n
+       FROM fh WHERE {cond}) z GROUP BY {HK})"""
+
+
+def summary_sql(horizons, gap, overnight):
+    std = "SQRT(GREATEST((SUM(pnl * pnl * seconds){f} - POW(SUM(pnl * seconds){f}, 2) / SUM(seconds){f}) / (SUM(seconds){f} - 1), 0))"
+    good = " FILTER (pnl > 0)"
+    return f"""WITH {horizon_sql(horizons, overnight)}, {runs_sql(gap)}, {median_sql("md", "pnl IS NOT NULL")}, {median_sql("mg", "pnl > 0")},
+     b AS (SELECT {HK}, COUNT(DISTINCT d) FILTER (pnl IS NOT NULL) AS n_days, COUNT(DISTINCT d) AS trading_days, COALESCE(SUM(seconds) FILTER (pnl IS NOT NULL), 0) AS valid, COALESCE(SUM(pnl * seconds), 0) AS total_pnl,
+       SUM(pnl * seconds) / SUM(seconds) FILTER (pnl IS NOT NULL) AS mean_pnl, CASE WHEN SUM(seconds) FILTER (pnl IS NOT NULL) > 1 THEN {std.format(f=" FILTER (pnl IS NOT NULL)")} END AS std_pnl, MAX(pnl) AS max_pnl, MIN(pnl) AS min_pnl,
+       COALESCE(SUM(seconds){good}, 0) AS profitable_observations, COALESCE(SUM(pnl * seconds){good}, 0) AS profitable_total_pnl, SUM(pnl * seconds){good} / SUM(seconds){good} AS profitable_mean_pnl,
+       CASE WHEN SUM(seconds){good} > 1 THEN {std.format(f=good)} END AS profitable_std_pnl, MAX(pnl){good} AS profitable_max_pnl, MIN(pnl){good} AS profitable_min_pnl FROM fh GROUP BY {HK}),
      e AS (SELECT {HK}, COUNT(*) AS k, SUM(mean_pnl) AS episode_total_pnl, AVG(mean_pnl) AS episode_mean_pnl, quantile_cont(mean_pnl, 0.5) AS episode_median_pnl, STDDEV_SAMP(mean_pnl) AS episode_std_pnl,
        MAX(mean_pnl) AS episode_max_pnl, MIN(mean_pnl) AS episode_min_pnl, AVG(length) AS mean_episode_length, quantile_cont(length::DOUBLE, 0.5) AS median_episode_length,
        MAX(length) AS max_episode_length, MIN(length) AS min_episode_length FROM epi GROUP BY {HK})
-     SELECT b.*, e.* EXCLUDE ({HK}, k, episode_total_pnl), COALESCE(episode_total_pnl, 0) AS episode_total_pnl, COALESCE(k, 0) AS profitable_episodes,
-       COALESCE(k, 0) * 100e0 / NULLIF(profitable_observations, 0) AS profitable_episodes_pct,
+     SELECT b.*, e.* EXCLUDE ({HK}, k, episode_total_pnl), md.median AS median_pnl, mg.median AS profitable_median_pnl, COALESCE(episode_total_pnl, 0) AS episode_total_pnl, COALESCE(k, 0) AS profitable_episodes,
+       profitable_observations * 100e0 / NULLIF(valid, 0) AS profitable_observations_pct, COALESCE(k, 0) * 100e0 / NULLIF(profitable_observations, 0) AS profitable_episodes_pct,
        COALESCE(k, 0) / NULLIF(n_days, 0) AS profitable_episodes_per_day, profitable_observations / NULLIF(n_days, 0) AS profitable_observations_per_day,
-       profitable_total_pnl / NULLIF(n_days, 0) AS profitable_pnl_per_day FROM b LEFT JOIN e ON """ + " AND ".join(f"b.{k} = e.{k}" for k in HKEYS) + """
-     WHERE b.price_mode = 'quoted' AND ((b.contract_mode = 'frac' AND b.volume_mode = 'ignore') OR (b.contract_mode = 'round' AND b.volume_mode = 'level'))""")
+       profitable_total_pnl / NULLIF(n_days, 0) AS profitable_pnl_per_day FROM b LEFT JOIN e USING ({HK}) LEFT JOIN md USING ({HK}) LEFT JOIN mg USING ({HK})"""
+
+
+SUMMARY_OUT = f"{KEY} horizon:i direction:s " + " ".join(f"{m}:f4" for m in SUMMARY)
+TOLERANCE = 60
+
+
+@query("run_fixed_horizon", SUMMARY_OUT, summary_sql(P.HORIZONS, 1 + TOLERANCE, True))
+def _(t):
+    """The whole study: every configuration, horizon and direction, trades over rollovers left out."""
+    return P.summarize_horizon(_valid(t), HKEYS, 1, TOLERANCE)
+
+
+@query("profitable_episodes", f"{KEY} horizon:i direction:s first_ep:i last_ep:i length:i mean_pnl:f4", f"WITH {horizon_sql(P.HORIZONS)}, {runs_sql(1 + TOLERANCE)} SELECT * FROM epi")
+def _(t):
+    return P.profitable_episodes(_seconds(t), HKEYS, 1, TOLERANCE)
+
+
+@query("summarize_horizon", SUMMARY_OUT, summary_sql(P.HORIZONS, 1, False))
 def _(t):
-    return P.summarize_horizon(P.fixed_horizon(t.market5, (600, 86_400), QUOTED, BONDS), HKEYS, STEP)
+    return P.summarize_horizon(_seconds(t), HKEYS, 1)
 
 
 def profit_sql(profits):
@@ -133,10 +183,9 @@ def _in_hours(t):
     return D.filter_time(t.market5, S.WINDOW_OPEN, S.WINDOW_CLOSE)
 
 
-@query("fixed_profit", f"{KEY} direction:s profit:f ep:i hit:b seconds:f mae:f4", profit_sql((100.0, 400.0)) + """
-     SELECT * FROM fp WHERE price_mode = 'quoted' AND ((contract_mode = 'frac' AND volume_mode = 'ignore') OR (contract_mode = 'round' AND volume_mode = 'level'))""")
+@query("fixed_profit", f"{KEY} direction:s profit:f ep:i hit:b seconds:f mae:f4", profit_sql(P.PROFITS) + " SELECT * FROM fp")
 def _(t):
-    return P.fixed_profit(_in_hours(t), (100.0, 400.0), GAP, QUOTED, BONDS)
+    return P.fixed_profit(_in_hours(t), P.PROFITS, GAP, P.CONFIGS, BONDS)
 
 
 PK = [*P.CONFIG_COLUMNS, "profit", "direction"]
@@ -153,13 +202,12 @@ def _(t):
 PSUM = ("candidate_entries profit_hits profit_hit_pct profit_hits_per_day mean_time_to_profit median_time_to_profit max_time_to_profit mean_mae median_mae max_mae").split()
 
 
-@query("summarize_profit", f"{KEY} profit:f direction:s " + " ".join(f"{m}:f3" for m in PSUM), profit_sql((100.0, 400.0)) + f"""
+@query("summarize_profit", f"{KEY} profit:f direction:s " + " ".join(f"{m}:f3" for m in PSUM), profit_sql(P.PROFITS) + f"""
      SELECT {PKS}, SUM(allowed::INT) AS candidate_entries, SUM(hit::INT) AS profit_hits, SUM(hit::INT) * 100e0 / NULLIF(SUM(allowed::INT), 0) AS profit_hit_pct,
        SUM(hit::INT) / COUNT(DISTINCT d) AS profit_hits_per_day, AVG(seconds) AS mean_time_to_profit, quantile_cont(seconds, 0.5) AS median_time_to_profit, MAX(seconds) AS max_time_to_profit,
-       AVG(mae) AS mean_mae, quantile_cont(mae, 0.5) AS median_mae, MAX(mae) AS max_mae FROM fp
-     WHERE price_mode = 'quoted' AND ((contract_mode = 'frac' AND volume_mode = 'ignore') OR (contract_mode = 'round' AND volume_mode = 'level')) GROUP BY {PKS}""")
+       AVG(mae) AS mean_mae, quantile_cont(mae, 0.5) AS median_mae, MAX(mae) AS max_mae FROM fp GROUP BY {PKS}""")
 def _(t):
-    return P.summarize_profit(P.fixed_profit(_in_hours(t), (100.0, 400.0), GAP, QUOTED, BONDS), PK)
+    return P.summarize_profit(P.fixed_profit(_in_hours(t), P.PROFITS, GAP, P.CONFIGS, BONDS), PK)
 
 
 EURO = """mn AS (SELECT d, ep, (ctd_bid_price + ctd_ask_price) / 2 * 20000 AS ctd_mid, (fut_bid_price + fut_ask_price) / 2 * round_even(cf * 20, 0) * 1000 AS fut_mid,

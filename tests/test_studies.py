@@ -212,3 +212,75 @@ def test_tests_of_a_full_day_at_1800_lags(spark):
     assert {(r.test, r.regression) for r in rows} == {(a, b) for a in ("adf", "kpss") for b in ("c", "ct")}
     assert all(r.stat is not None and 0 <= r.pvalue <= 1 for r in rows)
     assert T.acf(df, ["d"], "x", 300).count() == 300
+
+
+# ---- one second
+
+
+def second_loop(quotes, opens, closes, horizons):
+    """Per second: the last quote of each role so far; entries and exits one by one."""
+    state, market = {}, {}
+    by = {}
+    for role, ep, q in quotes:
+        by.setdefault(ep, []).append((role, q))
+    days = sorted({ep // 86400 for _, ep, _ in quotes})
+    for day in days:
+        state = {}
+        for s in range(closes + 1):
+            for role, q in by.get(day * 86400 + s, []):
+                state[role] = q
+            if s >= opens and len(state) == 2:
+                market[day * 86400 + s] = (state["ctd"], state["fut"])
+    out = {}
+    for h in horizons:
+        for ep, (c, f) in market.items():
+            x = market.get(ep + h)
+            long = x and 20_000 * (x[0][0] - c[1]) + 20 * 0.9 * 1000 * (f[0] - x[1][1])
+            out[h, ep] = long
+    return out
+
+
+def test_intervals_equal_a_loop_over_seconds(spark):
+    import random
+
+    from tickloom.operators import intervals as V
+
+    r, opens, closes, rows = random.Random(5), 40, 400, []
+    for day in (19_000, 19_001, 19_003):
+        for _ in range(60):
+            s = r.randrange(0, 450)
+            rows.append((r.choice(["ctd", "fut"]), day * 86400 + s, (round(100 - r.random(), 2), round(100 + r.random(), 2))))
+    rows = list({(a, b): (a, b, c) for a, b, c in rows}.values())
+    df = spark.createDataFrame([(a, b * 1_000_000 + 7, c[0], c[1], 5.0, 5.0) for a, b, c in rows], "role string, us long, l1_bid_price double, l1_ask_price double, l1_bid_size double, l1_ask_size double")
+    market = V.quote_intervals(df, opens, closes).withColumn("cf", F.lit(0.9))
+    horizons = [10, 30, 86_400, 3 * 86_400]
+    got = V.fixed_horizon_seconds(market, horizons, (("quoted", "frac", "ignore"),), 1.0).where("direction = 'long'").collect()
+    want = second_loop(rows, opens, closes, horizons)
+    seen = {}
+    for x in got:
+        for ep in range(x.ep, x.until):
+            assert (x.horizon, ep) not in seen
+            seen[x.horizon, ep] = x.pnl
+        assert x.seconds == x.until - x.ep
+    assert seen.keys() == want.keys() and sum(v is not None for v in want.values()) > 500
+    for k, v in want.items():
+        assert (seen[k] is None) == (v is None) and (v is None or abs(seen[k] - v) < 1e-6), k
+    keys = ["horizon", "direction"]
+    pieces = spark.createDataFrame(got).select(*keys, "d", "ep", "until", "seconds", "pnl")
+    single = pieces.withColumn("ep", F.explode(F.sequence("ep", F.col("until") - 1))).drop("until", "seconds")
+    a, b = (sorted(P.summarize_horizon(x, keys, 1, 5).collect()) for x in (pieces, single))
+    for x, y in zip(a, b):
+        assert all((u is None) == (v is None) and (u == v or abs(u - v) <= 1e-6 * max(1, abs(u))) for u, v in zip(x, y) if not isinstance(u, str))
+    assert len(a) == len(b) == 4
+
+
+def test_exit_over_midnight(spark):
+    """A market open all day: exits after midnight belong to the entry's day."""
+    from tickloom.operators import intervals as V
+
+    rows = [("ctd", 0), ("fut", 0), ("ctd", 86_400), ("fut", 86_400), ("ctd", 86_500)]
+    df = spark.createDataFrame([(a, b * 1_000_000, 99.0 + b / 1e6, 100.0, 5.0, 5.0) for a, b in rows], "role string, us long, l1_bid_price double, l1_ask_price double, l1_bid_size double, l1_ask_size double")
+    market = V.quote_intervals(df, 0, 86_399).withColumn("cf", F.lit(1.0))
+    got = V.horizon_pieces(market, [50], ["ctd_bid_price"]).orderBy("ep").collect()
+    assert [(x.ep, x.until, x.x_ctd_bid_price) for x in got if x.d.day == 1] == [(0, 86_350, 99.0), (86_350, 86_400, 99.0864)]
+    assert [(x.ep, x.until, x.x_ctd_bid_price) for x in got if x.d.day == 2][:2] == [(86_400, 86_450, 99.0864), (86_450, 86_500, 99.0865)]

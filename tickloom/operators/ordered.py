@@ -32,15 +32,15 @@ def running(df: DataFrame, keys: list[str], slot: str, order: list[str], sums: d
     return out.drop(*[f"_b_{n}" for n in sums])
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], slots: int = 64) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column per entry of ``probs``.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], slots: int = 64, weight: str | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, one column per entry of ``probs``; a row counts ``weight`` times.
 
     Equal values collapse to a count before the shuffle.  Approximate quantiles only cut
     the values into slots of similar size; ranks are resolved inside the few slots that
     hold a target.  The counts, the slot edges and the target slots are written tables, so
     a hot key is never shuffled to one task: small tables are broadcast to it.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
     counts = stage(counts)
     grid = [i / slots for i in range(1, slots)]
     edges = stage(counts.groupBy(*keys).agg(F.percentile_approx("_v", grid, 1000).alias("_edges")))

@@ -76,7 +76,11 @@ def fixed_horizon(market: DataFrame, horizons, configs=CONFIGS, n_bonds: float =
     """
     names = [*LEGS, "ctd_bid_size", "ctd_ask_size", "fut_bid_size", "fut_ask_size", "cf"]
     paired = shift_forward(market.select("d", "ep", *names), horizons, names)
+    return pair_pnl(paired, ["horizon", "d", "ep", "exit_ep"], configs, n_bonds, exit_side)
 
+
+def pair_pnl(paired: DataFrame, keep: list[str], configs=CONFIGS, n_bonds: float = 1.0, exit_side: str = "entry") -> DataFrame:
+    """PnL per configuration and direction of pairs of an entry and, with the prefix x_, its exit; NULL where the exit or a mask is missing."""
     def price(mode, name, prefix=""):
         if mode == "quoted":
             return F.col(prefix + name)
@@ -104,14 +108,14 @@ def fixed_horizon(market: DataFrame, horizons, configs=CONFIGS, n_bonds: float =
         for direction, other in (("long", "short"), ("short", "long")):
             leave = allowed(direction if exit_side == "entry" else other, then, "x_")
             parts[f"ok_{mode}_{direction}"] = allowed(direction, now) & leave
-    paired = paired.select("horizon", "d", "ep", "exit_ep", F.col("x_cf").isNotNull().alias("_there"), *[c.alias(n) for n, c in parts.items()])
+    paired = paired.select(*keep, F.col("x_cf").isNotNull().alias("_there"), *[c.alias(n) for n, c in parts.items()])
     cells = []
     for (mode, contract, volume), direction in product(configs, ("long", "short")):
         pnl = F.col(f"{mode}_{direction}_bond") + F.col(f"n_{contract}") * F.col(f"{mode}_{direction}_fut")
         ok = F.col("_there") if volume == "ignore" else F.col("_there") & F.col(f"ok_{contract}_{direction}")
         labels = [F.lit(v).alias(n) for n, v in zip(CONFIG_COLUMNS, (mode, contract, volume))]
         cells.append(F.struct(*labels, F.lit(direction).alias("direction"), F.when(ok, pnl).alias("pnl")))
-    return paired.select("horizon", "d", "ep", "exit_ep", F.inline(F.array(*cells)))
+    return paired.select(*keep, F.inline(F.array(*cells)))
 
 
 def invalidate_overnight(trades: DataFrame, last_trading: DataFrame, switches: DataFrame) -> DataFrame:
@@ -125,15 +129,17 @@ def invalidate_overnight(trades: DataFrame, last_trading: DataFrame, switches: D
 def runs_by_gap(df: DataFrame, keys: list[str], gap_s: int, value: str | None = None) -> DataFrame:
     """Runs of rows at most ``gap_s`` seconds apart: keys, first_ep, last_ep, n, total.
 
-    Runs form inside each (keys, day); only the first and last run of a day can continue
+    Rows may stand for the ``seconds`` seconds from ep up to ``until``; they count as many.  Runs form inside each (keys, day); only the first and last run of a day can continue
     into a neighbour day, so at most two rows per day meet in the second pass.
     """
+    if "seconds" not in df.columns:
+        df = df.withColumns({"seconds": F.lit(1), "until": F.col("ep") + 1})
     day = Window.partitionBy(*keys, "d").orderBy("ep")
-    new = F.coalesce((F.col("ep") - F.lag("ep").over(day)) > gap_s, F.lit(True))
+    new = F.coalesce((F.col("ep") - F.lag("until").over(day) + 1) > gap_s, F.lit(True))
     rows = df.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(day.rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.sum(value) if value else F.lit(None).cast("double")
+    total = F.sum(F.col(value) * F.col("seconds")) if value else F.lit(None).cast("double")
     runs = rows.groupBy(*keys, "d", "_run").agg(
-        F.min("ep").alias("first_ep"), F.max("ep").alias("last_ep"), F.count("*").alias("n"), total.alias("total"))
+        F.min("ep").alias("first_ep"), (F.max("until") - 1).alias("last_ep"), F.sum("seconds").alias("n"), total.alias("total"))
     ends = Window.partitionBy(*keys, "d")
     runs = runs.withColumn("_edge", (F.col("_run") == F.min("_run").over(ends)) | (F.col("_run") == F.max("_run").over(ends)))
     series = Window.partitionBy(*keys).orderBy("first_ep")
@@ -153,16 +159,27 @@ def profitable_episodes(pnl: DataFrame, keys: list[str], step_s: int, tolerance_
 
 
 def summarize_horizon(pnl: DataFrame, keys: list[str], step_s: int, tolerance_s: int = 0) -> DataFrame:
-    """31 metrics per key: days, PnL, profitable observations, profitable episodes."""
-    pnl = stage(pnl.select(*keys, "d", "ep", "pnl"))
-    p = F.col("pnl")
+    """31 metrics per key: days, PnL, profitable observations, profitable episodes; a row with ``seconds`` counts as so many."""
+    if "seconds" not in pnl.columns:
+        pnl = pnl.withColumns({"seconds": F.lit(1), "until": F.col("ep") + 1})
+    pnl = stage(pnl.select(*keys, "d", "ep", "until", "seconds", "pnl"))
+    p, w = F.col("pnl"), F.col("seconds")
     good = F.when(p > 0, p)
+
+    def weighted(v):
+        """count, sum, mean and sample deviation of v, each row counted ``seconds`` times"""
+        n = F.sum(F.when(v.isNotNull(), w))
+        total, squares = F.sum(v * w), F.sum(v * v * w)
+        return F.coalesce(n, F.lit(0)), total, total / n, F.when(n > 1, F.sqrt(F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))))
+
+    n_all, sum_all, mean_all, std_all = weighted(p)
+    n_good, sum_good, mean_good, std_good = weighted(good)
     base = pnl.groupBy(*keys).agg(
         F.countDistinct(F.when(p.isNotNull(), F.col("d"))).alias("n_days"), F.countDistinct("d").alias("trading_days"),
-        F.count("pnl").alias("_valid"), F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("total_pnl"), F.avg("pnl").alias("mean_pnl"),
-        F.stddev_samp("pnl").alias("std_pnl"), F.max("pnl").alias("max_pnl"), F.min("pnl").alias("min_pnl"),
-        F.count(good).alias("profitable_observations"), F.coalesce(F.sum(good), F.lit(0.0)).alias("profitable_total_pnl"),
-        F.avg(good).alias("profitable_mean_pnl"), F.stddev_samp(good).alias("profitable_std_pnl"),
+        n_all.alias("_valid"), F.coalesce(sum_all, F.lit(0.0)).alias("total_pnl"), mean_all.alias("mean_pnl"),
+        std_all.alias("std_pnl"), F.max("pnl").alias("max_pnl"), F.min("pnl").alias("min_pnl"),
+        n_good.alias("profitable_observations"), F.coalesce(sum_good, F.lit(0.0)).alias("profitable_total_pnl"),
+        mean_good.alias("profitable_mean_pnl"), std_good.alias("profitable_std_pnl"),
         F.max(good).alias("profitable_max_pnl"), F.min(good).alias("profitable_min_pnl"))
     runs = stage(profitable_episodes(pnl, keys, step_s, tolerance_s))
     per_run = runs.groupBy(*keys).agg(
@@ -170,12 +187,12 @@ def summarize_horizon(pnl: DataFrame, keys: list[str], step_s: int, tolerance_s:
         F.stddev_samp("mean_pnl").alias("episode_std_pnl"), F.max("mean_pnl").alias("episode_max_pnl"), F.min("mean_pnl").alias("episode_min_pnl"),
         F.avg("length").alias("mean_episode_length"), F.max("length").alias("max_episode_length"), F.min("length").alias("min_episode_length"))
     cells = F.array(F.struct(F.lit("all").alias("what"), p.alias("v")), F.struct(F.lit("good").alias("what"), good.alias("v")))
-    values = pnl.where(p.isNotNull()).select(*keys, F.inline(cells))
+    values = pnl.where(p.isNotNull()).select(*keys, w.alias("w"), F.inline(cells))
     cells = F.array(F.struct(F.lit("run").alias("what"), F.col("mean_pnl").alias("v")),
                     F.struct(F.lit("length").alias("what"), F.col("length").cast("double").alias("v")))
-    values = values.unionByName(runs.select(*keys, F.inline(cells)))
-    mid = exact_quantiles(values, [*keys, "what"], "v", {"median": 0.5})
-    mid = mid.groupBy(*keys).agg(*[F.max(F.when(F.col("what") == w, F.col("median"))).alias(n) for w, n in (
+    values = values.unionByName(runs.select(*keys, F.lit(1).alias("w"), F.inline(cells)))
+    mid = exact_quantiles(values, [*keys, "what"], "v", {"median": 0.5}, weight="w")
+    mid = mid.groupBy(*keys).agg(*[F.max(F.when(F.col("what") == x, F.col("median"))).alias(n) for x, n in (
         ("all", "median_pnl"), ("good", "profitable_median_pnl"), ("run", "episode_median_pnl"), ("length", "median_episode_length"))])
     out = base.join(per_run, keys, "left").join(mid, keys, "left")
     out = out.withColumns({"profitable_episodes": F.coalesce("profitable_episodes", F.lit(0)),

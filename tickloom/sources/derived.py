@@ -162,6 +162,14 @@ class Tables:
         daily = self.daily_cf.select("d", "cf", "isin")
         return stage(snap_roles(self.lob_clean, MARKET_STEP).join(F.broadcast(daily), "d", "left"))
 
+    @cached_property
+    def market1(self) -> DataFrame:
+        """Both roles second by second, as intervals [ep, until) of standing quotes, with the day's factor and bond."""
+        from tickloom.operators.intervals import quote_intervals
+
+        daily = self.daily_cf.select("d", "cf", "isin")
+        return stage(quote_intervals(self.lob_clean).join(F.broadcast(daily), "d", "left"))
+
     @cached_property
     def basis5(self) -> DataFrame:
         """(d, ep, basis) on the five-minute grid, mid prices."""
