@@ -36,6 +36,19 @@ def test_shards(spark, folder):
     assert all(sorted(x) == list(range(len(x))) for x in per.values())
 
 
+def test_third_of_rows_equal(spark, tmp_path):
+    """Equal rows of a longer text spread like others, gapless positions and near equal bytes."""
+    docs = [(i, tables.prose(i, 30), "en", "a", 1) for i in range(2000)] + [(5, tables.prose(77, 120), "en", "a", 1)] * 1000 + [(None, None, None, None, None)] * 100
+    rows = sharding.op1_virtual_slots(spark, tables.write(spark, tmp_path, docs)).collect()
+    assert len(rows) == 3100
+    load, slots = Counter(), {}
+    for r in rows:
+        load[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(load) == 16 and max(load.values()) < 1.05 * min(load.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_shards_near_equal(spark):
     rows = sharding.op1_virtual_slots(spark, "/root/testdata/sf0.1").collect()
     load = Counter()

@@ -104,12 +104,36 @@ def place(rows: DataFrame, slot_map: DataFrame, counts: dict[int, int], order: l
     return out.withColumn("slot", F.col("start") + F.col("at") - 1).drop("start", "at", "piece")
 
 
+def spread_copies(rows: DataFrame) -> DataFrame:
+    """Written ``rows`` (key, line) with a key of their own for the second and later rows of equal key.
+
+    Copies are numbered inside each part of the input, after the number of copies in the
+    parts before, so a key with any number of rows is spread over tasks and slots.
+    """
+    several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    several = stage(several)
+    if several.isEmpty():
+        return rows.drop("line")
+    often = rows.join(several, "key", "left_semi").withColumn("part", F.shiftright("line", 33))
+    parts = often.groupBy("key", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("key", "part").orderBy("line")
+    number = F.col("before") + F.row_number().over(inside) - 1
+    copies = often.join(parts, ["key", "part"]).withColumn("copy", number)
+    copies = copies.withColumn("key", F.when(F.col("copy") == 0, F.col("key")).otherwise(F.xxhash64("key", "copy")))
+    names = [c for c in rows.columns if c != "line"]
+    return stage(rows.join(several, "key", "left_anti").select(*names).unionByName(copies.select(*names)))
+
+
 def shard(docs: DataFrame, shards: int = 16, keep: list[str] | None = None) -> DataFrame:
     """Place every row of ``docs``: ``keep`` columns (all by default) as struct ``row`` plus size, text_crc32, vslot, shard, slot.
 
     A row's slot is a hash of its doc_id and text, so equal ids or missing ids spread too.
-    Null text: no bytes, size 1, crc32 0.  Repeated rows share a virtual slot and get
-    positions of their own.  An empty table gives an empty result.
+    Null text: no bytes, size 1, crc32 0.  Repeated rows get positions of their own; with
+    ``keep`` their running number enters the hash, so they spread over the slots, however many
+    they are; whole rows share a virtual slot with their copies.  An empty table gives an
+    empty result.
 
     Narrow rows are written once and read for the map and for the positions; whole rows are
     read twice instead and dealt out once, to the slots that they are written in.
@@ -119,9 +143,10 @@ def shard(docs: DataFrame, shards: int = 16, keep: list[str] | None = None) -> D
     rows = docs.select(
         F.struct(*(docs.columns if keep is None else keep)).alias("row"), F.col("doc_id").alias("id"),
         (F.octet_length(text_of()) + 1).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"),
-        key.alias("key"), slot_of(key).alias("vslot"))
+        key.alias("key"))
     if keep is not None:
-        rows = stage(rows)
+        rows = spread_copies(stage(rows.withColumn("line", F.monotonically_increasing_id())))
+    rows = rows.withColumn("vslot", slot_of(F.col("key")))
     sizes, counts = slot_sizes(rows)
     slot_map = map_table(spark, [first_map(sizes, shards)], sizes)
     return place(rows, slot_map, counts, ["key", "id", "size", "text_crc32"])
@@ -130,7 +155,9 @@ def shard(docs: DataFrame, shards: int = 16, keep: list[str] | None = None) -> D
 def op1_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     """All documents over 16 shards of near equal bytes.
 
-    ``slot`` counts 0, 1, 2 ... inside a shard; ``virtual_slot`` is the hash slot.
+    ``slot`` counts 0, 1, 2 ... inside a shard; ``virtual_slot`` is the hash slot.  A null text
+    has size 1, a null doc_id is a value like others, repeated rows are dealt one by one and an
+    empty table gives no rows.
     """
     out = shard(table(spark, folder, "documents"), 16, ["doc_id"])
     return out.select(F.col("row.doc_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
