@@ -110,6 +110,24 @@ def test_rules_use_identifiers_up(spark, tmp_path):
                                   "MIT", "MIT,All-Rights-Reserved"]
 
 
+def test_text_on_both_sides_of_an_advert():
+    page = '<body><div class="post"><p>' + "Long text here, " * 30 + '</p><div class="ad">Buy now</div><p>A last paragraph of some words here.</p></div></body>'
+    assert html_text.main_text(page).split("\n")[1:] == ["A last paragraph of some words here."]
+
+
+def test_names_are_whole():
+    page = '<article><h1>Title</h1><section id="related-work"><p>Prior work.</p></section><div class="long-form"><p>' + "Body " * 60 + '</p></div><div class="share-buttons">Share</div><ul class="post-comments"><li>Nice</li></ul></article>'
+    assert html_text.main_text(page).split("\n") == ["Title", "Prior work.", ("Body " * 60).strip()]
+    assert all(map(html_text.names_aside, ("ad", "site-nav", "x comment-list", "sidebar_left", "ad-300-250", "ADVERT"))) and not any(map(html_text.names_aside, ("related-work", "long-form", "add", "cookie-recipes", "", "main")))
+
+
+def test_pages_with_clashing_columns(spark, tmp_path):
+    rows = [(1, "u", "<p>" + "Some words. " * 20 + "</p>", "x", "y", 3), (1, "u", "<p>" + "Some words. " * 20 + "</p>", "x", "y", 3), (None, None, None, None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, text string, found string, n_chars long").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(html_text.op5_line_blocks(spark, str(tmp_path)).collect(), key=str)
+    assert [(r.page_id, r.n_chars) for r in got] == [(1, 239), (1, 239), (None, 0)]
+
+
 # --- token files
 
 @pytest.mark.parametrize("n, symbols", [(0, 1), (1, 1), (511, 2), (512, 3), (5000, 1), (4097, 300), (20_000, 70_000)])

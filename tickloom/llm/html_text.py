@@ -7,11 +7,13 @@ falls to zero.  The lines from the first surge to the last dive are the text.
 
 Elements that are never main text (menus, forms, scripts ...) and elements whose class, id
 or role names such a part weigh nothing and open an empty stretch, as do the borders of
-``article`` and ``main``; if those hold text, lines outside weigh nothing.
+``article`` and ``main``; if those hold text, lines outside weigh nothing.  Text on both sides of a
+dropped element in one parent stays together.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -30,35 +32,50 @@ DROPPED = frozenset("head title script style noscript template nav footer aside
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+# Words of a class, id or role that name a part which is not main text, and words that may stand beside them.
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
+    r"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
     r"menu|nav|navbar|navigation|breadcrumbs?|sidebar|sidenav|rail|masthead|footer|comments?|commentlist|replies|reply|respond|disqus|"
-    r"share|sharing|social|related|recommended|widget|toolbar|pagination|pager|tags|skip|search|contentinfo|complementary|dialog|form)(?:$|[\s_-])", re.I)
+    r"share|sharing|social|related|recommended|widget|toolbar|pagination|pager|tags|skip|search|contentinfo|complementary|dialog|form")
+BESIDE = frozenset(
+    "area article articles bar block body bottom box button buttons container content entry global group header icons id inner item items left line link links list main media middle outer page panel post "
+    "posts primary reader right row secondary section site slot stories story text title to top unit user wrap wrapper zone".split())
+PAGE_HEADER = re.compile(r"(?:site|page|top|main)?[_-]?header")
 
-PAGE_HEADER = re.compile(r"(?:^|\s)(?:site|page|top|main)?[_-]?header(?:$|\s)", re.I)
+
+def names_aside(value: str) -> bool:
+    """Whether a token of a class, id or role names an aside: one of its parts does and the others only place it."""
+    for token in value.lower().split():
+        parts = [p for p in re.split("[_-]+", token) if p and not p.isdigit()]
+        if any(NAMED.fullmatch(p) for p in parts) and all(p in BESIDE or NAMED.fullmatch(p) for p in parts):
+            return True
+    return False
 
 
 class Lines(HTMLParser):
-    """Lines of a page as (text, weight, inside article or main)."""
+    """Lines of a page as (text, weight, inside article or main, elements around it); an empty text is a gap, with the dropped element's parent."""
 
     def __init__(self, names: bool = True):
         super().__init__(convert_charrefs=True)
         self.names, self.seen_main = names, False
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.open: list[tuple[str, bool]] = []
+        self.open: list[tuple[str, bool, int]] = []
+        self.count = 0
         self.skipped = self.links = self.mains = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, max(0, len(text) - self.linked), self.mains > 0))
+            self.lines.append((text, max(0, len(text) - self.linked), self.mains > 0, tuple(n for _, _, n in self.open)))
         self.parts, self.linked = [], 0
 
-    def gap(self) -> None:
+    def gap(self, bridge: bool = False) -> None:
+        """An empty stretch; a dropped element's may be bridged inside its parent, unless that is the whole page."""
         self.end_line()
-        self.lines += [("", 0, self.mains > 0)] * WINDOW
+        parent = next(((n,) for tag, _, n in reversed(self.open) if tag not in INLINE and tag not in ("html", "body")), ()) if bridge else ()
+        self.lines.append(("", 0, self.mains > 0, parent))
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in VOID:
@@ -72,12 +89,13 @@ class Lines(HTMLParser):
             self.leave(0)
         drop = tag in DROPPED or (tag == "header" and not self.mains) or self.named(attrs) and tag not in ("html", "body")
         if drop and not self.skipped:
-            self.gap()
+            self.gap(True)
         if tag not in INLINE:
             self.end_line()
         if tag in ("p", "li") and self.open and self.open[-1][0] == tag:
             self.leave(len(self.open) - 1)
-        self.open.append((tag, bool(drop)))
+        self.count += 1
+        self.open.append((tag, bool(drop), self.count))
         self.skipped += bool(drop)
         self.links += tag == "a"
         if tag in MAIN and not self.skipped:
@@ -88,17 +106,17 @@ class Lines(HTMLParser):
     def named(self, attrs) -> bool:
         """Whether class, id or role name a part that is not main text; the title block of an article stays."""
         return self.names and any(
-            k in ("class", "id", "role") and v and (NAMED.search(v) or not self.mains and PAGE_HEADER.search(v)) or k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+            k in ("class", "id", "role") and v and (names_aside(v) or not self.mains and any(map(PAGE_HEADER.fullmatch, v.lower().split()))) or k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
 
     def leave(self, depth: int) -> None:
         """Close every element from ``depth`` on."""
         while len(self.open) > depth:
-            tag, drop = self.open.pop()
-            if tag not in INLINE:
+            if self.open[-1][0] not in INLINE:
                 self.end_line()
+            tag, drop, _ = self.open.pop()
             if tag in MAIN and not self.skipped:
                 self.mains -= 1
-                self.lines += [("", 0, False)] * WINDOW
+                self.lines.append(("", 0, False, ()))
             self.skipped -= drop
             self.links -= tag == "a"
 
@@ -106,7 +124,7 @@ class Lines(HTMLParser):
         for depth in range(len(self.open) - 1, -1, -1):
             name = self.open[depth][0]
             if name == tag:
-                if tag in INLINE and any(t not in INLINE for t, _ in self.open[depth + 1:]):
+                if tag in INLINE and any(t not in INLINE for t, _, _ in self.open[depth + 1:]):
                     return
                 return self.leave(depth)
             if tag in INLINE and name not in INLINE and name != "a":
@@ -119,6 +137,20 @@ class Lines(HTMLParser):
                 self.linked += len("".join(data.split()))
 
 
+def bridged(lines: list[tuple[str, int, bool, tuple[int, ...]]]) -> list[tuple[str, int, bool]]:
+    """Gaps as WINDOW empty lines, but for those of a dropped element with text before and after it in the same parent."""
+    texts = [k for k, x in enumerate(lines) if x[0]]
+    out = []
+    for k, (text, weight, inside, around) in enumerate(lines):
+        if text:
+            out.append((text, weight, inside))
+            continue
+        at = bisect.bisect(texts, k)
+        if not (around and 0 < at < len(texts) and around[0] in lines[texts[at - 1]][3] and around[0] in lines[texts[at]][3]):
+            out += [("", 0, inside)] * WINDOW
+    return out
+
+
 def main_lines(lines: list[tuple[str, int, bool]], surge: int = SURGE) -> list[str]:
     """Lines from the first surge to the last dive."""
     weights = np.array([w for _, w, _ in lines], np.int64)
@@ -150,7 +182,7 @@ def main_text(html: str | None) -> str:
         parser.feed(html or "")
         parser.close()
         parser.end_line()
-        if found := main_lines(parser.lines):
+        if found := main_lines(bridged(parser.lines)):
             return "\n".join(found)
     return ""
 
@@ -167,5 +199,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op5_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Main text of every page."""
+    """Main text of every page.
+
+    Rows are independent: repeated rows give repeated results, an empty table none, and a null
+    or empty page an empty text; page_id and url are passed on, null or not.
+    """
     return extract(table(spark, folder, "pages"))
