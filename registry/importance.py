@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from registry.base import query
 from tickloom import schema as S
 from tickloom.operators import dates as D
+from tickloom.operators import ensemble as E
 from tickloom.operators import model as M
 from tickloom.operators import neighbours as N
 from tickloom.operators.ordered import sample_exact
@@ -154,11 +155,13 @@ def dataset(t):
     return DS.sampled_dataset(df, target, sampled, 0.6, 0.2)
 
 
-@query("xgb_dataset", "d:d ep:i basis:f basis_lag_2s:f irr:f ctd_obi_1:f target:f split:s", f"""
-     WITH {FEAT_SQL}, tg AS (SELECT ep, LEAD(z, 2) OVER w AS target FROM (SELECT *, basis - LAG(basis) OVER w AS z FROM ft WINDOW w AS (PARTITION BY d ORDER BY ep)) y WINDOW w AS (PARTITION BY d ORDER BY ep)),
+XGB_SQL = f"""WITH {FEAT_SQL}, tg AS (SELECT ep, LEAD(z, 2) OVER w AS target FROM (SELECT *, basis - LAG(basis) OVER w AS z FROM ft WINDOW w AS (PARTITION BY d ORDER BY ep)) y WINDOW w AS (PARTITION BY d ORDER BY ep)),
      pk AS (SELECT ep FROM (SELECT ep, ROW_NUMBER() OVER (ORDER BY md5('42:' || ep), ep) AS k, COUNT(*) OVER () AS n FROM ft) x WHERE k <= GREATEST(1, floor(n * 0.5))),
-     sm AS (SELECT ft.*, target FROM ft JOIN tg ON tg.ep = ft.ep JOIN pk ON pk.ep = ft.ep WHERE target IS NOT NULL), r AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT d FROM sm) x)
-     SELECT sm.*, CASE WHEN i < floor(n * 0.6) THEN 'train' WHEN i < floor(n * (0.6e0 + 0.2e0)) THEN 'val' ELSE 'test' END AS split FROM sm JOIN r ON r.d = sm.d""")
+     sm AS (SELECT ft.*, target FROM ft JOIN tg ON tg.ep = ft.ep JOIN pk ON pk.ep = ft.ep WHERE target IS NOT NULL), r AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT d FROM sm) x),
+     ds AS (SELECT sm.*, CASE WHEN i < floor(n * 0.6) THEN 'train' WHEN i < floor(n * (0.6e0 + 0.2e0)) THEN 'val' ELSE 'test' END AS split FROM sm JOIN r ON r.d = sm.d)"""
+
+
+@query("xgb_dataset", "d:d ep:i basis:f basis_lag_2s:f irr:f ctd_obi_1:f target:f split:s", XGB_SQL + " SELECT * FROM ds")
 def _(t):
     return dataset(t)
 
@@ -196,22 +199,61 @@ def model_table(t):
     return stage(dataset(t))
 
 
-@query("gbt_importance_reg", "seed:i feature:s importance:f")
-def _(t):
-    return M.fit_importances(model_table(t).where("split <> 'test'"), FEATS, "target", "reg", (1, 2), depth=3, trees=3)
+SEEDS, TREES = (1, 2), 3
+KIND_OUT = "seed:i feature:s weight:i gain:f cover:f total_gain:f total_cover:f"
 
 
-@query("rf_importance_cls", "seed:i feature:s importance:f")
-def _(t):
+def regression_run(t):
+    df = model_table(t)
+    return E.importance_run(df.where("split <> 'test'"), df.where("split = 'test'"), FEATS, "target", "reg", SEEDS, "ep", maxIter=TREES, maxDepth=3)
+
+
+def class_run(t):
     df = model_table(t)
     edges = M.class_edges(df.where("split = 'train'"), "target", 3)
-    return M.fit_importances(df.withColumn("y", M.classify("target", edges)), FEATS, "y", "cls", (1, 2), depth=3, trees=3)
+    df = df.withColumn("y", M.classify("target", edges))
+    return E.importance_run(df.where("split <> 'test'"), df.where("split = 'test'"), FEATS, "y", "cls", SEEDS, "ep", classes=3, maxIter=TREES, maxDepth=3)
+
+
+@query("gbt_importance_reg", KIND_OUT)
+def _(t):
+    return regression_run(t)[1]
+
+
+@query("rf_importance_cls", KIND_OUT)
+def _(t):
+    return class_run(t)[1]
+
+
+COMPLETE = " AND ".join(f"{f} IS NOT NULL" for f in FEATS)
+SEED_SQL = f"(VALUES {', '.join(f'({s})' for s in SEEDS)}) s(seed)"
+
+
+@query("ensemble_nodes", "seed:i tree:i root_rows:i leaf_rows:i nodes_of_leaves:i", f"""{XGB_SQL} SELECT seed, tree, n AS root_rows, n AS leaf_rows, 0 AS nodes_of_leaves
+       FROM {SEED_SQL}, (VALUES {", ".join(f"({k})" for k in range(TREES))}) k(tree), (SELECT COUNT(*) AS n FROM ds WHERE split <> 'test' AND {COMPLETE}) c""")
+def _(t):
+    """Every training row reaches the root and one leaf of each tree; a tree has one leaf more than splits."""
+    leaf = F.col("feature").isNull()
+    return regression_run(t)[0].groupBy("seed", "tree").agg(
+        F.sum(F.when(F.col("node") == 0, F.col("cover"))).alias("root_rows"), F.sum(F.when(leaf, F.col("cover"))).alias("leaf_rows"), (F.count_if(leaf) - F.count_if(~leaf) - 1).alias("nodes_of_leaves"))
+
+
+@query("importance_predictions", "seed:i ep:i y_true:f answered:b", f"""{XGB_SQL} SELECT seed, ep, target AS y_true, TRUE AS answered FROM {SEED_SQL}, ds WHERE split = 'test' AND {COMPLETE}""")
+def _(t):
+    """Test predictions of every seed: each test row once, with a number."""
+    return regression_run(t)[2].withColumn("answered", F.col("y_pred").isNotNull() & ~F.isnan("y_pred"))
+
+
+@query("importance_metrics", "seed:i " + " ".join(f"{m}:f" for m in ("logloss", "accuracy", "balanced_accuracy", "precision", "recall", "f1", "mcc", "auc")))
+def _(t):
+    """Metrics of the class predictions per seed."""
+    return E.metrics_by_seed(class_run(t)[2], "cls", 3)
 
 
-@query("tune_grid", "params:s rmse:f fits:i")
+@query("tune_grid", "trial:i params:s score:f fits:i mean_trees:f")
 def _(t):
     df = D.time_folds(model_table(t), 2)
-    return M.tune_grid(df, FEATS, "target", [{"maxDepth": 2, "maxIter": 2}, {"maxDepth": 3, "maxIter": 2}])
+    return E.trial_scores(E.tune(df, FEATS, "target", trials=2, seeds=SEEDS, trees=5, max_depth=5))
 
 
 @query("greedy_selection", "iteration:i selected_feature:s gain:f train_rmse:f val_rmse:f train_r2:f val_r2:f")

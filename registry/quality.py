@@ -143,7 +143,7 @@ def gaps_sql(name, cols):
         WHERE e GROUP BY role, d, island"""
 
 
-GAP_SCOPES = ("level_1", "level_1_bid", "l1_bid_size")
+GAP_SCOPES = tuple(SCOPES)
 
 
 @query("dq_gaps", "role:s d:d scope:s first_ep:i last_ep:i rows:i", " UNION ALL ".join(gaps_sql(n, SCOPES[n]) for n in GAP_SCOPES))
@@ -151,13 +151,13 @@ def _(t):
     return Q.gaps(t.book1, GAP_SCOPES)
 
 
-CONS = f"SELECT DISTINCT d, role, check_id FROM ({ALL}) x WHERE n_inside > 0 AND NOT regexp_matches(columns, 'l([3-9]|10)_')"
+CONS = f"SELECT DISTINCT d, role, check_id FROM ({ALL.replace("FROM lob", "FROM flawed")}) x WHERE n_inside > 0 AND NOT regexp_matches(columns, 'l([3-9]|10)_')"
 RELEVANT = S.book_columns(2)
-NANS = "SELECT d, role, 'NANS_LEVEL_1' AS check_id FROM lob GROUP BY d, role HAVING COUNT(*) FILTER (" + " AND ".join(
+NANS = "SELECT d, role, 'NANS_LEVEL_1' AS check_id FROM flawed GROUP BY d, role HAVING COUNT(*) FILTER (" + " AND ".join(
     f"{c} IS NULL" for c in S.book_columns(1)) + ") * 100e0 / COUNT(*) >= {0}"
-WINDOW = f"""SELECT d, role, 'VALID_WINDOW' AS check_id FROM ({range_sql('level_1', SCOPES['level_1'])}) x
+WINDOW = f"""SELECT d, role, 'VALID_WINDOW' AS check_id FROM ({range_sql('level_1', SCOPES['level_1']).replace('FROM lob', 'FROM flawed')}) x
        WHERE NOT COALESCE(first_us % 86400000000 <= 32400000000 AND last_us % 86400000000 >= 61200000000, FALSE)"""
-GAPS = f"""SELECT DISTINCT d, role, 'GAPS_LEVEL_1' AS check_id FROM ({gaps_sql('level_1', SCOPES['level_1'])}) x
+GAPS = f"""SELECT DISTINCT d, role, 'GAPS_LEVEL_1' AS check_id FROM ({gaps_sql('level_1', SCOPES['level_1']).replace('FROM book1', 'FROM flawed1')}) x
        WHERE LEAST(last_ep % 86400, 61200) >= GREATEST(first_ep % 86400, 32400)
        AND LEAST(last_ep % 86400, 61200) - GREATEST(first_ep % 86400, 32400) + 1 > 60"""
 CRIT = "d:d role:s check_id:s"
@@ -169,30 +169,22 @@ def _inside():
 
 @query("crit_consistency", CRIT, CONS)
 def _(t):
-    return Q.critical_consistency(Q.issues(t.lob, Q.consistency_checks(t.lob), _inside()), RELEVANT)
+    return Q.critical_consistency(Q.issues(t.flawed, Q.consistency_checks(t.flawed), _inside()), RELEVANT)
 
 
-@query("crit_nans", CRIT, "SELECT d, role, 'NANS_LEVEL_1' AS check_id FROM lob GROUP BY d, role HAVING COUNT(*) FILTER (l1_bid_price IS NULL AND "
-       "l1_bid_size IS NULL) * 100e0 / COUNT(*) >= 5")
+@query("crit_nans", CRIT, NANS.format("25"))
 def _(t):
-    bids = Q.null_stats(t.lob).where("scope = 'level_1_bid'").withColumn("scope", F.lit("level_1"))
-    return Q.critical_nulls(bids, 5.0)
+    return Q.critical_nulls(Q.null_stats(t.flawed))
 
 
-LONG_WINDOW = WINDOW.replace("32400000000", "300000000").replace("61200000000", "86100000000")
-
-
-@query("crit_window", CRIT, LONG_WINDOW)
+@query("crit_window", CRIT, WINDOW)
 def _(t):
-    return Q.critical_window(Q.valid_range(t.lob), opens=300, closes=86_100)
-
-
-BID_GAPS = GAPS.replace(gaps_sql('level_1', SCOPES['level_1']), gaps_sql('level_1_bid', SCOPES['level_1_bid']))
+    return Q.critical_window(Q.valid_range(t.flawed))
 
 
-@query("crit_gaps", CRIT, BID_GAPS)
+@query("crit_gaps", CRIT, GAPS)
 def _(t):
-    return Q.critical_gaps(Q.gaps(t.book1, ("level_1_bid",)).withColumn("scope", F.lit("level_1")))
+    return Q.critical_gaps(Q.gaps(t.flawed1))
 
 
 EVERY = f"{CONS} UNION ALL {NANS.format('25')} UNION ALL {WINDOW} UNION ALL {GAPS}"
@@ -200,12 +192,12 @@ EVERY = f"{CONS} UNION ALL {NANS.format('25')} UNION ALL {WINDOW} UNION ALL {GAP
 
 @query("find_criticalities", CRIT, EVERY)
 def _(t):
-    return Q.find_criticalities(t.lob, t.book1, RELEVANT)
+    return Q.find_criticalities(t.flawed, RELEVANT)
 
 
 @query("critical_dates", "d:d", f"SELECT DISTINCT d FROM ({EVERY}) x")
 def _(t):
-    return Q.find_criticalities(t.lob, t.book1, RELEVANT).select("d").distinct()
+    return Q.find_criticalities(t.flawed, RELEVANT).select("d").distinct()
 
 
 @query("assert_sampling", "role:s d:d violations:i first_ep:i", """

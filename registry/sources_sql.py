@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from tickloom.sources.derived import CLEAN, DAILY_CF, EXEC_RECORDS, LOB, PREDICTIONS, PROPOSALS
+from tickloom.schema import book_columns
+from tickloom.sources.derived import CLEAN, DAILY_CF, EXEC_RECORDS, FLAWED, LOB, PREDICTIONS, PROPOSALS
 from tickloom.sources.static import BOND_COLUMNS, CTD_BONDS, EXCLUDED, EXCLUDED_COLUMNS, FUTURE_COLUMNS, FUTURES, values_sql
 
 
@@ -16,6 +17,8 @@ def _last(source: str, key: str, step: int) -> str:
 TABLES: dict[str, str] = {
     "lob": "SELECT *, epoch_us(ts) AS us FROM (" + LOB.format(events="events") + ") z",
     "lob_clean": f"SELECT * FROM lob WHERE {CLEAN}",
+    "flawed": "SELECT * REPLACE (" + ", ".join(f"CASE WHEN {FLAWED} THEN NULL ELSE {c} END AS {c}" for c in book_columns(1)) + ") FROM lob",
+    "flawed1": _last("flawed", "role", 1),
     "book1": _last("lob", "role", 1),
     "quotes1": _last("lob_clean", "role", 1),
     "grid5": _last("lob_clean", "role", 300),

@@ -241,45 +241,12 @@ def assemble(df: DataFrame, features: list[str], label: str, keep=()) -> DataFra
     return VectorAssembler(inputCols=features, outputCol="features").transform(clean).select(*keep, "features", "label")
 
 
-def fit_importances(df: DataFrame, features: list[str], label: str, kind: str, seeds, depth: int = 4, trees: int = 5) -> DataFrame:
-    """Tree ensemble importances per seed: ``reg`` boosts trees, ``cls`` grows a forest for any number of classes."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.regression import GBTRegressor
-
-    data = assemble(df, features, label)
-    rows = []
-    for seed in seeds:
-        if kind == "reg":
-            model = GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed).fit(data)
-        else:
-            model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(data)
-        rows += [(seed, f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
-    return df.sparkSession.createDataFrame(rows, "seed long, feature string, importance double")
-
-
 def _rmse(model, data: DataFrame) -> tuple[float, float]:
     scored = model.transform(data).select(F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
     row = metrics_reg(scored, []).first()
     return row["rmse"], row["r2"]
 
 
-def tune_grid(folded: DataFrame, features: list[str], label: str, grid: list[dict], seeds=(1,)) -> DataFrame:
-    """Mean validation error of each parameter set over folds and seeds (columns fold, part)."""
-    from pyspark.ml.regression import GBTRegressor
-
-    folds = [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]
-    data = assemble(folded, features, label, keep=["fold", "part"])
-    rows = []
-    for params in grid:
-        for fold in folds:
-            one = data.where(F.col("fold") == fold)
-            for seed in seeds:
-                model = GBTRegressor(seed=seed, **params).fit(one.where("part = 'train'"))
-                rows.append((str(sorted(params.items())), int(fold), int(seed), _rmse(model, one.where("part = 'val'"))[0]))
-    scores = folded.sparkSession.createDataFrame(rows, "params string, fold long, seed long, rmse double")
-    return scores.groupBy("params").agg(F.avg("rmse").alias("rmse"), F.count("*").alias("fits"))
-
-
 def greedy_selection(train: DataFrame, val: DataFrame, features: list[str], label: str, trees: int = 3, depth: int = 3) -> DataFrame:
     """Rank features on the residual, add the best, refit and score, until no feature is left."""
     from pyspark.ml.regression import GBTRegressor

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.expr import US, all_of, any_of, close_to, sod
+from tickloom.functions.expr import US, all_of, any_of, close_to, day_of, sod
+from tickloom.operators.grid import snap
 from tickloom.operators.ordered import day_window, islands
 from tickloom.schema import CONTRACTS, SIDES, TICKER_CONTRACTS, WINDOW_CLOSE, WINDOW_OPEN, book_column, book_columns, book_levels, market_keys
+from tickloom.sources.sinks import stage
 
 GAP_SECONDS = 60
 NULL_PERCENT = 25.0
@@ -89,9 +91,18 @@ def issues(df: DataFrame, checks: list[Check], inside: Column | None = None) ->
     ``inside`` marks rows of the analysis window; its count decides criticality later.
     """
     keys = [*series_keys(df), "d"]
-    fired = F.array_compact(F.array(*[F.when(flag, F.lit(i)) for i, (_, _, flag) in enumerate(checks, 1)]))
-    hits = df.select(*keys, "us", (F.lit(True) if inside is None else inside).alias("_in"), F.explode(fired).alias("_i"))
-    counts = hits.groupBy(*keys, "_i").agg(
+    rows = df.select(*keys, "us", (F.lit(True) if inside is None else inside).alias("_in"), fired(checks).alias("_fired"))
+    return fired_counts(rows, keys, checks)
+
+
+def fired(checks: list[Check]) -> Column:
+    """Numbers, from 1, of the checks that a row fails."""
+    return F.array_compact(F.array(*[F.when(flag, F.lit(i)) for i, (_, _, flag) in enumerate(checks, 1)]))
+
+
+def fired_counts(rows: DataFrame, keys: list[str], checks: list[Check]) -> DataFrame:
+    """Issues from rows (keys, us, _in, _fired)."""
+    counts = rows.select(*keys, "us", "_in", F.explode("_fired").alias("_i")).groupBy(*keys, "_i").agg(
         F.count("*").alias("n"), F.count_if("_in").alias("n_inside"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
     names = F.array(*[F.struct(F.lit(name).alias("check_id"), F.array(*[F.lit(c) for c in columns]).alias("columns")) for name, columns, _ in checks])
     return counts.withColumn("_c", F.element_at(names, F.col("_i"))).select(*keys, "_c.check_id", "_c.columns", "n", "n_inside", "first_us", "last_us")
@@ -194,10 +205,18 @@ def critical_gaps(gap_rows: DataFrame, opens: int = WINDOW_OPEN, closes: int = W
     return _found(gap_rows.where((F.col("scope") == "level_1") & (b >= a) & (b - a + 1 > limit)), "GAPS_LEVEL_1")
 
 
-def find_criticalities(lob: DataFrame, book: DataFrame, relevant: list[str]) -> DataFrame:
+def find_criticalities(lob: DataFrame, relevant: list[str]) -> DataFrame:
+    """(d, role, check_id) of all four rules.
+
+    The wide book is scanned once and written as level 1 and the numbers of the checks that
+    fired; all rules read that.
+    """
+    keys, checks = [*series_keys(lob), "d"], consistency_checks(lob)
     inside = F.pmod(F.col("us"), F.lit(86_400 * US)).between(WINDOW_OPEN * US, WINDOW_CLOSE * US)
-    parts = [critical_consistency(issues(lob, consistency_checks(lob), inside), relevant), critical_nulls(null_stats(lob)),
-             critical_window(valid_range(lob)), critical_gaps(gaps(book))]
+    narrow = stage(lob.select(*keys, "us", *book_columns(1), inside.alias("_in"), fired(checks).alias("_fired")))
+    level = narrow.drop("_in", "_fired")
+    seconds = snap(level, series_keys(level), 1).withColumn("d", day_of("ep"))
+    parts = [critical_consistency(fired_counts(narrow, keys, checks), relevant), critical_nulls(null_stats(level)), critical_window(valid_range(level)), critical_gaps(gaps(seconds))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

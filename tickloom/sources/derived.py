@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.expr import day_of, epoch_us
 from tickloom.operators.grid import snap, snap_roles
+from tickloom.schema import book_columns
 from tickloom.sources.sinks import stage
 from tickloom.sources.static import BOND_COLUMNS, CTD_BONDS, EXCLUDED, EXCLUDED_COLUMNS, FUTURE_COLUMNS, FUTURES, values_sql
 
@@ -59,6 +60,9 @@ FROM (SELECT *, 1 + h % 3 AS half FROM (
 CLEAN = ("l1_bid_price IS NOT NULL AND l1_bid_size IS NOT NULL AND l1_bid_price > 0 "
          "AND l1_bid_price < l1_ask_price")
 
+# Rows of the flawed book whose level 1 is missing: mornings of a few days, a third of the bond's rows of others.
+FLAWED = "(DAY(d) % 11 = 3 AND us % 86400000000 < 36000000000) OR (role = 'ctd' AND DAY(d) % 9 = 4 AND event_id % 3 = 0)"
+
 DAILY_CF = """
 SELECT d, CAST(90 + DAY(d) % 7 AS DOUBLE) / 100.0 AS cf,
        CASE WHEN DAY(d) <= 10 THEN 'IT0001' WHEN DAY(d) <= 20 THEN 'IT0002' ELSE 'IT0003' END AS isin,
@@ -117,6 +121,16 @@ class Tables:
         """Raw ten-level book snapshots, defects included."""
         return self._sql(LOB).withColumn("us", epoch_us("ts"))
 
+    @cached_property
+    def flawed(self) -> DataFrame:
+        """The raw book with level 1 missing on some days, for the rules on critical days."""
+        return self.lob.withColumns({c: F.when(~F.expr(FLAWED), F.col(c)) for c in book_columns(1)})
+
+    @cached_property
+    def flawed1(self) -> DataFrame:
+        """Last flawed snapshot per role and second."""
+        return snap(self.flawed, ["role"], 1).withColumn("d", day_of("ep"))
+
     def stream_lob(self) -> DataFrame:
         """The book as a stream over the same files."""
         from tickloom.streaming.book import read_stream
