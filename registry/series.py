@@ -324,23 +324,39 @@ def _(t):
 
 
 RUN = [("adf", "c", 0, ADF_SQL), ("kpss", "c", 2, kpss_sql(LEVEL, T.KPSS_CRITICAL["c"])), ("kpss", "ct", 2, kpss_sql(TREND, T.KPSS_CRITICAL["ct"]))]
+DELTAS = (0, 1)
+# The series of each kind of window; its key takes the place of the day.
+WINDOWS = {"daily": "SELECT CAST(d AS VARCHAR) AS d, ep, basis FROM basis5", "hourly": "SELECT CAST(d AS VARCHAR) || ' ' || (ep % 86400 // 3600) AS d, ep, basis FROM basis5"}
 
 
-@query("stationarity_run", "test:s regression:s frequency:s lag:i window:s nobs:i stat:f pvalue:f", " UNION ALL ".join(
-    f"SELECT '{test}' AS test, '{trend}' AS regression, 'daily' AS frequency, {lag} AS lag, CAST(d AS VARCHAR) AS \"window\", nobs, stat, pvalue FROM ({sql}) x" for test, trend, lag, sql in RUN))
+def windows_sql():
+    for kind, rows in WINDOWS.items():
+        for delta in DELTAS:
+            moved = rows if not delta else f"SELECT * FROM (SELECT d, ep, basis - LAG(basis, {delta}) OVER (PARTITION BY d ORDER BY ep) AS basis FROM ({rows}) r) q WHERE basis IS NOT NULL"
+            for test, trend, lag, sql in RUN:
+                yield (f"SELECT '{test}' AS test, '{trend}' AS regression, '{kind}' AS frequency, {lag} AS lag, {delta} AS delta, d AS \"window\", nobs, "
+                       f"CASE WHEN isfinite(stat) THEN stat END AS stat, CASE WHEN isfinite(stat) THEN pvalue END AS pvalue FROM ({sql.replace('basis5', f'({moved}) b5')}) x")
+
+
+RUN_SQL = " UNION ALL ".join(windows_sql())
+
+
+def stationarity(t):
+    """Both tests, trends and differences of every day and hour, in one pass per kind of window; windows of at least six rows."""
+    rows = stage(t.basis5.withColumn("hour", F.floor(F.pmod("ep", F.lit(86_400)) / 3600)))
+    run = T.stationarity_run(rows, "basis", {"daily": ["d"], "hourly": ["d", "hour"]}, {k: [0, 2] for k in WINDOWS}, deltas=DELTAS, only={(test, trend, lag) for test, trend, lag, _ in RUN})
+    return run.where("nobs > 5")
+
+
+@query("stationarity_run", "test:s regression:s frequency:s lag:i delta:i window:s nobs:i stat:f pvalue:f", f"SELECT * FROM ({RUN_SQL}) y WHERE nobs > 5")
 def _(t):
-    run = T.stationarity_run(stage(t.basis5), "basis", {"daily": ["d"]}, {"daily": [0, 2]})
-    kept = [(F.col("test") == test) & (F.col("regression") == trend) & (F.col("lag") == lag) for test, trend, lag, _ in RUN]
-    return run.where(kept[0] | kept[1] | kept[2])
+    return stationarity(t)
 
 
-@query("stationarity_share", "what:s test:s share:f windows:i",
-       f"SELECT 'basis' AS what, 'adf' AS test, AVG((pvalue <= 0.05)::INT) AS share, COUNT(*) AS windows FROM ({ADF_SQL}) a UNION ALL "
-       f"SELECT 'basis', 'kpss', AVG((pvalue > 0.05)::INT), COUNT(*) FROM ({kpss_sql(LEVEL, T.KPSS_CRITICAL['c'])}) b")
+@query("stationarity_share", "frequency:s delta:i regression:s test:s share:f windows:i", f"""SELECT frequency, delta, regression, test, AVG(CASE test WHEN 'adf' THEN pvalue <= 0.05 ELSE pvalue > 0.05 END::INT) AS share, COUNT(*) AS windows
+       FROM (SELECT * FROM ({RUN_SQL}) y WHERE nobs > 5 AND pvalue IS NOT NULL) z GROUP BY ALL""")
 def _(t):
-    a = T.adf(t.basis5, ["d"], "basis").withColumn("test", F.lit("adf"))
-    b = T.kpss(t.basis5, ["d"], "basis", 2).withColumn("test", F.lit("kpss"))
-    return T.stationarity_share(a.unionByName(b).withColumn("what", F.lit("basis")), ["what"])
+    return T.stationarity_share(stationarity(t), ["frequency", "delta", "regression"])
 
 
 @query("split_daily", "d:d first_ep:i n:i", "SELECT d, MIN(ep) AS first_ep, COUNT(*) AS n FROM basis5 GROUP BY d")

@@ -304,22 +304,37 @@ def kpss(df: DataFrame, keys: list[str], value: str, lags: int, trend: str = "c"
     return per_window(df, keys, value, solve, "nobs long, stat double").withColumn("pvalue", kpss_pvalue("stat", trend))
 
 
-def stationarity_run(df: DataFrame, value: str, windows: dict[str, list[str]], lags: dict[str, list[int]], trends=("c", "ct")) -> DataFrame:
-    """One row per test, trend, window kind, window and lag: test, regression, frequency, lag, window, nobs, stat, pvalue.
+def stationarity_run(df: DataFrame, value: str, windows: dict[str, list[str]], lags: dict[str, list[int]], trends=("c", "ct"), deltas=(0,), tests=("adf", "kpss"), only=None) -> DataFrame:
+    """One row per test, trend, window kind, window, delta and lag: test, regression, frequency, lag, delta, window, nobs, stat, pvalue.
 
     ``windows`` names the key columns of each kind of window ({"daily": ["d"], "hourly": ["d", "hour"]}).
+    A delta takes differences over as many rows inside the window, 0 the series itself.  ``only``
+    restricts the table to some (test, trend, lag).  All of them are computed in one grouped
+    pass per kind of window.
     """
-    parts = []
+    statistic = {"adf": adf_statistic, "kpss": kpss_statistic}
+    out = None
     for kind, keys in windows.items():
-        for lag in lags[kind]:
-            for trend in trends:
-                for name, test in (("adf", adf), ("kpss", kpss)):
-                    out = test(df, keys, value, lag, trend).withColumn("window", F.concat_ws(" ", *[F.col(k).cast("string") for k in keys]))
-                    parts.append(out.select(F.lit(name).alias("test"), F.lit(trend).alias("regression"), F.lit(kind).alias("frequency"),
-                                            F.lit(lag).alias("lag"), "window", "nobs", "stat", "pvalue"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        cases = [(t, r, lag) for lag in lags[kind] for r in trends for t in tests if only is None or (t, r, lag) in only]
+
+        def solve(y, cases=cases):
+            rows = []
+            for delta in deltas:
+                x = y[delta:] - y[:-delta] if delta else y
+                for test, trend, lag in cases:
+                    found = statistic[test](x, lag, trend) if len(x) else None
+                    if found:
+                        rows.append((test, trend, lag, delta, *found))
+            return rows
+
+        part = per_window(df, keys, value, solve, "test string, regression string, lag long, delta long, nobs long, stat double")
+        p = F.lit(None).cast("double")
+        for trend in trends:
+            here = F.col("regression") == trend
+            p = F.when(here & (F.col("test") == "adf"), adf_pvalue("stat", trend)).when(here, kpss_pvalue("stat", trend)).otherwise(p)
+        window = F.concat_ws(" ", *[F.col(k).cast("string") for k in keys]).alias("window")
+        part = part.select("test", "regression", F.lit(kind).alias("frequency"), "lag", "delta", window, "nobs", "stat", p.alias("pvalue"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
