@@ -37,7 +37,7 @@ MINIMA = 2 * WIDTH * GROUPS
 #: Minima of a pair that must agree before its sets are compared; at a similarity of 0.8 about 38 of 48 do.
 LIKE = 22
 #: Rounds that compare with one set per key before the rest goes through the prefix join.
-ROUNDS = 3
+ROUNDS = 2
 CHUNK = 1 << 20
 WORDS = 1 << 20
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -131,7 +131,6 @@ def busy_keys(live: DataFrame, roots: DataFrame | None) -> DataFrame:
     rooted = live.withColumn("root", F.col("id"))
     if roots is not None:
         rooted = live.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = stage(rooted)
     busy = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     return stage(rooted.join(busy, "key", "left_semi"))
 

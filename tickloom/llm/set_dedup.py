@@ -29,7 +29,7 @@ from tickloom.llm.simhash_dedup import SEED, components
 
 SHINGLE = 5
 #: Most rounds that compare with one text per shingle before pairs across components are.
-STARS = 4
+STARS = 2
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -141,7 +141,6 @@ def near_sets(sets: DataFrame, edges: DataFrame | None = None) -> DataFrame:
         rooted = live.withColumn("root", F.col("id"))
         if roots is not None:
             rooted = live.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        rooted = stage(rooted)
         busy = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
         rooted = stage(rooted.join(busy, "h", "left_semi"))
         if rooted.isEmpty():

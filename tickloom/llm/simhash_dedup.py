@@ -146,24 +146,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with a link; the root is the smallest node of its component.
 
     Each round takes the smallest label among a node and its neighbours, then jumps to the
-    label's own label.  It ends when a round changes nothing, after a number of rounds near
-    the logarithm of the longest path.
+    label's own label, in one job.  It ends when a round changes nothing, after a number of
+    rounds near the logarithm of the longest path.
     """
     both = stage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"))
     while True:
         seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         lower = labels.join(seen, labels["node"] == seen["a"], "left").select("node", "root", F.least("root", "near").alias("low"))
-        lower = stage(lower)
         # Hooking: the old root learns the smallest label that any of its nodes has seen.
-        hooks = lower.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("hook"))
-        hooked = lower.join(hooks, "node", "left").select("node", F.col("root").alias("was"), F.least("low", "hook").alias("root"))
-        hooked = stage(hooked)
+        hooks = lower.groupBy(F.col("root").alias("of")).agg(F.min("low").alias("hook"))
+        hooked = lower.join(hooks, F.col("node") == F.col("of"), "left").select("node", F.col("root").alias("was"), F.least("low", "hook").alias("root"))
         up = hooked.select(F.col("node").alias("parent"), F.col("root").alias("grand"))
-        jumped = stage(hooked.join(up, hooked["root"] == up["parent"], "left").select("node", "was", F.least("root", "grand").alias("root")))
-        changed = jumped.where(F.col("root") < F.col("was")).limit(1).count()
+        jumped = stage(hooked.join(up, F.col("root") == F.col("parent"), "left").select("node", "was", F.least("root", "grand").alias("root")))
         labels = jumped.select("node", "root")
-        if not changed:
+        if jumped.where(F.col("root") < F.col("was")).isEmpty():
             return labels
 
 
