@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -80,6 +82,14 @@ class Encoder(dict):
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def worker_encoder(path: str) -> Encoder:
+    """One encoder per Python worker and tokenizer, kept for the worker's later tasks."""
+    kept = sys.modules.setdefault("_tickloom_worker", types.ModuleType("_tickloom_worker")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 # --- the file format --------------------------------------------------------------------
 
 def pack(part: int, seq: int, docs: list[tuple[int | None, int]], ids: np.ndarray) -> bytes:
@@ -95,13 +105,13 @@ def pack(part: int, seq: int, docs: list[tuple[int | None, int]], ids: np.ndarra
            np.array([d or 0 for d, _ in docs], "<i8").tobytes(), np.array([d is None for d, _ in docs], "u1").tobytes(), np.array([n for _, n in docs], "<u8").tobytes()]
     for k in range(planes - 1, -1, -1):
         ones = (seqn & seqn.dtype.type(1 << k)) != 0
-        zeros = ~ones
+        # Positions are several times faster to take by than a mask.
+        low, high = seqn.take(np.flatnonzero(~ones)), seqn.take(np.flatnonzero(ones))
         bits = np.packbits(ones)
         bits = np.concatenate([bits, np.zeros(-len(bits) % (BLOCK // 8), np.uint8)])
         per = np.bitwise_count(bits.view("<u8")).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
-        low = seqn[zeros]
         out += [struct.pack("<Q", len(low)), (np.cumsum(per) - per).astype("<u8").tobytes(), bits.tobytes()]
-        seqn = np.concatenate([low, seqn[ones]])
+        seqn = np.concatenate([low, high])
     return b"".join(out)
 
 
@@ -205,8 +215,8 @@ class Wavelet:
         for k, (zeros, _, bits) in enumerate(reversed(self.planes)):
             ones = np.unpackbits(bits, count=self.n).view(bool)
             up = np.empty(self.n, kind)
-            up[~ones] = out[:zeros]
-            up[ones] = out[zeros:] | kind(1 << k)
+            up[np.flatnonzero(~ones)] = out[:zeros]
+            up[np.flatnonzero(ones)] = out[zeros:] | kind(1 << k)
             out = up
         return self.alphabet[out] if self.n else np.zeros(0, "<u4")
 
@@ -250,7 +260,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, file_tokens: int
             return pd.DataFrame({"part": [part], "seq": [seq], "tokens": [tokens], "docs": [len(rows)]})
 
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer)
+            encoder = encoder or worker_encoder(tokenizer)
             for doc, missing, text in zip(batch["doc_id"], batch["no_id"], batch["text"]):
                 ids = encoder.encode(text)
                 held += [ids, b"\0\0\0\0"]
