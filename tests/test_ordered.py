@@ -30,6 +30,26 @@ def test_exact_quantiles_per_key(skewed, slots):
     np.testing.assert_allclose(got[list(probs)].to_numpy(), want.to_numpy())
 
 
+@pytest.mark.parametrize("most", [3, 400])
+def test_exact_quantiles_in_rounds(skewed, most):
+    """Slots that hold a target are cut until few values are left, for all keys together."""
+    pdf, df = skewed
+    probs = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p999": 0.999, "p100": 1.0}
+    got = O.exact_quantiles(df, ["k"], "v", probs, 4, most=most).toPandas().set_index("k").sort_index()
+    np.testing.assert_allclose(got[list(probs)].to_numpy(), pdf.groupby("k")["v"].quantile(list(probs.values())).unstack().to_numpy())
+
+
+def test_exact_quantiles_of_a_million_values(spark):
+    """A key with a million different values next to one with two, squared so that they crowd at zero."""
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("many").alias("k"), (F.col("id") * F.col("id")).cast("double").alias("v"), F.lit(1).alias("w"))
+    df = df.unionByName(spark.createDataFrame([("few", 1.0, 2), ("few", 4.0, 1)], "k string, v double, w int"))
+    got = {r["k"]: r for r in O.exact_quantiles(df, ["k"], "v", {"a": 0.3, "b": 0.5, "c": 1.0}, weight="w", most=500).collect()}
+    ids = np.arange(n, dtype=float) ** 2
+    np.testing.assert_allclose([got["many"][x] for x in "abc"], np.quantile(ids, [0.3, 0.5, 1.0]))
+    assert [got["few"][x] for x in "abc"] == [1.0, 1.0, 4.0]
+
+
 def test_exact_quantiles_without_keys(skewed):
     pdf, df = skewed
     row = O.exact_quantiles(df, [], "v", {"m": 0.5, "q": 0.123}).first()

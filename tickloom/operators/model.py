@@ -135,7 +135,8 @@ def pairwise_auc(pred: DataFrame, keys: list[str], classes: int) -> DataFrame:
     """Macro one-versus-one area under the curve.
 
     Scores collapse to counts per distinct value before they are ordered, and running
-    counts are carried over score slots, so equal or skewed scores stay cheap.
+    counts are carried over slots with about as many distinct scores each, however the
+    scores are spread.
     """
     cells = []
     for a in range(classes):
@@ -146,7 +147,9 @@ def pairwise_auc(pred: DataFrame, keys: list[str], classes: int) -> DataFrame:
     long = pred.select(*keys, F.inline(F.array_compact(F.array(*cells))))
     pair = [*keys, "a", "b"]
     per = long.groupBy(*pair, "score").agg(F.sum("pos").alias("_p"), F.sum(1 - F.col("pos")).alias("_q"))
-    per = per.withColumn("_slot", F.floor(F.col("score") * 1024))
+    per = stage(per)
+    edges = stage(per.groupBy(*pair).agg(F.percentile_approx("score", [i / 1024 for i in range(1, 1024)], 10_000).alias("_edges")))
+    per = per.join(edges, pair).withColumn("_slot", F.size(F.filter("_edges", lambda e: e < F.col("score")))).drop("_edges")
     per = running(per, pair, "_slot", ["score"], {"_below": "_q"})
     wins = F.col("_p") * ((F.col("_below") - F.col("_q")) + F.col("_q") / 2)
     auc = per.groupBy(*pair).agg(div(F.sum(wins), F.sum("_p") * F.sum("_q")).alias("auc"))

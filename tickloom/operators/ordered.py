@@ -32,37 +32,53 @@ def running(df: DataFrame, keys: list[str], slot: str, order: list[str], sums: d
     return out.drop(*[f"_b_{n}" for n in sums])
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], slots: int = 64, weight: str | None = None) -> DataFrame:
+#: Most different values of one slot that are ranked in one task.
+RANKED = 1 << 16
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], slots: int = 64, weight: str | None = None, most: int = RANKED) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probs``; a row counts ``weight`` times.
 
-    Equal values collapse to a count before the shuffle.  Approximate quantiles only cut
-    the values into slots of similar size; ranks are resolved inside the few slots that
-    hold a target.  The counts, the slot edges and the target slots are written tables, so
-    a hot key is never shuffled to one task: small tables are broadcast to it.
+    Equal values collapse to a count before the shuffle.  Approximate quantiles only cut the
+    values into slots of similar size.  The slots of all keys that hold a target are cut
+    again, round by round, until none has more than ``most`` different values; only those are
+    ranked.  The counts, the slot edges and the target slots are written tables, so a hot key
+    is never shuffled to one task: small tables are broadcast to it.  Runs a few jobs at call.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
     counts = stage(counts)
+    totals = stage(counts.groupBy(*keys).agg(F.sum("_c").alias("_total")))
     grid = [i / slots for i in range(1, slots)]
-    edges = stage(counts.groupBy(*keys).agg(F.percentile_approx("_v", grid, 1000).alias("_edges")))
-    slotted = _attach(counts, edges, keys).withColumn("_slot", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
-
-    by_slot = Window.partitionBy(*keys).orderBy("_slot")
-    whole = Window.partitionBy(*keys)
-    totals = slotted.groupBy(*keys, "_slot").agg(F.sum("_c").alias("_n"))
-    totals = totals.select(*keys, "_slot", (F.sum("_n").over(by_slot) - F.col("_n")).alias("_before"), "_n", F.sum("_n").over(whole).alias("_total"))
 
     def target(p: float) -> Column:
         return F.lit(float(p)) * (F.col("_total") - 1)
 
-    hit = F.lit(False)
-    for p in probs.values():
-        for t in (F.floor(target(p)), F.ceil(target(p))):
-            hit = hit | ((F.col("_before") <= t) & (t < F.col("_before") + F.col("_n")))
-    wanted = stage(totals.where(hit).drop("_n"))
+    def cut(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Rows with a slot, and the slots that hold a target: _before counts what is below them, _d their different values."""
+        edges = stage(rows.groupBy(*by).agg(F.percentile_approx("_v", grid, 1000).alias("_edges")))
+        sub = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
+        slotted = _attach(rows, edges, by).withColumn("_sub", sub).drop("_edges")
+        inside = Window.partitionBy(*by).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+        sums = slotted.groupBy(*by, "_total", "_start", "_sub").agg(F.sum("_c").alias("_n"), F.count("*").alias("_d"))
+        sums = sums.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        hit = F.lit(False)
+        for p in probs.values():
+            for t in (F.floor(target(p)), F.ceil(target(p))):
+                hit = hit | ((F.col("_before") <= t) & (t < F.col("_before") + F.col("_n")))
+        path = F.concat_ws(".", *(["_slot"] if "_slot" in by else []), F.col("_sub").cast("string"))
+        wanted = stage(sums.where(hit).select(*by, "_sub", path.alias("_path"), "_before", "_d"))
+        kept = slotted.drop("_start").join(wanted, [*by, "_sub"]).select(*keys, F.col("_path").alias("_slot"), "_total", "_before", "_d", "_v", "_c")
+        return kept, wanted
+
+    found, open_ = cut(_attach(counts, totals, keys).withColumn("_start", F.lit(0).cast("long")), list(keys))
+    done = found.where(F.col("_d") <= most)
+    while not open_.where(F.col("_d") > most).isEmpty():
+        wide = stage(found.where(F.col("_d") > most)).withColumnRenamed("_before", "_start").drop("_d")
+        found, open_ = cut(wide, [*keys, "_slot"])
+        done = done.unionByName(found.where(F.col("_d") <= most))
 
     inside = Window.partitionBy(*keys, "_slot").orderBy("_v")
-    ranked = slotted.join(wanted, [*keys, "_slot"])
-    ranked = ranked.withColumn("_to", F.col("_before") + F.sum("_c").over(inside)).withColumn("_from", F.col("_to") - F.col("_c"))
+    ranked = done.withColumn("_to", F.col("_before") + F.sum("_c").over(inside)).withColumn("_from", F.col("_to") - F.col("_c"))
 
     aggs = []
     for name, p in probs.items():
