@@ -89,7 +89,7 @@ OK_SQL = f"WITH {TASK_SQL}, ok AS (SELECT * FROM tk WHERE x IS NOT NULL AND y IS
 
 def nearest(measure):
     def run(t):
-        return N.neighbour_information(tasks(features(t)), TASK, "ep", (measure,))
+        return N.neighbour_information(tasks(stage(features(t))), TASK, "ep", (measure,))
 
     query(measure, f"horizon:i target:s feature:s n_samples:i {measure}:f", f"{OK_SQL}, {near_sql(measure, 'ok')} SELECT horizon, target, feature, n_samples, {measure} FROM v_{measure} JOIN nk USING (horizon, target, feature)")(run)
 
