@@ -99,7 +99,7 @@ def _(t):
        SELECT m.*, COUNT(k.d) AS n_days FROM ctd_metadata m LEFT JOIN daily_cf k ON k.isin = m.isin GROUP BY ALL""")
 def _(t):
     n = t.daily_cf.groupBy("isin").agg(F.count("*").alias("n_days"))
-    return t.ctd_metadata.join(F.broadcast(n), "isin", "left").fillna(0, ["n_days"])
+    return t.ctd_metadata.join(n, "isin", "left").fillna(0, ["n_days"])
 
 
 BERLIN = "epoch_us(timezone('Europe/Berlin', timezone('UTC', {})))"
@@ -397,7 +397,8 @@ def _(t):
     from pyspark.sql import Window
 
     minute = F.floor(F.col("us") / (60 * US))
-    sorted_ = t.lob.select("role", "us", minute.alias("m")).orderBy("role", "us")
+    # Ranges of (role, minute) hold whole minutes, so the window needs no other shuffle.
+    sorted_ = t.lob.select("role", "us", minute.alias("m")).repartitionByRange("role", "m")
     w = Window.partitionBy("role", "m").orderBy("us")
     return sorted_.withColumn("place", F.col("m") * 100 + F.row_number().over(w))
 

@@ -66,7 +66,7 @@ def importances(nodes: DataFrame, features: list[str], keys: list[str]) -> DataF
 
 
 def leaves_of(nodes: DataFrame, rows: DataFrame, key: str, features: list[str], depth: int) -> DataFrame:
-    """(key, tree, prediction) of every row by walking each tree: one join per level on the node."""
+    """(key, tree, prediction) of every row by walking each tree: one join per level on the node; nodes are bounded by the trees and their depth."""
     at = rows.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("x")).join(F.broadcast(nodes.select("tree").distinct())).withColumn("node", F.lit(0))
     for _ in range(depth):
         here = nodes.select("tree", "node", "left", "right", "feature", "threshold")

@@ -26,7 +26,7 @@ def drop_reset(records: DataFrame, keys=("seed", "episode")) -> DataFrame:
 def append_episodes(train: DataFrame, test: DataFrame) -> DataFrame:
     """Union of two record tables; test episodes continue after the last train episode of their seed."""
     last = train.groupBy("seed").agg(F.max("episode").alias("_m"))
-    moved = test.join(F.broadcast(last), "seed").withColumn("episode", F.col("episode") + F.col("_m")).drop("_m")
+    moved = test.join(last, "seed").withColumn("episode", F.col("episode") + F.col("_m")).drop("_m")
     return train.withColumn("part", F.lit("train")).unionByName(moved.withColumn("part", F.lit("test")))
 
 

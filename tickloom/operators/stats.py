@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import col, div, normal_cdf
-from tickloom.operators.ordered import exact_quantiles
+from tickloom.operators.ordered import _attach, exact_quantiles
 from tickloom.sources.sinks import stage
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -67,15 +67,15 @@ def intraday_profile(df: DataFrame, value: str, step_s: int) -> DataFrame:
 def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quartiles, whiskers within 1.5 interquartile ranges and outlier count per bucket.
 
-    Buckets are calendar classes (hours, weekdays, weeks, months, years), so their
-    quartiles are few rows and are broadcast; a bucket may hold any share of the rows.
+    A bucket may hold any share of the rows.  The quartiles are a written table, so Spark
+    broadcasts them while they are small.
     """
-    q = exact_quantiles(df, keys, value, QUARTILES)
+    q = stage(exact_quantiles(df, keys, value, QUARTILES))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     q = q.withColumns({"_a": F.col("q25") - reach, "_b": F.col("q75") + reach})
     v = F.col(value)
     inside = v.between(F.col("_a"), F.col("_b"))
-    return df.join(F.broadcast(q), keys or None).where(v.isNotNull()).groupBy(*keys, *QUARTILES).agg(
+    return _attach(df, q, keys).where(v.isNotNull()).groupBy(*keys, *QUARTILES).agg(
         F.count("*").alias("n"), F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"))
 
