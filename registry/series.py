@@ -234,31 +234,55 @@ def _(t):
     return P.runs_by_gap(t.market5.select("d", "ep", F.lit("market").alias("k")), ["k"], 1800)
 
 
+LAGS, PARTIAL_LAGS = 60, 12
 ACF_SQL = """
     WITH x AS (SELECT role, d, ep, l1_ask_size AS v FROM quotes1), c AS (SELECT role, d, ep, v - AVG(v) OVER (PARTITION BY role, d) AS e FROM x),
-         l AS (SELECT role, d, e, """ + ", ".join(f"LAG(e, {k}) OVER w AS l{k}" for k in range(1, 13)) + """ FROM c WINDOW w AS (PARTITION BY role, d ORDER BY ep)),
-         g AS (SELECT role, d, COUNT(*) AS n, """ + ", ".join(f"SUM(e * l{k}) / SUM(e * e) AS r{k}" for k in range(1, 13)) + " FROM l GROUP BY role, d HAVING COUNT(*) > 12)"
+         l AS (SELECT role, d, e, """ + ", ".join(f"LAG(e, {k}) OVER w AS l{k}" for k in range(1, LAGS + 1)) + """ FROM c WINDOW w AS (PARTITION BY role, d ORDER BY ep)),
+         g AS (SELECT role, d, COUNT(*) AS n, """ + ", ".join(f"SUM(e * l{k}) / SUM(e * e) AS r{k}" for k in range(1, LAGS + 1)) + f""" FROM l GROUP BY role, d HAVING COUNT(*) > {LAGS}),
+         h AS (SELECT role, d, n, unnest(range(1, {LAGS + 1})) AS lag, unnest([{", ".join(f"r{k}" for k in range(1, LAGS + 1))}]) AS acf FROM g)
+    SELECT role, d, n, lag, acf, 1.959963984540054 * SQRT((1 + 2 * COALESCE(SUM(acf * acf) OVER (PARTITION BY role, d ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) AS band FROM h"""
 
 
-@query("acf", "role:s d:d n:i lag:i acf:f band:f", ACF_SQL + " " + " UNION ALL ".join(
-    f"SELECT role, d, n, {k} AS lag, r{k} AS acf, 1.959963984540054 * SQRT((1 + 2 * (0{''.join(f' + r{i} * r{i}' for i in range(1, k))})) / n) AS band FROM g" for k in range(1, 13)))
+def _acf(t):
+    return T.acf(t.quotes1, ["role", "d"], "l1_ask_size", LAGS)
+
+
+@query("acf", "role:s d:d n:i lag:i acf:f band:f", ACF_SQL)
+def _(t):
+    return _acf(t)
+
+
+@query("acf_mean", "role:s lag:i days:i acf:f band:f", f"SELECT role, lag, COUNT(*) AS days, AVG(acf) AS acf, AVG(band) AS band FROM ({ACF_SQL}) q GROUP BY role, lag")
 def _(t):
-    return T.acf(t.quotes1, ["role", "d"], "l1_ask_size", 12)
+    return T.over_days(_acf(t), ["role"], ["acf", "band"])
+
 
+def burg_sql(lags):
+    """One step of the recursion per lag: coefficient of the step, then both residuals moved on."""
+    out = [f"""WITH x AS (SELECT role, d, ep, l1_ask_size - AVG(l1_ask_size) OVER (PARTITION BY role, d) AS e, COUNT(*) OVER (PARTITION BY role, d) AS n FROM quotes1 WHERE l1_ask_size IS NOT NULL),
+         u0 AS (SELECT role, d, ep, e AS f, e AS b FROM x WHERE n > {lags + 1})"""]
+    for k in range(1, lags + 1):
+        out.append(f"s{k} AS (SELECT role, d, ep, f, LAG(b) OVER (PARTITION BY role, d ORDER BY ep) AS b FROM u{k - 1})")
+        out.append(f"k{k} AS (SELECT role, d, 2 * SUM(f * b) / SUM(f * f + b * b) AS k FROM s{k} WHERE b IS NOT NULL GROUP BY role, d)")
+        out.append(f"u{k} AS (SELECT role, d, ep, f - k * b AS f, b - k * f AS b FROM s{k} JOIN k{k} USING (role, d) WHERE b IS NOT NULL)")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT role, d, {k} AS lag, k AS pacf FROM k{k}" for k in range(1, lags + 1))
 
-PACF_SQL = """
-    WITH x AS (SELECT d, ep, l1_ask_size - AVG(l1_ask_size) OVER (PARTITION BY d) AS e FROM quotes1 WHERE role = 'ctd'),
-         s1 AS (SELECT d, ep, e AS f, LAG(e) OVER (PARTITION BY d ORDER BY ep) AS b FROM x), k1 AS (SELECT d, 2 * SUM(f * b) / SUM(f * f + b * b) AS k FROM s1 WHERE b IS NOT NULL GROUP BY d),
-         u1 AS (SELECT s.d, ep, f - k * b AS f, b - k * f AS b FROM s1 s JOIN k1 ON k1.d = s.d WHERE b IS NOT NULL),
-         s2 AS (SELECT d, ep, f, LAG(b) OVER (PARTITION BY d ORDER BY ep) AS b FROM u1), k2 AS (SELECT d, 2 * SUM(f * b) / SUM(f * f + b * b) AS k FROM s2 WHERE b IS NOT NULL GROUP BY d),
-         u2 AS (SELECT s.d, ep, f - k * b AS f, b - k * f AS b FROM s2 s JOIN k2 ON k2.d = s.d WHERE b IS NOT NULL),
-         s3 AS (SELECT d, ep, f, LAG(b) OVER (PARTITION BY d ORDER BY ep) AS b FROM u2), k3 AS (SELECT d, 2 * SUM(f * b) / SUM(f * f + b * b) AS k FROM s3 WHERE b IS NOT NULL GROUP BY d)
-    SELECT d, 1 AS lag, k AS pacf FROM k1 UNION ALL SELECT d, 2, k FROM k2 UNION ALL SELECT d, 3, k FROM k3"""
+
+PACF_SQL = burg_sql(PARTIAL_LAGS)
+
+
+def _pacf(t):
+    return T.pacf(t.quotes1.withColumn("v", F.col("l1_ask_size")), ["role", "d"], "v", PARTIAL_LAGS)
+
+
+@query("pacf", "role:s d:d lag:i pacf:f", PACF_SQL)
+def _(t):
+    return _pacf(t)
 
 
-@query("pacf", "d:d lag:i pacf:f", PACF_SQL)
+@query("pacf_mean", "role:s lag:i days:i pacf:f", f"SELECT role, lag, COUNT(*) AS days, AVG(pacf) AS pacf FROM ({PACF_SQL}) q GROUP BY role, lag")
 def _(t):
-    return T.pacf(t.quotes1.where("role = 'ctd'").withColumn("v", F.col("l1_ask_size")), ["d"], "v", 3)
+    return T.over_days(_pacf(t), ["role"], ["pacf"])
 
 
 def phi(z):

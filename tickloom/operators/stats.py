@@ -155,6 +155,11 @@ def acf(df: DataFrame, keys: list[str], value: str, lags: int, z: float = 1.9599
     return per_window(df, keys, value, solve, "n long, lag int, acf double, band double")
 
 
+def over_days(per_day: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Means over days of autocorrelations per key and lag, with the number of days."""
+    return per_day.groupBy(*keys, "lag").agg(F.count("*").alias("days"), *[F.avg(v).alias(v) for v in values])
+
+
 def pacf(df: DataFrame, keys: list[str], value: str, lags: int) -> DataFrame:
     """Partial autocorrelation by Burg's recursion; each window (one day of a series) is one numpy array."""
     order, names, v = lags, list(keys), value
