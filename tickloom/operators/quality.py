@@ -1,8 +1,8 @@
 """Book quality checks.
 
-All consistency checks are flags on one row: one scan unfolds the checks that
-fired and counts them in one map-side combined aggregate.  Ordered checks run
-on the one-row-per-second book.
+All consistency checks are flags on one row: one scan computes them as columns,
+batches of rows count them per series and day, and one aggregate adds the counts.
+Ordered checks run on the one-row-per-second book.
 """
 
 from __future__ import annotations
@@ -88,11 +88,45 @@ def consistency_checks(book: DataFrame) -> list[Check]:
 def issues(df: DataFrame, checks: list[Check], inside: Column | None = None) -> DataFrame:
     """(role, d, check_id, columns, n, n_inside, first_us, last_us) for every check that fired, per ticker if there is one.
 
-    ``inside`` marks rows of the analysis window; its count decides criticality later.
+    ``inside`` marks rows of the analysis window; its count decides criticality later.  A
+    column per flag is compiled in small methods; one expression of all flags is interpreted.
     """
     keys = [*series_keys(df), "d"]
-    rows = df.select(*keys, "us", (F.lit(True) if inside is None else inside).alias("_in"), fired(checks).alias("_fired"))
-    return fired_counts(rows, keys, checks)
+    flags = [f"_f{i}" for i in range(1, len(checks) + 1)]
+    rows = df.select(*keys, "us", (F.lit(True) if inside is None else inside).alias("_in"), *[flag.alias(f) for (_, _, flag), f in zip(checks, flags)])
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", _i int, n long, n_inside long, first_us long, last_us long"
+
+    def counted(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            group = table.select(keys).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+            us, timed = table["us"].fill_null(0).to_numpy()[order, None], table["us"].is_valid().to_numpy()[order, None]
+            fails = np.stack([table[f].fill_null(False).to_numpy() for f in flags], axis=1)[order]
+            within = fails & table["_in"].fill_null(False).to_numpy()[order, None]
+            n, n_inside = (np.add.reduceat(x, starts, axis=0, dtype=np.int64) for x in (fails, within))
+            low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+            first = np.minimum.reduceat(np.where(fails & timed, us, high), starts, axis=0)
+            last = np.maximum.reduceat(np.where(fails & timed, us, low), starts, axis=0)
+            known = np.add.reduceat(fails & timed, starts, axis=0, dtype=np.int64) > 0
+            g, i = np.nonzero(n)
+            if len(g):
+                of = table.select(keys).take(pa.array(order[starts][g]))
+                none = ~known[g, i]
+                cells = [pa.array((i + 1).astype(np.int32)), pa.array(n[g, i]), pa.array(n_inside[g, i]), pa.array(first[g, i], mask=none), pa.array(last[g, i], mask=none)]
+                out = pa.Table.from_arrays([*of.columns, *cells], names=[*keys, "_i", "n", "n_inside", "first_us", "last_us"])
+                yield from out.combine_chunks().to_batches()
+
+    counts = rows.mapInArrow(counted, schema).groupBy(*keys, "_i").agg(
+        F.sum("n").alias("n"), F.sum("n_inside").alias("n_inside"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    return named(counts, keys, checks)
 
 
 def fired(checks: list[Check]) -> Column:
@@ -101,9 +135,18 @@ def fired(checks: list[Check]) -> Column:
 
 
 def fired_counts(rows: DataFrame, keys: list[str], checks: list[Check]) -> DataFrame:
-    """Issues from rows (keys, us, _in, _fired)."""
-    counts = rows.select(*keys, "us", "_in", F.explode("_fired").alias("_i")).groupBy(*keys, "_i").agg(
-        F.count("*").alias("n"), F.count_if("_in").alias("n_inside"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    """Issues from rows (keys, us, _in, _fired).
+
+    A plain explode would infer a filter on the size of ``_fired``, and Spark would push it to the
+    scan as all checks over the formulas of all columns, computed once more per row.
+    """
+    long = rows.select(*keys, "us", "_in", F.explode_outer("_fired").alias("_i")).where("_i IS NOT NULL")
+    counts = long.groupBy(*keys, "_i").agg(F.count("*").alias("n"), F.count_if("_in").alias("n_inside"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    return named(counts, keys, checks)
+
+
+def named(counts: DataFrame, keys: list[str], checks: list[Check]) -> DataFrame:
+    """Counts per check number ``_i`` with the check's name and columns."""
     names = F.array(*[F.struct(F.lit(name).alias("check_id"), F.array(*[F.lit(c) for c in columns]).alias("columns")) for name, columns, _ in checks])
     return counts.withColumn("_c", F.element_at(names, F.col("_i"))).select(*keys, "_c.check_id", "_c.columns", "n", "n_inside", "first_us", "last_us")
 
