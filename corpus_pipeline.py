@@ -30,6 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more.
 
+    Anchor points of fingerprints give the first pairs, the sets decide; links beyond two bits are searched by the sets.
     The smallest doc_id stays, null last, one of several equal rows; texts without words are one group.
     """
     return without_near_copies(docs)

@@ -1,6 +1,8 @@
 """Near copies by the sets of five-word shingles: Jaccard similarity of 0.8 or more.
 
-Every linked pair is found.  Of two such sets each holds at least four fifths of the
+Fingerprints of the five-word shingles, linked by the anchor points of ``simhash_dedup``,
+give the first pairs; their sets are compared.  Two bits see the closest copies only, so
+what they leave apart is searched on, and every linked pair is found.  Of two such sets each holds at least four fifths of the
 other, so in any common order of all shingles their first n - ceil(0.8 n) + k share k.
 A first pass in order of the hashes, k a twentieth of the set, leaves the texts of which
 so many shingles stand in other texts too; for these k is one and the order rarest first,
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import repeated, row_key, stage, take_rows
-from tickloom.llm.simhash_dedup import SEED, components
+from tickloom.llm.simhash_dedup import SEED, components, fingerprint, links
 
 SHINGLE = 5
 #: Most rounds that compare with one text per shingle before pairs across components are.
@@ -67,7 +69,8 @@ def leading(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def whole(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         sets = [shingle_set(t) for t in batch]
-        yield pd.DataFrame({"id": set_ids(sets), "s": sets})
+        fps = np.fromiter((fingerprint(t, SHINGLE) for t in batch), np.uint64, len(batch))
+        yield pd.DataFrame({"id": set_ids(sets), "s": sets, "fp": fps.view(np.int64)})
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -81,6 +84,19 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stage(pairs.join(left, "a").join(right, "b").where(alike(F.col("sa"), F.col("sb"))).select("a", "b"))
 
 
+def anchor_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) of the sets (id, s, fp) whose fingerprints are within two bits and which are alike.
+
+    One set stands for a fingerprint, the others that have it are compared with that one.
+    """
+    stands = stage(sets.groupBy("fp").agg(F.min("id").alias("id")))
+    near = stage(links(stands.select("fp")))
+    left, right = stands.select(F.col("fp").alias("a"), F.col("id").alias("ia")), stands.select(F.col("fp").alias("b"), F.col("id").alias("ib"))
+    pairs = near.join(left, "a").join(right, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    same = sets.select("id", "fp").join(stands.withColumnRenamed("id", "a"), "fp").where("id <> a").select("a", F.col("id").alias("b"))
+    return verified(pairs.unionByName(same), sets)
+
+
 def meeting_points(sets: DataFrame) -> DataFrame:
     """(h, id, n, own, pos): the shingles among the first n - ceil(0.8 n) + 1 of each set, rarest first, that another set holds too.
 
@@ -177,8 +193,9 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     chosen = stage(rows.join(some, "id", "left_semi").groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("id", "k.k1", "k.k2", F.lit(1).alias("copies")))
     many = stage(repeated(rows))
     texts = take_rows(docs, chosen.select("k1", "k2", "copies"), many)
-    sets = texts.select(F.pandas_udf(whole, "id long, s array<long>")("text").alias("x")).select("x.*")
-    roots = near_sets(stage(sets))
+    sets = stage(texts.select(F.pandas_udf(whole, "id long, s array<long>, fp long")("text").alias("x")).select("x.*"))
+    found = anchor_links(sets)
+    roots = near_sets(sets, None if found.isEmpty() else found)
     grouped = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("first"))
     return take_rows(docs, stage(first.select("first.k1", "first.k2", F.lit(1).alias("copies"))), many)
