@@ -284,3 +284,20 @@ def test_exit_over_midnight(spark):
     got = V.horizon_pieces(market, [50], ["ctd_bid_price"]).orderBy("ep").collect()
     assert [(x.ep, x.until, x.x_ctd_bid_price) for x in got if x.d.day == 1] == [(0, 86_350, 99.0), (86_350, 86_400, 99.0864)]
     assert [(x.ep, x.until, x.x_ctd_bid_price) for x in got if x.d.day == 2][:2] == [(86_400, 86_450, 99.0864), (86_450, 86_500, 99.0865)]
+
+
+def test_summary_counts_equal_values_once(spark):
+    """Days, sums and medians of rows that stand for seconds, null days and values too, without a copy of the rows per distinct count."""
+    import statistics
+
+    days = [dt.date(2024, 1, 1), dt.date(2024, 1, 2), dt.date(2024, 1, 3), None]
+    rows = [("x", days[k % 4], 10_000 * (k % 4) + 10 * k, 10_000 * (k % 4) + 10 * k + 1 + k % 3, 1 + k % 3, None if k % 4 == 2 or k % 7 == 0 else float(k % 5 - 1)) for k in range(200)]
+    out = P.summarize_horizon(spark.createDataFrame(rows, "k string, d date, ep long, until long, seconds long, pnl double"), ["k"], 1)
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.first()
+    every = [r[5] for r in rows if r[5] is not None for _ in range(r[4])]
+    good = [v for v in every if v > 0]
+    assert (got.n_days, got.trading_days, got.profitable_observations) == (2, 3, len(good))
+    for name, v in (("", every), ("profitable_", good)):
+        want = (sum(v), statistics.mean(v), statistics.median(v), statistics.stdev(v), max(v), min(v))
+        assert [got[f"{name}{x}_pnl"] for x in ("total", "mean", "median", "std", "max", "min")] == pytest.approx(want)

@@ -163,31 +163,38 @@ def summarize_horizon(pnl: DataFrame, keys: list[str], step_s: int, tolerance_s:
     if "seconds" not in pnl.columns:
         pnl = pnl.withColumns({"seconds": F.lit(1), "until": F.col("ep") + 1})
     pnl = stage(pnl.select(*keys, "d", "ep", "until", "seconds", "pnl"))
-    p, w = F.col("pnl"), F.col("seconds")
+    # Equal values of a day collapse to their seconds; days, sums and medians need no more.
+    counts = stage(pnl.groupBy(*keys, "d", "pnl").agg(F.sum("seconds").alias("w")))
+    p, w = F.col("pnl"), F.col("w")
     good = F.when(p > 0, p)
 
-    def weighted(v):
-        """count, sum, mean and sample deviation of v, each row counted ``seconds`` times"""
-        n = F.sum(F.when(v.isNotNull(), w))
-        total, squares = F.sum(v * w), F.sum(v * v * w)
+    def sums(v, name):
+        """seconds, sum and sum of squares of v"""
+        return F.sum(F.when(v.isNotNull(), w)).alias(f"_n_{name}"), F.sum(v * w).alias(f"_s_{name}"), F.sum(v * v * w).alias(f"_q_{name}")
+
+    def weighted(name):
+        """count, sum, mean and sample deviation of the values of all days"""
+        n, total, squares = (F.sum(f"_{x}_{name}") for x in "nsq")
         return F.coalesce(n, F.lit(0)), total, total / n, F.when(n > 1, F.sqrt(F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))))
 
-    n_all, sum_all, mean_all, std_all = weighted(p)
-    n_good, sum_good, mean_good, std_good = weighted(good)
-    base = pnl.groupBy(*keys).agg(
-        F.countDistinct(F.when(p.isNotNull(), F.col("d"))).alias("n_days"), F.countDistinct("d").alias("trading_days"),
+    days = counts.groupBy(*keys, "d").agg(
+        *sums(p, "all"), *sums(good, "good"), F.max(p).alias("_max"), F.min(p).alias("_min"), F.max(good).alias("_good_max"), F.min(good).alias("_good_min"))
+    n_all, sum_all, mean_all, std_all = weighted("all")
+    n_good, sum_good, mean_good, std_good = weighted("good")
+    base = days.groupBy(*keys).agg(
+        F.count_if(F.col("d").isNotNull() & F.col("_n_all").isNotNull()).alias("n_days"), F.count("d").alias("trading_days"),
         n_all.alias("_valid"), F.coalesce(sum_all, F.lit(0.0)).alias("total_pnl"), mean_all.alias("mean_pnl"),
-        std_all.alias("std_pnl"), F.max("pnl").alias("max_pnl"), F.min("pnl").alias("min_pnl"),
+        std_all.alias("std_pnl"), F.max("_max").alias("max_pnl"), F.min("_min").alias("min_pnl"),
         n_good.alias("profitable_observations"), F.coalesce(sum_good, F.lit(0.0)).alias("profitable_total_pnl"),
         mean_good.alias("profitable_mean_pnl"), std_good.alias("profitable_std_pnl"),
-        F.max(good).alias("profitable_max_pnl"), F.min(good).alias("profitable_min_pnl"))
+        F.max("_good_max").alias("profitable_max_pnl"), F.min("_good_min").alias("profitable_min_pnl"))
     runs = stage(profitable_episodes(pnl, keys, step_s, tolerance_s))
     per_run = runs.groupBy(*keys).agg(
         F.count("*").alias("profitable_episodes"), F.sum("mean_pnl").alias("episode_total_pnl"), F.avg("mean_pnl").alias("episode_mean_pnl"),
         F.stddev_samp("mean_pnl").alias("episode_std_pnl"), F.max("mean_pnl").alias("episode_max_pnl"), F.min("mean_pnl").alias("episode_min_pnl"),
         F.avg("length").alias("mean_episode_length"), F.max("length").alias("max_episode_length"), F.min("length").alias("min_episode_length"))
     cells = F.array(F.struct(F.lit("all").alias("what"), p.alias("v")), F.struct(F.lit("good").alias("what"), good.alias("v")))
-    values = pnl.where(p.isNotNull()).select(*keys, w.alias("w"), F.inline(cells))
+    values = counts.where(p.isNotNull()).select(*keys, w.alias("w"), F.inline(cells))
     cells = F.array(F.struct(F.lit("run").alias("what"), F.col("mean_pnl").alias("v")),
                     F.struct(F.lit("length").alias("what"), F.col("length").cast("double").alias("v")))
     values = values.unionByName(runs.select(*keys, F.lit(1).alias("w"), F.inline(cells)))
