@@ -79,6 +79,19 @@ def test_links_are_exact(spark, hot):
     assert got == want
 
 
+def test_spread_is_not_broadcast(spark):
+    """Without crowded anchors Spark sizes the replicated fingerprints as before their explodes, however many they are."""
+    r = random.Random(11)
+    pairs = {(x, x | 1) for x in (r.getrandbits(62) << 1 for _ in range(1000))}
+    nodes = simhash_dedup.stage(spark.createDataFrame([(x,) for pair in pairs for x in pair], "fp long"))
+    found = simhash_dedup.links(nodes)
+    assert {(x.a, x.b) for x in found.collect()} == pairs
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    final = plan.split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in final and "Broadcast" not in final
+
+
 def test_components_of_long_chains(spark):
     r = random.Random(5)
     names = r.sample(range(10_000), 400)

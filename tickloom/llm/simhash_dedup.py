@@ -137,7 +137,8 @@ def links(nodes: DataFrame, hot: int = HOT_ANCHOR) -> DataFrame:
         return rows.select("fp", "k", "anchor", F.explode(F.when(F.col("crowded"), blocks).otherwise(F.array(F.lit(0).cast("long")))).alias("block"))
 
     a, b = split(homes).withColumnRenamed("fp", "a"), split(spread).withColumnRenamed("fp", "b")
-    met = a.join(b, (a["k"] == b["k"]) & (a["anchor"] == b["anchor"]) & (a["block"] == b["block"])
+    # Spark sizes b as before its explodes, a thirtieth of it, and would broadcast that.
+    met = a.join(b.hint("merge"), (a["k"] == b["k"]) & (a["anchor"] == b["anchor"]) & (a["block"] == b["block"])
                  & (a["a"] != b["b"]) & (F.bit_count(a["a"].bitwiseXOR(b["b"])) <= BITS))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
